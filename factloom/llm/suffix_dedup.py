@@ -28,8 +28,6 @@ from pyspark.sql import functions as F
 from .common import id_and_text, map_batches, read_documents, stored
 
 LENGTH, GRAM, TILE = 200, 48, 8192
-#: Rows and packed places of a per-document table that may be broadcast (under 20 MB); a larger one is joined by a shuffle.
-BROADCAST_ROWS, BROADCAST_PLACES = 150_000, 1_500_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 CHUNK, POSITION_BITS = 500_000, np.uint64(20)
@@ -134,14 +132,6 @@ def keyed(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), F.hash("text").alias("x"), "doc_id", "text")
 
 
-def with_places(texts: DataFrame, places: DataFrame, how: str) -> DataFrame:
-    """Joins ``places`` (d, x, array columns) to the texts: broadcast if small, by a shuffle else."""
-    size = places.agg(F.count("*").alias("n"), F.sum(F.size(places.columns[2])).alias("m")).first()
-    if size["n"] <= BROADCAST_ROWS and (size["m"] or 0) <= BROADCAST_PLACES:
-        places = F.broadcast(places)
-    return texts.join(places, ["d", "x"], how)
-
-
 def repeated_places(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, tile: int = TILE) -> DataFrame:
     """(d, x, spans array of first byte << 16 | bytes) of the documents with repeated strings."""
 
@@ -174,7 +164,7 @@ def repeated_places(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, til
                     out += [(w["h"], w["c"], w["n"], i, xxhash.xxh3_128_digest(raw[at + i : at + i + length], off - i + 1000), None) for i in range(more + 1)]
         return pa.record_batch([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int32()), pa.array([r[3] for r in out], pa.int32()), pa.array([r[4] for r in out], pa.binary()), pa.array([r[5] for r in out], pa.binary())], ["h", "c", "n", "i", "w", "span"])
 
-    spans = with_places(texts.select("d", "x", "text"), want, "inner").select("text", "want")
+    spans = texts.select("d", "x", "text").join(want, ["d", "x"]).select("text", "want")
     spans = stored(map_batches(spans, "h bigint, c bigint, n int, i int, w binary, span binary", spans_of), "spans")
 
     def compare(batches):
@@ -229,8 +219,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, tile
             out.append((len(raw), len(raw) - len(kept), n_spans, hashlib.sha256(kept).hexdigest()))
         return pa.record_batch([batch.column(0), *(pa.array([o[i] for o in out], pa.int64()) for i in range(3)), pa.array([o[3] for o in out], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    places = stored(repeated_places(docs, length, gram, tile), "places")
-    joined = with_places(keyed(docs), places, "left").select("doc_id", "text", "spans")
+    joined = keyed(docs).join(repeated_places(docs, length, gram, tile), ["d", "x"], "left").select("doc_id", "text", "spans")
     return map_batches(joined, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", run)
 
 
