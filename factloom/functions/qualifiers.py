@@ -11,18 +11,13 @@ from .text import trimmed
 SYSTEM_KEYS = ["_entity", "printedPage", "quoteMismatch", "sourcePage", "visionOnly"]
 
 
-def raw_values(json: Column) -> Column:
-    """map<key, raw JSON value as text> of an object; texts keep their quotes. An empty map for null."""
-    return F.coalesce(F.from_json(json, "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>"))
-
-
 def keys_of(json: Column) -> Column:
     return F.coalesce(F.json_object_keys(F.coalesce(json, F.lit("{}"))), F.array().cast("array<string>"))
 
 
 def value_of(json: Column, key: Column) -> Column:
     """The value of a key as text: a text itself, other types as compact JSON."""
-    return F.get_json_object(json, F.concat(F.lit("$['"), key, F.lit("']")))
+    return F.call_function("get_json_object", json, F.concat(F.lit("$['"), key, F.lit("']")))
 
 
 def comparable(json: Column, key: Column) -> Column:
