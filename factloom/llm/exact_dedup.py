@@ -44,7 +44,7 @@ def digests(docs: DataFrame, digest_bytes: int = DIGEST_BYTES) -> DataFrame:
 def stream_state(spark: SparkSession, source: str, state_dir: str) -> DataFrame:
     """The state after all files below ``source``: (digest, keep_id, n_rows, n_bytes). Files that the checkpoint in
     ``state_dir`` has seen are not read again."""
-    names = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true", "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200", "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}  # many small stores: no space ahead
+    names = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true", "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "100", "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}  # many small stores: no space ahead
     before = {k: spark.conf.get(k, None) for k in names}
     for k, v in names.items():
         spark.conf.set(k, v)

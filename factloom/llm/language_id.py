@@ -76,7 +76,7 @@ class LanguageModels:
         return np.add.reduceat(logp, start, axis=0)
 
     def rows_of(self, words: set[str]) -> None:
-        if len(self.known) > 200_000:
+        if len(self.known) > 150_000:
             self.known, self.table = {}, self.table[:0]
         fresh = [w for w in words if w not in self.known]
         if fresh:
@@ -164,7 +164,7 @@ def fit_languages(labelled: DataFrame, max_rows: int = MAX_ROWS) -> LanguageMode
     return LanguageModels(languages, codes, counts)
 
 
-def predict_texts(models: LanguageModels, texts: list[str], limit: int = 2_000_000) -> list[tuple[str, float]]:
+def predict_texts(models: LanguageModels, texts: list[str], limit: int = 1_000_000) -> list[tuple[str, float]]:
     """(language, share) of each text, about ``limit`` characters at once."""
     got, at = [], 0
     while at < len(texts):

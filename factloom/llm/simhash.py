@@ -75,9 +75,12 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, wide_shingle: int = 0)
     """(doc_id, x: hash of the text, fp bigint: the fingerprint's 64 bits as a signed number, wide binary or null)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words = [words_of(t) for t in batch.column(1).to_pylist()]
-        fp = np.array([majority(shingle_hashes(w, shingle)) if w else 0 for w in words], dtype=np.uint64)
-        wide = [wide_fingerprint(w, wide_shingle) if wide_shingle else None for w in words]
+        prints, wide = [], []
+        for text in batch.column(1).to_pylist():  # the words of one text at a time: those of a batch would be large
+            words = words_of(text)
+            prints.append(majority(shingle_hashes(words, shingle)) if words else 0)
+            wide.append(wide_fingerprint(words, wide_shingle) if wide_shingle else None)
+        fp = np.array(prints, dtype=np.uint64)
         return pa.record_batch([batch.column(0), batch.column(2), pa.array(fp.view(np.int64)), pa.array(wide, pa.binary())], ["doc_id", "x", "fp", "wide"])
 
     return map_batches(id_and_text(docs).select("doc_id", "text", F.hash("text").alias("x")), "doc_id bigint, x int, fp bigint, wide binary", run)
