@@ -88,7 +88,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, wide_shingle: int = 0)
 
 def blocks_for(classes: int, radius: int) -> int:
     """The fewest blocks for which a class meets few others by chance, 13 at most."""
-    return next((b for b in range(radius + 1, 13) if classes * comb(b, b - radius) / 2.0 ** (64 * (b - radius) / b) < 4), 13)
+    return next((b for b in range(radius + 1, 13) if classes * comb(b, b - radius) / 2.0 ** (64 * (b - radius) / b) < 16), 13)
 
 
 def block_masks(blocks: int, radius: int) -> list[int]:
