@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import id_and_text, map_batches, read_documents
+from .common import id_and_text, read_documents
 
 SPACE = "▁"
 NO_RANK = np.iinfo(np.int64).max
@@ -268,11 +268,17 @@ def slices(texts: list[str], limit: int = 4_000_000):
 def encode_documents(docs: DataFrame, model_file: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield encoded(batch)
+        codec(model_file).cache.clear()  # the worker may go on to other stages
+
+    def encoded(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [r for part in slices(batch.column(1).to_pylist()) for r in codec(model_file).encode_texts(part)]
         return pa.record_batch([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return map_batches(id_and_text(docs), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", run)
+    return id_and_text(docs).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def op1_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
