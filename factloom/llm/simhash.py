@@ -3,8 +3,8 @@
 Equal fingerprints are one class. Two fingerprints at most ``radius`` bits apart agree in at least ``b - radius`` of
 ``b`` blocks of bits, so every choice of that many blocks is a table, and close classes share a key in one of them. The
 number of blocks follows from the number of classes, so that chance meetings stay below one a class at any size; the
-result does not depend on it. In each key's bucket all distances are verified, and a spanning forest of the links
-leaves, not every pair. Buckets over ``TILE`` classes are cut into chunks, and each pair of chunks is a task's group of
+result does not depend on it. In each key's bucket all distances are verified, and stars that span the components of
+the links leave, not every pair. Buckets over ``TILE`` classes are cut into chunks, and each pair of chunks is a task's group of
 its own: no group grows without bound, no link is lost.
 
 Edge cases: a text without words (null, empty, blank) has fingerprint 0 and links like any other; fewer words than a
@@ -99,21 +99,22 @@ def block_masks(blocks: int, radius: int) -> list[int]:
 
 
 def spanning_links(fp: np.ndarray, rep: np.ndarray, radius: int, wide: np.ndarray | None = None, wide_radius: int = 0) -> list[tuple[int, int]]:
-    """A spanning forest of the graph that links fingerprints at most ``radius`` bits apart (and wide ones, if given, at
-    most ``wide_radius``)."""
+    """Stars that span the components of the graph that links fingerprints at most ``radius`` bits apart (and wide ones, if
+    given, at most ``wide_radius``): each member to the smallest rep, so that a group gives the same links in all tables."""
     links, left = [], np.arange(len(fp))
     while len(left):
-        todo, left = [left[0]], left[1:]
-        while todo and len(left):
-            i = todo.pop()
+        found, done, left = [left[0]], 0, left[1:]
+        while done < len(found) and len(left):
+            i, done = found[done], done + 1
             near = np.bitwise_count(fp[left] ^ fp[i]) <= radius
             if wide is not None and near.any():
                 near[near] = np.bitwise_count(wide[left[near]] ^ wide[i]).sum(axis=1, dtype=np.int64) <= wide_radius
             if near.any():
-                found = left[near]
-                links.extend((int(rep[i]), int(r)) for r in rep[found])
-                todo.extend(found.tolist())
+                found.extend(left[near].tolist())
                 left = left[~near]
+        if len(found) > 1:
+            reps = np.sort(rep[found]).tolist()
+            links.extend((reps[0], r) for r in reps[1:])
     return links
 
 
