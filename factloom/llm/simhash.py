@@ -13,6 +13,7 @@ shingle make one shingle; a null doc_id keeps its fingerprint and takes part in
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 from math import comb
 
@@ -118,25 +119,23 @@ def spanning_links(fp: np.ndarray, rep: np.ndarray, radius: int, wide: np.ndarra
     return links
 
 
-def bucket_links(cells: DataFrame, radius: int, wide_radius: int) -> DataFrame:
-    """(a, b) links of each group (k, m, ci, cj) of rows (fp, rep, wide)."""
-    names = ["k", "m", "ci", "cj"]
+CELL = ["k", "m", "ci", "cj"]
+
+
+def by_cell(cells: DataFrame, schema: str, work: Callable[[pa.Table, list[tuple[int, int]]], pa.RecordBatch]) -> DataFrame:
+    """``work`` over tables of whole groups of CELL, with the bounds of the groups of two rows or more."""
 
     def flush(rows: pa.Table) -> pa.RecordBatch:
-        key = np.stack([rows.column(c).to_numpy() for c in names])
-        fp, rep, wide = rows.column("fp").to_numpy().view(np.uint64), rows.column("rep").to_numpy(), None
-        if wide_radius:
-            wide = np.frombuffer(b"".join(rows.column("wide").to_pylist()), dtype=np.uint64).reshape(-1, WIDE)
+        key = np.stack([rows.column(c).to_numpy() for c in CELL])
         cut = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0), True]).tolist()
-        out = [x for a, b in zip(cut[:-1], cut[1:], strict=True) if b - a > 1 for x in spanning_links(fp[a:b], rep[a:b], radius, None if wide is None else wide[a:b], wide_radius)]
-        return pa.record_batch([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+        return work(rows, [(a, b) for a, b in zip(cut[:-1], cut[1:], strict=True) if b - a > 1])
 
     def run(batches):
         held: list[pa.RecordBatch] = []  # rows of a group that may go on in the next batch
         for batch in batches:
             if batch.num_rows:
                 rows = pa.Table.from_batches([*held, batch])
-                key = np.stack([rows.column(c).to_numpy() for c in names])
+                key = np.stack([rows.column(c).to_numpy() for c in CELL])
                 other = np.flatnonzero((key != key[:, -1:]).any(axis=0))
                 at = int(other[-1]) + 1 if len(other) else 0
                 held = rows.slice(at).to_batches()
@@ -145,7 +144,34 @@ def bucket_links(cells: DataFrame, radius: int, wide_radius: int) -> DataFrame:
         if held:
             yield flush(pa.Table.from_batches(held))
 
-    return cells.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, "a bigint, b bigint")
+    return cells.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(run, schema)
+
+
+def bucket_links(cells: DataFrame, radius: int, wide_radius: int) -> DataFrame:
+    """(a, b) links of each group of cells (CELL, fp, rep, and wide with ``wide_radius``)."""
+
+    def work(rows: pa.Table, groups: list[tuple[int, int]]) -> pa.RecordBatch:
+        fp, rep, wide = rows.column("fp").to_numpy().view(np.uint64), rows.column("rep").to_numpy(), None
+        if wide_radius:
+            wide = np.frombuffer(b"".join(rows.column("wide").to_pylist()), dtype=np.uint64).reshape(-1, WIDE)
+        out = [x for a, b in groups for x in spanning_links(fp[a:b], rep[a:b], radius, None if wide is None else wide[a:b], wide_radius)]
+        return pa.record_batch([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return by_cell(cells, "a bigint, b bigint", work)
+
+
+def linked_cells(cells: DataFrame, radius: int) -> DataFrame:
+    """Rows of ``cells`` whose fingerprint has another within ``radius`` bits in its group: what only met by chance goes."""
+
+    def work(rows: pa.Table, groups: list[tuple[int, int]]) -> pa.RecordBatch:
+        fp, near = rows.column("fp").to_numpy().view(np.uint64), np.zeros(rows.num_rows, dtype=bool)
+        for a, b in groups:
+            for link in spanning_links(fp[a:b], np.arange(a, b), radius):
+                near[list(link)] = True
+        kept = rows.filter(pa.array(near)).combine_chunks()
+        return kept.to_batches()[0] if kept.num_rows else pa.RecordBatch.from_pylist([], kept.schema)
+
+    return by_cell(cells, "k bigint, m int, ci int, cj int, fp bigint, rep bigint", work)
 
 
 def near_links(classes: DataFrame, radius: int = RADIUS, verified: int = 0, wide_radius: int = 0, tile: int = TILE) -> DataFrame:
@@ -160,8 +186,9 @@ def near_links(classes: DataFrame, radius: int = RADIUS, verified: int = 0, wide
     chunk = F.pmod(F.xxhash64("fp"), F.col("c")).cast("int")
     cells = keyed.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
     cells = cells.select("k", "m", F.least("chunk", "other").alias("ci"), F.greatest("chunk", "other").alias("cj"), "fp", "rep")
-    cells = cells.join(classes.select("rep", "wide"), "rep") if wide_radius else cells.withColumn("wide", F.lit(None).cast("binary"))
-    return bucket_links(cells.select("k", "m", "ci", "cj", "fp", "rep", "wide"), max(radius, verified), wide_radius)
+    if wide_radius:
+        cells = linked_cells(cells, max(radius, verified)).join(classes.select("rep", "wide"), "rep")
+    return bucket_links(cells, max(radius, verified), wide_radius)
 
 
 def groups_of(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, wide_shingle: int = 0, verified: int = 0, wide_radius: int = 0) -> DataFrame:
