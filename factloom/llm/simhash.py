@@ -3,8 +3,8 @@
 Equal fingerprints are one class. Two fingerprints at most ``radius`` bits apart agree in at least ``b - radius`` of
 ``b`` blocks of bits, so every choice of that many blocks is a table, and close classes share a key in one of them. The
 number of blocks follows from the number of classes, so that chance meetings stay below one a class at any size; the
-result does not depend on it. In each key's bucket all distances are verified, and stars that span the components of
-the links leave, not every pair. Buckets over ``TILE`` classes are cut into chunks, and each pair of chunks is a task's group of
+result does not depend on it. The sum that counts a bucket also tells the distance of a bucket of two; in a larger one
+all distances are verified, and stars that span the components of the links leave, not every pair. Buckets over ``TILE`` classes are cut into chunks, and each pair of chunks is a task's group of
 its own: no group grows without bound, no link is lost.
 
 Edge cases: a text without words (null, empty, blank) has fingerprint 0 and links like any other; fewer words than a
@@ -171,24 +171,28 @@ def linked_cells(cells: DataFrame, radius: int) -> DataFrame:
         kept = rows.filter(pa.array(near)).combine_chunks()
         return kept.to_batches()[0] if kept.num_rows else pa.RecordBatch.from_pylist([], kept.schema)
 
-    return by_cell(cells, "k bigint, m int, ci int, cj int, fp bigint, rep bigint", work)
+    return by_cell(cells, "k bigint, m int, ci int, cj int, fp bigint", work)
 
 
 def near_links(classes: DataFrame, radius: int = RADIUS, verified: int = 0, wide_radius: int = 0, tile: int = TILE) -> DataFrame:
     """Links (a, b) between the reps of classes (fp, rep, wide) whose fingerprints differ in at most ``radius`` bits; their
     components are those of all such pairs. With ``verified`` over ``radius``, what meets in a block is linked up to that
     many bits (not all such pairs meet). With ``wide_radius`` the wide fingerprints must be as close as that, too."""
-    masks = block_masks(blocks_for(classes.count(), radius), radius)
-    keyed = classes.select("fp", "rep", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("m", "k"))
-    sizes = keyed.groupBy("k", "m").agg(F.count("*").alias("n")).where("n > 1")
-    # buckets of one class leave here; a bucket over the tile gets chunks by fingerprint
-    keyed = keyed.join(sizes, ["k", "m"]).select("k", "m", "fp", "rep", F.ceil(F.col("n") / tile).cast("int").alias("c"))
+    masks, reach = block_masks(blocks_for(classes.count(), radius), radius), max(radius, verified)
+    keyed = classes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("m", "k"))
+    buckets = keyed.groupBy("k", "m").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"))
+    # two classes in a bucket are its least and largest: most met by chance, and leave here
+    buckets = stored(buckets.where((F.col("n") > 2) | ((F.col("n") == 2) & (F.bit_count(F.col("lo").bitwiseXOR(F.col("hi"))) <= reach))), "buckets")
+    zero = F.lit(0)
+    pairs = buckets.where("n = 2").select("k", "m", zero.alias("ci"), zero.alias("cj"), F.explode(F.array("lo", "hi")).alias("fp"))
+    # a bucket over the tile gets chunks by fingerprint
+    keyed = keyed.join(buckets.where("n > 2").select("k", "m", F.ceil(F.col("n") / tile).cast("int").alias("c")), ["k", "m"])
     chunk = F.pmod(F.xxhash64("fp"), F.col("c")).cast("int")
     cells = keyed.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-    cells = cells.select("k", "m", F.least("chunk", "other").alias("ci"), F.greatest("chunk", "other").alias("cj"), "fp", "rep")
+    cells = cells.select("k", "m", F.least("chunk", "other").alias("ci"), F.greatest("chunk", "other").alias("cj"), "fp")
     if wide_radius:
-        cells = linked_cells(cells, max(radius, verified)).join(classes.select("rep", "wide"), "rep")
-    return bucket_links(cells, max(radius, verified), wide_radius)
+        cells = linked_cells(cells, reach)
+    return bucket_links(cells.unionByName(pairs).join(classes.select("fp", "rep", "wide"), "fp"), reach, wide_radius)
 
 
 def groups_of(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, wide_shingle: int = 0, verified: int = 0, wide_radius: int = 0) -> DataFrame:
