@@ -4,7 +4,7 @@ Equal fingerprints are one class. Two fingerprints at most ``radius`` bits apart
 ``b`` blocks of bits, so every choice of that many blocks is a table, and close classes share a key in one of them. The
 number of blocks follows from the number of classes, so that chance meetings stay below one a class at any size; the
 result does not depend on it. The sum that counts a bucket also tells the distance of a bucket of two; in a larger one
-all distances are verified, and stars that span the components of the links leave, not every pair. Buckets over ``TILE`` classes are cut into chunks, and each pair of chunks is a task's group of
+all distances are verified, and links that span the components leave, not every pair. Buckets over ``TILE`` classes are cut into chunks, and each pair of chunks is a task's group of
 its own: no group grows without bound, no link is lost.
 
 Edge cases: a text without words (null, empty, blank) has fingerprint 0 and links like any other; fewer words than a
@@ -100,9 +100,10 @@ def block_masks(blocks: int, radius: int) -> list[int]:
 
 
 def spanning_links(fp: np.ndarray, rep: np.ndarray, radius: int, wide: np.ndarray | None = None, wide_radius: int = 0) -> list[tuple[int, int]]:
-    """Stars that span the components of the graph that links fingerprints at most ``radius`` bits apart (and wide ones, if
-    given, at most ``wide_radius``): each member to the smallest rep, so that a group gives the same links in all tables."""
-    links, left = [], np.arange(len(fp))
+    """Links that span the components of the graph that joins fingerprints at most ``radius`` bits apart (and wide ones, if
+    given, at most ``wide_radius``), each such a pair. A tree grows from the smallest rep of its component, so that a dense
+    group gives the same links in all tables."""
+    links, left = [], np.argsort(rep, kind="stable")
     while len(left):
         found, done, left = [left[0]], 0, left[1:]
         while done < len(found) and len(left):
@@ -112,13 +113,12 @@ def spanning_links(fp: np.ndarray, rep: np.ndarray, radius: int, wide: np.ndarra
                 near[near] = np.bitwise_count(wide[left[near]] ^ wide[i]).sum(axis=1, dtype=np.int64) <= wide_radius
             if near.any():
                 found.extend(left[near].tolist())
+                links.extend((int(rep[i]), r) for r in rep[left[near]].tolist())
                 left = left[~near]
-        if len(found) > 1:
-            reps = np.sort(rep[found]).tolist()
-            links.extend((reps[0], r) for r in reps[1:])
     return links
 
 
+
 CELL = ["k", "m", "ci", "cj"]
 
 
