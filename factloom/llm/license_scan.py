@@ -1,6 +1,7 @@
 """Licence scans: normalised text against licence templates by the Dice coefficient of word bigrams.
 
-Units of a document are its lines, its paragraphs and the whole text. A unit of a distinct bigrams and a template of t
+Units of a document are its lines, its paragraphs, the whole text, and the windows of words that fit a template best,
+wherever they lie (of windows that overlap the best counts; those inside a unit that matches do not). A unit of a distinct bigrams and a template of t
 can reach a coefficient of at most 2 min(a, t) / (a + t); templates beyond that bound, and units that share no bigram
 with any template, are passed over before bigrams are intersected.
 
@@ -40,10 +41,17 @@ TEMPLATES = {
     "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
     "BSD-2-Clause": [
         'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.',
+        'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    ],
+    "BSD-3-Clause": [
+        'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
     ],
     "ISC": [
         'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
+        'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
     ],
+    "LGPL-2.1": ['This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.'],
+    "AGPL-3.0": ['This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.'],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under the Creative Commons Attribution 4.0 International License."],
@@ -69,6 +77,10 @@ class LicenseScanner:
         self.made, self.threshold = sorted(made, key=lambda m: m[:2]), threshold
         self.sizes = [m[0] for m in self.made]
         self.any = frozenset().union(*(m[3] for m in self.made)) if made else frozenset()
+        self.index: dict[tuple[str, str], list[int]] = {}
+        for k, m in enumerate(self.made):
+            for pair in m[3]:
+                self.index.setdefault(pair, []).append(k)
         self.first = {a for a, _ in self.any}
         self.bound = threshold / (2 - threshold)  # smaller over larger size, at least
 
@@ -97,9 +109,58 @@ class LicenseScanner:
             out.append(("text", whole))
         return out
 
+    def windows_of(self, words: list[str], at: list[int], t: int) -> list[tuple[float, int, int]]:
+        """(coefficient, first word, end) of the best window from each of the places ``at`` of a template's t bigrams."""
+        found, places = [], set(at)
+        for p in at:
+            best = None
+            own, both, j = set(), 0, p
+            while j + 1 < len(words):
+                pair = (words[j], words[j + 1])
+                if pair not in own:
+                    own.add(pair)
+                    both += j in places
+                if len(own) * self.bound > t or (len(own) - both + t) * self.threshold > (2 - self.threshold) * t:
+                    break  # too many of other bigrams: no longer window can reach the threshold
+                if j in places and (d := 2 * both / (len(own) + t)) >= self.threshold and (best is None or d > best[0]):
+                    best = (d, p, j + 2)
+                j += 1
+            if best:
+                found.append(best)
+        return found
+
+    def windows(self, text: str, matched: list[list[str]]) -> list[tuple[float, str]]:
+        """(coefficient, licence) of windows apart from each other and not inside the ``matched`` units."""
+        words = normalised(text)
+        if self.first.isdisjoint(words):
+            return []
+        hits: dict[int, list[int]] = {}
+        for i, pair in enumerate(zip(words, words[1:], strict=False)):
+            for k in self.index.get(pair, ()):
+                hits.setdefault(k, []).append(i)
+        inside = {" " + " ".join(m) + " " for m in matched}
+        found, out = [], []
+        for k, at in hits.items():
+            t = self.made[k][0]
+            if len(at) < t * self.bound - 1e-9 or len({(words[i], words[i + 1]) for i in at}) < t * self.bound - 1e-9:
+                continue
+            found += [(d, t, -self.made[k][1], a, z, self.made[k][2]) for d, a, z in self.windows_of(words, at, t)]
+        taken = bytearray(len(words))
+        for d, _, _, a, z, name in sorted(found, reverse=True):
+            if any(taken[a:z]):
+                continue
+            taken[a:z] = b"\1" * (z - a)
+            own = " " + " ".join(words[a:z]) + " "
+            if not any(own in m for m in inside):
+                out.append((d, name))
+        return out
+
     def scan(self, text: str) -> tuple[str | None, float, str | None, int]:
         """(licence, coefficient, unit, units that match) of a text."""
-        found = [(got, -k, kind) for k, (kind, words) in enumerate(self.units(text)) if (got := self.best(words))]
+        units = self.units(text)
+        found = [(got, -k, kind) for k, (kind, words) in enumerate(units) if (got := self.best(words))]
+        order = {name: i for _, i, name, _ in reversed(self.made)}
+        found += [((d, -order[name], name), -len(units), "window") for d, name in self.windows(text, [units[-k][1] for _, k, _ in found])]
         if not found:
             return None, 0.0, None, 0
         (dice, _, name), _, kind = max(found)
