@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -22,13 +23,20 @@ def id_and_text(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+def text_key(text: str = "text"):
+    """128 bits that stand for a whole text: with the doc_id, the name of a row."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only a session that names none (a test on one machine) gets a folder of its own; it is then also set as the
-    checkpoint folder."""
+    Only a local session that names none (a test on one machine) gets a folder of its own; it is then also set as the
+    checkpoint folder. On a cluster the setting is needed."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="factloom-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
@@ -76,14 +84,13 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-#: Rows of (id, hash) pairs, 16 bytes each, that may be broadcast; more of them are joined by a shuffle.
+#: Rows of (id, key of the text) pairs, 24 bytes each, that may be broadcast; more of them are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
 
 def keep_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """``docs``, all columns, without the rows whose (doc_id, hash of the text) ``decided`` (doc_id, x, kept) drops."""
+    """``docs``, all columns, without the rows whose (doc_id, key of the text) ``decided`` (doc_id, x, kept) drops."""
     d = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63)))
     dropped = stored(decided.where("not kept").select(d.alias("__d"), F.col("x").alias("__x")).distinct(), "dropped")
     small = F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped
-    text = F.hash(F.coalesce(F.col("text"), F.lit("")))
-    return docs.join(small, (d == F.col("__d")) & (text == F.col("__x")), "left_anti")
+    return docs.join(small, (d == F.col("__d")) & (text_key() == F.col("__x")), "left_anti")

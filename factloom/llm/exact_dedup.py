@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_and_text, map_batches, read_documents, scratch_dir, stored
+from .common import id_and_text, map_batches, read_documents, scratch_dir, stored, text_key
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Rows of hits (an id and a digest each, under 100 bytes) that may be broadcast; more of them are joined by a shuffle.
@@ -31,14 +31,14 @@ DIGEST_BYTES = 32
 
 
 def digests(docs: DataFrame, digest_bytes: int = DIGEST_BYTES) -> DataFrame:
-    """(doc_id, x: hash of the text, text_sha256, digest, n_bytes) of every row's text with A-Z lower-cased."""
+    """(doc_id, x: key of the text, text_sha256, digest, n_bytes) of every row's text with A-Z lower-cased."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         raw = [t.encode().lower() for t in batch.column(1).to_pylist()]  # bytes.lower() is for A-Z alone
         sha = [hashlib.sha256(b).digest() for b in raw]
         return pa.record_batch([batch.column(0), batch.column(2), pa.array([s.hex() for s in sha]), pa.array([s[:digest_bytes] for s in sha], pa.binary()), pa.array(map(len, raw), pa.int64())], ["doc_id", "x", "text_sha256", "digest", "n_bytes"])
 
-    return map_batches(id_and_text(docs).select("doc_id", "text", F.hash("text").alias("x")), "doc_id bigint, x int, text_sha256 string, digest binary, n_bytes bigint", run)
+    return map_batches(id_and_text(docs).select("doc_id", "text", text_key().alias("x")), "doc_id bigint, x binary, text_sha256 string, digest binary, n_bytes bigint", run)
 
 
 def stream_state(spark: SparkSession, source: str, state_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def stream_state(spark: SparkSession, source: str, state_dir: str) -> DataFrame:
     for k, v in names.items():
         spark.conf.set(k, v)
     try:
-        rows = spark.readStream.schema("doc_id bigint, x int, text_sha256 string, digest binary, n_bytes bigint").parquet(source)
+        rows = spark.readStream.schema("doc_id bigint, x binary, text_sha256 string, digest binary, n_bytes bigint").parquet(source)
         best = F.max(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("rank"), "doc_id", "n_bytes"))
         state = rows.groupBy("digest").agg(best.alias("located"), F.count("*").alias("n_rows"))
         state = state.select("digest", F.col("located.doc_id").alias("keep_id"), "n_rows", F.col("located.n_bytes").alias("n_bytes"))
@@ -90,7 +90,7 @@ def unlike(docs: DataFrame, rows: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def exact_duplicates(docs: DataFrame, digest_bytes: int = DIGEST_BYTES) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256, x (hash of the text) of every row. Fewer ``digest_bytes`` make digests collide, which the
+    """doc_id, keep_id, group_size, kept, text_sha256, x (key of the text) of every row. Fewer ``digest_bytes`` make digests collide, which the
     check on full bytes puts right."""
     spark = docs.sparkSession
     source = scratch_dir(spark, "digests")

@@ -6,8 +6,8 @@ targets in the least-squares sense. Projected gradient finds the rates: in each
 residual (one number a domain) goes back to the rows, and each row moves along its posterior and is projected to zero or
 more. A row's rate depends on its posterior and on the residuals so far alone, so no rate is kept between rounds.
 Rates start from ``prior`` x the token budget's share, and end as near to it as the targets allow. Steps are scaled by
-tokens (a token counts the same in a long and a short document) and by the inverse Gram matrix of the domains, which
-makes a step of 1 the gradient step of that metric.
+tokens (a token counts the same in a long and a short document) and by the inverse Gram matrix of the rows that are not
+held at zero, which makes a step of 1 the gradient step of that metric.
 
 The fit reads at most ``max_rows`` labelled rows, those with the smallest hash of their id. Labels: toxic rows are
 domain ``toxic``, others ``good`` or ``plain`` by quality 1 or 0.
@@ -26,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_and_text, map_batches, read_documents, stored
+from .common import id_and_text, map_batches, read_documents, stored, text_key
 
 DOMAINS = ("good", "plain", "toxic")
 #: Share of the token budget for each domain, and the budget as a share of all tokens.
 TARGETS, BUDGET = {"good": 0.80, "plain": 0.18, "toxic": 0.02}, 0.6
-MAX_ROWS, MAX_WORDS, ROUNDS = 20_000, 60_000, 40
+MAX_ROWS, MAX_WORDS, ROUNDS, TOLERANCE = 20_000, 60_000, 40, 1e-5
+#: Characters of a word that may have odds of its own.
+LONG_WORD = 100
 
 
 def text_features(text: str, words: Counter) -> list[float]:
@@ -63,22 +65,18 @@ class DomainClassifier:
             own = [*(times @ odds / times.sum()), *top.max(axis=0), *(top.sum(axis=0) / 3)]
         return np.array([1.0, *text_features(text, words), *own])
 
-    def fit(self, texts: list[str], labels: np.ndarray) -> DomainClassifier:
+    def weigh(self, counts: np.ndarray, words: list[str], rows: np.ndarray) -> DomainClassifier:
+        """Log odds of each word. counts: rows of each domain that hold a word, by word; rows: rows of each domain."""
+        rows = np.maximum(rows.astype(float), 1)
+        rate = (counts + 0.5) / (rows + 1)
+        rest = (counts.sum(axis=1, keepdims=True) - counts + 0.5) / (rows.sum() - rows + 1)
+        self.odds = dict(zip(words, np.log(rate / rest), strict=True))
+        return self
+
+    def fit(self, x: np.ndarray, labels: np.ndarray) -> DomainClassifier:
+        """Softmax weights from the features of labelled rows."""
         k = len(self.domains)
-        half = np.arange(len(texts)) % 2 == 0  # word odds come from one half, the weights from the other
-        counts = [Counter() for _ in range(k)]
-        for i in np.flatnonzero(half):
-            counts[labels[i]].update(set(texts[i].lower().split()))
-        rows = np.array([max((labels[half] == d).sum(), 1) for d in range(k)], dtype=float)
-        total = sum(counts, Counter())
-        for w, c in total.most_common(MAX_WORDS):
-            if c < 3:
-                break
-            rate = np.array([(x[w] + 0.5) / (r + 1) for x, r in zip(counts, rows, strict=True)])
-            rest = (c - np.array([x[w] for x in counts]) + 0.5) / (rows.sum() - rows + 1)
-            self.odds[w] = np.log(rate / rest)
-        x = np.stack([self.features(texts[i]) for i in np.flatnonzero(~half)])
-        y = np.eye(k)[labels[~half]]
+        y = np.eye(k)[labels]
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
         self.mean[0], self.scale[0] = 0.0, 1.0
         x = (x - self.mean) / self.scale
@@ -100,18 +98,60 @@ class DomainClassifier:
         return p / p.sum()
 
 
+def word_rows(rows: DataFrame) -> DataFrame:
+    """(w, n array: rows of each domain that hold the word) over rows (text, domain)."""
+    k = len(DOMAINS)
+
+    def run(batches):
+        counts: list[Counter] = [Counter() for _ in range(k)]
+
+        def flush():
+            words = list(set().union(*counts))
+            out = pa.record_batch([pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in counts)], ["w", *(f"n{i}" for i in range(k))])
+            for c in counts:
+                c.clear()
+            return out
+
+        for batch in batches:
+            for text, domain in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                counts[domain].update({w for w in text.lower().split() if len(w) <= LONG_WORD})
+                if sum(map(len, counts)) > 200_000:
+                    yield flush()
+        yield flush()
+
+    found = rows.select("text", "domain").mapInArrow(run, ", ".join(["w string", *(f"n{i} bigint" for i in range(k))]))
+    return found.groupBy("w").agg(F.array(*(F.sum(f"n{i}") for i in range(k))).alias("n"))
+
+
 def fit_domains(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DomainClassifier:
+    """The classifier of at most ``max_rows`` labelled ids, one text each. Word odds come from one half of them, weights
+    from the other; the driver gets at most ``MAX_WORDS`` counts and a row of features for each id, and no text."""
     rows = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("quality").alias("quality"))
     domain = F.when(F.col("toxic") == 1, 2).otherwise(F.when(F.col("quality") == 1, 0).otherwise(1))
     # at most max_rows ids: a broadcast of bounded size
     chosen = rows.select("doc_id", domain.alias("domain")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    got = id_and_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "domain", "text").toPandas().sort_values("doc_id")
-    model = DomainClassifier()
-    return model.fit(got["text"].tolist(), got["domain"].to_numpy(dtype=np.int64)) if len(got) > 1 else model
+    found = id_and_text(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "domain").agg(F.min("text").alias("text"))
+    sample = stored(found.withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2))), "labelled")
+    model, k = DomainClassifier(), len(DOMAINS)
+    sizes = np.zeros(k)
+    for r in sample.where("half = 0").groupBy("domain").count().collect():
+        sizes[r["domain"]] = r["count"]
+    total = F.aggregate("n", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    top = word_rows(sample.where("half = 0")).where(total >= 3).orderBy(total.desc(), "w").limit(MAX_WORDS).collect()
+    model.weigh(np.array([r["n"] for r in top], dtype=float).reshape(-1, k), [r["w"] for r in top], sizes)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x = [shared.value.features(t).tolist() for t in batch.column(2).to_pylist()]
+        return pa.record_batch([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "domain", "x"])
+
+    got = sorted(map(tuple, map_batches(sample.where("half = 1").select("doc_id", "domain", "text"), "doc_id bigint, domain int, x array<double>", run).collect()))
+    shared.destroy()
+    return model.fit(np.array([g[2] for g in got]), np.array([g[1] for g in got])) if got else model
 
 
 def posteriors(docs: DataFrame, model: DomainClassifier) -> DataFrame:
-    """(doc_id, n_tokens, p array<double>, x: hash of the text) of every row."""
+    """(doc_id, n_tokens, p array<double>, x: key of the text) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -119,7 +159,7 @@ def posteriors(docs: DataFrame, model: DomainClassifier) -> DataFrame:
         p = [shared.value.posterior(t) for t in texts]
         return pa.record_batch([batch.column(0), pa.array([len(t.split()) for t in texts], pa.int64()), pa.array([x.tolist() for x in p], pa.list_(pa.float64())), batch.column(2)], ["doc_id", "n_tokens", "p", "x"])
 
-    return map_batches(id_and_text(docs).select("doc_id", "text", F.hash("text").alias("x")), "doc_id bigint, n_tokens bigint, p array<double>, x int", run)
+    return map_batches(id_and_text(docs).select("doc_id", "text", text_key().alias("x")), "doc_id bigint, n_tokens bigint, p array<double>, x binary", run)
 
 
 def rates_of(p: np.ndarray, start: float, moves: np.ndarray) -> np.ndarray:
@@ -130,39 +170,45 @@ def rates_of(p: np.ndarray, start: float, moves: np.ndarray) -> np.ndarray:
     return rate
 
 
-def fit_rates(table: DataFrame, targets: np.ndarray, start: float, rounds: int = ROUNDS, tolerance: float = 1e-4) -> np.ndarray:
-    """The moves of projected-gradient rounds over (n_tokens, p) that bring the expected totals to ``targets``."""
+def fit_rates(table: DataFrame, targets: np.ndarray, start: float, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
+    """The moves of projected-gradient rounds over (n_tokens, p) that bring the expected totals to ``targets``, up to the
+    round of the least residual."""
     k = len(targets)
 
-    def sums(moves: np.ndarray, gram: bool) -> np.ndarray:
+    def sums(moves: np.ndarray) -> np.ndarray:
+        """Expected totals at the rates so far, and the Gram matrix of the rows whose rate is not held at zero."""
+
         def run(batches):
-            total = np.zeros(k * k if gram else k)
+            total = np.zeros(k + k * k)
             for batch in batches:
                 if batch.num_rows:
                     n = batch.column(0).to_numpy().astype(float)
                     p = batch.column(1).flatten().to_numpy().reshape(-1, k)
-                    total += (p.T @ (p * n[:, None])).ravel() if gram else p.T @ (n * rates_of(p, start, moves))
+                    rate = rates_of(p, start, moves)
+                    total[:k] += p.T @ (n * rate)
+                    total[k:] += (p.T @ (p * (n * (rate > 0))[:, None])).ravel()
             yield pa.record_batch([pa.array(range(len(total)), pa.int32()), pa.array(total)], ["i", "v"])
 
         got = table.select("n_tokens", "p").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
-        out = np.zeros(k * k if gram else k)
+        out = np.zeros(k + k * k)
         for r in got:
             out[r["i"]] = r["v"]
         return out
 
-    gram = sums(np.zeros((0, k)), True).reshape(k, k)
-    metric = np.linalg.inv(gram + np.eye(k) * max(np.trace(gram) * 1e-6, 1e-9))
-    moves = np.zeros((0, k))
-    for _ in range(rounds):
-        residual = sums(moves, False) - targets
-        if np.abs(residual).sum() <= tolerance * max(np.abs(targets).sum(), 1e-9):
+    moves, best = np.zeros((0, k)), (np.inf, 0)
+    for _ in range(rounds + 1):
+        found = sums(moves)
+        residual, gram = found[:k] - targets, found[k:].reshape(k, k)
+        best = min(best, (float(np.abs(residual).sum()), len(moves)))
+        if best[0] <= tolerance * max(np.abs(targets).sum(), 1e-9) or len(moves) == rounds:
             break
+        metric = np.linalg.inv(gram + np.eye(k) * max(np.trace(gram) * 1e-6, 1e-9))
         moves = np.vstack([moves, metric @ residual])
-    return moves
+    return moves[: best[1]]
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float = BUDGET, relative: bool = False) -> DataFrame:
-    """doc_id, n_tokens, p_good, p_plain, p_toxic, rate, x (hash of the text) of every row.
+    """doc_id, n_tokens, p_good, p_plain, p_toxic, rate, x (key of the text) of every row.
 
     ``targets`` share ``budget`` x all tokens among the domains; with ``relative`` they are factors of the tokens that
     each domain has, whatever the budget."""
@@ -177,7 +223,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
         p = batch.column(2).flatten().to_numpy().reshape(-1, len(DOMAINS))
         return pa.record_batch([batch.column(0), batch.column(1), *(pa.array(p[:, i]) for i in range(len(DOMAINS))), pa.array(rates_of(p, start, moves)), batch.column(3)], ["doc_id", "n_tokens", *(f"p_{d}" for d in DOMAINS), "rate", "x"])
 
-    return map_batches(table, "doc_id bigint, n_tokens bigint, p_good double, p_plain double, p_toxic double, rate double, x int", run)
+    return map_batches(table, "doc_id bigint, n_tokens bigint, p_good double, p_plain double, p_toxic double, rate double, x binary", run)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

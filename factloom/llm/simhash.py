@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, id_and_text, map_batches, read_documents, stored
+from .common import components, id_and_text, map_batches, read_documents, stored, text_key
 
 SHINGLE, RADIUS, SEED, TILE = 3, 3, 42, 2000
 #: 64-bit words of a wide fingerprint.
@@ -73,7 +73,7 @@ def wide_fingerprint(words: list[bytes], shingle: int) -> bytes:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, wide_shingle: int = 0) -> DataFrame:
-    """(doc_id, x: hash of the text, fp bigint: the fingerprint's 64 bits as a signed number, wide binary or null)."""
+    """(doc_id, x: key of the text, fp bigint: the fingerprint's 64 bits as a signed number, wide binary or null)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         prints, wide = [], []
@@ -84,7 +84,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, wide_shingle: int = 0)
         fp = np.array(prints, dtype=np.uint64)
         return pa.record_batch([batch.column(0), batch.column(2), pa.array(fp.view(np.int64)), pa.array(wide, pa.binary())], ["doc_id", "x", "fp", "wide"])
 
-    return map_batches(id_and_text(docs).select("doc_id", "text", F.hash("text").alias("x")), "doc_id bigint, x int, fp bigint, wide binary", run)
+    return map_batches(id_and_text(docs).select("doc_id", "text", text_key().alias("x")), "doc_id bigint, x binary, fp bigint, wide binary", run)
 
 
 def blocks_for(classes: int, radius: int) -> int:
