@@ -6,11 +6,13 @@ Krichevsky-Trofimov estimate for each binary node, and the weighting mixes the e
 is its block probability against the product of its subtrees'. A context that was never seen leaves its share to the
 longest that was.
 
-Spark sums the counts of (context, byte) over all training documents; those of the greatest depth imply the others. Only
-the tree is gathered, and its size is checked: while more than ``MAX_PAIRS`` pairs are distinct, the depth is one less.
-Documents are scored where they are, from a broadcast tree of bounded size. For the base score, the most frequent words
-(at most ``FREQUENT``) are shared as a table with every task; the other words of a document meet the table of all words
-in a join, where no key is hot.
+Spark sums the counts of (context, byte) over all documents into one table, and the tree stays a table: contexts that
+share their latest ``STEM`` bytes are a subtree of at most 256^3 pairs, and whole subtrees meet in a task, which weighs
+them from the greatest depth upwards. Only the top of the tree (contexts of under ``STEM`` bytes, so at most 65,536 of
+255 nodes, whatever the corpus) is gathered and shared; with it each subtree is spread downwards, and every distinct
+(context, byte) of the corpus gets its log probability in a table. All contexts of all depths count, at any size.
+Documents are scored where they are: the most frequent pairs (at most ``FREQUENT_PAIRS``) and words (at most ``FREQUENT``)
+are shared with every task; the others of a document meet their table in a join, where no key is hot.
 
 Edge cases: a null or empty text is one end token; a null doc_id is no held-out row, so it is learnt from; repeated rows
 are learnt from each; without training rows every decision has probability 1/2, and the base score is that of N = V = 0;
@@ -28,10 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import id_and_text, map_batches, read_documents, stored
 
-DEPTH, MAX_PAIRS, FREQUENT = 5, 2_000_000, 100_000
+DEPTH, STEM, FREQUENT, FREQUENT_PAIRS = 5, 3, 100_000, 1_000_000
 HELD = 300_000  # distinct words that a task sums before it passes them on
-ODDS = 2730.0  # steps of log odds: 16 bits reach from -12 to 12
-SEEN = 3
+PAIRS_A_TASK = 200_000
 SLICE, SLICE_TEXTS = 1_000_000, 1 << 14  # bytes and texts handled at once
 
 
@@ -97,38 +98,53 @@ def sliced(texts: list[bytes]):
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
-    start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
     return keys[start], np.add.reduceat(counts[order], start)
 
 
 def pair_counts(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(k: context << 8 | byte, n) over the rows (text)."""
+    """(k: context << 8 | byte, n: times in training rows, a: in all rows) over the rows (text, held_out)."""
 
     def run(batches):
-        keys, counts, size = [], [], 0
+        keys, learnt, every, size = [], [], [], 0
+
+        def merge():
+            nonlocal keys, learnt, every, size
+            order = np.argsort(k := np.concatenate(keys), kind="stable")
+            k = k[order]
+            start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+            keys, learnt, every = [k[start]], *([np.add.reduceat(np.concatenate(x)[order], start)] for x in (learnt, every))
+            size = len(start)
 
         def merged():
-            k, n = summed(np.concatenate(keys), np.concatenate(counts))
+            nonlocal keys, learnt, every, size
+            merge()
+            k, n, a = keys[0], learnt[0], every[0]
+            keys, learnt, every, size = [], [], [], 0
             for i in range(0, len(k), 50_000):
-                yield pa.record_batch([pa.array(k[i : i + 50_000]), pa.array(n[i : i + 50_000])], ["k", "n"])
+                yield pa.record_batch([pa.array(x[i : i + 50_000]) for x in (k, n, a)], ["k", "n", "a"])
 
         for batch in batches:
-            for part in sliced([normal_bytes(t) for t in batch.column(0).to_pylist()]):
-                k = np.sort(pairs_of(part, depth)[0])
-                start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-                keys.append(k[start])
-                counts.append(np.diff(np.r_[start, len(k)]))
-                size += len(start)
-                if size > 3_000_000:
-                    k, n = summed(np.concatenate(keys), np.concatenate(counts))
-                    keys, counts, size = [k], [n], len(k)
-                    if size > 2_000_000:
-                        yield from merged()
-                        keys, counts, size = [], [], 0
+            held = np.array(batch.column(1).to_pylist(), dtype=bool)
+            texts = batch.column(0).to_pylist()
+            for part in (held, ~held):
+                for some in sliced([normal_bytes(texts[i]) for i in np.flatnonzero(part)]):
+                    k = np.sort(pairs_of(some, depth)[0])
+                    start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+                    times = np.diff(np.r_[start, len(k)])
+                    keys.append(k[start])
+                    every.append(times)
+                    learnt.append(times if part is not held else np.zeros_like(times))
+                    size += len(start)
+                    if size > 3_000_000:
+                        merge()
+                        if size > 2_000_000:
+                            yield from merged()
         if size:
             yield from merged()
 
-    return rows.select("text").mapInArrow(run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n"))
+    found = rows.select("text", "held_out").mapInArrow(run, "k bigint, n bigint, a bigint")
+    return found.groupBy("k").agg(F.sum("n").alias("n"), F.sum("a").alias("a"))
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -147,157 +163,178 @@ def node_counts(pairs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.n
     for b in range(8):
         k, n = summed((((pairs - byte) | (1 << b) | (byte >> (8 - b))) << 1) | ((byte >> (7 - b)) & 1), counts)
         node = k >> 1
-        start = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+        start = np.flatnonzero(np.r_[True, node[1:] != node[:-1]][: len(node)])
         keys.append(node[start])
         zeros.append(np.add.reduceat(np.where(k & 1, 0, n), start))
         ones.append(np.add.reduceat(np.where(k & 1, n, 0), start))
     keys, zeros, ones = np.concatenate(keys), np.concatenate(zeros), np.concatenate(ones)
     order = np.argsort(keys)
-    return keys[order], zeros[order].astype(np.float32), ones[order].astype(np.float32)
+    return keys[order], zeros[order], ones[order]
+
+
+def lookup(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the ascending ``known``, and whether they hold what is wanted."""
+    if not len(known):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    return at, known[at] == wanted
 
 
 class ContextTree:
-    """Weighted probabilities of a tree of contexts. For each depth: ``contexts`` ascending; ``nodes``, the number of the
-    context << 8 | 1 and the bits so far; and ``one``, the probability (log odds in 16 bits) that the next bit is 1 where
-    this node is the deepest that is known. ``pairs`` (number of the context << 8 | byte) and ``logs``: the log10
-    probabilities of the bytes seen after contexts of the full depth. Contexts of over two bytes that were seen less than
-    ``SEEN`` times count in the weights of shorter ones, but predict nothing themselves."""
-
-    def __init__(self, pairs: np.ndarray, counts: np.ndarray, depth: int):
-        self.depth, self.contexts, self.nodes, self.one = depth, [], [], []
-        self.pairs, self.logs = np.zeros(0, np.int32), np.zeros(0, np.float32)
-        if not len(pairs):
-            return
-        levels = []
-        for d in range(depth + 1):
-            levels.append(node_counts(*summed(pairs & ((1 << 8 * (d + 1)) - 1), counts)))
-        weighted, beta, up = None, [np.zeros(0)] * depth, [np.zeros(0, np.int64)] * (depth + 1)
-        for d in range(depth, -1, -1):
-            keys, n0, n1 = levels[d][0], levels[d][1].astype(float), levels[d][2].astype(float)
+    """Levels of the tree. ``nodes[d]``: context of d bytes << 8 | 1 and the bits so far, ascending, with the counts of
+    zeros and ones; ``weight[d]``: log of the weighted probability; ``one[d]``: the probability that the next bit is 1
+    where this node is the deepest that is known. ``below``: for the deepest level, the sum of the log weights of what
+    lies under each node; without it nothing does."""
+
+    def __init__(self, levels: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], below: np.ndarray | None = None):
+        self.nodes, self.counts = {d: x[0] for d, x in levels.items()}, {d: x[1:] for d, x in levels.items()}
+        self.share, self.weight, self.up, self.one = {}, {}, {}, {}
+        for d in sorted(levels, reverse=True):
+            n0, n1 = (x.astype(float) for x in self.counts[d])
             block = log_gamma(n0 + 0.5) + log_gamma(n1 + 0.5) - np.log(np.pi) - log_gamma(n0 + n1 + 1)
-            if d < depth:
-                below = np.bincount(up[d + 1], weights=weighted, minlength=len(keys))
-                beta[d] = block - below
-                weighted = np.log(0.5) + np.logaddexp(block, below)
-            else:
-                weighted = block
-            if d:
-                up[d] = np.searchsorted(levels[d - 1][0], keys & ((1 << 8 * d) - 1)).astype(np.int32)
-        del weighted, block
-        mixed, left, estimate = np.zeros(len(levels[0][0])), np.ones(len(levels[0][0])), None
-        for d in range(depth + 1):
-            keys, n0, n1 = levels[d]
-            levels[d] = None
-            if d:
-                share = 1 / (1 + np.exp(-np.clip(beta[d - 1], -700, 700)))
-                mixed, left = (mixed + left * share * estimate)[up[d]], (left * (1 - share))[up[d]]
+            if d + 1 in levels:
+                below = np.bincount(self.up[d + 1], weights=self.weight[d + 1], minlength=len(block))
+            self.share[d] = np.ones(len(block)) if below is None else 1 / (1 + np.exp(-np.clip(block - below, -700, 700)))
+            self.weight[d] = block if below is None else np.log(0.5) + np.logaddexp(block, below)
+            if d - 1 in levels:
+                self.up[d] = np.searchsorted(self.nodes[d - 1], self.nodes[d] & ((1 << 8 * d) - 1))
+
+    @staticmethod
+    def of_pairs(pairs: np.ndarray, counts: np.ndarray, depth: int, stem: int = 0) -> ContextTree:
+        """The levels from ``stem`` to ``depth`` of pairs (context << 8 | byte)."""
+        return ContextTree({d: node_counts(*summed(pairs & ((1 << 8 * (d + 1)) - 1), counts)) for d in range(stem, depth + 1)})
+
+    def spread(self, mixed: np.ndarray | None = None, left: np.ndarray | None = None) -> ContextTree:
+        """Predictions, from the shallowest level down. mixed, left: what its nodes get from above, and the share of it that
+        is still to be given."""
+        for d in sorted(self.nodes):
+            if d in self.up:
+                mixed, left = self.mixed[self.up[d]], self.left[self.up[d]]
+            elif mixed is None:
+                mixed, left = np.zeros(len(self.nodes[d])), np.ones(len(self.nodes[d]))
+            n0, n1 = self.counts[d]
             estimate = (n1 + 0.5) / (n0 + n1 + 1.0)
-            context = keys >> 8
-            first = np.r_[True, context[1:] != context[:-1]]
-            number = np.cumsum(first) - 1
-            root = (keys & 255) == 1  # the first decision: its counts are the context's
-            grown = (n0 + n1)[root] >= (SEEN if d > 2 else 1)
-            self.contexts.append(context[first][grown])
-            keep = grown[number]
-            self.nodes.append((((np.cumsum(grown) - 1)[number[keep]] << 8) | (keys[keep] & 255)).astype(np.int32))
-            one = np.clip((mixed + left * estimate)[keep], 1e-6, 1 - 1e-6)
-            self.one.append(np.clip(np.round(np.log(one / (1 - one)) * ODDS) + 32768, 0, 65535).astype(np.uint16))
-        at = self.place(pairs >> 8)
-        self.pairs = ((at << 8) | (pairs & 255))[at >= 0].astype(np.int32)
-        self.logs = self.walk(pairs[at >= 0]).astype(np.float32)
-
-    def place(self, context: np.ndarray) -> np.ndarray:
-        """Numbers of contexts of the full depth; -1 if unknown."""
-        known = self.contexts[-1]
-        at = np.minimum(np.searchsorted(known, context), len(known) - 1)
-        return np.where(known[at] == context, at, -1) if len(known) else np.full(len(context), -1)
-
-    def walk(self, pairs: np.ndarray) -> np.ndarray:
-        """log10 probability of the byte of each pair after its context, bit by bit."""
-        if len(pairs) > 200_000:
-            return np.concatenate([self.walk(pairs[k : k + 200_000]) for k in range(0, len(pairs), 200_000)])
-        byte, total, place = pairs & 255, np.zeros(len(pairs)), []
-        for d, known in enumerate(self.contexts):
-            context = (pairs >> 8) & ((1 << 8 * d) - 1)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, context), len(known) - 1)
-                place.append(np.where(known[at] == context, at << 8, -1))
+            self.one[d] = mixed + left * estimate
+            self.mixed, self.left = mixed + left * self.share[d] * estimate, left * (1 - self.share[d])
+        return self
+
+    def walk(self, pairs: np.ndarray, top: ContextTree | None = None) -> np.ndarray:
+        """log10 probability of the byte of each pair after its context, bit by bit. top: the levels above this tree's."""
+        byte, total = pairs & 255, np.zeros(len(pairs))
+        nodes, one = (self.nodes, self.one) if top is None else (top.nodes | self.nodes, top.one | self.one)
         for b in range(8):
             prefix, bit = (1 << b) | (byte >> (8 - b)), (byte >> (7 - b)) & 1
-            odds, left = np.zeros(len(pairs)), np.arange(len(pairs))
-            for d in range(len(place) - 1, -1, -1):
-                key = np.where(place[d][left] < 0, -1, place[d][left] | prefix[left]).astype(np.int32)
-                at = np.minimum(np.searchsorted(self.nodes[d], key), len(self.nodes[d]) - 1)
-                hit = self.nodes[d][at] == key
-                odds[left[hit]] = (self.one[d][at[hit]].astype(float) - 32768) / ODDS
+            p, left = np.full(len(pairs), 0.5), np.arange(len(pairs))
+            for d in sorted(nodes, reverse=True):
+                at, hit = lookup(nodes[d], ((pairs[left] >> 8 & ((1 << 8 * d) - 1)) << 8) | prefix[left])
+                p[left[hit]] = one[d][at[hit]]
                 left = left[~hit]
-            total -= np.log10(1 + np.exp(np.where(bit == 1, -odds, odds)))
+            total += np.log10(np.where(bit == 1, p, 1 - p))
         return total
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text, a run of at most SLICE_TEXTS texts in normal form."""
-        key, size = pairs_of(texts, self.depth)
-        # pairs of 48 bits and the number of the text below them: one sort of plain numbers brings equal pairs together
-        both = np.sort((key << 14) | np.repeat(np.arange(len(texts)), size))
-        key = both >> 14
-        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        uniq = key[start]
-        logs, new = np.zeros(len(uniq)), np.arange(len(uniq))
-        if len(self.pairs):
-            own = self.place(uniq >> 8)
-            own = np.where(own < 0, -1, (own << 8) | (uniq & 255))
-            at = np.minimum(np.searchsorted(self.pairs, own.astype(np.int32)), len(self.pairs) - 1)
-            logs, new = self.logs[at].astype(float), np.flatnonzero(self.pairs[at] != own)
-        logs[new] = self.walk(uniq[new])
-        return np.bincount(both & 0x3FFF, weights=np.repeat(logs, np.diff(np.r_[start, len(key)])), minlength=len(texts))
-
-
-def fit_tree(rows: DataFrame, depth: int = DEPTH, max_pairs: int = MAX_PAIRS) -> ContextTree:
-    """The tree of the training rows (text), as deep as ``max_pairs`` allow."""
-    pairs = stored(pair_counts(rows, depth), "pairs")
-    while depth > 0 and pairs.count() > max_pairs:
-        depth -= 1
-        pairs = stored(pairs.groupBy(F.col("k").bitwiseAND(F.lit((1 << 8 * (depth + 1)) - 1)).alias("k")).agg(F.sum("n").alias("n")), "pairs")
-
-    def build(batches):
-        k, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for batch in batches:
-            k.append(batch.column(0).to_numpy())
-            n.append(batch.column(1).to_numpy())
-        k, n = np.concatenate(k), np.concatenate(n)
-        order = np.argsort(k)
-        tree = ContextTree(k[order], n[order], depth)
-        arrays = {"pairs": tree.pairs, "logs": tree.logs} | {f"{name}{d}": x for name, xs in (("contexts", tree.contexts), ("nodes", tree.nodes), ("one", tree.one)) for d, x in enumerate(xs)}
-        for name, x in arrays.items():
-            yield pa.record_batch([pa.array([name]), pa.array([x.tobytes()], pa.binary())], ["name", "data"])
-
-    # one task sees all pairs, whose number was checked; the driver gets no more than the finished arrays
-    got = {r["name"]: bytes(r["data"]) for r in pairs.repartition(1).mapInArrow(build, "name string, data binary").toLocalIterator()}
-    tree = ContextTree(np.zeros(0, np.int64), np.zeros(0, np.int64), depth)
-    if got:
-        tree.pairs, tree.logs = np.frombuffer(got["pairs"], np.int32), np.frombuffer(got["logs"], np.float32)
-        known = [d for d in range(depth + 1) if f"nodes{d}" in got]
-        tree.contexts, tree.nodes, tree.one = ([np.frombuffer(got[f"{name}{d}"], kind) for d in known] for name, kind in (("contexts", np.int64), ("nodes", np.int32), ("one", np.uint16)))
-    return tree
-
-
-def frequent_words(words: DataFrame, most: int = FREQUENT) -> tuple[dict[bytes, int], int | None]:
-    """At most ``most`` words, those of the highest counts (all of a count or none), with their training counts; the
-    least count taken."""
-    by = words.groupBy("a").agg(F.count("*").alias("n")).where("a > 1").orderBy(F.desc("a")).limit(most).collect()
+
+def gathered(batches) -> tuple[np.ndarray, np.ndarray]:
+    """(k, n) of a task's pairs, ascending."""
+    k, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for batch in batches:
+        k.append(batch.column(0).to_numpy())
+        n.append(batch.column(1).to_numpy())
+    k, n = np.concatenate(k), np.concatenate(n)
+    order = np.argsort(k)
+    return k[order], n[order]
+
+
+def top_of(dealt: DataFrame, depth: int, stem: int) -> ContextTree:
+    """The levels of under ``stem`` bytes. dealt: (k, n), dealt by their latest ``stem`` bytes."""
+
+    def roots(batches):
+        k, n = gathered(batches)
+        if len(k := k[n > 0]):
+            tree = ContextTree.of_pairs(k, n[n > 0], depth, stem)
+            nodes, (n0, n1), w = tree.nodes[stem], tree.counts[stem], tree.weight[stem]
+            for i in range(0, len(nodes), 50_000):
+                yield pa.record_batch([pa.array(x[i : i + 50_000].astype(kind)) for x, kind in ((nodes, np.int64), (n0, np.int64), (n1, np.int64), (w, float))], ["node", "n0", "n1", "w"])
+
+    found = dealt.mapInArrow(roots, "node bigint, n0 bigint, n1 bigint, w double")
+    up = F.col("node").bitwiseAND(F.lit((1 << 8 * stem) - 1))
+    # at most 65,536 contexts of 255 nodes
+    got = found.groupBy(up.alias("node")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("w").alias("w")).toPandas().sort_values("node")
+    levels = {stem - 1: tuple(got[c].to_numpy(dtype=np.int64) for c in ("node", "n0", "n1"))}
+    for d in range(stem - 2, -1, -1):
+        node, n0, n1 = levels[d + 1]
+        own, at = np.unique(node & ((1 << 8 * (d + 1)) - 1), return_inverse=True)
+        levels[d] = own, *(np.bincount(at, weights=x, minlength=len(own)).astype(np.int64) for x in (n0, n1))
+    return ContextTree(levels, got["w"].to_numpy(dtype=float)).spread()
+
+
+def pair_logs(pairs: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(k, a, log: log10 probability of the byte after its context) of every pair of the stored table (k, n, a)."""
+    stem = min(STEM, depth)
+    parts = max(1, -(-pairs.count() // PAIRS_A_TASK))
+    stem_of = F.shiftright("k", 8).bitwiseAND(F.lit((1 << 8 * stem) - 1))
+    dealt = pairs.select("k", "n", "a").repartition(parts, stem_of)
+    context = pairs.sparkSession.sparkContext
+    top = context.broadcast(top_of(dealt, depth, stem) if stem else None)
+
+    def logs(batches):
+        every = [b for b in batches if b.num_rows]
+        if every:
+            k, n = gathered(every)
+            a = np.concatenate([b.column(2).to_numpy() for b in every])[np.argsort(np.concatenate([b.column(0).to_numpy() for b in every]))]
+            tree, above = ContextTree.of_pairs(k[n > 0], n[n > 0], depth, stem), top.value
+            if above is None:
+                tree.spread()
+            else:
+                at, _ = lookup(above.nodes[stem - 1], tree.nodes[stem] & ((1 << 8 * stem) - 1))
+                tree.spread(above.mixed[at], above.left[at])
+            for i in range(0, len(k), 50_000):
+                part = slice(i, i + 50_000)
+                yield pa.record_batch([pa.array(k[part]), pa.array(a[part]), pa.array(tree.walk(k[part], above))], ["k", "a", "log"])
+
+    out = stored(dealt.mapInArrow(logs, "k bigint, a bigint, log double"), "logs")
+    top.destroy()
+    return out
+
+
+def least_frequent(counted: DataFrame, most: int) -> int | None:
+    """The least count ``a`` that at most ``most`` rows of ``counted`` reach; None if there is none."""
+    # counts by sixteenths of their binary logarithm: at most 1,024 rows
+    by = counted.where("a > 1").groupBy(F.floor(F.log2("a") * 16).alias("size")).agg(F.count("*").alias("n"), F.min("a").alias("a"))
     total, least = 0, None
-    for r in by:
+    for r in by.orderBy(F.desc("size")).collect():
         total += r["n"]
         if total > most:
             break
         least = r["a"]
-    if least is None:
-        return {}, None
-    got = words.where(F.col("a") >= least).select("w", "c").toPandas()
-    return dict(zip(map(bytes, got["w"]), got["c"].tolist(), strict=True)), least
+    return least
 
 
-def score_documents(docs: DataFrame, depth: int = DEPTH, frequent: int = FREQUENT) -> DataFrame:
+class Frequent:
+    """Training counts of frequent words, and log probabilities of frequent pairs in ascending order."""
+
+    def __init__(self, words: dict[bytes, int], pairs: np.ndarray, logs: np.ndarray):
+        self.words, self.pairs, self.logs = words, pairs, logs
+
+    def score(self, texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """log10 probability of the frequent pairs of each text, a run of at most SLICE_TEXTS texts in normal form; the
+        others, by text: number of the text, pair, times."""
+        key, size = pairs_of(texts, depth)
+        # pairs of 48 bits and the number of the text below them: one sort of plain numbers brings equal pairs together
+        both = np.sort((key << 14) | np.repeat(np.arange(len(texts)), size))
+        start = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
+        times, both = np.diff(np.r_[start, len(both)]), both[start]
+        key, text = both >> 14, both & 0x3FFF
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        at, hit = lookup(self.pairs, key[first])
+        each = np.diff(np.r_[first, len(key)])
+        logs = np.where(hit, self.logs[at] if len(self.logs) else 0.0, 0.0)
+        score = np.bincount(text, weights=times * np.repeat(logs, each), minlength=len(texts))
+        rare = np.flatnonzero(~np.repeat(hit, each))
+        rare = rare[np.argsort(text[rare], kind="stable")]
+        return score, text[rare], key[rare], times[rare]
+
+
+def score_documents(docs: DataFrame, depth: int = DEPTH, frequent: int = FREQUENT, frequent_pairs: int = FREQUENT_PAIRS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every row."""
     rows = id_and_text(docs).select("doc_id", "text", held_out().alias("held_out"))
     words = stored(word_counts(rows), "words")
@@ -305,13 +342,17 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, frequent: int = FREQUEN
     sums = words.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     n, v = (sums["n"] or 0) + ends, (sums["v"] or 0) + (ends > 0)
     whole = n + 0.5 * (v + 1)
-    common, least = frequent_words(words, frequent)
-    context = rows.sparkSession.sparkContext
-    tree, shared = context.broadcast(fit_tree(rows.where("not held_out"), depth)), context.broadcast(common)
+    logs = pair_logs(stored(pair_counts(rows, depth), "pairs"), depth)
+    least, least_pair = least_frequent(words, frequent), least_frequent(logs, frequent_pairs)
+    some = words.where(F.lit(False) if least is None else F.col("a") >= least).select("w", "c").toPandas()
+    pairs = logs.where(F.lit(False) if least_pair is None else F.col("a") >= least_pair).select("k", "log").toPandas().sort_values("k")
+    shared = Frequent(dict(zip(map(bytes, some["w"]), some["c"].tolist(), strict=True)), pairs["k"].to_numpy(dtype=np.int64), pairs["log"].to_numpy(dtype=float))
+    shared = rows.sparkSession.sparkContext.broadcast(shared)
+    del some, pairs
     end = (int(ends > 0), float(np.log10((ends + 0.5) / whole)))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        get, out, rare, rare_times, sizes = shared.value.get, [], [], [], [0]
+        get, out, rare, rare_times, sizes = shared.value.words.get, [], [], [], [0]
         texts = [normal_bytes(t) for t in batch.column(1).to_pylist()]
         for text in texts:
             own = Counter(text.split())
@@ -323,23 +364,33 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, frequent: int = FREQUEN
             rare += [w for w, h in zip(own, hit.tolist(), strict=True) if not h]
             rare_times.append(times[~hit])
             sizes.append(len(rare))
-        score = np.concatenate([tree.value.score(part) for part in sliced(texts)])
+        parts, at = [], 0
+        for part in sliced(texts):
+            score, text, key, times = shared.value.score(part, depth)
+            parts.append((score, text + at, key, times))
+            at += len(part)
+        score, text, key, pair_times = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        pair_lists = pa.array(np.searchsorted(text, np.arange(len(texts) + 1)), pa.int32())
         lists, times = pa.array(sizes, pa.int32()), np.concatenate(rare_times)
         cols = [batch.column(0), batch.column(2), *(pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))), pa.array(score), pa.array(map(len, texts), pa.int64())]
         cols += [pa.ListArray.from_arrays(lists, pa.array(rare, pa.binary())), pa.ListArray.from_arrays(lists, pa.array(times, pa.int64()))]
-        return pa.record_batch(cols, ["doc_id", "held_out", "n_tokens", "k", "b", "score", "n_bytes", "words", "times"])
+        cols += [pa.ListArray.from_arrays(pair_lists, pa.array(key)), pa.ListArray.from_arrays(pair_lists, pa.array(pair_times))]
+        return pa.record_batch(cols, ["doc_id", "held_out", "n_tokens", "k", "b", "score", "n_bytes", "words", "times", "pairs", "pair_times"])
 
-    schema = "doc_id bigint, held_out boolean, n_tokens bigint, k bigint, b double, score double, n_bytes bigint, words array<binary>, times array<bigint>"
+    schema = "doc_id bigint, held_out boolean, n_tokens bigint, k bigint, b double, score double, n_bytes bigint, words array<binary>, times array<bigint>, pairs array<bigint>, pair_times array<bigint>"
     part = map_batches(rows, schema, run).withColumn("row", F.monotonically_increasing_id())
     part = stored(part, "part-scores")
-    tree.destroy()  # what follows reads the written table
-    shared.destroy()
+    shared.destroy()  # what follows reads the written table
     rare = part.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("w"), F.col("x.times").alias("t"))
     seldom = words if least is None else words.where(F.col("a") < least)
-    more = rare.join(seldom.select("w", "c"), "w")
     base = F.log10((F.col("c") + 0.5) / whole)
-    more = more.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("t")).otherwise(0)).alias("k2"), F.sum(F.col("t") * base).alias("b2"))
-    both = part.drop("words", "times").join(more, "row", "left").na.fill(0, ["k2"]).na.fill(0.0, ["b2"])
+    known = F.when(F.col("c") > 0, F.col("t")).otherwise(0)
+    more = rare.join(seldom.select("w", "c"), "w").select("row", known.alias("k2"), (F.col("t") * base).alias("b2"), F.lit(0.0).alias("s2"))
+    rare = part.select("row", F.explode(F.arrays_zip("pairs", "pair_times")).alias("x")).select("row", F.col("x.pairs").alias("k"), F.col("x.pair_times").alias("t"))
+    seldom = logs if least_pair is None else logs.where(F.col("a") < least_pair)
+    deep = rare.join(seldom.select("k", "log"), "k").select("row", F.lit(0).cast("bigint").alias("k2"), F.lit(0.0).alias("b2"), (F.col("t") * F.col("log")).alias("s2"))
+    more = more.unionByName(deep).groupBy("row").agg(F.sum("k2").alias("k2"), F.sum("b2").alias("b2"), F.sum("s2").alias("s2"))
+    both = part.drop("words", "times", "pairs", "pair_times").join(more, "row", "left").na.fill(0, ["k2"]).na.fill(0.0, ["b2", "s2"]).withColumn("score", F.col("score") + F.col("s2"))
     return both.select("doc_id", "held_out", "n_tokens", (F.col("k") + F.col("k2")).alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"), (F.col("b") + F.col("b2")).alias("base_score"), "score", (-F.col("score") / F.lit(float(np.log10(2))) / F.col("n_bytes")).alias("bits_per_byte"))
 
 

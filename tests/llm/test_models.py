@@ -28,22 +28,88 @@ def test_languages(spark, odd, make):
     assert {r["lang_pred"] for r in predict_languages(make(odd), none).collect()} == {"und"}
 
 
-def test_context_tree_is_a_distribution():
-    pairs = np.array([(0x20 << 8) | 97, (97 << 8) | 98, (98 << 8) | 97, (97 << 8) | 10], dtype=np.int64)
-    tree = ContextTree(*summed(pairs, np.array([3, 2, 1, 2])), 1)
-    for context in (97, 98, 55):
-        assert math.isclose(sum(10 ** tree.walk(np.array([(context << 8) | b for b in range(256)]))), 1.0, rel_tol=1e-6)
-
-
-def test_root_node_is_krichevsky_trofimov():
-    tree = ContextTree(*summed(np.array([97, 98], dtype=np.int64), np.array([3, 1])), 0)
-    want, counts = 1.0, {97: 3, 98: 1}
-    for k in range(8):
-        ones = sum(n for b, n in counts.items() if b >> (8 - k) == 97 >> (8 - k) and b >> (7 - k) & 1)
-        total = sum(n for b, n in counts.items() if b >> (8 - k) == 97 >> (8 - k))
-        p = (ones + 0.5) / (total + 1)
-        want *= p if 97 >> (7 - k) & 1 else 1 - p
-    assert math.isclose(10 ** tree.walk(np.array([97]))[0], want, rel_tol=1e-3)
+def brute_logs(texts, wanted, depth):
+    """log10 probabilities of (context, byte) by recursion over the whole tree of dictionaries."""
+    counts = {}
+    for text in texts:
+        data = b" " * depth + text
+        for i in range(depth, len(data)):
+            for d in range(depth + 1):
+                for b in range(8):
+                    bit = data[i] >> (7 - b) & 1
+                    counts.setdefault((data[i - d : i], (1 << b) | data[i] >> (8 - b)), [0, 0])[bit] += 1
+    under = {}
+    for context, prefix in counts:
+        if context:
+            under.setdefault((context[1:], prefix), []).append((context, prefix))
+
+    def block(n):
+        return math.lgamma(n[0] + 0.5) + math.lgamma(n[1] + 0.5) - math.log(math.pi) - math.lgamma(sum(n) + 1)
+
+    def weight(node):
+        own = block(counts[node])
+        if len(node[0]) == depth:
+            return own
+        rest = sum(map(weight, under[node]))
+        return math.log(0.5 * math.exp(own) + 0.5 * math.exp(rest))
+
+    def one(context, prefix):
+        mixed, left = 0.0, 1.0
+        for d in range(depth + 1):
+            node = (context[depth - d :], prefix)
+            if node not in counts:
+                return mixed + left * estimate if d else 0.5
+            estimate = (counts[node][1] + 0.5) / (sum(counts[node]) + 1)
+            if d == depth:
+                return mixed + left * estimate
+            own, rest = block(counts[node]), sum(map(weight, under[node]))
+            share = math.exp(own) / (math.exp(own) + math.exp(rest))
+            below = (context[depth - d - 1 :], prefix)
+            if below not in counts:
+                return mixed + left * estimate
+            mixed, left = mixed + left * share * estimate, left * (1 - share)
+
+    out = []
+    for context, byte in wanted:
+        p = 1.0
+        for b in range(8):
+            q = one(context, (1 << b) | byte >> (8 - b))
+            p *= q if byte >> (7 - b) & 1 else 1 - q
+        out.append(math.log10(p))
+    return out
+
+
+def key(context, byte):
+    return int.from_bytes(context, "big") << 8 | byte
+
+
+@pytest.mark.parametrize("depth", [0, 2, 3, 5])
+def test_context_tree_against_recursion(depth):
+    texts = [b"abab abc\n", b"aab abab\n", b"ab\n"]
+    seen = [(t2[i - depth : i], t2[i]) for t in texts for t2 in [b" " * depth + t] for i in range(depth, len(t2))]
+    pairs = np.array([key(*x) for x in seen], dtype=np.int64)
+    tree = ContextTree.of_pairs(*summed(pairs, np.ones(len(pairs), np.int64)), depth).spread()
+    wanted = sorted({*seen, *((c, b) for c, _ in seen for b in b"a\nz")}) + [(b"zzzzz"[:depth], 97), (b"zzzza"[5 - depth :], 98)]
+    got = tree.walk(np.array([key(*x) for x in wanted], dtype=np.int64))
+    assert np.allclose(got, brute_logs(texts, wanted, depth), atol=1e-9)
+    for context in {c for c, _ in wanted}:
+        assert math.isclose(sum(10 ** tree.walk(np.array([key(context, b) for b in range(256)]))), 1.0, rel_tol=1e-9)
+
+
+@pytest.mark.parametrize(("frequent_pairs", "depth"), [(1_000_000, 2), (5, 4), (0, 5)])
+def test_scores_of_texts_against_recursion(make, frequent_pairs, depth):
+    rows = [(i, t) for i, t in enumerate(["ab ab abc", "AAB abab", None, "ba", "abc  ba", "zz ab", "ab ab abc", "cab"] * 2)]
+    held = [zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows]
+    normal = [b" ".join([*(t or "").lower().encode().split(), b"\n"]) for _, t in rows]
+    learnt = [t for t, h in zip(normal, held, strict=True) if not h]
+    got = {r["doc_id"]: r["score"] for r in score_documents(make(rows), depth, frequent_pairs=frequent_pairs).collect()}
+    assert any(held)
+    alone = score_documents(make([r for r, h in zip(rows, held, strict=True) if h]), depth, frequent_pairs=frequent_pairs)
+    assert all(math.isclose(r["bits_per_byte"], 8.0) for r in alone.collect())  # without training rows
+    for i, text in enumerate(normal):
+        data = b" " * depth + text
+        want = sum(brute_logs(learnt, [(data[k - depth : k], data[k]) for k in range(depth, len(data))], depth))
+        assert math.isclose(got[i], want, rel_tol=1e-9)
 
 
 @pytest.mark.parametrize("frequent", [100_000, 3])
