@@ -84,6 +84,19 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def least_frequent(counted: DataFrame, most: int) -> int | None:
+    """The least count ``a`` that at most ``most`` rows of ``counted`` reach; None if there is none."""
+    # counts by sixteenths of their binary logarithm: at most 1,024 rows
+    by = counted.where("a > 1").groupBy(F.floor(F.log2("a") * 16).alias("size")).agg(F.count("*").alias("n"), F.min("a").alias("a"))
+    total, least = 0, None
+    for r in by.orderBy(F.desc("size")).collect():
+        total += r["n"]
+        if total > most:
+            break
+        least = r["a"]
+    return least
+
+
 #: Rows of (id, key of the text) pairs, 24 bytes each, that may be broadcast; more of them are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 

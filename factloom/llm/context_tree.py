@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_and_text, map_batches, read_documents, stored
+from .common import id_and_text, least_frequent, map_batches, read_documents, stored
 
 DEPTH, STEM, FREQUENT, FREQUENT_PAIRS = 5, 3, 100_000, 1_000_000
 HELD = 300_000  # distinct words that a task sums before it passes them on
@@ -296,19 +296,6 @@ def pair_logs(pairs: DataFrame, depth: int = DEPTH) -> DataFrame:
     return out
 
 
-def least_frequent(counted: DataFrame, most: int) -> int | None:
-    """The least count ``a`` that at most ``most`` rows of ``counted`` reach; None if there is none."""
-    # counts by sixteenths of their binary logarithm: at most 1,024 rows
-    by = counted.where("a > 1").groupBy(F.floor(F.log2("a") * 16).alias("size")).agg(F.count("*").alias("n"), F.min("a").alias("a"))
-    total, least = 0, None
-    for r in by.orderBy(F.desc("size")).collect():
-        total += r["n"]
-        if total > most:
-            break
-        least = r["a"]
-    return least
-
-
 class Frequent:
     """Training counts of frequent words, and log probabilities of frequent pairs in ascending order."""
 

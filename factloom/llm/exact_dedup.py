@@ -74,6 +74,11 @@ def stream_state(spark: SparkSession, source: str, state_dir: str) -> DataFrame:
     return last.select("digest", "x.keep_id", "x.n_rows", "x.n_bytes")
 
 
+def lowered():
+    """The text with A-Z lower-cased."""
+    return F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def unlike(docs: DataFrame, rows: DataFrame, state: DataFrame) -> DataFrame:
     """Digests (digest) of which some row's bytes differ from those of the located content."""
     hits = state.where("n_rows > 1").select("digest", "keep_id")
@@ -82,11 +87,12 @@ def unlike(docs: DataFrame, rows: DataFrame, state: DataFrame) -> DataFrame:
     if hit_rows.count() <= BROADCAST_ROWS:
         hit_rows = F.broadcast(hit_rows)
     # a row's own digest may not be its id's only one where ids repeat; lengths and texts are compared all the same
-    texts = texts.join(hit_rows, "doc_id").select("digest", "located", F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("text"))
+    texts = texts.join(hit_rows, "doc_id").select("digest", "located", lowered().alias("text"))
     texts = stored(texts, "hit-texts")
-    content = texts.where("located").groupBy("digest").agg(F.min("text").alias("content"), F.max("text").alias("other"))
-    bad = texts.join(content, "digest").where("text <> content or content <> other").select("digest").distinct()
-    return stored(bad, "unlike")
+    # tables of their own, so that the join can split a digest that very many rows share
+    content = stored(texts.where("located").groupBy("digest").agg(F.min("text").alias("content"), F.max("text").alias("other")), "content")
+    bad = stored(texts.join(content, "digest").where("text <> content or content <> other").select("digest"), "unlike-rows")
+    return stored(bad.distinct(), "unlike")
 
 
 def exact_duplicates(docs: DataFrame, digest_bytes: int = DIGEST_BYTES) -> DataFrame:
@@ -100,11 +106,14 @@ def exact_duplicates(docs: DataFrame, digest_bytes: int = DIGEST_BYTES) -> DataF
     bad = unlike(docs, rows, state)
     groups = state.select("digest", F.lit(None).cast("string").alias("sha"), "keep_id", F.col("n_rows").alias("group_size"))
     if bad.limit(1).count():
-        # equal digests, different bytes: these groups are told apart by the bytes themselves (here: their whole SHA-256
-        # stands for them, as the texts compared unequal above)
-        own = rows.join(bad, "digest").groupBy("digest", F.col("text_sha256").alias("sha")).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+        # equal digests, different bytes: these groups are told apart by an independent digest of 512 bits
+        texts = id_and_text(docs).select("doc_id", text_key().alias("x"), F.sha2(lowered(), 512).alias("sha"))
+        split = rows.join(bad, "digest")
+        split = split.join(texts.dropDuplicates(["doc_id", "x"]), split.doc_id.eqNullSafe(texts.doc_id) & (split.x == texts.x)).select(*(split[c] for c in rows.columns), "sha")
+        split = stored(split, "split")
+        own = split.groupBy("digest", "sha").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
         groups = groups.join(bad, "digest", "left_anti").unionByName(own)
-        key = rows.join(bad.withColumn("split", F.lit(True)), "digest", "left").withColumn("sha", F.when(F.col("split"), F.col("text_sha256")))
+        key = rows.join(bad, "digest", "left_anti").withColumn("sha", F.lit(None).cast("string")).unionByName(split)
     else:
         key = rows.withColumn("sha", F.lit(None).cast("string"))
     key = key.select("doc_id", "x", "text_sha256", "digest", F.coalesce("sha", F.lit("")).alias("sha"))

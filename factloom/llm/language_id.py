@@ -10,7 +10,7 @@ any size of the table. Every document is predicted from its whole text; only ids
 gathered. Inputs of a prediction are the text alone.
 
 Edge cases: ``und`` with score 0 for a text that is null or has no letter; a table without labelled rows predicts
-``und`` for all; ties go to the language first in order; repeated rows repeat.
+``und`` for all; a null doc_id is predicted like any row and not held out; ties go to the language first in order; repeated rows repeat.
 """
 
 from __future__ import annotations
@@ -200,11 +200,12 @@ def keep_documents(docs: DataFrame, models: LanguageModels, min_score: float) ->
     return map_batches(docs, docs.schema, run)
 
 
-def remainder(modulus: int = 5):
-    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus))
+def held_out():
+    """Whether a row is held out of the fit; a null doc_id is not."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_documents(spark, sf_dir)
-    models = fit_languages(docs.where(remainder() != 0).select("doc_id", "text", "lang"))
-    return predict_languages(docs, models).select("doc_id", (remainder() == 0).alias("held_out"), "lang_pred", "score")
+    models = fit_languages(docs.where(~held_out()).select("doc_id", "text", "lang"))
+    return predict_languages(docs, models).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

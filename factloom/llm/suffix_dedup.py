@@ -11,7 +11,7 @@
    the map side, so that no bucket has to meet in one task.
 
 Matches do not cross documents; the same document counts as elsewhere. Edge cases: null and empty texts, and texts
-shorter than ``LENGTH`` bytes, lose nothing; repeated rows repeat each other; the key of a row is its doc_id and a hash
+shorter than ``LENGTH`` bytes, lose nothing; repeated rows repeat each other; the key of a row is its doc_id and 128 bits
 of its text, so a repeated or null doc_id does no harm; an empty table gives an empty one.
 """
 
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_and_text, map_batches, read_documents, stored
+from .common import id_and_text, map_batches, read_documents, stored, text_key
 
 LENGTH, GRAM, TILE = 200, 48, 8192
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -129,7 +129,7 @@ def repeats(rows: list[tuple[int, int, int, bytes]], length: int = LENGTH) -> li
 
 def keyed(docs: DataFrame) -> DataFrame:
     """(d, x, doc_id, text): d and x name a row's document and text."""
-    return id_and_text(docs).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), F.hash("text").alias("x"), "doc_id", "text")
+    return id_and_text(docs).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), text_key().alias("x"), "doc_id", "text")
 
 
 def repeated_places(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, tile: int = TILE) -> DataFrame:
@@ -138,17 +138,18 @@ def repeated_places(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, til
     def find(batch: pa.RecordBatch) -> pa.RecordBatch:
         got = [records(t.encode(), length, gram) for t in batch.column(2).to_pylist()]
         n = [len(g[0]) for g in got]
-        d, x = (np.repeat(batch.column(i).to_numpy(), n) for i in (0, 1))
-        cols = [np.concatenate([g[i] for g in got]) for i in range(3)]
-        return pa.record_batch([pa.array(v) for v in (cols[0], cols[2], d, x, cols[1])], ["h", "c", "d", "x", "place"])
+        row = pa.array(np.repeat(np.arange(len(n)), n))
+        cols = [pa.array(np.concatenate([g[i] for g in got])) for i in range(3)]
+        return pa.record_batch([cols[0], cols[2], batch.column(0).take(row), batch.column(1).take(row), cols[1]], ["h", "c", "d", "x", "place"])
 
     texts = keyed(docs)
-    every = stored(map_batches(texts.select("d", "x", "text"), "h bigint, c bigint, d bigint, x int, place bigint", find), "records")
+    every = stored(map_batches(texts.select("d", "x", "text"), "h bigint, c bigint, d bigint, x binary, place bigint", find), "records")
     shared = every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    shared = stored(shared, "shared")  # a table of its own, so that the join can split a q-gram that very many records have
     every = stored(every.join(shared, "h"), "shared-records")
     groups = every.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("d", "x", "place")).alias("at"))
     groups = stored(groups.select("h", "c", "n", "at.d", "at.x", "at.place"), "groups")
-    mixed = groups.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    mixed = stored(groups.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"), "kinds")
     mixed = stored(groups.join(mixed, "h").select("h", "c", F.least("n", F.lit(2)).cast("int").alias("n"), "d", "x", "place", (F.col("kinds") > tile).alias("large")), "mixed")
     want = mixed.groupBy("d", "x").agg(F.collect_list(F.struct("h", "c", "n", "place", "large")).alias("want"))
 

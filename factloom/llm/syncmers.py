@@ -3,27 +3,30 @@
 Tokens are the runs between spaces (runs of over 24 characters are cut in eights first, so that texts without spaces
 have tokens as well). A window of ``K`` tokens is a closed syncmer if the smallest hash of its inner ``S``-token
 substrings (here single tokens) lies at one of its two ends. That depends on the window alone, so the same passage has
-the same anchors in any document, and their positions match up. A fingerprint is the bottom sketch of a text's anchors:
-their ``M`` smallest distinct 32-bit hashes in ascending order; likeness estimates the Jaccard coefficient of two
-texts' anchor sets, exactly where both have at most ``M``.
+the same anchors in any document, and their positions match up. Likeness is the Jaccard coefficient of two texts' distinct
+anchors, all of them; ``aligned_edited`` is the share of the anchors of either text that the other has at the same
+position. The printed fingerprint is the bottom sketch of the anchors: their ``M`` smallest 32-bit hashes, ascending.
 
-The next document is found by a window over buckets of doc_id ranges; a bucket also gets a copy of the first row of the
-bucket after it, so no row meets all others in one task. There are at most ``BUCKETS`` buckets.
+The next document is found by a window over buckets of the order (doc_id, hash of the text). Bounds of the buckets come
+from a sample of at most ``BUCKETS`` x ``SAMPLES`` rows, so that far-off ids or rows without one do not fill a bucket; a
+bucket also gets a copy of the first row of the one after it, so no row meets all others in one task.
 
 Edge cases: a null or empty text has the fingerprint '' and is alike (1.0) to an empty text only; a text of fewer
 tokens than ``K`` has one anchor, all of it; null doc_ids come first; rows of the same doc_id are in order of a hash of
-their text; a table of one row is its own next; an empty table gives an empty one.
+their text; a table of one row is its own next; an empty table gives an empty one; ids may be any bigint.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import id_and_text, read_documents
 
 K, M = 3, 64
-BUCKETS, ROWS_A_BUCKET = 65_536, 500
+BUCKETS, ROWS_A_BUCKET, SAMPLES, FAN = 16_384, 500, 8, 128
 LONG_RUN = "[^ ]{25}"
 
 
@@ -54,51 +57,77 @@ def anchors(text: Column) -> Column:
     return let(token_hashes(text), found)
 
 
-def sketch(text: Column) -> Column:
-    """The bottom sketch of a text's anchors, ascending array<bigint>; empty for the empty text."""
+def placed_anchors(text: Column) -> Column:
+    """array<bigint>: the anchors of a text in order, each as position << 32 | hash; empty for the empty text."""
     few = lambda h: F.array(F.xxhash64(h).bitwiseAND(F.lit(0xFFFFFFFF)))
-    many = lambda h: F.slice(F.array_sort(F.array_distinct(F.array_compact(F.transform(h, lambda x, i: syncmer(h, x, i))))), 1, M)
+    many = lambda h: F.array_compact(F.transform(h, lambda x, i: F.shiftleft(i.cast("bigint"), 32).bitwiseOR(syncmer(h, x, i))))
     made = let(token_hashes(text), lambda h: F.when(F.size(h) < K, few(h)).otherwise(many(h)))
     return F.when(text == "", F.array().cast("array<bigint>")).otherwise(made)
 
 
+def hashes(placed: Column) -> Column:
+    """The distinct hashes of placed anchors."""
+    return F.array_distinct(F.transform(placed, lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))))
+
+
 def likeness(a: Column, b: Column) -> Column:
-    both = let(F.slice(F.array_sort(F.array_union(a, b)), 1, M), lambda u: F.size(F.array_intersect(F.array_intersect(u, a), b)) / F.size(u))
+    """Jaccard coefficient of two arrays of distinct values; of two empty ones, 1."""
+    both = let(F.size(F.array_intersect(a, b)), lambda n: n / (F.size(a) + F.size(b) - n))
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both)
 
 
 def as_string(s: Column) -> Column:
-    return F.array_join(F.transform(s, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
-
-
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """(doc_id, *columns, next_*) where next_* are the columns of the row of the next larger doc_id; the last row's are
-    the first row's. ``docs`` has doc_id and a column text."""
-    key = F.coalesce("doc_id", F.lit(-(2**63)))
-    span = docs.agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
-    low, high = span["low"] or 0, span["high"] or 0
-    width = max(1, -(-(high - low + 1) // min(BUCKETS - 1, max(1, span["n"] // ROWS_A_BUCKET))))
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)).cast("int"))
-    firsts = docs.groupBy(bucket.alias("bucket")).agg(F.min(key).alias("first_key"))
+    """The bottom sketch of distinct hashes, as hex digits."""
+    return F.array_join(F.transform(F.slice(F.array_sort(s), 1, M), lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
+
+
+def order_of() -> Column:
+    """What rows are ordered by: null ids first, then ids, then a hash of the text."""
+    return F.struct(F.col("doc_id").isNotNull().cast("int").alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("h"))
+
+
+def bucket_of(docs: DataFrame) -> Column:
+    """The number of a row's bucket, for a column ``key`` of order_of(): buckets follow the order and hold about as many
+    rows each. Bounds are found in two steps of ``FAN`` comparisons at most."""
+    n = docs.count()
+    buckets = min(BUCKETS, max(1, n // ROWS_A_BUCKET))
+    sample = docs.select(order_of().alias("key")).select("key", F.xxhash64("key").alias("luck")).orderBy("luck", "key").limit(buckets * SAMPLES)
+    keys = sorted({tuple(r["key"]) for r in sample.select("key").collect()})
+    bounds = keys[SAMPLES::SAMPLES]
+    step = max(1, min(FAN, len(bounds)))
+    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    kind = "array<struct<known int, id bigint, h bigint>>"
+    at = lambda b: {"known": b[0], "id": b[1], "h": b[2]}
+    constant = lambda value, schema: F.from_json(F.lit(json.dumps(value)), schema)
+    reached = lambda bounds: F.size(F.filter(bounds, lambda b: b <= F.col("key")))
+    group = reached(constant([at(g[0]) for g in groups], kind))
+    return let(group, lambda i: F.when(i == 0, F.lit(0)).otherwise((i - 1) * FAN + reached(F.get(constant([[at(b) for b in g] for g in groups], f"array<{kind}>"), i - 1))))
+
+
+def with_next(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, next_text): the text of the row that follows in order; after the last, the first's. docs: (doc_id,
+    text)."""
+    own = docs.withColumn("key", order_of()).withColumn("bucket", bucket_of(docs))
+    firsts = own.groupBy("bucket").agg(F.min("key").alias("first_key"))
     order = Window.orderBy("bucket")  # at most BUCKETS rows
     ends = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     firsts = firsts.select("bucket", F.coalesce(F.lead("first_key").over(order), F.first("first_key").over(ends)).alias("first_key"))
-    own = docs.select("doc_id", *columns, bucket.alias("bucket"), key.alias("key"), F.lit(0).alias("extra"))
-    extra = docs.withColumn("key", key).join(F.broadcast(firsts), F.col("key") == F.col("first_key")).select("doc_id", *columns, "bucket", "key", F.lit(1).alias("extra"))
-    rows = own.unionByName(extra)
-    w = Window.partitionBy("bucket").orderBy("extra", "key", F.xxhash64("text"))
-    return rows.select("doc_id", *columns, "extra", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns]).where("extra = 0").drop("extra")
+    extra = docs.withColumn("key", order_of()).join(F.broadcast(firsts), F.col("key") == F.col("first_key")).select("doc_id", "text", "key", "bucket", F.lit(1).alias("extra"))
+    w = Window.partitionBy("bucket").orderBy("extra", "key")
+    rows = own.withColumn("extra", F.lit(0)).unionByName(extra)
+    return rows.select("doc_id", "text", "extra", F.lead("text").over(w).alias("next_text")).where("extra = 0").drop("extra")
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row."""
-    pairs = with_next(id_and_text(docs).withColumn("sketch", sketch(F.col("text"))), ["text", "sketch"])
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, aligned_edited of every row."""
     n = F.char_length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.when(cut == 0, F.col("text")).otherwise(F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut)))
-    made = pairs.select("doc_id", n.cast("bigint").alias("n_chars"), edited.alias("edited"), "sketch", "next_sketch")
-    made = made.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "sketch", "next_sketch", sketch(F.col("edited")).alias("edited_sketch"))
-    return made.select("doc_id", "n_chars", "edited_sha256", as_string(F.col("sketch")).alias("fingerprint"), as_string(F.col("edited_sketch")).alias("edited_fingerprint"), likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
+    made = with_next(id_and_text(docs)).select("doc_id", n.cast("bigint").alias("n_chars"), "text", "next_text", edited.alias("edited"))
+    made = made.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), placed_anchors(F.col("text")).alias("p"), placed_anchors(F.col("edited")).alias("q"), hashes(placed_anchors(F.col("next_text"))).alias("c"))
+    made = made.withColumn("a", hashes(F.col("p"))).withColumn("b", hashes(F.col("q")))
+    a, b, c = F.col("a"), F.col("b"), F.col("c")
+    return made.select("doc_id", "n_chars", "edited_sha256", as_string(a).alias("fingerprint"), as_string(b).alias("edited_fingerprint"), likeness(a, b).alias("near_edited"), likeness(a, c).alias("near_next"), likeness(F.col("p"), F.col("q")).alias("aligned_edited"))
 
 
 def op6_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,6 +83,8 @@ def test_links_of_buckets_in_tiles(spark, tile):
 def test_passages(make, odd, tile):
     passage = "".join(f"passage {i} of many. " for i in range(25))
     rows = odd + [(60 + i, f"start {i} " * 9 + passage[i : 400 - i] + f" end {i}" * 9) for i in range(8)] + [(80, passage[:199]), (81, "zz" + passage[:201]), (82, "ab" * 300)]
+    once = "".join(f"only {i} here, " for i in range(40))
+    rows += [(None, once), (None, once.replace("only", "here")), (None, passage), (80, passage), (82, once.replace("here", "there"))]
     seen = Counter(w for _, t in rows for w in windows((t or "").encode()))
     want = []
     for i, t in rows:

@@ -46,7 +46,9 @@ def test_documents(make, odd):
         ids = sp.encode(t or "", add_eos=True)
         want.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(sp.decode(ids).encode()).hexdigest()))
     assert got == sorted(want, key=repr)
-    counted = sorted(map(tuple, count_tokens(docs, P.path("word_bpe_49k.json"), 20).collect()), key=repr)
     lengths = [len(tk.encode(t or "", add_special_tokens=False).ids) for _, t in rows]
-    assert counted == sorted([(i, len((t or "").encode()), n, n > 20) for (i, t), n in zip(rows, lengths, strict=True)], key=repr)
+    for frequent in (100_000, 5, 0):
+        counted = sorted(map(tuple, count_tokens(docs, P.path("word_bpe_49k.json"), 20, frequent).collect()), key=repr)
+        assert counted == sorted([(i, len((t or "").encode()), n, n > 20) for (i, t), n in zip(rows, lengths, strict=True)], key=repr)
     assert encode_documents(make([]), P.path("piece_bpe_32k.model")).count() == 0
+    assert count_tokens(make([]), P.path("word_bpe_49k.json")).count() == 0

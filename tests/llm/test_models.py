@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from factloom.llm import syncmers
 from factloom.llm.context_tree import ContextTree, score_documents, summed
 from factloom.llm.language_id import fit_languages, predict_languages
 from factloom.llm.license_scan import TEMPLATES, LicenseScanner, bigrams, normalised, scan_licenses
@@ -164,22 +165,29 @@ def test_licences(make, odd):
             assert (found[0] if found else 0) == (best if best >= scanner.threshold else 0)
 
 
-def test_fingerprints(make, odd):
-    rows = [r for r in odd if r[0] is not None]
-    got = sorted(fingerprint_documents(make(rows)).collect(), key=lambda r: r["doc_id"])
+@pytest.mark.parametrize("rows_a_bucket", [500, 2])
+def test_fingerprints(spark, make, odd, monkeypatch, rows_a_bucket):
+    monkeypatch.setattr(syncmers, "ROWS_A_BUCKET", rows_a_bucket)
+    monkeypatch.setattr(syncmers, "SAMPLES", 1)
+    monkeypatch.setattr(syncmers, "FAN", 2)
+    wide = [(-(2**63), "the lowest id of all"), (2**63 - 1, "the highest id of all, far away"), (10**12, "x y z")]
+    rows = [*dict.fromkeys(r for r in odd if r[0] is not None), *wide]
+    got = {r["doc_id"]: r for r in fingerprint_documents(make(rows)).collect()}
+    texts = spark.createDataFrame([(t or "",) for _, t in rows], "text string")
+    sets = {r["text"]: {x["anchor"] for x in r["a"]} for r in texts.select("text", anchors(F.col("text")).alias("a")).collect()}
     order = sorted(rows, key=lambda r: r[0])
-    seen = {}
-    for r in got:
-        i = next(k for k, x in enumerate(order) if x[0] == r["doc_id"])
-        text = order[i][1] or ""
-        assert r["n_chars"] == len(text)
-        seen.setdefault(text, r["fingerprint"])
-        assert seen[text] == r["fingerprint"] and 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
-    first, second = order[0][1] or "", order[1][1] or ""
-    assert got[0]["edited_sha256"] == hashlib.sha256(first.encode()).hexdigest() and second == ""
-    last, start = order[-1][1], order[0][1] or ""
-    cut = len(last) // 4
-    assert got[-1]["edited_sha256"] == hashlib.sha256((last[: len(last) - cut] + start[:cut]).encode()).hexdigest()
+    for k, (i, text) in enumerate(order):
+        r, text, after = got[i], text or "", order[(k + 1) % len(order)][1] or ""
+        cut = len(text) // 4
+        edited = text[: len(text) - cut] + after[:cut] if cut else text
+        assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        a, b = sets[text], sets[after]
+        if a and b:
+            assert math.isclose(r["near_next"], len(a & b) / len(a | b))
+            assert r["fingerprint"] == "".join(f"{x:08x}" for x in sorted(a)[:64])
+        assert 0 <= r["aligned_edited"] <= 1 and (r["near_edited"] == 1.0 or edited != text)
+    same = {r["fingerprint"] for r in fingerprint_documents(make([(1, "a b c d e"), (2, "a b c d e"), (None, "a b c d e"), (None, "a b c d e")])).collect()}
+    assert len(same) == 1
     assert fingerprint_documents(make([])).count() == 0 and fingerprint_documents(make(odd)).count() == len(odd)
 
 
