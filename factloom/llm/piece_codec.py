@@ -20,14 +20,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import id_and_text, read_documents
+from .common import id_and_text, read_documents, released
 
 SPACE = "▁"
 NO_RANK = np.iinfo(np.int64).max
 #: Words of more symbols are merged one pair at a time from a heap: rounds over one long word would be quadratic.
 LONG_WORD = 256
 #: Words kept encoded between batches of a Python worker; beyond it the memory is emptied.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 
 #: U+FFFD for every byte that is part of no character.
@@ -253,7 +253,7 @@ def codec(model_file: str) -> PieceCodec:
     return PieceCodec(model_file)
 
 
-def slices(texts: list[str], limit: int = 4_000_000):
+def slices(texts: list[str], limit: int = 1_000_000):
     """Runs of texts of about ``limit`` characters, so that memory is bounded by that and the longest text."""
     at, size = 0, 0
     for i, t in enumerate(texts):
@@ -278,7 +278,7 @@ def encode_documents(docs: DataFrame, model_file: str) -> DataFrame:
         rows = [r for part in slices(batch.column(1).to_pylist()) for r in codec(model_file).encode_texts(part)]
         return pa.record_batch([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return id_and_text(docs).mapInArrow(lambda batches: released(run(batches)), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def op1_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, id_and_text, map_batches, read_documents, stored, text_key
+from .common import components, id_and_text, map_batches, read_documents, released, stored, text_key
 
 SHINGLE, RADIUS, SEED, TILE = 3, 3, 42, 2000
 #: 64-bit words of a wide fingerprint.
@@ -144,7 +144,7 @@ def by_cell(cells: DataFrame, schema: str, work: Callable[[pa.Table, list[tuple[
         if held:
             yield flush(pa.Table.from_batches(held))
 
-    return cells.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(run, schema)
+    return cells.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(lambda batches: released(run(batches)), schema)
 
 
 def bucket_links(cells: DataFrame, radius: int, wide_radius: int) -> DataFrame:
