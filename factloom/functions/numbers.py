@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import is_blank, normalize_value, trimmed
+from .text import let, normalize_value, trimmed
 
 #: Multiplier words.
 MULTIPLIERS = {"b": 1e9, "billion": 1e9, "bn": 1e9, "cr": 1e7, "crore": 1e7, "crores": 1e7, "k": 1e3, "l": 1e5, "lac": 1e5, "lacs": 1e5, "lakh": 1e5, "lakhs": 1e5, "m": 1e6, "million": 1e6, "mn": 1e6, "t": 1e12, "thousand": 1e3, "trillion": 1e12}
@@ -16,48 +16,56 @@ TOLERANCE = 1e-6
 BY_LENGTH = sorted(MULTIPLIERS, key=len, reverse=True)
 
 
-def first_of(cases: list[tuple[Column, object]]) -> Column:
-    """The value of the first condition that holds, or null."""
-    out = F.when(*cases[0])
-    for condition, value in cases[1:]:
-        out = out.when(condition, value)
-    return out
-
-
 def detect_currency(normal: Column, hint: Column) -> Column:
-    upper = F.upper(hint)
+    """The first currency, in the order of the table, whose word stands in the text or whose code is the hint; else what the
+    hint says."""
+    signs = "|".join(f"\\Q{sign}\\E" for sign in CURRENCIES)
+    found = F.regexp_extract_all(F.lower(normal), F.lit(f"(?:^|[\\s\\d])({signs})(?=[\\s\\d]|$)"), 1)
     hinted = F.coalesce(hint != "", F.lit(False))
-    signs = [(normal.rlike(f"(?i)(?:^|[\\s\\d])\\Q{sign}\\E(?:[\\s\\d]|$)") | (hinted & (upper == code)), F.lit(code)) for sign, code in CURRENCIES.items()]
+    upper = F.when(hinted, F.upper(hint))
+    table = F.array(*[F.struct(F.lit(sign).alias("sign"), F.lit(code).alias("code")) for sign, code in CURRENCIES.items()])
     words = F.create_map(*[F.lit(x) for pair in CURRENCIES.items() for x in pair])
-    return F.coalesce(first_of(signs), F.when(hinted, F.coalesce(F.try_element_at(words, F.lower(hint)), upper)))
+    first = let(found, lambda f: F.get(F.filter(table, lambda x: F.array_contains(f, x["sign"]) | F.coalesce(upper == x["code"], F.lit(False))), 0)["code"])
+    return F.coalesce(first, F.when(hinted, F.coalesce(F.try_element_at(words, F.lower(hint)), upper)))
 
 
 def detect_multiplier(normal: Column, hint: Column) -> Column:
     """The multiplier word: in the text after a digit or space, longest first, else one that the unit hint begins with."""
-    unit = F.lower(trimmed(hint))
-    within = [(normal.rlike(f"(?i)(?:^|[\\d\\s]){word}\\b"), F.lit(word)) for word in BY_LENGTH]
-    hinted = [(F.coalesce(hint != "", F.lit(False)) & unit.startswith(word), F.lit(word)) for word in BY_LENGTH]
-    return F.coalesce(first_of(within), first_of(hinted))
+    words = "|".join(BY_LENGTH)
+    found = F.regexp_extract_all(F.lower(normal), F.lit(f"(?:^|[\\d\\s])({words})\\b"), 1)
+    within = let(found, lambda f: F.get(F.filter(F.array(*map(F.lit, BY_LENGTH)), lambda w: F.array_contains(f, w)), 0))
+    return F.coalesce(within, F.nullif(F.regexp_extract(F.lower(trimmed(hint)), f"^(?:{words})", 0), F.lit("")))
 
 
 def parse_numeric(value: Column, unit: Column, currency: Column) -> Column:
     """struct<value, multiplier, explicit, currency, unit, physical_unit>, or null where no number is found."""
-    normal = normalize_value(value)
-    number = F.regexp_extract(normal, "[-+]?\\d+(?:\\.\\d+)?", 0)
-    word = detect_multiplier(normal, unit)
     factors = F.create_map(*[F.lit(x) for pair in MULTIPLIERS.items() for x in pair])
-    factor = F.coalesce(F.try_element_at(factors, word), F.lit(1.0))
-    percent = F.contains(normal, F.lit("%")) | F.coalesce(unit.rlike("(?i)percent|pct|%"), F.lit(False))
-    own = F.when(~is_blank(unit) & ~F.lower(trimmed(unit)).isin(*MULTIPLIERS), trimmed(unit))
-    made = F.struct(
-        F.when(percent, number.try_cast("double")).otherwise(number.try_cast("double") * factor).alias("value"),
-        factor.alias("multiplier"),
-        word.isNotNull().alias("explicit"),
-        detect_currency(normal, currency).alias("currency"),
-        F.when(percent, "percent").otherwise(F.coalesce(word, F.when(unit != "", unit))).alias("unit"),
-        F.when(percent, "percent").otherwise(own).alias("physical_unit"),
+    percent = lambda normal: F.contains(normal, F.lit("%")) | F.coalesce(unit.rlike("(?i)percent|pct|%"), F.lit(False))
+    parts = lambda normal: F.struct(
+        normal.alias("normal"),
+        F.regexp_extract(normal, "[-+]?\\d+(?:\\.\\d+)?", 0).alias("number"),
+        detect_multiplier(normal, unit).alias("word"),
+        percent(normal).alias("percent"),
+        trimmed(unit).alias("own"),
     )
-    return F.when(~is_blank(value) & ~normal.isin("n/a", "none", "-", "null", "undefined") & (number != ""), made)
+
+    def made(p: Column) -> Column:
+        factor = F.coalesce(F.try_element_at(factors, p["word"]), F.lit(1.0))
+        number = p["number"].try_cast("double")
+        own = F.when((p["own"] != "") & ~F.lower(p["own"]).isin(*MULTIPLIERS), p["own"])
+        return F.when(
+            ~p["normal"].isin("", "n/a", "none", "-", "null", "undefined") & (p["number"] != ""),
+            F.struct(
+                F.when(p["percent"], number).otherwise(number * factor).alias("value"),
+                factor.alias("multiplier"),
+                p["word"].isNotNull().alias("explicit"),
+                detect_currency(p["normal"], currency).alias("currency"),
+                F.when(p["percent"], "percent").otherwise(F.coalesce(p["word"], F.when(unit != "", unit))).alias("unit"),
+                F.when(p["percent"], "percent").otherwise(own).alias("physical_unit"),
+            ),
+        )
+
+    return let(normalize_value(value), lambda normal: let(parts(normal), made))
 
 
 def numbers_equal(a: Column, b: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import collapsed, trimmed
+from .text import collapsed, let, trimmed
 
 #: Label patterns, tried in this order on the upper-case label.
 FISCAL = "(?:FY|FISCAL(?:\\s+YEAR)?)\\s*['’]?(\\d{2,4})"
@@ -22,19 +22,25 @@ def full_year(year: Column, century: Column | None = None) -> Column:
 
 
 def normalize_period(label: Column) -> Column:
-    s = F.upper(collapsed(trimmed(F.coalesce(label, F.lit("")))))
-    part = lambda pattern, k: F.nullif(F.regexp_extract(s, pattern, k), F.lit(""))
-    start = full_year(F.coalesce(part(RANGE, 1), part(RANGE, 2)))
-    by_range = F.concat(F.lit("FY"), full_year(part(RANGE, 3), F.substring(start, 1, 2)))
-    by_fiscal = F.concat(F.lit("FY"), full_year(part(FISCAL, 1)))
-    quarter = F.concat(F.lit("Q"), F.regexp_extract(part(QUARTER, 1), "[1-4]", 0))
-    by_quarter = F.concat(quarter, F.lit("-FY"), full_year(part(QUARTER, 2)))
-    by_calendar = F.concat(F.lit("CY"), part(CALENDAR, 1))
-    return F.coalesce(by_range, by_fiscal, by_quarter, by_calendar, part(YEAR, 1), F.lower(s))
+    def read(s: Column) -> Column:
+        part = lambda pattern, k: F.nullif(F.regexp_extract(s, pattern, k), F.lit(""))
+        start = full_year(F.coalesce(part(RANGE, 1), part(RANGE, 2)))
+        by_range = F.concat(F.lit("FY"), full_year(part(RANGE, 3), F.substring(start, 1, 2)))
+        by_fiscal = F.concat(F.lit("FY"), full_year(part(FISCAL, 1)))
+        quarter = F.concat(F.lit("Q"), F.regexp_extract(part(QUARTER, 1), "[1-4]", 0))
+        by_quarter = F.concat(quarter, F.lit("-FY"), full_year(part(QUARTER, 2)))
+        by_calendar = F.concat(F.lit("CY"), part(CALENDAR, 1))
+        return F.coalesce(by_range, by_fiscal, by_quarter, by_calendar, part(YEAR, 1), F.lower(s))
+
+    return let(F.upper(collapsed(trimmed(F.coalesce(label, F.lit(""))))), read)
+
+
+def compared(x: Column, y: Column) -> Column:
+    """struct<both_missing, one_missing, same> of two normal forms: with one missing nothing is the same, with both
+    missing everything."""
+    both, one = (x == "") & (y == ""), (x == "") != (y == "")
+    return F.struct(both.alias("both_missing"), one.alias("one_missing"), (x == y).alias("same"))
 
 
 def compare_periods(a: Column, b: Column) -> Column:
-    """struct<both_missing, one_missing, same>: with one missing nothing is the same, with both missing everything."""
-    x, y = normalize_period(a), normalize_period(b)
-    both, one = (x == "") & (y == ""), (x == "") != (y == "")
-    return F.struct(both.alias("both_missing"), one.alias("one_missing"), (x == y).alias("same"))
+    return let(F.struct(normalize_period(a).alias("x"), normalize_period(b).alias("y")), lambda s: compared(s["x"], s["y"]))

@@ -37,8 +37,8 @@ def formatted(json: Column, key: Column) -> Column:
     return F.coalesce(value_of(json, key), F.when(has, "null").otherwise("undefined"))
 
 
-def with_entry(json: Column, key: str, value: str) -> Column:
+def with_entry(json: Column, key: str, value: Column | str) -> Column:
     """The object with one more entry (raw JSON text), in last place."""
     body = F.regexp_replace(F.coalesce(json, F.lit("{}")), "\\s*\\}\\s*$", "")
     comma = F.when(F.size(keys_of(json)) > 0, ",").otherwise("")
-    return F.concat(body, comma, F.lit(f'"{key}":{value}}}'))
+    return F.concat(body, comma, F.lit(f'"{key}":'), F.lit(value) if isinstance(value, str) else value, F.lit("}"))

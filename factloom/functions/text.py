@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,8 +17,18 @@ DOTTED = {"l\\.l\\.c\\.?": "llc", "p\\.l\\.c\\.?": "plc"}
 NAME_THRESHOLD, PREDICATE_THRESHOLD, TYPE_THRESHOLD = 0.85, 0.7, 0.85
 
 
-def lit_or(col) -> Column:
-    return F.col(col) if isinstance(col, str) else col
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body refers to it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def kind_of(json: Column, path: str) -> Column:
+    """The type of a value of a JSON variant, as Spark names it (VOID for null), or null where there is none."""
+    return F.schema_of_variant(F.try_variant_get(json, path, "variant"))
+
+
+def is_number(json: Column, path: str) -> Column:
+    return F.coalesce(kind_of(json, path).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.lit(False))
 
 
 def trimmed(c: Column) -> Column:
@@ -38,9 +49,10 @@ def normalize_value(c: Column) -> Column:
     s = trimmed(F.coalesce(c, F.lit("")))
     s = collapsed(F.regexp_replace(s, f"^{OPEN_QUOTES}|{CLOSE_QUOTES}$", ""))
     s = F.regexp_replace(trimmed(s), "(\\d),(\\d)", "$1$2")
-    points = F.regexp_extract(s, "(?i)^([+-]?\\d+(?:\\.\\d+)?)\\s*(?:bps|basis\\s*points)$", 1)
-    as_percent = F.concat(js_number(points.try_cast("double") / 100), F.lit("%"))
-    return F.when(points != "", as_percent).otherwise(F.lower(F.regexp_replace(s, "(?i)\\s*(?:percent|pct)\\b", "%")))
+    points = lambda s: F.regexp_extract(s, "(?i)^([+-]?\\d+(?:\\.\\d+)?)\\s*(?:bps|basis\\s*points)$", 1)
+    as_percent = lambda n: F.concat(js_number(n.try_cast("double") / 100), F.lit("%"))
+    plain = lambda s: F.lower(F.regexp_replace(s, "(?i)\\s*(?:percent|pct)\\b", "%"))
+    return let(s, lambda s: let(points(s), lambda n: F.when(n != "", as_percent(n)).otherwise(plain(s))))
 
 
 def js_number(c: Column) -> Column:
@@ -143,29 +155,34 @@ def unfenced(reply: Column) -> Column:
 
 
 def judge_reply(reply: Column) -> Column:
-    """struct<relation_type, confidence, explanation> of a judge's reply; what cannot be read is uncertain at 0.3."""
+    """struct<relation_type, confidence, explanation> of a judge's reply; what cannot be read is uncertain at 0.3. A
+    confidence that is no number counts as missing."""
     text = trimmed(F.coalesce(reply, F.lit("")))
-    block = F.regexp_extract(text, "(?s)\\{.*\\}", 0)
-    kind = F.get_json_object(block, "$.relationType")
-    given = F.get_json_object(block, "$.confidence").try_cast("double")
-    confidence = F.when(given.isNull(), 0.5).otherwise(F.least(F.greatest(given, F.lit(0.0)), F.lit(1.0)))
-    confidence = F.when(kind == "uncertain", F.least(confidence, F.lit(0.6))).otherwise(confidence)
-    said = trimmed(F.coalesce(F.get_json_object(block, "$.explanation"), text))
-    known = F.coalesce(kind.isin("corroborates", "contradicts", "reconciled", "uncertain"), F.lit(False))
-    lost = F.concat(F.lit("LLM judge returned unstructured or unparseable response: "), F.substring(text, 1, 200))
-    return F.struct(
-        F.when(known, kind).otherwise("uncertain").alias("relation_type"),
-        F.when(known, confidence).otherwise(0.3).alias("confidence"),
-        F.when(known, F.when(said == "", "Relationship classified by judge.").otherwise(said)).otherwise(lost).alias("explanation"),
-    )
+
+    def read(text: Column, block: Column) -> Column:
+        value = lambda key, kind="string": F.try_variant_get(block, f"$.{key}", kind)
+        kind = value("relationType")
+        confidence = F.when(is_number(block, "$.confidence"), F.least(F.greatest(value("confidence", "double"), F.lit(0.0)), F.lit(1.0))).otherwise(0.5)
+        confidence = F.when(kind == "uncertain", F.least(confidence, F.lit(0.6))).otherwise(confidence)
+        said = trimmed(F.coalesce(value("explanation"), text))
+        known = F.coalesce(kind.isin("corroborates", "contradicts", "reconciled", "uncertain"), F.lit(False))
+        # What is said where the judge says nothing
+        lost = F.concat(F.lit("LLM judge returned unstructured or unparseable response: "), F.substring(text, 1, 200))
+        return F.struct(
+            F.when(known, kind).otherwise("uncertain").alias("relation_type"),
+            F.when(known, confidence).otherwise(0.3).alias("confidence"),
+            F.when(known, F.when(said == "", "Relationship classified by judge.").otherwise(said)).otherwise(lost).alias("explanation"),
+        )
+
+    return let(text, lambda t: read(t, F.try_parse_json(F.regexp_extract(t, "(?s)\\{.*\\}", 0))))
 
 
 def confirm_reply(reply: Column) -> Column:
-    """Whether a reply confirms that two names are the same: its JSON says so, or else its first YES or NO does."""
-    block = F.regexp_extract(reply, "(?s)\\{.*\\}", 0)
-    same = F.get_json_object(block, "$.same")
+    """Whether a reply confirms that two names are the same: its JSON says so (true or false, no text), or else its first
+    YES or NO does."""
+    block = F.try_parse_json(F.regexp_extract(reply, "(?s)\\{.*\\}", 0))
     word = F.upper(F.regexp_extract(reply, "(?i)\\b(yes|no)\\b", 1))
-    return F.when(same.isin("true", "false"), same == "true").otherwise(word == "YES")
+    return F.when(kind_of(block, "$.same") == "BOOLEAN", F.try_variant_get(block, "$.same", "boolean")).otherwise(word == "YES")
 
 
 def safe_filename(name: Column) -> Column:

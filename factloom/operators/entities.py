@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_name
+from ..functions.text import normalize_name, trimmed
 from .similarity import merging_names
 
 UNRESOLVED = "Unresolved Entity"
@@ -46,17 +46,18 @@ def cluster_forms(mentions: DataFrame) -> DataFrame:
     return forms.join(labels, ["document_id", "idx"], "left").select("document_id", F.coalesce("cluster", F.col("idx").cast("bigint")).alias("cluster"), "idx", "key", "name", "n")
 
 
-def elect(mentions: DataFrame) -> DataFrame:
+def elect(mentions: DataFrame, forms: DataFrame | None = None) -> DataFrame:
     """One row a cluster: canonical_name (most mentions, then length without an article, then forms without one, then
     alphabet), entity_type (most frequent that is not blank, first on ties), context (the longest of the winner, else of
-    all), surface_forms, n_mentions."""
-    forms = cluster_forms(mentions)
+    all), surface_forms, n_mentions. forms: cluster_forms() of the mentions, if there already."""
+    forms = cluster_forms(mentions) if forms is None else forms
     the = F.lower("name").startswith("the ")
     w = Window.partitionBy("document_id", "cluster").orderBy(F.desc("n"), F.desc(F.length(F.regexp_replace("name", "(?i)^the\\s+", ""))), the.asc(), F.collate(F.col("name"), "UNICODE").asc(), "idx")
     ranked = forms.withColumn("place", F.row_number().over(w))
     names = ranked.groupBy("document_id", "cluster").agg(F.max(F.when(F.col("place") == 1, F.col("name"))).alias("canonical_name"), F.max(F.when(F.col("place") == 1, F.col("key"))).alias("winner"), F.array_sort(F.collect_set("name")).alias("surface_forms"), F.sum("n").alias("n_mentions"))
-    placed = mentions.withColumn("key", F.lower(normalize_name(F.col("name")))).join(forms.select("document_id", "cluster", "key"), ["document_id", "key"])
-    kinds = placed.where(F.trim(F.coalesce("type", F.lit(""))) != "").groupBy("document_id", "cluster", "type").agg(F.count("*").alias("c"), F.min("idx").alias("first"))
+    cleared = mentions.withColumns({c: F.nullif(trimmed(F.col(c)), F.lit("")) for c in ("type", "context")})
+    placed = cleared.withColumn("key", F.lower(normalize_name(F.col("name")))).join(forms.select("document_id", "cluster", "key"), ["document_id", "key"])
+    kinds = placed.where("type is not null").groupBy("document_id", "cluster", "type").agg(F.count("*").alias("c"), F.min("idx").alias("first"))
     kinds = kinds.groupBy("document_id", "cluster").agg(F.max_by("type", F.struct("c", -F.col("first"))).alias("entity_type"))
     said = placed.join(names.select("document_id", "cluster", "winner"), ["document_id", "cluster"]).where("context is not null")
     said = said.groupBy("document_id", "cluster").agg(F.max_by("context", F.struct(F.col("key") == F.col("winner"), F.length("context"), -F.col("idx"))).alias("context"))

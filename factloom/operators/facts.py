@@ -6,31 +6,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.qualifiers import with_entry
-from ..functions.text import is_blank, quote_bucket, quote_is_valid, trimmed, unfenced
+from ..functions.text import is_number, kind_of, quote_bucket, quote_is_valid, trimmed, unfenced
 from .similarity import nearest_one
 
-FACT_SCHEMA = "confidence string, currency string, entity string, factTypeDescription string, predicate string, qualifiers string, rawValue string, sourceQuote string, timeScope string, unit string, value string, pageNumber string"
 STRONG = 0.7
 BUCKETS = ["0-100", "101-400", "401-1000", "1000+"]
 
 
-def read_facts(replies: DataFrame, column: str = "reply") -> DataFrame:
+def read_facts(replies: DataFrame, column: str = "reply", default_page: Column | None = None, via_vision: bool | None = None) -> DataFrame:
     """One row a fact of JSON replies ({"facts": [...]}, fenced or not): typed fields with defaults for loose ones, and
-    ``error`` for replies that cannot be read."""
-    parsed = F.from_json(unfenced(F.col(column)), f"facts array<struct<{', '.join(f.replace(' ', ': ') for f in FACT_SCHEMA.split(', '))}>>")
-    rows = replies.withColumn("__facts", parsed["facts"])
-    rows = rows.withColumn("error", F.when(F.col("__facts").isNull(), "unreadable reply")).withColumn("f", F.explode_outer("__facts")).drop("__facts", column)
-    f = F.col("f")
-    number = f["confidence"].try_cast("double")
-    entity = lambda key: F.get_json_object(f["entity"], f"$.{key}")
+    ``error`` for replies that cannot be read. Numbers and texts count only where they are such: other confidences are 0,
+    other page numbers ``default_page``."""
+    rows = replies.withColumn("__facts", F.from_json(unfenced(F.col(column)), "facts array<string>")["facts"])
+    rows = rows.withColumn("error", F.when(F.col("__facts").isNull(), "unreadable reply")).withColumn("__f", F.explode_outer("__facts"))
+    rows = rows.withColumn("__v", F.try_parse_json("__f")).drop("__facts", column)
+    v = F.col("__v")
+    value = lambda key, kind="string": F.try_variant_get(v, f"$.{key}", kind)
+    text = lambda key: F.when(kind_of(v, f"$.{key}") == "STRING", value(key))
+    said = lambda key: F.coalesce(value(key), F.lit(""))
+    has_entity = kind_of(v, "$.entity").isNotNull() & (kind_of(v, "$.entity") != "VOID")
+    entity = lambda key, other: F.when(has_entity, value(f"entity.{key}")).otherwise(other)
+    qualifiers = F.when(kind_of(v, "$.qualifiers").rlike("^(OBJECT|ARRAY)"), merged_qualifiers(F.get_json_object("__f", "$.qualifiers")))
+    page = F.lit(None).cast("int") if default_page is None else default_page
     fields = [
-        F.coalesce(number, F.lit(0.0)).alias("confidence"), f["currency"].alias("currency"),
-        F.when(is_blank(entity("name")), "Unknown Entity").otherwise(entity("name")).alias("entity_name"), F.coalesce(entity("type"), F.lit("unknown")).alias("entity_type"), entity("context").alias("entity_context"),
-        f["factTypeDescription"].alias("fact_type_description"), F.coalesce(f["predicate"], F.lit("")).alias("predicate"), F.coalesce(merged_qualifiers(f["qualifiers"]), F.lit("{}")).alias("qualifiers"),
-        F.coalesce(f["rawValue"], f["value"], F.lit("")).alias("raw_value"), F.coalesce(f["sourceQuote"], F.lit("")).alias("source_quote"), f["timeScope"].alias("time_scope"), f["unit"].alias("unit"), F.coalesce(f["value"], F.lit("")).alias("value"),
-        F.when(f["pageNumber"].try_cast("int") >= 1, f["pageNumber"].try_cast("int")).alias("page_number"),
+        F.when(is_number(v, "$.confidence"), value("confidence", "double")).otherwise(0.0).alias("confidence"), text("currency").alias("currency"),
+        entity("name", "Unknown").alias("entity_name"), entity("type", "Unknown").alias("entity_type"), entity("context", "").alias("entity_context"),
+        said("factTypeDescription").alias("fact_type_description"), said("predicate").alias("predicate"), F.coalesce(qualifiers, F.lit("{}")).alias("qualifiers"),
+        said("rawValue").alias("raw_value"), said("sourceQuote").alias("source_quote"), text("timeScope").alias("time_scope"), text("unit").alias("unit"), said("value").alias("value"),
+        F.when(is_number(v, "$.pageNumber"), value("pageNumber", "int")).otherwise(page).alias("page_number"),
+        F.when(kind_of(v, "$.viaVision") == "BOOLEAN", value("viaVision", "boolean")).otherwise(F.lit(via_vision).cast("boolean")).alias("via_vision"),
     ]
-    return rows.select(*[c for c in rows.columns if c != "f"], *fields)
+    return rows.select(*[c for c in rows.columns if not c.startswith("__")], *fields)
 
 
 def merged_qualifiers(q: Column) -> Column:
@@ -71,10 +77,11 @@ def copy_to_duplicates(facts: DataFrame, duplicates: DataFrame) -> DataFrame:
 
 
 def mentions(facts: DataFrame) -> DataFrame:
-    """(document_id, fact_id, idx, name, type, context) of facts whose qualifiers carry an entity."""
-    part = lambda key: F.coalesce(*[F.get_json_object("qualifiers", f"$.{root}.{key}") for root in ("_entity", "entity")])
-    name = F.coalesce(part("name"), F.lit(""))
-    return facts.select("document_id", F.col("id").alias("fact_id"), "idx", F.when(is_blank(name), "Unknown Entity").otherwise(trimmed(name)).alias("name"), F.coalesce(part("type"), F.lit("unknown")).alias("type"), F.coalesce(part("context"), F.col("source_quote")).alias("context"))
+    """(document_id, fact_id, idx, name, type, context) of facts: the entity that their qualifiers carry, trimmed. A
+    missing name is Unknown Entity, a missing type null, and a missing context the quote."""
+    entity = F.coalesce(F.get_json_object("qualifiers", "$._entity"), F.get_json_object("qualifiers", "$.entity"))
+    part = lambda key: F.nullif(trimmed(F.get_json_object(entity, f"$.{key}")), F.lit(""))
+    return facts.select("document_id", F.col("id").alias("fact_id"), "idx", F.coalesce(part("name"), F.lit("Unknown Entity")).alias("name"), part("type").alias("type"), F.coalesce(part("context"), F.nullif("source_quote", F.lit(""))).alias("context"))
 
 
 def quote_lengths(facts: DataFrame) -> DataFrame:
@@ -94,10 +101,26 @@ def duplicate_rate(facts: DataFrame) -> DataFrame:
 
 def link_fact_types(descriptions: DataFrame, types: DataFrame, threshold: float = 0.85) -> DataFrame:
     """Each distinct description (description, predicate, q: vector, idx) with type_id, or minted: the exact description
-    first, else the nearest type from ``threshold`` on. The first predicate of a description counts."""
+    first, else the nearest type from ``threshold`` on. The first predicate of a description counts; of types of one
+    description the one of the smallest id."""
     first = descriptions.withColumn("__n", F.row_number().over(Window.partitionBy(F.lower(trimmed(F.col("description")))).orderBy("idx"))).where("__n = 1").drop("__n")
-    exact = first.join(types.select(F.col("id").alias("exact_id"), F.col("description")), "description", "left")
+    exact = first.join(types.groupBy("description").agg(F.min("id").alias("exact_id")), "description", "left")
     rest = exact.where("exact_id is null").select(F.col("idx").alias("query"), "q")
     near = nearest_one(rest, types.where("embedding is not null").select(F.col("id").alias("near_id"), F.col("embedding").alias("v")), "query", "near_id")
     got = exact.join(near, exact.idx == near.query, "left")
-    return got.select("idx", "description", "predicate", F.coalesce("exact_id", F.when(F.col("similarity") >= threshold, F.col("near_id"))).alias("type_id"), (F.col("exact_id").isNull() & F.coalesce(F.col("similarity") < threshold, F.lit(True))).alias("minted"))
+    return got.select("idx", "description", "predicate", "q", F.coalesce("exact_id", F.when(F.col("similarity") >= threshold, F.col("near_id"))).alias("type_id"), (F.col("exact_id").isNull() & F.coalesce(F.col("similarity") < threshold, F.lit(True))).alias("minted"))
+
+
+def type_id_of(description: Column) -> Column:
+    """The id of a type that a description mints: the same in every run."""
+    return F.sha2(F.lower(trimmed(description)), 256)
+
+
+def types_after(types: DataFrame, linked: DataFrame) -> DataFrame:
+    """Types (id, name, description, example_predicates, embedding) after the links of link_fact_types(): each linked
+    type has the predicates that it did not have yet, and minted ones are named after theirs."""
+    more = linked.where("not minted").groupBy(F.col("type_id").alias("id")).agg(F.array_sort(F.collect_set("predicate")).alias("__more"))
+    none = F.array().cast("array<string>")
+    kept = types.join(more, "id", "left").withColumn("example_predicates", F.array_union(F.coalesce("example_predicates", none), F.coalesce("__more", none))).drop("__more")
+    fresh = linked.where("minted").select(type_id_of(F.col("description")).alias("id"), F.col("predicate").alias("name"), "description", F.array("predicate").alias("example_predicates"), F.col("q").alias("embedding"))
+    return kept.unionByName(fresh, allowMissingColumns=True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import trimmed
 from .views import with_chunk
 
 VERDICTS = ["correct", "quoteWrong", "valueWrong", "scopeWrong", "unverified"]
@@ -15,22 +16,27 @@ def latest(facts: DataFrame, n: int = SAMPLE) -> DataFrame:
     return facts.orderBy(F.col("extracted_at").desc_nulls_last(), F.col("id").asc()).limit(n)
 
 
-def verdict(valid: Column, quote: Column, chunk: Column, value: Column, raw_value: Column) -> Column:
-    """quoteWrong if the quote's flag or place says so, valueWrong if neither quote nor value contains the other."""
-    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
-    q, v = low(quote), low(F.coalesce(F.nullif(raw_value, F.lit("")), value))
-    return F.when(~F.coalesce(valid, F.lit(True)), "quoteWrong").when((low(chunk) != "") & ~F.contains(low(chunk), q), "quoteWrong").when(~F.contains(q, v) & ~F.contains(v, q), "valueWrong").otherwise("correct")
+def cleaned(c: Column) -> Column:
+    return F.lower(trimmed(F.coalesce(c, F.lit(""))))
+
+
+def verdict(valid: Column, quote: Column, chunk: Column, raw_value: Column) -> Column:
+    """quoteWrong if the quote's flag or place says so, valueWrong if neither quote nor raw value contains the other."""
+    q, v, text = cleaned(quote), cleaned(raw_value), F.lower(F.coalesce(chunk, F.lit("")))
+    return F.when(~F.coalesce(valid, F.lit(True)), "quoteWrong").when((text != "") & ~F.contains(text, q), "quoteWrong").when(~F.contains(q, v) & ~F.contains(v, q), "valueWrong").otherwise("correct")
 
 
 def snippet(quote: Column, chunk: Column) -> Column:
     """The chunk's text around the quote, else its head."""
-    at = F.instr(F.lower(chunk), F.lower(quote))
-    return F.when(at > 0, F.substring(chunk, F.greatest(at - SNIPPET, F.lit(1)), F.length(quote) + 2 * SNIPPET)).otherwise(F.substring(chunk, 1, HEAD))
+    q = cleaned(quote)
+    at = F.instr(F.lower(chunk), q)
+    first = F.greatest(at - SNIPPET, F.lit(1))
+    return F.when(at > 0, F.substring(chunk, first, at + F.length(q) + SNIPPET - first)).otherwise(F.substring(chunk, 1, HEAD))
 
 
 def spot_check(facts: DataFrame, chunks: DataFrame, n: int = SAMPLE) -> DataFrame:
     got = with_chunk(latest(facts, n), chunks)
-    return got.withColumns({"verdict": verdict(F.col("source_quote_valid"), F.col("source_quote"), F.col("chunk_text"), F.col("value"), F.col("raw_value")), "snippet": snippet(F.col("source_quote"), F.col("chunk_text"))})
+    return got.withColumns({"verdict": verdict(F.col("source_quote_valid"), F.col("source_quote"), F.col("chunk_text"), F.col("raw_value")), "snippet": snippet(F.col("source_quote"), F.col("chunk_text"))})
 
 
 def score(checked: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import predicates_match
-from .rules import rule_reconcile
+from ..sources.scratch import scratch_dir
+from .rules import parsed, rule_reconcile
 from .similarity import top_k
 
 MATCH_CANDIDATES, MATCH_DISTANCE = 10, 0.35
@@ -16,11 +17,13 @@ DETAIL = ["id", "document_id", "predicate", "value", "raw_value", "unit", "curre
 
 
 def as_struct(prefix: str) -> Column:
-    return F.struct(*[F.col(f"{prefix}_{c}").alias(c) for c in DETAIL])
+    return F.struct(*[F.col(f"{prefix}_{c}").alias(c) for c in [*DETAIL, "parsed"]])
 
 
 def side(facts: DataFrame, prefix: str, *more: str) -> DataFrame:
-    return facts.select("entity_id", *[F.col(c).alias(f"{prefix}_{c}") for c in [*DETAIL, *more]])
+    """A side of the pairs. What the rules compare is parsed here, once a fact and not once a pair."""
+    own = parsed(*map(F.col, ("value", "raw_value", "unit", "currency", "time_scope")))
+    return facts.select("entity_id", *[F.col(c).alias(f"{prefix}_{c}") for c in [*DETAIL, *more]], own.alias(f"{prefix}_parsed"))
 
 
 def candidate_pairs(new: DataFrame, stored: DataFrame, k: int = MATCH_CANDIDATES, distance: Column | None = None, max_distance: float = MATCH_DISTANCE) -> DataFrame:
@@ -41,15 +44,24 @@ def without_existing(pairs: DataFrame, relationships: DataFrame) -> DataFrame:
     return pairs.join(have, ["pair_a", "pair_b"], "left_anti")
 
 
-def uncertain(pairs: DataFrame) -> DataFrame:
-    """The stand-in judge: it sees no model, so it is uncertain."""
-    return pairs.withColumns({"relation_type": F.lit("uncertain"), "confidence": F.lit(0.2), "method": F.lit("llm_judge"), "explanation": F.concat(F.lit("LLM judge call failed: "), F.lit("no judge is configured"))})
+def undecided() -> dict[str, Column]:
+    """The stand-in judge's columns: it sees no model, so it is uncertain."""
+    return {"relation_type": F.lit("uncertain"), "confidence": F.lit(0.2), "method": F.lit("llm_judge"), "explanation": F.lit("LLM judge call failed: no judge is configured")}
 
 
-def evaluate(pairs: DataFrame, judge: Callable[[DataFrame], DataFrame] = uncertain) -> DataFrame:
-    """Rules decide what they can; the judge sees the escalated pairs only."""
+def evaluate(pairs: DataFrame, judge: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Rules decide what they can; the judge sees the escalated pairs only, and gives them relation_type, confidence and
+    explanation (null ones count as a failed call). Without a judge the stand-in answers in the same pass; with one, the
+    ruled pairs are written once, so that neither rules nor candidates run twice."""
     ruled = rule_reconcile(pairs)
-    judged = judge(ruled.where("escalate").drop("relation_type", "confidence", "method", "explanation"))
+    if judge is None:
+        return ruled.withColumns({c: F.when(F.col("escalate"), x).otherwise(F.col(c)) for c, x in undecided().items()})
+    path = scratch_dir(pairs.sparkSession, "ruled")
+    ruled.write.parquet(path)
+    ruled = pairs.sparkSession.read.parquet(path)
+    judged = judge(ruled.where("escalate").drop("relation_type", "confidence", "method", "explanation")).withColumn("method", F.lit("llm_judge"))
+    failed = F.col("relation_type").isNull() | F.col("confidence").isNull()
+    judged = judged.withColumns({c: F.when(failed, x).otherwise(F.col(c)) for c, x in undecided().items() if c != "method"})
     return ruled.where("not escalate").unionByName(judged.select(*ruled.columns))
 
 

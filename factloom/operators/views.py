@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.display import Paging
+from ..functions.display import Paging, is_live
 from ..functions.text import escaped_like
 
 
@@ -77,3 +77,49 @@ def contains_any(rows: DataFrame, columns: list[str], text: str) -> DataFrame:
     """Rows of which some column contains the text, ignoring case."""
     q = text.strip().lower()
     return rows if not q else rows.where(reduce(lambda a, b: a | b, [F.coalesce(F.contains(F.lower(c), F.lit(q)), F.lit(False)) for c in map(F.col, columns)]))
+
+
+RECENT, RELATED = 50, 100
+
+
+def recent_documents(documents: DataFrame) -> DataFrame:
+    """The newest documents, without where their files lie."""
+    return documents.orderBy(F.col("uploaded_at").desc_nulls_first(), F.col("id").asc()).limit(RECENT).drop("file_path")
+
+
+def documents_with_status(documents: DataFrame, tracked: DataFrame) -> DataFrame:
+    """Documents whose status is not final and that nothing follows yet (tracked: id)."""
+    return documents.where(is_live(F.col("status"))).join(tracked.select("id"), "id", "left_anti")
+
+
+def related_facts(relationships: DataFrame, fact_id, cards: DataFrame) -> DataFrame:
+    """The newest relationships of a fact, with the other fact (cards: id and any columns) and its role."""
+    latest = of_fact(relationships, fact_id).orderBy(F.col("created_at").desc_nulls_first(), F.col("id").asc()).limit(RELATED)
+    other = cards.select(F.col("id").alias("other_id"), F.struct(*cards.columns).alias("other"))
+    return latest.join(other, "other_id", "left")
+
+
+def aliases_of(aliases: DataFrame, documents: DataFrame, entity_id) -> DataFrame:
+    """The surface forms of an entity from the oldest on, with the file that each comes from, null if there is none."""
+    names = documents.select(F.col("id").alias("document_id"), "filename")
+    return aliases.where(F.col("entity_id") == entity_id).join(names, "document_id", "left").orderBy("created_at", "id")
+
+
+def facts_of_documents(facts: DataFrame, documents: DataFrame) -> DataFrame:
+    """Facts with their document's file name; facts without a document go."""
+    return facts.join(documents.select(F.col("id").alias("document_id"), "filename"), "document_id")
+
+
+def facts_in(relationships: DataFrame) -> DataFrame:
+    """(id): every fact that stands on some side of a relationship, once."""
+    return relationships.select(F.col("fact_a_id").alias("id")).union(relationships.select("fact_b_id")).distinct()
+
+
+def status_counts(chunks: DataFrame) -> DataFrame:
+    """A row a document: chunks, those done (extracted, failed or deferred) and those failed."""
+    s = F.col("extraction_status")
+    return chunks.groupBy("document_id").agg(F.count("*").alias("total"), F.count_if(s.isin("extracted", "extraction_failed", "extraction_deferred")).alias("done"), F.count_if(s == "extraction_failed").alias("failed"))
+
+
+def chunks_of(chunks: DataFrame, document_id) -> DataFrame:
+    return chunks.where(F.col("document_id") == document_id).orderBy("page_number", "chunk_index")

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.display import STAGES, STATUSES, is_terminal
+from ..functions.display import STAGES, STATUSES, TERMINAL, is_terminal
+from ..functions.text import is_number, kind_of
 
+#: Statuses that begin a stage.
+BEGINNINGS = ("parsing", "extracting", "resolving", "reconciling")
 EVENT = "status string, stage string, progress struct<current:double,total:double>, elapsedMs double, errorMessage string"
 
 
@@ -18,14 +23,18 @@ def parsed_event(json: Column) -> Column:
 
 
 def is_valid_event(json: Column) -> Column:
-    """A known status; if there is progress, finite numbers; if a stage, a known one; if a time, none below 0."""
-    e = parsed_event(json)
-    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    has = lambda key: F.get_json_object(json, f"$.{key}").isNotNull()
-    progress = ~has("progress") | (finite(e["progress"]["current"]) & finite(e["progress"]["total"]))
-    stage = ~has("stage") | F.coalesce(e["stage"].isin(*STAGES), F.lit(False))
-    elapsed = ~has("elapsedMs") | (finite(e["elapsedMs"]) & (e["elapsedMs"] >= 0))
-    return F.coalesce(e["status"].isin(*STATUSES), F.lit(False)) & F.coalesce(progress & stage & elapsed, F.lit(False))
+    """A known status and progress of two finite numbers; if there is a stage, a known one; an error message of text or
+    null; if there is a time, a finite number from 0 on."""
+    v = F.try_parse_json(json)
+    has = lambda key: kind_of(v, f"$.{key}").isNotNull()
+    number = lambda path: F.when(is_number(v, path), F.try_variant_get(v, path, "double"))
+    finite = lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))
+    known = lambda key, values: (kind_of(v, f"$.{key}") == "STRING") & F.try_variant_get(v, f"$.{key}", "string").isin(*values)
+    stage = ~has("stage") | known("stage", STAGES)
+    message = ~has("errorMessage") | kind_of(v, "$.errorMessage").isin("STRING", "VOID")
+    elapsed = ~has("elapsedMs") | (finite(number("$.elapsedMs")) & (number("$.elapsedMs") >= 0))
+    ok = known("status", STATUSES) & finite(number("$.progress.current")) & finite(number("$.progress.total")) & stage & message & elapsed
+    return F.coalesce(ok, F.lit(False))
 
 
 def is_terminal_payload(json: Column) -> Column:
@@ -65,3 +74,45 @@ def chain(*stages: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], Da
 def snapshot_and_live(snapshot: DataFrame, live: DataFrame, key: str) -> DataFrame:
     """Live events of keys in the snapshot table (stream-static join), until each key's status is final."""
     return live.join(snapshot.where(~is_terminal(F.col("status"))).select(key), key, "left_semi")
+
+
+def progress_event(status: str, stage: str, current: Column, total: Column, elapsed: Column, error: Column | None = None) -> Column:
+    """The JSON of a progress event."""
+    message = F.lit(None).cast("string") if error is None else error
+    return F.to_json(F.struct(F.lit(status).alias("status"), F.lit(stage).alias("stage"), F.struct(current.cast("double").alias("current"), total.cast("double").alias("total")).alias("progress"), F.greatest(elapsed, F.lit(0)).alias("elapsedMs"), message.alias("errorMessage")))
+
+
+def publish(rows: DataFrame, path: str) -> None:
+    """Appends progress rows (document_id, event): nothing waits for who reads them."""
+    rows.write.mode("append").parquet(path)
+
+
+def stopwatch(events: DataFrame) -> DataFrame:
+    """(document_id, status, elapsed_ms) for every event (document_id, ts, status) of a stream, in order of time: the time
+    since the document's stage began. A stage begins with its first status (parsing, extracting, resolving, reconciling);
+    its state goes when a status is final."""
+    kind = events.schema["document_id"].dataType.simpleString()
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        begun = state.get[0] if state.exists else None
+        got = pd.concat(list(parts)).sort_values("ts", kind="stable")
+        out = []
+        for at, status in zip(got["ts"], got["status"], strict=True):
+            ms = int(pd.Timestamp(at).value // 1_000_000)
+            if begun is None or (status in BEGINNINGS and status != last_of(state)):
+                begun = ms
+            out.append((key[0], status, max(0, ms - begun)))
+            if status in TERMINAL:
+                begun = None
+            if begun is None:
+                if state.exists:
+                    state.remove()
+            else:
+                state.update((begun, status))
+        yield pd.DataFrame(out, columns=["document_id", "status", "elapsed_ms"])
+
+    return events.select("document_id", "ts", "status").groupBy("document_id").applyInPandasWithState(run, f"document_id {kind}, status string, elapsed_ms bigint", "begun bigint, status string", "append", GroupStateTimeout.NoTimeout)
+
+
+def last_of(state: GroupState) -> str | None:
+    return state.get[1] if state.exists else None
