@@ -9,6 +9,8 @@ from ..functions.qualifiers import with_entry
 from ..functions.text import is_number, kind_of, quote_bucket, quote_is_valid, trimmed, unfenced
 from .similarity import nearest_one
 
+#: Words that a quote and a page must share in a row to be compared.
+ANCHOR = 4
 STRONG = 0.7
 BUCKETS = ["0-100", "101-400", "401-1000", "1000+"]
 
@@ -59,6 +61,24 @@ def check_quotes(facts: DataFrame, page_text: str = "page_text") -> DataFrame:
     })
 
 
+def quotes_in_pages(quotes: DataFrame, pages: DataFrame, quote_id: str, page_id: str) -> DataFrame:
+    """(quote_id, page_id) of every page (page_id, page_text) that contains a quote (quote_id, source_quote) word for word.
+    Candidates share the first ``ANCHOR`` words inside the quote (its first and last word may be parts of words); quotes of
+    fewer words meet every page: they are a stated set of queries."""
+    words = lambda c: F.filter(F.split(c, "\\s+"), lambda w: w != "")
+    inner = quotes.where("source_quote <> ''").withColumn("__w", words(F.col("source_quote")))
+    long = F.size("__w") >= ANCHOR + 2
+    run = lambda w, i: F.xxhash64(F.slice(w, i, F.lit(ANCHOR)))
+    keyed = inner.where(long).select(quote_id, "source_quote", run(F.col("__w"), F.lit(2)).alias("__k"))
+    listed = pages.select(page_id, "page_text", words(F.col("page_text")).alias("__w"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("__w") - ANCHOR + 1, F.lit(1)))
+    anchored = listed.select(page_id, "__w").select(page_id, F.explode(F.array_distinct(F.transform(starts, lambda i: run(F.col("__w"), i)))).alias("__k"))
+    near = anchored.join(keyed.select(quote_id, "__k"), "__k").select(quote_id, page_id).distinct()
+    met = near.join(quotes.select(quote_id, "source_quote"), quote_id).join(pages.select(page_id, "page_text"), page_id)
+    short = pages.crossJoin(F.broadcast(inner.where(~long).select(quote_id, "source_quote")))
+    return met.select(quote_id, page_id, "source_quote", "page_text").unionByName(short.select(quote_id, page_id, "source_quote", "page_text")).where(F.contains("page_text", "source_quote")).select(quote_id, page_id)
+
+
 def allowed_only(facts: DataFrame, allowed: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Facts of allowed pages, and how many were dropped (one row)."""
     return facts.join(allowed.select(*keys).distinct(), keys, "left_semi"), facts.join(allowed.select(*keys).distinct(), keys, "left_anti").agg(F.count("*").alias("dropped"))

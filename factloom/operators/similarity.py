@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import names_merge
 from ..functions.vectors import cosine_distance
 
-#: Rows of a side that may be broadcast for joins without an equality; beyond it the larger side is cut in blocks.
-BROADCAST_ROWS = 100_000
+#: Bytes of query vectors that are broadcast at once for joins without an equality.
+BROADCAST_BYTES = 200_000_000
 
 
 def top_k(scored: DataFrame, query: list[str], order: list[Column], k: int) -> DataFrame:
@@ -18,15 +20,22 @@ def top_k(scored: DataFrame, query: list[str], order: list[Column], k: int) -> D
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def every_pair(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """A stated set of queries against all rows. The queries are broadcast if their vectors fit ``BROADCAST_BYTES``; more of
+    them are dealt to blocks of that size, and each block meets the rows as one broadcast after another."""
+    width = queries.agg(F.count("*").alias("n"), F.max(F.size("q")).alias("d")).first()
+    blocks = max(1, -(-(width["n"] * (8 * max(width["d"] or 0, 0) + 64)) // BROADCAST_BYTES))
+    parts = [queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(*[c for c in queries.columns if c != "q"]), F.lit(blocks)) == i) for i in range(blocks)]
+    return reduce(DataFrame.unionByName, [rows.crossJoin(F.broadcast(part)) for part in parts])
+
+
 def knn_join(queries: DataFrame, rows: DataFrame, keys: list[str], query_id: str, row_id: str, k: int, max_distance: float | None = None, residual: Column | None = None) -> DataFrame:
     """For each query (keys, query_id, q) the k nearest rows (keys, row_id, v) that share its keys: query_id, row_id,
-    distance, rank. Without keys, each query meets all rows: stated queries against a table, whose smaller side is
-    broadcast if its size allows."""
+    distance, rank. Without keys, each query meets all rows."""
     if keys:
         met = queries.join(rows, keys)
     else:
-        small = queries if queries.count() <= BROADCAST_ROWS else None
-        met = rows.crossJoin(F.broadcast(queries)) if small is not None else queries.crossJoin(rows)
+        met = every_pair(queries, rows)
     if residual is not None:
         met = met.where(residual)
     met = met.withColumn("distance", cosine_distance(F.col("q"), F.col("v")))
@@ -36,9 +45,10 @@ def knn_join(queries: DataFrame, rows: DataFrame, keys: list[str], query_id: str
     return top_k(met, [query_id], [F.col("distance").asc(), F.col(row_id).asc()], k)
 
 
-def nearest_one(queries: DataFrame, rows: DataFrame, query_id: str, row_id: str) -> DataFrame:
+def nearest_one(queries: DataFrame, rows: DataFrame, query_id: str, row_id: str, residual: Column | None = None) -> DataFrame:
     """query_id, row_id, similarity of the nearest row; ties go to the smallest id. A map-side minimum, no sort."""
-    met = rows.crossJoin(F.broadcast(queries)) if queries.count() <= BROADCAST_ROWS else queries.crossJoin(rows)
+    met = every_pair(queries, rows)
+    met = met if residual is None else met.where(residual)
     best = F.min_by(F.struct(row_id, "distance"), F.struct("distance", row_id))
     got = met.withColumn("distance", cosine_distance(F.col("q"), F.col("v"))).groupBy(query_id).agg(best.alias("best"))
     return got.select(query_id, F.col(f"best.{row_id}").alias(row_id), (1 - F.col("best.distance")).alias("similarity"))

@@ -6,6 +6,7 @@ year it was shipped in. Lines that follow each other in an order are related.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -41,6 +42,40 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def sql_value(x) -> str:
+    """A value as a SQL literal."""
+    if x is None:
+        return "NULL"
+    if isinstance(x, bool):
+        return str(x).lower()
+    if isinstance(x, float):
+        return f"CAST({x!r} AS DOUBLE)"
+    return str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+
+
+def forms(t: str, number: str, inputs: str, outputs: list[str], rows: list[tuple]):
+    """A query over a table whose row of a number (a SQL expression) gets the form of that number: ``inputs`` (a schema) go
+    through the decorated function, which names columns; the last ``outputs`` values of a form are what must come out."""
+
+    def add(f):
+        n = len(inputs.split(", "))
+        names = [c.split()[0] for c in inputs.split(", ")]
+        given = [dict(zip(names, r[:n], strict=True)) for r in rows]
+
+        def run(spark: SparkSession, d: str) -> DataFrame:
+            every = F.from_json(F.lit(json.dumps(given)), f"array<struct<{', '.join(c.replace(' ', ': ') for c in inputs.split(', '))}>>")
+            df = table(spark, d, t).select(F.expr(number).alias("id"))
+            made = f(df.withColumn("f", F.get(every, F.pmod("id", F.lit(len(rows))).cast("int"))).select("id", "f.*"))
+            return made.select("id", *outputs)
+
+        run.__name__ = f.__name__
+        values = ", ".join(f"({i}, {', '.join(map(sql_value, r[n:]))})" for i, r in enumerate(rows))
+        sql = f"SELECT t.id, {', '.join('e.' + c for c in outputs)} FROM (SELECT {number} AS id FROM {t}) t JOIN (VALUES {values}) e(i, {', '.join(outputs)}) ON t.id % {len(rows)} = e.i"
+        return query(sql)(run)
+
+    return add
+
+
 def derived_facts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_suppkey").alias("document_id"), F.col("l_partkey").alias("entity_id"), F.col("l_returnflag").alias("fact_type_id"),
@@ -141,11 +176,11 @@ def knn_entities(spark, d):
 
 
 @query("""SELECT query, row, similarity FROM (SELECT a.vec_id AS query, b.vec_id AS row, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity,
-  row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id) AS n FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND b.vec_id % 2 = 1) WHERE n = 1""")
+  row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id) AS n FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id) WHERE n = 1""")
 def nearest_type(spark, d):
     e = table(spark, d, "embeddings")
     queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
-    got = similarity.nearest_one(queries, e.where("vec_id % 2 = 1").select(F.col("vec_id").alias("row"), F.col("embedding").alias("v")), "query", "row")
+    got = similarity.nearest_one(queries, e.select(F.col("vec_id").alias("row"), F.col("embedding").alias("v")), "query", "row", residual=F.col("query") != F.col("row"))
     return got.select("query", "row", F.round("similarity", 6).alias("similarity"))
 
 
@@ -170,15 +205,129 @@ def comparison_forms(spark, d):
     return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), text.comparison_form(text.normalize_name(name)).alias("form"))
 
 
-@query("""SELECT id, CASE m WHEN 0 THEN q * 1e7 WHEN 1 THEN q * 1e6 WHEN 2 THEN q * 1.0 ELSE q * 1e3 END AS number, CASE m WHEN 0 THEN 'INR' WHEN 1 THEN 'USD' END AS currency,
-  CASE m WHEN 0 THEN 'cr' WHEN 1 THEN 'm' WHEN 2 THEN 'percent' ELSE 'k' END AS unit
-FROM (SELECT l_orderkey * 10 + l_linenumber AS id, CAST(l_quantity AS BIGINT) AS q, l_linenumber % 4 AS m FROM lineitem)""")
-def parsed_numbers(spark, d):
-    q, m = F.col("l_quantity").cast("bigint").cast("string"), F.col("l_linenumber") % 4
-    raw = F.when(m == 0, F.concat(F.lit("₹"), q, F.lit(" Cr"))).when(m == 1, F.concat(F.lit("$"), q, F.lit("M"))).when(m == 2, F.concat(q, F.lit(" pct"))).otherwise(F.concat(q, F.lit("K")))
+NUMBERS = [
+    ("50K", None, None, 50e3, None, "k", None), ("$4.2M", None, None, 4.2e6, "USD", "m", None), ("2.5 billion", None, None, 2.5e9, None, "billion", None), ("10 Cr", "crores", None, 1e8, None, "cr", None), ("5 Lakh", "lakhs", None, 5e5, None, "lakh", None), ("₹500", None, None, 500.0, "INR", None, None),
+    ("N/A", None, None, None, None, None, None), ("Not available", "kg", "usd", None, None, None, None), ("", None, None, None, None, None, None), ("€100M", None, "USD", 1e8, "USD", "m", None), ("5", "kg", None, 5e3, None, "k", "kg"), ("12%", None, None, 12.0, None, "percent", "percent"), ("12", "pct", "eur", 12.0, "EUR", "percent", "percent"),
+    ("250 bps", None, None, 2.5, None, "percent", "percent"), ("1,234,567", None, "inr", 1234567.0, "INR", None, None), ("7", "units", "chf", 7.0, "CHF", "units", "units"), ("3 thousand", "million", None, 3e3, None, "thousand", None), ("3", "million", None, 3e6, None, "million", None), ("(500)", None, None, 500.0, None, None, None),
+    ("-3.5 bn", None, None, -3.5e9, None, "bn", None), ("40 dollars", None, None, 40.0, "USD", None, None), ("9 lacs", None, "rupees", 9e5, "INR", "lacs", None), ("'8 million'", None, None, 8e6, None, "million", None), ("2 monthly", None, None, 2.0, None, None, None), ("5 k m", None, None, 5e3, None, "k", None), ("6 mn and 2 trillion", None, "", 6e12, None, "trillion", None),
+]
+
+
+@forms("lineitem", "l_orderkey * 10 + l_linenumber", "v string, u string, c string", ["number", "currency", "unit", "physical_unit"], NUMBERS)
+def parsed_numbers(df):
     n = F.col("n")
-    got = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), numbers.parse_numeric(raw, F.lit(None).cast("string"), F.lit(None).cast("string")).alias("n"))
-    return got.select("id", n["value"].alias("number"), n["currency"].alias("currency"), n["unit"].alias("unit"))
+    got = df.withColumn("n", numbers.parse_numeric(F.col("v"), F.col("u"), F.col("c")))
+    return got.select("id", n["value"].alias("number"), n["currency"].alias("currency"), n["unit"].alias("unit"), n["physical_unit"].alias("physical_unit"))
+
+
+NORMAL = [
+    ('  "1,000,000"  ', "1000000"), ("$4,200.50", "$4200.50"), ("50 bps", "0.5%"), ("150 basis points", "1.5%"), ("15 pct", "15%"), ("12  Percent", "12%"), ("1,2,3", "12,3"), ("", ""), (" A \u00a0 b ", "a b"), ("“Quoted”", "quoted"), ("+25 BPS", "0.25%"), ("about 5 percent of", "about 5% of"), (None, ""), ("percentage", "percentage"), ("'x", "x"), ("1,00,000 Cr", "100000 cr"),
+]
+
+
+@forms("orders", "o_orderkey", "v string", ["normal"], NORMAL)
+def normal_forms(df):
+    return df.withColumn("normal", text.normalize_value(F.col("v")))
+
+
+PERIODS = [
+    ("FY24", "FY2024"), ("FY 2024", "FY2024"), ("Fiscal year 2024", "FY2024"), ("2023-24", "FY2024"), ("FY23/24", "FY2024"), ("2024-03-31", "2024"), ("1998-99", "FY1999"), ("1999-00", "FY1900"), ("Q1 FY24", "FY2024"), ("1Q2024", "Q1-FY2024"), ("q3'24", "Q3-FY2024"), ("CY 2024", "CY2024"), ("in 2021", "2021"), ("Long  Ago", "long ago"), (None, ""), ("FY85", "FY1985"), ("2024-03", "FY2003"), ("fiscal ’19", "FY2019"), ("H1", "h1"),
+]
+
+
+@forms("orders", "o_orderkey", "v string", ["period"], PERIODS)
+def period_forms(df):
+    return df.withColumn("period", periods.normalize_period(F.col("v")))
+
+
+NAMES = [
+    ("Acme Corp", "Acme Corporation", True, "acme corp"), ("Apple Inc.", "Apple Records", False, "apple inc"), ("Google LLC", "Alphabet Inc.", False, "google llc"), ("The Acme Corporation", "acme corp", True, "acme corp"), ("", "x", False, ""), ("甲", "乙", True, ""), ("X L.L.C.", "X LLC", True, "x llc"), ("“Globex Limited”", "globex ltd", True, "globex ltd"), ("International Business", "International Busines", True, "international business"), ("Widget Company", "Gadget Company", True, "widget co"), ("Widget", "Gadget", False, "widget"), ("Foo P.L.C", "foo plc", True, "foo plc"), ("A-B Incorporated", "A B Inc", True, "a b inc"),
+]
+
+
+@forms("supplier", "s_suppkey", "a string, b string", ["merges", "form"], NAMES)
+def name_pairs(df):
+    return df.withColumns({"merges": text.names_merge(F.col("a"), F.col("b")), "form": text.comparison_form(text.normalize_name(F.col("a")))})
+
+
+PREDICATES = [
+    ("revenue", "net revenue", None, None, True), ("revenue", "director of operations", None, None, False), ("total_revenue", "total revenue", None, None, True), ("foo", "bar", "t1", "t1", True), ("foo", "bar", "t1", "t2", False), ("foo", "bar", None, None, False), ("employee count", "employees count", None, None, True), ("Gross Margin", "gross-margin", None, None, True), ("net income", "gross income", None, None, False),
+]
+
+
+@forms("part", "p_partkey", "a string, b string, ta string, tb string", ["alike"], PREDICATES)
+def predicate_pairs(df):
+    return df.withColumn("alike", text.predicates_match(F.col("a"), F.col("b"), F.col("ta"), F.col("tb")))
+
+
+SAME = "Both documents report identical values of "
+EQUAL = "Values are numerically equivalent after unit normalization: "
+#: a's and b's value, unit, currency, period, qualifiers; relation, confidence, escalate, explanation, reason. Predicate: revenue.
+LADDER = [
+    ("$4,200,000", None, None, "FY2024", None, "$4200000", None, None, "FY 24", None, "corroborates", 0.95, False, SAME + '"$4,200,000" for revenue.', None),
+    ("$4.2M", None, None, "FY2024", None, "4200000", None, None, "FY2024", None, "corroborates", 0.95, False, EQUAL + '"$4.2M" matches "4200000" for revenue.', None),
+    ("$1.5B", None, None, "FY2024", None, "$1500M", None, None, "FY2024", None, "corroborates", 0.95, False, EQUAL + '"$1.5B" matches "$1500M" for revenue.', None),
+    ("100M", None, "USD", "FY2024", None, "100,000,000", None, "EUR", "FY2024", None, "reconciled", 0.9, False, "Values are numerically identical (100000000) but reported in different currencies: USD vs EUR.", None),
+    ("$50", None, None, "FY2024", None, "50%", None, None, "FY2024", None, None, None, True, None, rules.SAME_PERIOD),
+    ("5", None, None, "FY2023", None, "5", None, None, "FY2024", None, "reconciled", 0.9, False, 'Values differ ("5" vs "5") because they cover different time periods: "FY2023" vs "FY2024".', None),
+    ("500", None, None, "FY2024", '{"geography":"NA"}', "650", None, None, "FY2024", '{"geography":"Europe"}', "reconciled", 0.9, False, 'Values differ ("500" vs "650") due to different geography qualifier: "NA" vs "Europe".', None),
+    ("500", None, None, "FY2024", '{"n":5,"_entity":{"name":"a"}}', "650", None, None, "FY2024", '{"_entity":{"name":"b"}}', "reconciled", 0.9, False, 'Values differ ("500" vs "650") due to different n qualifier: "5" vs "undefined".', None),
+    ("500", None, None, None, None, "650", None, None, "FY2024", None, None, None, True, None, rules.NO_PERIOD),
+    ("500", None, None, "FY2024", None, "650", None, None, "FY2024", None, None, None, True, None, rules.SAME_PERIOD),
+    ("good", None, None, None, None, "Good ", None, None, None, None, "corroborates", 0.95, False, SAME + '"good" for revenue.', None),
+    ("5", "kg", None, "FY2024", None, "5.0", "litres", None, "FY2024", None, None, None, True, None, rules.SAME_PERIOD),
+    ("5", "kg", None, "FY2024", None, "5", "litres", None, "FY2024", None, "corroborates", 0.95, False, SAME + '"5" for revenue.', None),
+    ("500", None, None, None, '{"tags":["a"]}', "650", None, None, "FY2024", '{"tags":["b"]}', "reconciled", 0.9, False, 'Values differ ("500" vs "650") due to different tags qualifier: "["a"]" vs "["b"]".', None),
+]
+SIDE = ("value", "unit", "currency", "time_scope", "qualifiers")
+
+
+@forms("lineitem", "l_orderkey * 10 + l_linenumber", ", ".join(f"{s}_{c} string" for s in "ab" for c in SIDE), ["relation_type", "confidence", "escalate", "explanation", "reason"], LADDER)
+def rule_ladder(df):
+    side = lambda s: F.struct(F.lit("revenue").alias("predicate"), F.lit(None).cast("string").alias("raw_value"), *[F.col(f"{s}_{c}").alias(c) for c in SIDE])
+    return rules.rule_reconcile(df.select("id", side("a").alias("a"), side("b").alias("b")))
+
+
+TIMES = [(7000.0, "≈ 7s left"), (4400.0, "almost done"), (-5000.0, "almost done"), (120000.0, "≈ 2m left"), (125000.0, "≈ 2m 5s left"), (3720000.0, "≈ 1h 2m left"), (None, None), (59499.0, "≈ 59s left"), (59500.0, "≈ 1m left"), (7200000.0, "≈ 2h 0m left")]
+
+
+@forms("orders", "o_orderkey", "ms double", ["eta"], TIMES)
+def eta_texts(df):
+    return df.withColumn("eta", display.format_eta(F.col("ms")))
+
+
+STATES = [
+    ("failed", "extract", "done", "failed", "pending", "extract", "Stage failed"), ("resolving", "resolve", "done", "done", "pending", "resolve", "Complete"), ("pending", None, "active", "pending", "pending", "parse", "Waiting"), ("done", None, "done", "done", "done", "reconcile", "Complete"), ("failed", None, "pending", "pending", "pending", None, "Waiting"), ("parsing", "parse", "active", "pending", "pending", "parse", "Waiting"), ("reconciling", "reconcile", "done", "done", "active", None, "Complete"), ("extracting", "extract", "done", "active", "pending", None, "Reading facts"),
+]
+
+
+@forms("orders", "o_orderkey", "status string, stage string", ["parse", "extract", "reconcile", "line"], [(a, b, c, d, e, g) for a, b, c, d, e, _, g in STATES])
+def stage_states(df):
+    got = df.withColumns({s: display.stage_state(F.col("status"), F.col("stage"), s) for s in ("parse", "extract", "reconcile")})
+    return got.withColumn("line", display.stage_line(F.col("extract"), "extract", F.lit(None).cast("string"), "Reading facts", F.lit(None).cast("string")))
+
+
+MENTIONS = [
+    ('{"_entity":{"name":" Acme ","type":" company ","context":" a maker "}}', "q", "Acme", "company", "a maker"), ('{"_entity":{"name":" ","type":"","context":"  "}}', "q", "Unknown Entity", None, "q"), ('{"entity":{"name":"Globex"}}', "", "Globex", None, None), (None, "q", "Unknown Entity", None, "q"), ('{"_entity":{"type":"t"},"entity":{"name":"other"}}', None, "Unknown Entity", "t", None),
+]
+
+
+@forms("orders", "o_orderkey", "qualifiers string, source_quote string", ["name", "type", "context"], MENTIONS)
+def entity_mentions(df):
+    found = fact_ops.mentions(df.withColumns({"document_id": F.lit(1), "idx": F.lit(1)}))
+    return found.withColumnRenamed("fact_id", "id")
+
+
+LOOSE = [
+    ('{"confidence":0.4,"value":5,"pageNumber":2,"unit":"kg","entity":{"name":"A","type":"t"}}', 0.4, "5", "", 2, "kg", "A", "t", "{}"), ('{"confidence":"0.9","rawValue":"x","pageNumber":"3","unit":7}', 0.0, "", "x", 8, None, "Unknown", "Unknown", "{}"), ('{"entity":{"name":"B"},"qualifiers":{"k":1}}', 0.0, "", "", 8, None, "B", None, '{"k":1}'),
+    ('{"entity":null,"qualifiers":"text","value":"v"}', 0.0, "v", "", 8, None, "Unknown", "Unknown", "{}"), ('{"qualifiers":[{"key":"k","value":"1"},{"key":"k","value":"2"}],"value":true}', 0.0, "true", "", 8, None, "Unknown", "Unknown", '{"k":"2"}'),
+]
+
+
+@forms("orders", "o_orderkey", "fact string", ["confidence", "value", "raw_value", "page_number", "unit", "entity_name", "entity_type", "qualifiers"], LOOSE)
+def loose_facts(df):
+    replies = df.select("id", F.concat(F.lit('```json\n{"facts":['), "fact", F.lit("]}\n```")).alias("reply"))
+    return fact_ops.read_facts(replies, default_page=F.lit(8))
 
 
 @query("""SELECT id, CASE m WHEN 0 THEN 'FY' || y WHEN 1 THEN 'FY' || substr(CAST(y AS VARCHAR), 1, 2) || substr(CAST(y + 1 AS VARCHAR), 3, 2) WHEN 2 THEN 'Q2-FY' || y WHEN 3 THEN 'CY' || y ELSE CAST(y AS VARCHAR) END AS period
@@ -206,21 +355,21 @@ def rule_decisions(spark, d):
 
 
 @query("""WITH f AS (SELECT o_orderkey AS id, o_custkey AS entity_id, o_orderkey % 50 AS document_id, o_totalprice AS v, CAST(CAST(o_totalprice / 50000 AS BIGINT) AS VARCHAR) AS value, 'FY' || CAST(year(o_orderdate) AS VARCHAR) AS t FROM orders),
-met AS (SELECT a.id AS a, b.id AS b, a.value AS va, b.value AS vb, a.t AS ta, b.t AS tb, row_number() OVER (PARTITION BY a.id ORDER BY abs(a.v - b.v), b.id) AS n FROM f a JOIN f b ON a.entity_id = b.entity_id AND a.document_id <> b.document_id AND a.id <> b.id WHERE a.id % 7 = 0 AND abs(a.v - b.v) < 100000),
+met AS (SELECT a.id AS a, b.id AS b, a.value AS va, b.value AS vb, a.t AS ta, b.t AS tb, row_number() OVER (PARTITION BY a.id ORDER BY abs(a.v - b.v), b.id) AS n FROM f a JOIN f b ON a.entity_id = b.entity_id AND a.document_id <> b.document_id AND a.id <> b.id WHERE abs(a.v - b.v) < 100000),
 firsts AS (SELECT *, row_number() OVER (PARTITION BY least(a, b), greatest(a, b) ORDER BY a, n) AS first FROM met WHERE n <= 10)
 SELECT least(a, b) AS fact_a_id, greatest(a, b) AS fact_b_id, CASE WHEN ta = tb AND va = vb THEN 'corroborates' WHEN ta <> tb THEN 'reconciled' ELSE 'uncertain' END AS relation_type, CASE WHEN ta = tb AND va = vb THEN 'rule' WHEN ta <> tb THEN 'rule' ELSE 'llm_judge' END AS method FROM firsts WHERE first = 1""")
 def reconciled_candidates(spark, d):
     null = F.lit(None).cast("string")
     f = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("entity_id"), (F.col("o_orderkey") % 50).alias("document_id"), F.lit("revenue").alias("predicate"), F.round(F.col("o_totalprice") / 50000).cast("bigint").cast("string").alias("value"),
                                          F.lit("").alias("raw_value"), null.alias("unit"), null.alias("currency"), F.concat(F.lit("FY"), F.year("o_orderdate").cast("string")).alias("time_scope"), null.alias("qualifiers"), null.alias("fact_type_id"), F.col("o_totalprice").alias("vector"))
-    pairs = reconcile.candidate_pairs(f.where("id % 7 = 0"), f, 10, F.abs(F.col("a_vector") - F.col("b_vector")), 100000)
+    pairs = reconcile.candidate_pairs(f, f, 10, F.abs(F.col("a_vector") - F.col("b_vector")), 100000)
     return reconcile.relationship_rows(reconcile.evaluate(pairs)).select("fact_a_id", "fact_b_id", "relation_type", "method")
 
 
-@query("""WITH n AS (SELECT p_partkey AS idx, p_brand AS document_id, lower(p_name) AS name FROM part WHERE p_size <= 5) SELECT a.document_id, a.idx AS idx_a, b.idx AS idx_b FROM n a JOIN n b ON a.document_id = b.document_id AND a.idx < b.idx
+@query("""WITH n AS (SELECT p_partkey AS idx, p_brand AS document_id, lower(p_name) AS name FROM part) SELECT a.document_id, a.idx AS idx_a, b.idx AS idx_b FROM n a JOIN n b ON a.document_id = b.document_id AND a.idx < b.idx
 WHERE a.name = b.name OR 1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)) >= 0.85""")
 def merging_names(spark, d):
-    names = table(spark, d, "part").where("p_size <= 5").select(F.col("p_brand").alias("document_id"), F.col("p_partkey").alias("idx"), F.col("p_name").alias("name"))
+    names = table(spark, d, "part").select(F.col("p_brand").alias("document_id"), F.col("p_partkey").alias("idx"), F.col("p_name").alias("name"))
     return similarity.merging_names(names)
 
 
@@ -231,9 +380,10 @@ def repeated_lines(spark, d):
     return pages.repeated_lines(p, "lang", least=5)
 
 
-@query("SELECT doc_id, min(doc_id) OVER (PARTITION BY lang, substr(sha256(trim(text)), 1, 16)) AS canonical_page FROM documents WHERE trim(text) <> ''")
+@query("SELECT doc_id, CASE WHEN text = '' THEN doc_id ELSE min(doc_id) OVER (PARTITION BY lang, substr(sha256(text), 1, 16)) END AS canonical_page FROM (SELECT doc_id, lang, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS text FROM documents)")
 def duplicate_pages(spark, d):
-    p = table(spark, d, "documents").where("trim(text) <> ''").select("lang", F.col("doc_id").alias("page_number"), F.trim("text").alias("text"))
+    clean = F.regexp_replace(F.coalesce("text", F.lit("")), "^\\s+|\\s+$", "")
+    p = table(spark, d, "documents").select("lang", F.col("doc_id").alias("page_number"), clean.alias("text"))
     got = pages.deduplicate_pages(p, "lang")
     return got.select(F.col("page_number").alias("doc_id"), "canonical_page")
 
@@ -244,19 +394,21 @@ def grouped_chunks(spark, d):
     return pages.group_chunks(c).select("page_number", "raw_text", "is_low_text", "needs_vision", "first_chunk_index")
 
 
-@query("SELECT doc_id, CASE WHEN n_chars < 200 THEN 'defer-vision-disabled' WHEN contains(text, '|') THEN 'extract-text-table' ELSE 'extract-text' END AS route FROM documents WHERE trim(text) <> ''")
+@query("""SELECT doc_id, CASE WHEN trim(coalesce(text, ''), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') = '' THEN 'skip' WHEN n_chars < 200 THEN 'defer-vision-disabled' WHEN contains(text, '|') THEN 'extract-text-table' ELSE 'extract-text' END AS route FROM documents""")
 def routed_pages(spark, d):
-    p = table(spark, d, "documents").where("trim(text) <> ''")
-    return p.select("doc_id", pages.route(F.col("text"), F.lit(1), F.col("n_chars") < 200, F.contains("text", F.lit("|")), False).alias("route"))
+    p = table(spark, d, "documents").withColumn("runs", F.when(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "\\s", "")) == "", 0).otherwise(1))
+    return p.select("doc_id", pages.route(F.col("text"), F.col("runs"), F.col("n_chars") < 200, F.contains("text", F.lit("|")), False).alias("route"))
 
 
-@query("""WITH RECURSIVE p AS (SELECT source, doc_id, greatest(400, CAST(floor(1.5 * ceil(n_chars / 4.0) + 0.5) AS BIGINT)) AS cost, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
-w AS (SELECT source, doc_id, i, 0 AS batch, cost AS total, 1 AS n, cost >= 5000 AS closed FROM p WHERE i = 1
-UNION ALL SELECT p.source, p.doc_id, p.i, w.batch + CASE WHEN f THEN 1 ELSE 0 END, CASE WHEN f THEN p.cost ELSE w.total + p.cost END, CASE WHEN f THEN 1 ELSE w.n + 1 END, p.cost >= 5000
-FROM w JOIN (SELECT * FROM p) p ON p.source = w.source AND p.i = w.i + 1, LATERAL (SELECT p.cost >= 5000 OR w.closed OR w.total + p.cost > 5000 OR w.n >= 15 AS f) x) SELECT source, doc_id, batch FROM w""")
+@query("""WITH RECURSIVE p AS (SELECT l_orderkey AS document_id, l_linenumber AS page_number, greatest(400, CAST(floor(1.5 * CAST(l_quantity * 60 AS BIGINT) + 0.5) AS BIGINT)) AS cost, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS i FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_quantity)),
+w AS (SELECT document_id, page_number, i, 0 AS batch, cost AS total, 1 AS n, cost >= 4000 AS closed FROM p WHERE i = 1
+UNION ALL SELECT p.document_id, p.page_number, p.i, w.batch + CASE WHEN f THEN 1 ELSE 0 END, CASE WHEN f THEN p.cost ELSE w.total + p.cost END, CASE WHEN f THEN 1 ELSE w.n + 1 END, p.cost >= 4000
+FROM w JOIN p ON p.document_id = w.document_id AND p.i = w.i + 1, LATERAL (SELECT p.cost >= 4000 OR w.closed OR w.total + p.cost > 4000 OR w.n >= 3 AS f) x) SELECT document_id, page_number, batch FROM w""")
 def packed_pages(spark, d):
-    p = table(spark, d, "documents").select("source", F.col("doc_id").alias("page_number"), F.ceil(F.col("n_chars") / 4).cast("int").alias("token_estimate"))
-    return pages.pack_pages(p, "source", 5000, 15).select("source", F.col("page_number").alias("doc_id"), "batch")
+    w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_quantity")
+    p = table(spark, d, "lineitem").withColumn("n", F.row_number().over(w)).where("n = 1")
+    p = p.select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("page_number"), (F.col("l_quantity") * 60).cast("int").alias("token_estimate"))
+    return pages.pack_pages(p, "document_id", 4000, 3)
 
 
 @query("""SELECT b.bucket, count(q.bucket) AS n FROM (SELECT unnest(['0-100', '101-400', '401-1000', '1000+']) AS bucket) b
@@ -271,21 +423,35 @@ def duplicate_triples(spark, d):
     return got.select("total", "duplicates", F.round("rate", 6).alias("rate"))
 
 
-@query("""SELECT item_id, contains(t, q) AS source_quote_valid, CASE WHEN contains(t, q) THEN 0.8::DOUBLE ELSE 0.4::DOUBLE END AS confidence, CASE WHEN contains(t, q) THEN '{}' ELSE '{"quoteMismatch":true}' END AS qualifiers
-FROM (SELECT item_id, substr(b.text, 1, 40) AS q, d.text AS t FROM benchmark b JOIN documents d ON d.doc_id = b.item_id) WHERE trim(q) = q""")
+@query("""SELECT item_id, count(d.doc_id) AS n_documents, coalesce(min(d.doc_id), -1) AS first_document FROM (SELECT item_id, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS q FROM benchmark) b LEFT JOIN documents d ON q <> '' AND contains(d.text, q) GROUP BY item_id""")
+def quotes_found(spark, d):
+    """Every benchmark text as a quote against the whole text of every document."""
+    q = table(spark, d, "benchmark").select("item_id", F.regexp_replace(F.coalesce("text", F.lit("")), "^\\s+|\\s+$", "").alias("source_quote"))
+    found = fact_ops.quotes_in_pages(q, table(spark, d, "documents").select("doc_id", F.col("text").alias("page_text")), "item_id", "doc_id")
+    got = q.join(found, "item_id", "left").groupBy("item_id").agg(F.count("doc_id").alias("n_documents"), F.coalesce(F.min("doc_id"), F.lit(-1)).alias("first_document"))
+    return got.select("item_id", "n_documents", "first_document")
+
+
+@query("""SELECT doc_id, v AS source_quote_valid, CASE WHEN vision OR v THEN 0.8::DOUBLE ELSE 0.4::DOUBLE END AS confidence, CASE WHEN vision THEN '{"a":1,"visionOnly":true}' WHEN v THEN '{"a":1}' ELSE '{"a":1,"quoteMismatch":true}' END AS qualifiers
+FROM (SELECT doc_id, doc_id % 5 = 4 AS vision, doc_id % 5 < 3 AND trim(q, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') <> '' AND contains(t, trim(q, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')) AS v
+FROM (SELECT doc_id, coalesce(text, '') AS t, CASE doc_id % 5 WHEN 0 THEN substr(coalesce(text, ''), 1, 60) WHEN 1 THEN substr(coalesce(text, ''), 11) WHEN 2 THEN upper(substr(coalesce(text, ''), 1, 20)) ELSE '' END AS q FROM documents))""")
 def quote_checks(spark, d):
-    b = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 40).alias("source_quote")).where("trim(source_quote) = source_quote")
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("page_text"))
-    got = b.join(docs, "item_id").withColumns({"confidence": F.lit(0.8), "qualifiers": F.lit("{}"), "via_vision": F.lit(False)})
-    return fact_ops.check_quotes(got).select("item_id", "source_quote_valid", "confidence", "qualifiers")
+    """Quotes of several kinds against the page they come from: a head, a long tail, one in capitals, none, one of an image."""
+    t, m = F.coalesce("text", F.lit("")), F.col("doc_id") % 5
+    quote = F.when(m == 0, F.substring(t, 1, 60)).when(m == 1, F.substring(t, F.lit(11), F.length(t))).when(m == 2, F.upper(F.substring(t, 1, 20))).otherwise("")
+    got = table(spark, d, "documents").select("doc_id", t.alias("page_text"), quote.alias("source_quote"), F.lit(0.8).alias("confidence"), F.lit('{"a":1}').alias("qualifiers"), (m == 4).alias("via_vision"))
+    return fact_ops.check_quotes(got).select("doc_id", "source_quote_valid", "confidence", "qualifiers")
 
 
 @query(f"""WITH {FACTS}, s AS (SELECT *, CASE WHEN source_page % 2 = 0 THEN value || ' units' ELSE 'none' END AS quote FROM facts ORDER BY extracted_at DESC, id LIMIT 30),
-v AS (SELECT CASE WHEN source_page = 1 THEN 'quoteWrong' WHEN contains(quote, value) THEN 'correct' ELSE 'valueWrong' END AS verdict FROM s)
+c AS (SELECT DISTINCT document_id, source_page FROM facts WHERE document_id % 3 = 0), v AS (SELECT CASE WHEN s.source_page = 1 THEN 'quoteWrong' WHEN c.document_id IS NOT NULL AND s.source_page % 2 = 1 THEN 'quoteWrong'
+WHEN contains(quote, value) THEN 'correct' ELSE 'valueWrong' END AS verdict FROM s LEFT JOIN c ON c.document_id = s.document_id AND c.source_page = s.source_page)
 SELECT count(*) AS total, count(*) FILTER (verdict = 'correct') AS correct, count(*) FILTER (verdict = 'quoteWrong') AS quote_wrong, count(*) FILTER (verdict = 'valueWrong') AS value_wrong, round(count(*) FILTER (verdict = 'correct') / count(*), 4) AS "precision" FROM v""")
 def spot_check_score(spark, d):
-    f = derived_facts(spark, d).withColumns({"source_chunk_index": F.lit(0), "raw_value": F.col("value"), "source_quote": F.when(F.col("source_page") % 2 == 0, F.concat("value", F.lit(" units"))).otherwise("none"), "source_quote_valid": F.col("source_page") != 1})
-    chunks = spark.createDataFrame([], "document_id bigint, page_number int, chunk_index int, raw_text string")
+    f = derived_facts(spark, d).withColumns({"source_chunk_index": F.lit(0), "raw_value": F.concat(F.lit(" "), F.col("value")), "source_quote": F.when(F.col("source_page") % 2 == 0, F.concat("value", F.lit(" Units "))).otherwise("none"), "source_quote_valid": F.col("source_page") != 1})
+    # chunks of every third document: each holds every quote with "units" and no other
+    words = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda n: F.concat(n.cast("string"), F.lit(" units"))), ", ")
+    chunks = f.where("document_id % 3 = 0").select("document_id", F.col("source_page").alias("page_number"), F.lit(0).alias("chunk_index"), words.alias("raw_text")).distinct()
     got = quality.score(quality.spot_check(f, chunks))
     return got.select("total", "correct", F.col("quoteWrong").alias("quote_wrong"), F.col("valueWrong").alias("value_wrong"), "precision")
 
@@ -338,11 +504,18 @@ def stage_times(spark, d):
     return progress.stage_times(table(spark, d, "events"), "user_id", "event_type", "ts").select(F.col("user_id").alias("document_id"), F.col("event_type").alias("stage"), "n_events", "elapsed_ms")
 
 
-@query("""SELECT event_id, m IN (0, 3) AS valid, m = 3 AS terminal FROM (SELECT event_id, event_id % 4 AS m FROM events)""")
-def checked_events(spark, d):
-    m = F.col("event_id") % 4
-    j = F.when(m == 0, '{"status":"parsing","stage":"parse","progress":{"current":1,"total":2}}').when(m == 1, '{"status":"nope"}').when(m == 2, '{"status":"parsing","elapsedMs":-1}').otherwise('{"status":"done"}')
-    return table(spark, d, "events").select("event_id", progress.is_valid_event(j).alias("valid"), progress.is_terminal_payload(j).alias("terminal"))
+EVENTS = [
+    ('{"status":"parsing","stage":"parse","progress":{"current":1,"total":2}}', True, False), ('{"status":"nope","progress":{"current":1,"total":2}}', False, False), ('{"status":"parsing","elapsedMs":-1,"progress":{"current":1,"total":2}}', False, False),
+    ('{"status":"done"}', False, True), ('{"status":"failed","progress":{"current":0,"total":1},"errorMessage":"no file"}', True, True), ('{"status":"failed","progress":{"current":0,"total":1},"errorMessage":7}', False, True),
+    ('{"status":"resolved","progress":{"current":1.5,"total":2e3},"errorMessage":null,"elapsedMs":0}', True, False), ('{"status":"resolved","progress":{"current":"1","total":2}}', False, False), ('{"status":"pending","progress":null}', False, False),
+    ('{"status":"pending","stage":"upload","progress":{"current":1,"total":2}}', False, False), ('{"status":"pending","stage":null,"progress":{"current":1,"total":2}}', False, False), ('[1]', False, False), ("no JSON", False, False), (None, False, False),
+    ('{"status":"reconciling","stage":"reconcile","elapsedMs":"5","progress":{"current":1,"total":2}}', False, False), ('{"status":"done","stage":"reconcile","elapsedMs":12.5,"progress":{"current":9,"total":9}}', True, True), ('{"status":5,"progress":{"current":1,"total":2}}', False, False),
+]
+
+
+@forms("events", "event_id", "j string", ["valid", "terminal"], EVENTS)
+def checked_events(df):
+    return df.withColumns({"valid": progress.is_valid_event(F.col("j")), "terminal": progress.is_terminal_payload(F.col("j"))})
 
 
 @query("""SELECT o_orderkey AS id, CAST(round(100 * CASE WHEN c = 0 THEN 1.0 ELSE c END) AS INTEGER) AS percent, CASE WHEN k > 0 AND k < 7 THEN round(o_totalprice * (7 - k) / k, 4) END AS eta_ms, least(100, CAST(round(100.0 * k / 7) AS INTEGER)) AS progress
@@ -352,12 +525,19 @@ def display_figures(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), display.confidence_percent(c).alias("percent"), F.round(display.eta_ms(F.col("o_totalprice"), k, F.lit(7)), 4).alias("eta_ms"), display.progress_percent(k, F.lit(7)).alias("progress"))
 
 
-@query("""SELECT id, CASE m WHEN 0 THEN 'contradicts' ELSE 'uncertain' END AS relation_type, CASE m WHEN 0 THEN 0.9::DOUBLE WHEN 1 THEN 0.6::DOUBLE ELSE 0.3::DOUBLE END AS confidence, m = 0 AS same FROM (SELECT o_orderkey AS id, o_orderkey % 3 AS m FROM orders)""")
-def model_replies(spark, d):
-    m = F.col("o_orderkey") % 3
-    said = F.when(m == 0, '```json\n{"relationType":"contradicts","confidence":0.9,"explanation":"x","same":true}\n```').when(m == 1, '{"relationType":"uncertain","confidence":0.95,"explanation":"y"} NO').otherwise("Answer: NO, they differ")
-    j = text.judge_reply(said)
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), j["relation_type"].alias("relation_type"), j["confidence"].alias("confidence"), F.coalesce(text.confirm_reply(said), F.lit(False)).alias("same"))
+LOST = "LLM judge returned unstructured or unparseable response: "
+REPLIES = [
+    ('```json\n{"relationType":"contradicts","confidence":0.9,"explanation":"x","same":true}\n```', "contradicts", 0.9, "x", True), ('{"relationType":"uncertain","confidence":0.95,"explanation":"y"} NO', "uncertain", 0.6, "y", False),
+    ("Answer: NO, they differ", "uncertain", 0.3, LOST + "Answer: NO, they differ", False), ("Yes, the same. No doubt.", "uncertain", 0.3, LOST + "Yes, the same. No doubt.", True), ('{"relationType":"reconciled","confidence":7,"explanation":" "}', "reconciled", 1.0, "Relationship classified by judge.", False),
+    ('{"relationType":"corroborates","confidence":-1,"explanation":" a "}', "corroborates", 0.0, "a", False), ('{"relationType":"corroborates","confidence":"0.9","explanation":"b","same":"true"}', "corroborates", 0.5, "b", False), ('{"relationType":"other","confidence":0.9}', "uncertain", 0.3, LOST + '{"relationType":"other","confidence":0.9}', False),
+    ('It is {"relationType":"contradicts","explanation":"c","same":false} YES', "contradicts", 0.5, "c", False), ('{"relationType":"contradicts" yes', "uncertain", 0.3, LOST + '{"relationType":"contradicts" yes', True), ("  ", "uncertain", 0.3, LOST, False), ("yesterday nothing", "uncertain", 0.3, LOST + "yesterday nothing", False),
+]
+
+
+@forms("orders", "o_orderkey", "said string", ["relation_type", "confidence", "explanation", "same"], REPLIES)
+def model_replies(df):
+    j = text.judge_reply(F.col("said"))
+    return df.withColumn("j", j).select("id", "j.*", F.coalesce(text.confirm_reply(F.col("said")), F.lit(False)).alias("same"))
 
 
 @query(f"""WITH {FACTS}, best AS (SELECT document_id, source_page, max(confidence) AS c FROM facts WHERE fact_type_id = 'R' GROUP BY document_id, source_page)
