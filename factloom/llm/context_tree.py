@@ -258,13 +258,13 @@ def top_of(dealt: DataFrame, depth: int, stem: int) -> ContextTree:
     found = dealt.mapInArrow(roots, "node bigint, n0 bigint, n1 bigint, w double")
     up = F.col("node").bitwiseAND(F.lit((1 << 8 * stem) - 1))
     # at most 65,536 contexts of 255 nodes
-    got = found.groupBy(up.alias("node")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("w").alias("w")).toPandas().sort_values("node")
-    levels = {stem - 1: tuple(got[c].to_numpy(dtype=np.int64) for c in ("node", "n0", "n1"))}
+    got = found.groupBy(up.alias("node")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("w").alias("w")).toArrow().sort_by("node")
+    levels = {stem - 1: tuple(got[c].to_numpy() for c in ("node", "n0", "n1"))}
     for d in range(stem - 2, -1, -1):
         node, n0, n1 = levels[d + 1]
         own, at = np.unique(node & ((1 << 8 * (d + 1)) - 1), return_inverse=True)
         levels[d] = own, *(np.bincount(at, weights=x, minlength=len(own)).astype(np.int64) for x in (n0, n1))
-    return ContextTree(levels, got["w"].to_numpy(dtype=float)).spread()
+    return ContextTree(levels, got["w"].to_numpy()).spread()
 
 
 def pair_logs(pairs: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -331,9 +331,9 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, frequent: int = FREQUEN
     whole = n + 0.5 * (v + 1)
     logs = pair_logs(stored(pair_counts(rows, depth), "pairs"), depth)
     least, least_pair = least_frequent(words, frequent), least_frequent(logs, frequent_pairs)
-    some = words.where(F.lit(False) if least is None else F.col("a") >= least).select("w", "c").toPandas()
-    pairs = logs.where(F.lit(False) if least_pair is None else F.col("a") >= least_pair).select("k", "log").toPandas().sort_values("k")
-    shared = Frequent(dict(zip(map(bytes, some["w"]), some["c"].tolist(), strict=True)), pairs["k"].to_numpy(dtype=np.int64), pairs["log"].to_numpy(dtype=float))
+    some = words.where(F.lit(False) if least is None else F.col("a") >= least).select("w", "c").toArrow()
+    pairs = logs.where(F.lit(False) if least_pair is None else F.col("a") >= least_pair).select("k", "log").toArrow().sort_by("k")
+    shared = Frequent(dict(zip(some["w"].to_pylist(), some["c"].to_pylist(), strict=True)), pairs["k"].to_numpy(), pairs["log"].to_numpy())
     shared = rows.sparkSession.sparkContext.broadcast(shared)
     del some, pairs
     end = (int(ends > 0), float(np.log10((ends + 0.5) / whole)))

@@ -78,8 +78,8 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, limit: int = 2048, freque
     rows = id_and_text(docs)
     table = piece_table(rows, tokenizer_file)
     least = least_frequent(table, frequent)
-    some = table.where(F.lit(False) if least is None else F.col("a") >= least).select("w", "n").toPandas()
-    shared = rows.sparkSession.sparkContext.broadcast(dict(zip(some["w"], some["n"].tolist(), strict=True)))
+    some = table.where(F.lit(False) if least is None else F.col("a") >= least).select("w", "n").toArrow()
+    shared = rows.sparkSession.sparkContext.broadcast(dict(zip(some["w"].to_pylist(), some["n"].to_pylist(), strict=True)))
     del some
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
