@@ -8,13 +8,15 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .vectors import cosine_similarity
+
 WHITE = "[\\s\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
 #: Quotes that are stripped at either end.
 OPEN_QUOTES, CLOSE_QUOTES = "[\"'‘“]+", "[\"'’”]+"
 #: Company suffixes and their short forms.
 SUFFIXES = {"corporation": "corp", "incorporated": "inc", "limited": "ltd", "company": "co"}
 DOTTED = {"l\\.l\\.c\\.?": "llc", "p\\.l\\.c\\.?": "plc"}
-NAME_THRESHOLD, PREDICATE_THRESHOLD, TYPE_THRESHOLD = 0.85, 0.7, 0.85
+NAME_THRESHOLD, VECTOR_THRESHOLD, PREDICATE_THRESHOLD, TYPE_THRESHOLD = 0.85, 0.80, 0.7, 0.85
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -83,13 +85,30 @@ def string_similarity(a: Column, b: Column) -> Column:
     return F.when(x == y, F.lit(1.0)).otherwise(1.0 - F.levenshtein(x, y) / longest)
 
 
+def name_forms(c: Column) -> Column:
+    """What names are compared by: struct<low, form>, the lower-case name and its comparison form."""
+    return let(normalize_name(c), lambda n: F.struct(F.lower(n).alias("low"), comparison_form(n).alias("form")))
+
+
+def forms_merge(x: Column, y: Column, threshold: float = NAME_THRESHOLD) -> Column:
+    """Whether two names of these forms name one entity. Names without ASCII word characters are alike, as their forms are
+    both empty. Lengths are compared first: they bound the similarity."""
+
+    def alike(a: Column, b: Column) -> Column:
+        longest, shortest = F.greatest(F.length(a), F.length(b)), F.least(F.length(a), F.length(b))
+        return (a == b) | ((shortest >= threshold * longest) & (1.0 - F.levenshtein(a, b) / longest >= threshold))
+
+    return (x["low"] != "") & (y["low"] != "") & (alike(x["low"], y["low"]) | alike(x["form"], y["form"]))
+
+
 def names_merge(a: Column, b: Column, threshold: float = NAME_THRESHOLD) -> Column:
-    """Whether two surface forms name one entity. Names without ASCII word characters are alike, as their forms are
-    both empty."""
-    x, y = normalize_name(a), normalize_name(b)
-    fx, fy = comparison_form(x), comparison_form(y)
-    alike = (F.lower(x) == F.lower(y)) | (string_similarity(x, y) >= threshold) | ((fx == fy) & (fx != "")) | (string_similarity(fx, fy) >= threshold)
-    return (x != "") & (y != "") & alike
+    return let(F.struct(name_forms(a).alias("a"), name_forms(b).alias("b")), lambda s: forms_merge(s["a"], s["b"], threshold))
+
+
+def names_or_vectors_merge(a: Column, b: Column, vector_a: Column, vector_b: Column, threshold: float = NAME_THRESHOLD, vector_threshold: float = VECTOR_THRESHOLD) -> Column:
+    """Whether two names are alike, or their vectors, where both have one."""
+    both = vector_a.isNotNull() & vector_b.isNotNull()
+    return names_merge(a, b, threshold) | F.coalesce(both & (cosine_similarity(vector_a, vector_b) >= vector_threshold), F.lit(False))
 
 
 def predicates_match(a: Column, b: Column, type_a: Column | None = None, type_b: Column | None = None, threshold: float = PREDICATE_THRESHOLD) -> Column:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import names_merge
+from ..functions.text import forms_merge, name_forms
 from ..functions.vectors import cosine_distance
 
 #: Bytes of query vectors that are broadcast at once for joins without an equality.
@@ -55,8 +56,14 @@ def nearest_one(queries: DataFrame, rows: DataFrame, query_id: str, row_id: str,
 
 
 def merging_names(names: DataFrame, scope: str = "document_id", threshold: float = 0.85) -> DataFrame:
-    """Pairs (scope, idx_a, idx_b) of names (scope, idx, name) of one document that name one entity."""
-    a = names.select(scope, F.col("idx").alias("idx_a"), F.col("name").alias("name_a"))
-    b = names.select(scope, F.col("idx").alias("idx_b"), F.col("name").alias("name_b"))
-    met = a.join(b, (a[scope] == b[scope]) & (F.col("idx_a") < F.col("idx_b"))).select(a[scope], "idx_a", "idx_b", "name_a", "name_b")
-    return met.where(names_merge(F.col("name_a"), F.col("name_b"), threshold)).select(scope, "idx_a", "idx_b")
+    """Pairs (scope, idx_a, idx_b) of names (scope, idx, name) of one document that name one entity. Forms are made once a
+    name; the length of a form says which lengths can be alike, so that names meet in bands of length only."""
+    own = names.select(scope, "idx", name_forms(F.col("name")).alias("f"))
+    # lengths that are alike differ by less than a band, so they are of the same band or of neighbours
+    band = lambda f: F.floor(F.log(F.greatest(F.length(f), F.lit(1)).cast("double")) / F.lit(-math.log(threshold))).cast("int")
+    keys = F.array_distinct(F.array(F.struct(F.lit("low").alias("k"), band(F.col("f.low")).alias("n")), F.struct(F.lit("form").alias("k"), band(F.col("f.form")).alias("n"))))
+    a = own.select(scope, F.col("idx").alias("idx_a"), F.col("f").alias("fa"), F.explode(keys).alias("key"))
+    near = F.flatten(F.transform(keys, lambda x: F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: F.struct(x["k"].alias("k"), (x["n"] + i).alias("n")))))
+    b = own.select(scope, F.col("idx").alias("idx_b"), F.col("f").alias("fb"), F.explode(near).alias("key"))
+    met = a.join(b, [scope, "key"]).where("idx_a < idx_b").where(forms_merge(F.col("fa"), F.col("fb"), threshold))
+    return met.select(scope, "idx_a", "idx_b").distinct()

@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from ..functions import display, numbers, periods, text
 from ..functions.vectors import cosine_similarity
 from ..operators import facts as fact_ops
-from ..operators import pages, quality, reconcile, rules, similarity, views
+from ..operators import jobs, pages, quality, reconcile, rules, similarity, views
 from ..sources import sinks
 from ..streaming import progress
+from .schemas import TABLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -546,3 +547,117 @@ def escalated_pages(spark, d):
     f = derived_facts(spark, d)
     p = f.select("document_id", "source_page").distinct().withColumn("is_table_heavy", F.lit(True))
     return fact_ops.escalation_pages(p, f.where("fact_type_id = 'R'"), ["document_id", "source_page"], 0.99).select("document_id", "source_page")
+
+
+@query("SELECT o_orderkey AS id, o_orderstatus AS status FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50")
+def recent_documents(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("uploaded_at"), F.lit("/x").alias("file_path"))
+    return views.recent_documents(o).select("id", "status")
+
+
+@query("""SELECT o_orderkey AS id FROM orders WHERE o_orderstatus <> 'F' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""")
+def untracked_documents(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "failed").otherwise("parsing").alias("status"))
+    return views.documents_with_status(o, table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("id"))).select("id")
+
+
+@query("""SELECT r.id, r.other_id, r.role, s.s_name AS other_name FROM (SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey AS other_id, 'factB' AS role FROM lineitem WHERE l_partkey = 1 AND l_linenumber < 6
+ORDER BY l_shipdate DESC, id LIMIT 100) r LEFT JOIN supplier s ON s.s_suppkey = r.other_id""")
+def related_facts(spark, d):
+    pairs = table(spark, d, "lineitem").where("l_linenumber < 6").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("fact_a_id"), (F.col("l_suppkey") + 10**9).alias("fact_b_id"), F.col("l_shipdate").alias("created_at"))
+    cards = table(spark, d, "supplier").select((F.col("s_suppkey") + 10**9).alias("id"), F.col("s_name").alias("name"))
+    return views.related_facts(pairs, 1, cards).select("id", (F.col("other_id") - 10**9).alias("other_id"), "role", F.col("other.name").alias("other_name"))
+
+
+@query("SELECT o_orderkey AS id, o_orderpriority AS surface_form, s_name AS filename FROM orders LEFT JOIN supplier ON s_suppkey = o_orderkey % 200 WHERE o_custkey = 7")
+def aliases_of_entity(spark, d):
+    a = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("entity_id"), F.col("o_orderpriority").alias("surface_form"), (F.col("o_orderkey") % 200).alias("document_id"), F.col("o_orderdate").alias("created_at"))
+    return views.aliases_of(a, table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("filename")), 7).select("id", "surface_form", "filename")
+
+
+@query("SELECT l_orderkey * 10 + l_linenumber AS id, s_name AS filename FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE s_nationkey < 10")
+def facts_of_documents(spark, d):
+    names = table(spark, d, "supplier").where("s_nationkey < 10").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("filename"))
+    return views.facts_of_documents(derived_facts(spark, d), names).select("id", "filename")
+
+
+@query(f"WITH {FACTS}, {RELATED} SELECT fact_a_id AS id FROM rels UNION SELECT fact_b_id FROM rels")
+def facts_in_relationships(spark, d):
+    return views.facts_in(derived_relationships(derived_facts(spark, d)))
+
+
+@query("""SELECT user_id AS document_id, count(*) AS total, count(*) FILTER (event_id % 4 > 0) AS done, count(*) FILTER (event_id % 4 = 2) AS failed FROM events GROUP BY user_id""")
+def status_counts(spark, d):
+    names = F.array(*map(F.lit, ("pending", "extracted", "extraction_failed", "extraction_deferred")))
+    chunks = table(spark, d, "events").select(F.col("user_id").alias("document_id"), F.get(names, (F.col("event_id") % 4).cast("int")).alias("extraction_status"))
+    return views.status_counts(chunks)
+
+
+RUNS = [
+    ("Total|Revenue was|5 million", "REVENUE  was", "Total|Revenue was"), ("Total|Revenue was|5 million", "total", "Total"), ("Total|Revenue was|5 million", "nothing", ""), ("Total|Revenue was|5 million", "", ""), ("a|b|c|d|e", "b c", "a|b|c"), ("Net|profit,|after tax", "net profit after tax", ""), ("Net|profit-after|tax rose", "net profit-after tax", "Net|profit-after|tax rose"), ("one|two", "TWO", "one|two"), ("It rose by 5 per cent|last year.|Then it fell", "rose by 5 per cent last year", "It rose by 5 per cent|last year."),
+]
+
+
+@forms("orders", "o_orderkey", "words string, quote string", ["found"], RUNS)
+def highlighted_runs(df):
+    runs = F.transform(F.split("words", "[|]"), lambda w: F.struct(w.alias("text")))
+    return df.withColumn("runs", runs).withColumn("found", F.array_join(F.transform(display.matching_runs(F.col("runs"), F.col("quote")), lambda r: r["text"]), "|"))
+
+
+UPLOADS = [("application/pdf", 5, 201), ("text/plain", 5, 400), (None, 5, 400), ("application/pdf", 104857600, 201), ("application/pdf", 104857601, 413)]
+
+
+@forms("orders", "o_orderkey", "mime string, size bigint", ["status"], UPLOADS)
+def upload_answers(df):
+    return df.withColumn("status", display.upload_status(F.col("mime"), F.col("size")))
+
+
+FILES = [("../../a?b.pdf", "a_b.pdf"), ("...", "document.pdf"), ("c:\\d\\e.pdf", "e.pdf"), ("", "document.pdf"), (".hidden.pdf", "hidden.pdf"), ("a:b|c.pdf", "a_b_c.pdf"), ("plain.pdf", "plain.pdf")]
+
+
+@forms("orders", "o_orderkey", "name string", ["file"], FILES)
+def file_names(df):
+    return df.withColumn("file", text.safe_filename(F.col("name")))
+
+
+VERDICTS = [
+    (True, " Revenue was 5 ", "... revenue was 5 ...", " 5 ", "correct", "... revenue was 5 ..."), (False, "a", "a", "a", "quoteWrong", "a"), (True, "b", "text", "c", "quoteWrong", "text"), (True, "some quote", "", "9", "valueWrong", ""), (None, "q", None, "", "correct", None), (True, "x" * 5, "y" * 60 + "x" * 5 + "z" * 60, "XX", "correct", "y" * 50 + "x" * 5 + "z" * 50),
+]
+
+
+@forms("orders", "o_orderkey", "valid boolean, quote string, chunk string, raw string", ["verdict", "snippet"], VERDICTS)
+def quote_verdicts(df):
+    return df.withColumns({"verdict": quality.verdict(*map(F.col, ("valid", "quote", "chunk", "raw"))), "snippet": quality.snippet(F.col("quote"), F.col("chunk"))})
+
+
+@query("""SELECT DISTINCT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, CASE WHEN l_orderkey % 2 = 0 THEN CASE WHEN l_linenumber = 4 THEN 'unknown entity' ELSE md5(CAST(l_partkey AS VARCHAR)) END END AS entity FROM lineitem""")
+def resolved_facts(spark, d):
+    """The resolve job over the documents of even keys: names in two spellings, and none on fourth lines."""
+    name = F.md5(F.col("l_partkey").cast("string"))
+    spelt = F.when(F.col("l_linenumber") % 2 == 0, F.upper(name)).otherwise(name)
+    entity = F.when(F.col("l_linenumber") != 4, F.to_json(F.struct(F.struct(spelt.alias("name"), F.lit("part").alias("type")).alias("_entity"))))
+    f = table(spark, d, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), F.col("l_orderkey").cast("string").alias("document_id"), entity.alias("qualifiers"), F.lit("q").alias("source_quote"), F.lit(None).cast("string").alias("entity_id")).distinct()
+    empty = lambda name: spark.createDataFrame([], TABLES[name])
+    documents = f.where("document_id % 2 = 0").select("document_id").distinct()
+    none = lambda a, ca, b, cb: F.lit(False)
+    vector = lambda c: F.when(c.isNotNull(), F.array(F.lit(1.0)).cast("array<float>"))
+    got = jobs.resolve_documents(f, documents, empty("entities"), empty("entity_aliases"), vector, none)
+    named = got["entities"].select(F.col("id").alias("entity_id"), F.lower("canonical_name").alias("entity"))
+    return got["facts"].join(named, "entity_id", "left").select("id", "entity")
+
+
+@query("""SELECT doc_id, 'head' AS predicate, substr(text, 1, 1) AS value, true AS source_quote_valid, 0.9::DOUBLE AS confidence FROM documents WHERE n_chars >= 200 AND trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') <> '' AND substr(text, 1, 1) NOT IN (chr(9), chr(10), chr(11), chr(12), chr(13), ' ')""")
+def extracted_facts(spark, d):
+    """The extract job over all documents as pages of a hundred files each, with an extractor that quotes a page's first
+    character and a vision lane that is off."""
+
+    def heads(pages):
+        facts = [{"confidence": 0.9, "predicate": "head", "value": t[0], "rawValue": t[0], "sourceQuote": t[0], "pageNumber": n, "factTypeDescription": "head"} for n, t in pages if not t[0].isspace()]
+        return facts, (len(pages), len(facts))
+
+    c = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.floor(F.col("doc_id") / 100).cast("string").alias("document_id"), F.col("doc_id").cast("int").alias("page_number"), F.lit(0).alias("chunk_index"), F.coalesce("text", F.lit("")).alias("raw_text"), (F.col("n_chars") < 200).alias("is_low_text"), F.lit(False).alias("is_table_heavy"), F.lit(False).alias("needs_vision"), F.lit("pending").alias("extraction_status"))
+    empty = lambda name: spark.createDataFrame([], TABLES[name])
+    vector = lambda c: F.when(c.isNotNull(), F.array(F.lit(1.0)).cast("array<float>"))
+    chunks = empty("page_chunks").unionByName(c, allowMissingColumns=True)
+    got = jobs.extract_documents(chunks, empty("facts"), empty("fact_types"), heads, vector, skip_boilerplate=False)
+    return got["facts"].select(F.col("source_page").cast("bigint").alias("doc_id"), "predicate", "value", "source_quote_valid", "confidence")

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from ..functions.display import env_or
+
 
 class TokenBucket:
     """At most ``per_minute`` calls a minute; a refusal pauses all of them. One bucket a Python worker: for a limit over
@@ -61,6 +64,58 @@ def embedder(embed: Callable[[list[str]], list[list[float]]] | None = None, batc
     return run
 
 
+def with_retries(call: Callable, attempts: int = 3, pause: float = 2.0, sleep: Callable[[float], None] = time.sleep) -> Callable:
+    """``call`` tried anew after a failure, each pause twice the last; the last failure is raised."""
+
+    def run(*args):
+        for attempt in range(attempts):
+            try:
+                return call(*args)
+            except Exception:  # noqa: BLE001 - whatever a client raises
+                if attempt + 1 == attempts:
+                    raise
+                sleep(pause * 2**attempt)
+
+    return run
+
+
+class ExtractionError(Exception):
+    """Neither a structured reply nor text that could be read."""
+
+
+def extractor_of(structured: Callable[[str], tuple[list[dict], tuple[int, int]]], as_text: Callable[[str], tuple[str, tuple[int, int]]], prompt: str = "") -> Callable:
+    """An extractor of pages from a model's two ways of answering: objects, and if that fails text that holds JSON."""
+
+    def run(pages: list[tuple[int, str]]) -> tuple[list[dict], tuple[int, int]]:
+        asked = prompt + "\n\n".join(f"--- PAGE {n} ---\n{t}" for n, t in pages)
+        try:
+            return structured(asked)
+        except Exception as first:  # noqa: BLE001 - any failure falls back to text
+            said, used = as_text(asked)
+            try:
+                found = json.loads(said[said.index("{") : said.rindex("}") + 1])["facts"]
+            except (ValueError, KeyError, TypeError) as e:
+                raise ExtractionError(f"{first}; {e}") from e
+            return [f for f in found if isinstance(f, dict)], used
+
+    return run
+
+
+def model_name(override: str | None, settings: dict[str, str], fallback: str) -> str:
+    """The judge's model: the override, else JUDGE_MODEL, else TEXT_MODEL, else the fallback; blank ones do not count."""
+    return env_or(override, env_or(settings.get("JUDGE_MODEL"), env_or(settings.get("TEXT_MODEL"), fallback)))
+
+
+def embedded(texts: DataFrame, known: DataFrame, embed: Callable[[Column], Column], task: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """texts (text, ...) with their ``embedding``, and the rows (key, embedding) to add to the table of known ones: a text
+    that is known for the task is not embedded again, and a new one once."""
+    keyed = texts.withColumn("key", cache_key(F.col("text"), task))
+    new = keyed.select("key", "text").dropDuplicates(["key"]).join(known.select("key"), "key", "left_anti")
+    new = new.select("key", embed(F.col("text")).alias("embedding"))
+    every = known.select("key", "embedding").unionByName(new)
+    return keyed.join(every, "key", "left").drop("key"), new
+
+
 def cache_key(text: Column, task: str | None = None) -> Column:
     """The key of an embedding in a table of known ones: task and text."""
     return F.sha2(F.concat(F.lit(f"{task}:" if task else ""), text), 256)

@@ -116,3 +116,9 @@ def stopwatch(events: DataFrame) -> DataFrame:
 
 def last_of(state: GroupState) -> str | None:
     return state.get[1] if state.exists else None
+
+
+def until_final(events: DataFrame, order: str = "event_id") -> DataFrame:
+    """Events (document_id, order, status) that a subscriber gets: those up to the first final status of a document."""
+    first = events.where(is_terminal(F.col("status"))).groupBy("document_id").agg(F.min(order).alias("__last"))
+    return events.join(first, "document_id", "left").where(F.col("__last").isNull() | (F.col(order) <= F.col("__last"))).drop("__last")

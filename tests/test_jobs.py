@@ -307,3 +307,37 @@ def test_replies_of_models(spark):
     assert got[1]["r"]["explanation"] == "Relationship classified by judge."
     answers = ['{"same":"true"} no', '{"same":true}', '{"same":false} YES', "YES"]
     assert [r[0] for r in spark.createDataFrame([(x,) for x in answers], "v string").select(text.confirm_reply(F.col("v"))).collect()] == [False, True, False, True]
+
+
+def test_extractors_and_caches(spark, tmp_path):
+    def fails(_):
+        raise ValueError("no structure")
+
+    slept = []
+    tried = external.with_retries(fails, 3, 2.0, slept.append)
+    with pytest.raises(ValueError):
+        tried("x")
+    assert slept == [2.0, 4.0]
+    ask = external.extractor_of(fails, lambda p: ('Here: {"facts":[{"value":"1"},5]} done', (7, 3)))
+    assert ask([(1, "page")]) == ([{"value": "1"}], (7, 3))
+    with pytest.raises(external.ExtractionError):
+        external.extractor_of(fails, lambda p: ("nothing", (1, 1)))([(1, "page")])
+    assert external.model_name(" ", {"JUDGE_MODEL": "", "TEXT_MODEL": "t"}, "f") == "t" and external.model_name("o", {}, "f") == "o"
+    texts = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "id int, text string")
+    known = spark.createDataFrame([("a", [9.0])], "text string, embedding array<double>").select(external.cache_key(F.col("text"), "query").alias("key"), "embedding")
+    got, new = external.embedded(texts, known, lambda c: F.array(F.length(c).cast("double")), "query")
+    assert rows_of(got, "id", "embedding") == [(1, [9.0]), (2, [1.0]), (3, [9.0])] and new.count() == 1
+    events = spark.createDataFrame([("d", 1, "parsing"), ("d", 2, "failed"), ("d", 3, "parsing"), ("e", 1, "parsing")], "document_id string, event_id int, status string")
+    assert rows_of(progress.until_final(events), "document_id", "event_id") == [("d", 1), ("d", 2), ("e", 1)]
+    pairs = spark.createDataFrame([("acme corp", "the company", [0.8, 0.6, 0.0], [0.79, 0.61, 0.0]), ("a firm", "other", [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]), ("acme", "ACME", None, None)], "a string, b string, x array<double>, y array<double>")
+    assert [r[0] for r in pairs.select(text.names_or_vectors_merge(*map(F.col, ("a", "b", "x", "y")))).collect()] == [True, False, True]
+
+
+def test_audit(spark, tmp_path):
+    from factloom.plans import audit
+
+    found = spark.createDataFrame([("1", "d", 1, 0, "revenue", "5", "5", "revenue of 5", True)], "id string, document_id string, source_page int, source_chunk_index int, predicate string, value string, raw_value string, source_quote string, source_quote_valid boolean")
+    empty(spark, "facts").unionByName(found, allowMissingColumns=True).write.parquet(str(tmp_path / "facts"))
+    page_chunks(spark, [("d", 1, "a revenue of 5 was seen", False, False)]).write.parquet(str(tmp_path / "page_chunks"))
+    audit.main("all", str(tmp_path), str(tmp_path))
+    assert json.loads((tmp_path / "summary.json").read_text())["correct"] == 1
