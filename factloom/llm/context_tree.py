@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 
 from .common import id_and_text, least_frequent, map_batches, read_documents, stored
 
-DEPTH, STEM, FREQUENT, FREQUENT_PAIRS = 5, 3, 100_000, 1_000_000
+DEPTH, STEM, FREQUENT, FREQUENT_PAIRS = 6, 3, 100_000, 1_000_000
 HELD = 300_000  # distinct words that a task sums before it passes them on
 PAIRS_A_TASK = 200_000
-SLICE, SLICE_TEXTS = 1_000_000, 1 << 14  # bytes and texts handled at once
+SLICE = 1_000_000  # bytes handled at once
 
 
 def held_out():
@@ -83,12 +83,17 @@ def pairs_of(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return key[inside] & ((1 << 8 * (depth + 1)) - 1), size
 
 
-def sliced(texts: list[bytes]):
-    """Runs of texts of about SLICE bytes and at most SLICE_TEXTS texts."""
+def text_bits(depth: int) -> int:
+    """Bits of a 63-bit number that are left beside a pair for the number of its text."""
+    return min(14, 63 - 8 * (depth + 1))
+
+
+def sliced(texts: list[bytes], depth: int):
+    """Runs of texts of about SLICE bytes, at most as many texts as text_bits() can number."""
     at = 0
     while at < len(texts):
         end, size = at, 0
-        while end < len(texts) and size < SLICE and end - at < SLICE_TEXTS:
+        while end < len(texts) and size < SLICE and end - at < 1 << text_bits(depth):
             size += len(texts[end])
             end += 1
         yield texts[at:end]
@@ -128,7 +133,7 @@ def pair_counts(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
             held = np.array(batch.column(1).to_pylist(), dtype=bool)
             texts = batch.column(0).to_pylist()
             for part in (held, ~held):
-                for some in sliced([normal_bytes(texts[i]) for i in np.flatnonzero(part)]):
+                for some in sliced([normal_bytes(texts[i]) for i in np.flatnonzero(part)], depth):
                     k = np.sort(pairs_of(some, depth)[0])
                     start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
                     times = np.diff(np.r_[start, len(k)])
@@ -303,14 +308,15 @@ class Frequent:
         self.words, self.pairs, self.logs = words, pairs, logs
 
     def score(self, texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """log10 probability of the frequent pairs of each text, a run of at most SLICE_TEXTS texts in normal form; the
+        """log10 probability of the frequent pairs of each text, a run of sliced() in normal form; the
         others, by text: number of the text, pair, times."""
         key, size = pairs_of(texts, depth)
-        # pairs of 48 bits and the number of the text below them: one sort of plain numbers brings equal pairs together
-        both = np.sort((key << 14) | np.repeat(np.arange(len(texts)), size))
+        bits = text_bits(depth)
+        # the pair and the number of the text below it: one sort of plain numbers brings equal pairs together
+        both = np.sort((key << bits) | np.repeat(np.arange(len(texts)), size))
         start = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
         times, both = np.diff(np.r_[start, len(both)]), both[start]
-        key, text = both >> 14, both & 0x3FFF
+        key, text = both >> bits, both & ((1 << bits) - 1)
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         at, hit = lookup(self.pairs, key[first])
         each = np.diff(np.r_[first, len(key)])
@@ -352,7 +358,7 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, frequent: int = FREQUEN
             rare_times.append(times[~hit])
             sizes.append(len(rare))
         parts, at = [], 0
-        for part in sliced(texts):
+        for part in sliced(texts, depth):
             score, text, key, times = shared.value.score(part, depth)
             parts.append((score, text + at, key, times))
             at += len(part)

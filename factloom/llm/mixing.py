@@ -13,7 +13,7 @@ The fit reads at most ``max_rows`` labelled rows, those with the smallest hash o
 domain ``toxic``, others ``good`` or ``plain`` by quality 1 or 0.
 
 Edge cases: a null or empty text has no tokens and the posterior of no evidence; a null doc_id is predicted like any
-row; without labelled rows every posterior is even; an empty table gives an empty one; repeated rows repeat; a label
+row; without labelled rows every posterior is even; a domain that no labelled row is of has the posterior 0; an empty table gives an empty one; repeated rows repeat; a label
 that is null counts as 0.
 """
 
@@ -87,14 +87,14 @@ class DomainClassifier:
             g = x.T @ (p / p.sum(axis=1, keepdims=True) - y) / len(x) + 1e-4 * w
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             w -= 0.05 * m / (1 - 0.9**step) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        self.weights = w
+        self.weights, self.known = w, y.any(axis=0)
         return self
 
     def posterior(self, text: str) -> np.ndarray:
         if self.weights is None:
             return np.full(len(self.domains), 1 / len(self.domains))
         z = np.clip((self.features(text) - self.mean) / self.scale, -8, 8) @ self.weights
-        p = np.exp(z - z.max())
+        p = np.where(self.known, np.exp(z - z[self.known].max()), 0.0)
         return p / p.sum()
 
 

@@ -7,7 +7,7 @@ from itertools import combinations
 import pytest
 import xxhash
 
-from factloom.llm.exact_dedup import exact_duplicates
+from factloom.llm.exact_dedup import digests, exact_duplicates, stream_state
 from factloom.llm.simhash import near_duplicates, near_links
 from factloom.llm.suffix_dedup import remove_repeats
 
@@ -30,6 +30,15 @@ def test_exact(make, odd, digest_bytes):
     assert sorted(map(tuple, exact_duplicates(make(rows), digest_bytes).drop("x").collect()), key=repr) == sorted(want, key=repr)
 
 
+def test_a_later_stream_goes_on_where_the_last_ended(spark, make, tmp_path):
+    source, state = str(tmp_path / "digests"), str(tmp_path / "state")
+    for rows in ([(1, "a"), (2, "b"), (3, "A")], [(4, "a"), (5, "c")]):
+        digests(make(rows)).write.mode("append").parquet(source)
+        got = {(r["keep_id"], r["n_rows"], r["n_bytes"]) for r in stream_state(spark, source, state).collect()}
+    assert got == {(4, 3, 1), (2, 1, 1), (5, 1, 1)}
+    assert len(list((tmp_path / "state" / "changes").glob("batch=*"))) == 2  # the second run read the new file alone
+
+
 def test_exact_of_nothing(make):
     assert exact_duplicates(make([])).count() == 0
 

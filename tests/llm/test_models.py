@@ -84,20 +84,20 @@ def key(context, byte):
     return int.from_bytes(context, "big") << 8 | byte
 
 
-@pytest.mark.parametrize("depth", [0, 2, 3, 5])
+@pytest.mark.parametrize("depth", [0, 2, 3, 6])
 def test_context_tree_against_recursion(depth):
     texts = [b"abab abc\n", b"aab abab\n", b"ab\n"]
     seen = [(t2[i - depth : i], t2[i]) for t in texts for t2 in [b" " * depth + t] for i in range(depth, len(t2))]
     pairs = np.array([key(*x) for x in seen], dtype=np.int64)
     tree = ContextTree.of_pairs(*summed(pairs, np.ones(len(pairs), np.int64)), depth).spread()
-    wanted = sorted({*seen, *((c, b) for c, _ in seen for b in b"a\nz")}) + [(b"zzzzz"[:depth], 97), (b"zzzza"[5 - depth :], 98)]
+    wanted = sorted({*seen, *((c, b) for c, _ in seen for b in b"a\nz")}) + [(b"zzzzzz"[:depth], 97), (b"zzzzza"[6 - depth :], 98)]
     got = tree.walk(np.array([key(*x) for x in wanted], dtype=np.int64))
     assert np.allclose(got, brute_logs(texts, wanted, depth), atol=1e-9)
     for context in {c for c, _ in wanted}:
         assert math.isclose(sum(10 ** tree.walk(np.array([key(context, b) for b in range(256)]))), 1.0, rel_tol=1e-9)
 
 
-@pytest.mark.parametrize(("frequent_pairs", "depth"), [(1_000_000, 2), (5, 4), (0, 5)])
+@pytest.mark.parametrize(("frequent_pairs", "depth"), [(1_000_000, 2), (5, 4), (0, 6)])
 def test_scores_of_texts_against_recursion(make, frequent_pairs, depth):
     rows = [(i, t) for i, t in enumerate(["ab ab abc", "AAB abab", None, "ba", "abc  ba", "zz ab", "ab ab abc", "cab"] * 2)]
     held = [zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows]
