@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import compact_text, is_blank, page_hash, trimmed
 
+#: Thresholds of pages and batches, and what counts as a numeric run.
 CHUNK_TOKENS, LOW_CHARS, LOW_RUNS, NUMERIC_RATIO, NARROW_RATIO = 6000, 1000, 15, 0.4, 0.25
 TARGET_TOKENS, MIN_COST, LONG_PAGE = 42_000, 400, 100_000
 NUMERIC_RUN = "^[0-9.,%$€£₹+-]+$"
@@ -100,20 +104,27 @@ def page_cost(tokens: Column) -> Column:
 
 def pack_pages(pages: DataFrame, scope: str = "document_id", target: int = TARGET_TOKENS, most: int | None = None) -> DataFrame:
     """(scope, page_number, batch) in page order: a page of the target's cost or more stands alone, else a batch ends
-    before it would cost over the target or hold over ``most`` pages. A fold over each document's ordered pages."""
-    listed = pages.groupBy(scope).agg(F.array_sort(F.collect_list(F.struct("page_number", page_cost(F.col("token_estimate")).alias("cost")))).alias("p"))
+    before it would cost over the target or hold over ``most`` pages. Pages stream through in order with a running sum, so
+    a document of any length takes no more memory than a short one."""
+    rows = pages.select(scope, "page_number", page_cost(F.col("token_estimate")).alias("cost")).repartition(scope).sortWithinPartitions(scope, "page_number")
     limit = most or 2**31 - 1
-    start = F.struct(F.array().cast("array<int>").alias("ids"), F.lit(-1).alias("batch"), F.lit(0).alias("sum"), F.lit(0).alias("n"), F.lit(True).alias("closed"))
-
-    def step(a: Column, p: Column) -> Column:
-        alone = p["cost"] >= target
-        fresh = alone | a["closed"] | (a["sum"] + p["cost"] > target) | (a["n"] >= limit)
-        batch = a["batch"] + F.when(fresh, 1).otherwise(0)
-        return F.struct(F.concat(a["ids"], F.array(batch)).alias("ids"), batch.alias("batch"), F.when(fresh, p["cost"]).otherwise(a["sum"] + p["cost"]).alias("sum"), F.when(fresh, 1).otherwise(a["n"] + 1).alias("n"), alone.alias("closed"))
 
-    ids = F.aggregate("p", start, step, lambda a: a["ids"])
-    got = listed.select(scope, F.explode(F.arrays_zip(F.col("p.page_number").alias("page_number"), ids.alias("batch"))).alias("x"))
-    return got.select(scope, F.col("x.page_number").alias("page_number"), F.col("x.batch").alias("batch"))
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        owner, batch, total, n, closed = object(), -1, 0, 0, True
+        for part in parts:
+            out = []
+            for own, cost in zip(part[scope], part["cost"], strict=True):
+                if own != owner:
+                    owner, batch, closed = own, -1, True
+                alone = cost >= target
+                if alone or closed or total + cost > target or n >= limit:
+                    batch, total, n = batch + 1, 0, 0
+                total, n, closed = total + cost, n + 1, alone
+                out.append(batch)
+            yield pd.DataFrame({scope: part[scope], "page_number": part["page_number"], "batch": out})
+
+    kinds = dict(pages.dtypes)
+    return rows.mapInPandas(run, f"{scope} {kinds[scope]}, page_number {kinds['page_number']}, batch int")
 
 
 def fixed_groups(rows: DataFrame, scope: str, order: str, size: int) -> DataFrame:
