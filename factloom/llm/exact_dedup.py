@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import id_and_text, map_batches, read_documents, scratch_dir, stored, text_key
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Rows of hits (an id and a digest each, under 100 bytes) that may be broadcast; more of them are joined by a shuffle.
+#: Rows of hits (an id, a key and a digest each, about 100 bytes) that may be broadcast; more of them are joined by a shuffle.
 BROADCAST_ROWS = 50_000
 DIGEST_BYTES = 32
 
@@ -82,12 +82,12 @@ def lowered():
 def unlike(docs: DataFrame, rows: DataFrame, state: DataFrame) -> DataFrame:
     """Digests (digest) of which some row's bytes differ from those of the located content."""
     hits = state.where("n_rows > 1").select("digest", "keep_id")
-    hit_rows = stored(rows.join(hits, "digest").select("doc_id", "digest", (F.col("doc_id") == F.col("keep_id")).alias("located")), "hits")
-    texts = id_and_text(docs)
+    hit_rows = rows.join(hits, "digest").select("doc_id", "x", "digest", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("located"))
+    hit_rows = stored(hit_rows.distinct(), "hits")
+    texts = id_and_text(docs).withColumn("x", text_key())
     if hit_rows.count() <= BROADCAST_ROWS:
         hit_rows = F.broadcast(hit_rows)
-    # a row's own digest may not be its id's only one where ids repeat; lengths and texts are compared all the same
-    texts = texts.join(hit_rows, "doc_id").select("digest", "located", lowered().alias("text"))
+    texts = texts.join(hit_rows, texts.doc_id.eqNullSafe(hit_rows.doc_id) & (texts.x == hit_rows.x)).select("digest", "located", lowered().alias("text"))
     texts = stored(texts, "hit-texts")
     # tables of their own, so that the join can split a digest that very many rows share
     content = stored(texts.where("located").groupBy("digest").agg(F.min("text").alias("content"), F.max("text").alias("other")), "content")
