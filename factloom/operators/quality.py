@@ -47,8 +47,9 @@ def score(checked: DataFrame) -> DataFrame:
     return got.withColumns({"precision": F.round(p, 4), "precision_percent": F.format_string("%.1f%%", 100 * p)})
 
 
-def page_profile(pages: DataFrame, dense: int = 3000) -> DataFrame:
-    """One row a document: mean tokens a page, lists of table-heavy, low-text and dense pages (table-heavy first)."""
+def page_profile(chunks: DataFrame, dense: int = 3000) -> DataFrame:
+    """One row a document, from the first chunk of each page: mean tokens a page, lists of table-heavy, low-text and dense
+    pages (table-heavy first)."""
     kind = F.when(F.col("is_table_heavy"), "table").when(F.col("is_low_text"), "low").when(F.col("token_estimate") > dense, "dense")
     listed = lambda k: F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("page_number"))))
-    return pages.withColumn("kind", kind).groupBy("document_id").agg(F.avg("token_estimate").alias("avg_tokens"), listed("table").alias("table_heavy"), listed("low").alias("low_text"), listed("dense").alias("dense"))
+    return chunks.where("chunk_index = 0").withColumn("kind", kind).groupBy("document_id").agg(F.avg("token_estimate").alias("avg_tokens"), listed("table").alias("table_heavy"), listed("low").alias("low_text"), listed("dense").alias("dense"))

@@ -22,6 +22,11 @@ def page_of(rows: DataFrame, order: list[Column], paging: Paging) -> DataFrame:
     return rows.orderBy(*order).offset(paging.offset).limit(paging.limit)
 
 
+def total(rows: DataFrame, **equal) -> int:
+    """How many rows a filtered list has, for its pages."""
+    return filtered(rows, **equal).count()
+
+
 def count_by(rows: DataFrame, key: str, name: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias(name))
 

@@ -341,3 +341,11 @@ def test_audit(spark, tmp_path):
     page_chunks(spark, [("d", 1, "a revenue of 5 was seen", False, False)]).write.parquet(str(tmp_path / "page_chunks"))
     audit.main("all", str(tmp_path), str(tmp_path))
     assert json.loads((tmp_path / "summary.json").read_text())["correct"] == 1
+
+
+def test_profiles_and_totals(spark):
+    rows = [("d", 1, 0, True, True, 10), ("d", 1, 1, False, False, 9000), ("d", 2, 0, False, True, 20), ("d", 3, 0, False, False, 6000)]
+    chunks = spark.createDataFrame(rows, "document_id string, page_number int, chunk_index int, is_table_heavy boolean, is_low_text boolean, token_estimate int")
+    r = quality.page_profile(chunks).first()
+    assert (r["avg_tokens"], r["table_heavy"], r["low_text"], r["dense"]) == (pytest.approx(2010.0), [1], [2], [3])
+    assert views.total(chunks, chunk_index=0, document_id=None) == 3
