@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import id_and_text, least_frequent, map_batches, read_documents, stored
 
-DEPTH, STEM, FREQUENT, FREQUENT_PAIRS = 6, 3, 100_000, 3_000_000
+DEPTH, STEM, FREQUENT, FREQUENT_PAIRS = 6, 3, 100_000, 3_000_000  # a pair takes 16 bytes: 48 MB at most
 HELD = 300_000  # distinct words that a task sums before it passes them on
-PAIRS_A_TASK = 200_000  # FREQUENT_PAIRS take 16 bytes each, 48 MB at most
+PAIRS_A_TASK = 200_000
 SLICE = 1_000_000  # bytes handled at once
 
 
