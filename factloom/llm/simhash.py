@@ -26,8 +26,6 @@ from pyspark.sql import functions as F
 from .common import components, id_and_text, map_batches, read_documents, released, stored, text_key
 
 SHINGLE, RADIUS, SEED, TILE = 3, 3, 42, 2000
-#: 64-bit words of a wide fingerprint.
-WIDE = 4
 
 
 def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
@@ -60,31 +58,15 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return majority(shingle_hashes(words, shingle)) if words else 0
 
 
-def wide_fingerprint(words: list[bytes], shingle: int) -> bytes:
-    """SimHash of WIDE x 64 bits: the further hashes of a shingle are mixed from the first."""
-    if not words:
-        return bytes(8 * WIDE)
-    h, out = shingle_hashes(words, shingle), []
-    for _ in range(WIDE):
-        out.append(majority(h).to_bytes(8, "little"))
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    return b"".join(out)
-
-
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, wide_shingle: int = 0) -> DataFrame:
-    """(doc_id, x: key of the text, fp bigint: the fingerprint's 64 bits as a signed number, wide binary or null)."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, x: key of the text, fp bigint: the fingerprint's 64 bits as a signed number)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        prints, wide = [], []
-        for text in batch.column(1).to_pylist():  # the words of one text at a time: those of a batch would be large
-            words = words_of(text)
-            prints.append(majority(shingle_hashes(words, shingle)) if words else 0)
-            wide.append(wide_fingerprint(words, wide_shingle) if wide_shingle else None)
-        fp = np.array(prints, dtype=np.uint64)
-        return pa.record_batch([batch.column(0), batch.column(2), pa.array(fp.view(np.int64)), pa.array(wide, pa.binary())], ["doc_id", "x", "fp", "wide"])
+        # the words of one text at a time: those of a batch would be large
+        fp = np.array([fingerprint(text, shingle) for text in batch.column(1).to_pylist()], dtype=np.uint64)
+        return pa.record_batch([batch.column(0), batch.column(2), pa.array(fp.view(np.int64))], ["doc_id", "x", "fp"])
 
-    return map_batches(id_and_text(docs).select("doc_id", "text", text_key().alias("x")), "doc_id bigint, x binary, fp bigint, wide binary", run)
+    return map_batches(id_and_text(docs).select("doc_id", "text", text_key().alias("x")), "doc_id bigint, x binary, fp bigint", run)
 
 
 def blocks_for(classes: int, radius: int) -> int:
@@ -99,18 +81,15 @@ def block_masks(blocks: int, radius: int) -> list[int]:
     return [m - (1 << 64) if (m := sum(c)) >= 1 << 63 else m for c in combinations(parts, blocks - radius)]
 
 
-def spanning_links(fp: np.ndarray, rep: np.ndarray, radius: int, wide: np.ndarray | None = None, wide_radius: int = 0) -> list[tuple[int, int]]:
-    """Links that span the components of the graph that joins fingerprints at most ``radius`` bits apart (and wide ones, if
-    given, at most ``wide_radius``), each such a pair. A tree grows from the smallest rep of its component, so that a dense
-    group gives the same links in all tables."""
+def spanning_links(fp: np.ndarray, rep: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Links that span the components of the graph that joins fingerprints at most ``radius`` bits apart, each such a pair.
+    A tree grows from the smallest rep of its component, so that a dense group gives the same links in all tables."""
     links, left = [], np.argsort(rep, kind="stable")
     while len(left):
         found, done, left = [left[0]], 0, left[1:]
         while done < len(found) and len(left):
             i, done = found[done], done + 1
             near = np.bitwise_count(fp[left] ^ fp[i]) <= radius
-            if wide is not None and near.any():
-                near[near] = np.bitwise_count(wide[left[near]] ^ wide[i]).sum(axis=1, dtype=np.int64) <= wide_radius
             if near.any():
                 found.extend(left[near].tolist())
                 links.extend((int(rep[i]), r) for r in rep[left[near]].tolist())
@@ -118,7 +97,6 @@ def spanning_links(fp: np.ndarray, rep: np.ndarray, radius: int, wide: np.ndarra
     return links
 
 
-
 CELL = ["k", "m", "ci", "cj"]
 
 
@@ -147,42 +125,25 @@ def by_cell(cells: DataFrame, schema: str, work: Callable[[pa.Table, list[tuple[
     return cells.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(lambda batches: released(run(batches)), schema)
 
 
-def bucket_links(cells: DataFrame, radius: int, wide_radius: int) -> DataFrame:
-    """(a, b) links of each group of cells (CELL, fp, rep, and wide with ``wide_radius``)."""
+def bucket_links(cells: DataFrame, radius: int) -> DataFrame:
+    """(a, b) links of each group of cells (CELL, fp, rep)."""
 
     def work(rows: pa.Table, groups: list[tuple[int, int]]) -> pa.RecordBatch:
-        fp, rep, wide = rows.column("fp").to_numpy().view(np.uint64), rows.column("rep").to_numpy(), None
-        if wide_radius:
-            wide = np.frombuffer(b"".join(rows.column("wide").to_pylist()), dtype=np.uint64).reshape(-1, WIDE)
-        out = [x for a, b in groups for x in spanning_links(fp[a:b], rep[a:b], radius, None if wide is None else wide[a:b], wide_radius)]
+        fp, rep = rows.column("fp").to_numpy().view(np.uint64), rows.column("rep").to_numpy()
+        out = [x for a, b in groups for x in spanning_links(fp[a:b], rep[a:b], radius)]
         return pa.record_batch([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     return by_cell(cells, "a bigint, b bigint", work)
 
 
-def linked_cells(cells: DataFrame, radius: int) -> DataFrame:
-    """Rows of ``cells`` whose fingerprint has another within ``radius`` bits in its group: what only met by chance goes."""
-
-    def work(rows: pa.Table, groups: list[tuple[int, int]]) -> pa.RecordBatch:
-        fp, near = rows.column("fp").to_numpy().view(np.uint64), np.zeros(rows.num_rows, dtype=bool)
-        for a, b in groups:
-            for link in spanning_links(fp[a:b], np.arange(a, b), radius):
-                near[list(link)] = True
-        kept = rows.filter(pa.array(near)).combine_chunks()
-        return kept.to_batches()[0] if kept.num_rows else pa.RecordBatch.from_pylist([], kept.schema)
-
-    return by_cell(cells, "k bigint, m int, ci int, cj int, fp bigint", work)
-
-
-def near_links(classes: DataFrame, radius: int = RADIUS, verified: int = 0, wide_radius: int = 0, tile: int = TILE) -> DataFrame:
-    """Links (a, b) between the reps of classes (fp, rep, wide) whose fingerprints differ in at most ``radius`` bits; their
-    components are those of all such pairs. With ``verified`` over ``radius``, what meets in a block is linked up to that
-    many bits (not all such pairs meet). With ``wide_radius`` the wide fingerprints must be as close as that, too."""
-    masks, reach = block_masks(blocks_for(classes.count(), radius), radius), max(radius, verified)
+def near_links(classes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """Links (a, b) between the reps of classes (fp, rep) whose fingerprints differ in at most ``radius`` bits; their
+    components are those of all such pairs."""
+    masks = block_masks(blocks_for(classes.count(), radius), radius)
     keyed = classes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("m", "k"))
     buckets = keyed.groupBy("k", "m").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"))
     # two classes in a bucket are its least and largest: most met by chance, and leave here
-    buckets = stored(buckets.where((F.col("n") > 2) | ((F.col("n") == 2) & (F.bit_count(F.col("lo").bitwiseXOR(F.col("hi"))) <= reach))), "buckets")
+    buckets = stored(buckets.where((F.col("n") > 2) | ((F.col("n") == 2) & (F.bit_count(F.col("lo").bitwiseXOR(F.col("hi"))) <= radius))), "buckets")
     zero = F.lit(0)
     pairs = buckets.where("n = 2").select("k", "m", zero.alias("ci"), zero.alias("cj"), F.explode(F.array("lo", "hi")).alias("fp"))
     # a bucket over the tile gets chunks by fingerprint
@@ -190,16 +151,14 @@ def near_links(classes: DataFrame, radius: int = RADIUS, verified: int = 0, wide
     chunk = F.pmod(F.xxhash64("fp"), F.col("c")).cast("int")
     cells = keyed.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
     cells = cells.select("k", "m", F.least("chunk", "other").alias("ci"), F.greatest("chunk", "other").alias("cj"), "fp")
-    if wide_radius:
-        cells = linked_cells(cells, reach)
-    return bucket_links(cells.unionByName(pairs).join(classes.select("fp", "rep", "wide"), "fp"), reach, wide_radius)
+    return bucket_links(cells.unionByName(pairs).join(classes.select("fp", "rep"), "fp"), radius)
 
 
-def groups_of(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, wide_shingle: int = 0, verified: int = 0, wide_radius: int = 0) -> DataFrame:
+def groups_of(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """(doc_id, x, fp, component_id) of every row."""
-    prints = stored(fingerprints(docs, shingle, wide_shingle), "fingerprints")
-    classes = stored(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("wide").alias("wide")), "classes")
-    linked = components(near_links(classes, radius, verified, wide_radius))
+    prints = stored(fingerprints(docs, shingle), "fingerprints")
+    classes = stored(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
+    linked = components(near_links(classes, radius))
     found = classes.join(linked, classes.rep == linked.id, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(found, "fp", "left").select("doc_id", "x", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 

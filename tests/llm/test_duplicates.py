@@ -81,7 +81,7 @@ def test_near(make, odd):
 def test_links_of_buckets_in_tiles(spark, tile):
     prints = [(1 << (i % 40)) | (1 << ((i * 7) % 40)) for i in range(60)]
     prints = sorted(set(prints))
-    classes = spark.createDataFrame([(p, i, None) for i, p in enumerate(prints)], "fp bigint, rep bigint, wide binary")
+    classes = spark.createDataFrame([(p, i) for i, p in enumerate(prints)], "fp bigint, rep bigint")
     links = [tuple(r) for r in near_links(classes, 3, tile=tile).collect()]
     assert all((prints[a] ^ prints[b]).bit_count() <= 3 for a, b in links)
     every = [(a, b) for a, b in combinations(range(len(prints)), 2) if (prints[a] ^ prints[b]).bit_count() <= 3]
