@@ -27,4 +27,5 @@ def cosine_similarity(a: Column, b: Column) -> Column:
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
-    return 1.0 - dot(a, b) / (norm(a) * norm(b))
+    """Null if a vector has the length zero."""
+    return 1.0 - F.try_divide(dot(a, b), norm(a) * norm(b))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.qualifiers import with_entry
 from ..functions.text import is_number, kind_of, quote_bucket, quote_is_valid, trimmed, unfenced
+from .in_order import leaders
+from .nearest import TIE, kept, search
 from .similarity import nearest_one
 
 #: Words that a quote and a page must share in a row to be compared.
@@ -120,15 +122,27 @@ def duplicate_rate(facts: DataFrame) -> DataFrame:
 
 
 def link_fact_types(descriptions: DataFrame, types: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """Each distinct description (description, predicate, q: vector, idx) with type_id, or minted: the exact description
-    first, else the nearest type from ``threshold`` on. The first predicate of a description counts; of types of one
-    description the one of the smallest id."""
+    """Each distinct description (description, predicate, q: vector, idx) with type_id, or minted, as if they were handled in
+    order of idx: the exact description first, else the nearest type from ``threshold`` on, of those stored and those that
+    earlier descriptions have minted. The first predicate of a description counts; of types of one description the one
+    of the smallest id. A minted type's id is :func:`type_id_of`; minted rows have none yet."""
     first = descriptions.withColumn("__n", F.row_number().over(Window.partitionBy(F.lower(trimmed(F.col("description")))).orderBy("idx"))).where("__n = 1").drop("__n")
-    exact = first.join(types.groupBy("description").agg(F.min("id").alias("exact_id")), "description", "left")
+    exact = kept(first.join(types.groupBy("description").agg(F.min("id").alias("exact_id")), "description", "left"), "descriptions")
     rest = exact.where("exact_id is null").select(F.col("idx").alias("query"), "q")
-    near = nearest_one(rest, types.where("embedding is not null").select(F.col("id").alias("near_id"), F.col("embedding").alias("v")), "query", "near_id")
-    got = exact.join(near, exact.idx == near.query, "left")
-    return got.select("idx", "description", "predicate", "q", F.coalesce("exact_id", F.when(F.col("similarity") >= threshold, F.col("near_id"))).alias("type_id"), (F.col("exact_id").isNull() & F.coalesce(F.col("similarity") < threshold, F.lit(True))).alias("minted"))
+    stored = nearest_one(rest, types.where("embedding is not null").select(F.col("id").alias("near_id"), F.col("embedding").alias("v")), "query", "near_id").where(F.col("similarity") >= threshold)
+    stored = kept(stored, "near-types")
+    mine = lambda c: F.col("query").cast("string").alias(c)
+    near = search(rest.select(F.col("query").alias("qid"), mine("qx"), "q"), rest.select(F.col("query").alias("rid"), mine("rx"), F.col("q").alias("v")), None, 1 - threshold + TIE)
+    near = kept(near.where((1 - F.col("distance") >= threshold) & (F.col("rid") < F.col("qid"))), "near-descriptions")
+    open_ = rest.join(stored, "query", "left_anti").select(F.col("query").alias("v"), F.lit(None).cast("string").alias("name"))
+    edges = near.select(F.col("qid").alias("v"), F.col("rid").alias("u"))
+    lead = leaders(open_, edges.join(open_, "v", "left_semi").join(open_.select(F.col("v").alias("u")), "u", "left_semi"))
+    minted = lead.join(exact.select(F.col("idx").alias("v"), "description"), "v").select(F.col("v").alias("rid"), type_id_of(F.col("description")).alias("id"))
+    options = stored.select("query", (1 - F.col("similarity")).alias("d"), F.lit(0).alias("k"), F.col("near_id").alias("id"))
+    options = options.unionByName(near.join(minted, "rid").select(F.col("qid").alias("query"), F.col("distance").alias("d"), F.lit(1).alias("k"), "id"))
+    best = options.groupBy("query").agg(F.min_by("id", F.struct("d", "k", "id")).alias("near_id"))
+    got = exact.join(best, exact.idx == best.query, "left").join(lead.select(F.col("v").alias("idx"), F.lit(True).alias("minted")), "idx", "left")
+    return got.select("idx", "description", "predicate", "q", F.coalesce("exact_id", "near_id").alias("type_id"), F.coalesce("minted", F.lit(False)).alias("minted"))
 
 
 def type_id_of(description: Column) -> Column:
@@ -137,10 +151,10 @@ def type_id_of(description: Column) -> Column:
 
 
 def types_after(types: DataFrame, linked: DataFrame) -> DataFrame:
-    """Types (id, name, description, example_predicates, embedding) after the links of link_fact_types(): each linked
-    type has the predicates that it did not have yet, and minted ones are named after theirs."""
+    """Types (id, name, description, example_predicates, embedding) after the links of link_fact_types(): minted ones are
+    named after their predicates, and each linked type, stored or minted, has the predicates that it did not have yet."""
     more = linked.where("not minted").groupBy(F.col("type_id").alias("id")).agg(F.array_sort(F.collect_set("predicate")).alias("__more"))
     none = F.array().cast("array<string>")
-    kept = types.join(more, "id", "left").withColumn("example_predicates", F.array_union(F.coalesce("example_predicates", none), F.coalesce("__more", none))).drop("__more")
     fresh = linked.where("minted").select(type_id_of(F.col("description")).alias("id"), F.col("predicate").alias("name"), "description", F.array("predicate").alias("example_predicates"), F.col("q").alias("embedding"))
-    return kept.unionByName(fresh, allowMissingColumns=True)
+    every = types.unionByName(fresh, allowMissingColumns=True)
+    return every.join(more, "id", "left").withColumn("example_predicates", F.array_union(F.coalesce("example_predicates", none), F.coalesce("__more", none))).select(*every.columns)

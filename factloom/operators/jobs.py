@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.qualifiers import with_entry
-from ..functions.text import batch_prompt, entity_embedding_input, fact_embedding_input, match_embedding_input
+from ..functions.text import batch_prompt, entity_embedding_input, fact_embedding_input, match_embedding_input, trimmed
 from ..functions.vectors import cosine_distance
 from ..sources.scratch import scratch_dir
 from ..sources.sinks import detached, rows_to_insert, upserted, without_documents
@@ -23,6 +23,8 @@ from . import entities as entity_ops
 from . import facts as fact_ops
 from . import pages as page_ops
 from . import reconcile
+from .in_order import leaders
+from .nearest import TIE, search
 from .similarity import knn_join
 
 #: Expected output tokens and pages of a batch, pages of a vision call, neighbours and similarity of entities.
@@ -172,7 +174,7 @@ def fact_rows(found: DataFrame, pages: DataFrame, types: DataFrame, embed: Calla
     w = Window.partitionBy("document_id", "source_page").orderBy(F.xxhash64(*[c for c in got.columns if c != "page_text"]), "value", "source_quote")
     got = got.withColumn("qualifiers", with_entry(F.col("qualifiers"), "_entity", entity)).withColumn("id", F.sha2(F.concat_ws("|", "document_id", "source_page", F.row_number().over(w)), 256))
     got = written(got.withColumn("embedding", embed(fact_embedding_input(F.col("entity_name"), F.col("predicate"), F.col("value")))), "facts")
-    key = lambda c: F.lower(F.trim(c))
+    key = lambda c: F.lower(trimmed(F.col(c)))
     first = got.groupBy("fact_type_description").agg(F.min_by("predicate", "id").alias("predicate"), F.min("id").alias("idx")).withColumnRenamed("fact_type_description", "description")
     linked = fact_ops.link_fact_types(first.withColumn("q", embed(F.concat(F.lit("category: "), F.col("description")))), types)
     linked = written(linked, "linked-types")
@@ -190,11 +192,38 @@ def entity_id_of(name: Column) -> Column:
     return F.sha2(F.lower(name), 256)
 
 
+def sibling_options(clusters: DataFrame, stored: DataFrame, known: DataFrame, same: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
+    """(query, distance, kind, entity_id): the entities that earlier clusters of the same batch lead, which a cluster is near
+    and confirmed to be; earlier by document_id, then cluster. Clusters of one name and context are one node, as they lead
+    or follow together. A cluster leads if no stored entity is near and confirmed, none has its name, and neither an
+    earlier leader; all siblings within the threshold count, not only the nearest ``NEIGHBOURS``."""
+    twin = F.sha2(F.concat_ws("|", "canonical_name", F.coalesce("context", F.lit("\0"))), 256)
+    own = clusters.select("query", F.struct("document_id", "cluster").alias("v"), twin.alias("twin"), F.lower("canonical_name").alias("name"), "canonical_name", "context", "q")
+    nodes = own.groupBy("twin").agg(*[F.min_by(c, "v").alias(c) for c in ("query", "name", "canonical_name", "context", "q")], F.min("v").alias("v"))
+    nodes = written(nodes, "nodes")
+    side = lambda a, b: nodes.select(F.col("twin").alias(a), F.col("name").alias(b), F.col("q").alias("q" if a == "qid" else "v"))
+    pairs = search(side("qid", "qx"), side("rid", "rx"), None, 1 - threshold + TIE).where(1 - F.col("distance") >= threshold)
+    pairs = pairs.join(nodes.select(F.col("twin").alias("qid"), F.col("canonical_name").alias("name"), "context", "v"), "qid")
+    pairs = pairs.join(nodes.select(F.col("twin").alias("rid"), F.col("canonical_name").alias("other"), F.col("context").alias("other_context"), F.col("v").alias("u")), "rid")
+    pairs = written(same(pairs).select("qid", "rid", "distance", "v", "u"), "sibling-pairs")
+    free = nodes.join(stored.select("query").distinct(), "query", "left_anti").join(known.select(F.col("__k").alias("name")), "name", "left_anti")
+    free = written(free.select("v", "name"), "free")
+    edges = pairs.select("v", "u").join(free.select("v"), "v", "left_semi").join(free.select(F.col("v").alias("u")), "u", "left_semi")
+    lead = written(nodes.join(leaders(free, edges), "v", "left_semi").select(F.col("v").alias("u"), F.col("twin").alias("rid"), "name", F.col("canonical_name").alias("other"), F.col("context").alias("other_context"), F.col("q").alias("w")), "leaders")
+    mine = own.select("query", F.col("v").alias("at"), F.col("twin").alias("qid"), "name", "canonical_name", "context", "q")
+    others = mine.join(pairs.select("qid", "rid", "distance"), "qid").join(lead.select("rid", "u", "other"), "rid").where("u < at")
+    named = mine.join(lead, "name").where("u < at").withColumn("distance", cosine_distance(F.col("q"), F.col("w"))).where(1 - F.col("distance") >= threshold)
+    named = same(named.drop("name").withColumnRenamed("canonical_name", "name"))
+    option = lambda df: df.select("query", "distance", F.lit(1).alias("kind"), entity_id_of(F.col("other")).alias("entity_id"))
+    return option(others).unionByName(option(named))
+
+
 def resolve_documents(facts: DataFrame, documents: DataFrame, entities: DataFrame, aliases: DataFrame, embed: Callable[[Column], Column], confirm: Callable[[Column, Column, Column, Column], Column], threshold: float = ENTITY_MATCH) -> dict[str, DataFrame]:
     """``facts``, ``entities`` and ``aliases`` after the job for the documents (document_id), and ``results`` (a row a
-    document). Names of a document are clustered; a cluster is matched to the nearest stored entities and is the first that
-    ``confirm`` (name, context, other name, other context) says is the same, else the entity of its name, old or new. Facts
-    that nothing names belong to the entity that stands for all such."""
+    document). Names of a document are clustered; clusters are matched as if one after another, by document and place: to
+    the nearest stored entities and those that earlier clusters have led to. A cluster is the nearest one that ``confirm``
+    (name, context, other name, other context) says is the same, else the entity of its name, old or new. Facts that nothing
+    names belong to the entity that stands for all such."""
     ours = facts.join(documents.select("document_id"), "document_id", "left_semi")
     named = fact_ops.mentions(ours.withColumn("idx", F.row_number().over(Window.partitionBy("document_id").orderBy("id"))))
     named = written(named, "mentions")
@@ -202,12 +231,15 @@ def resolve_documents(facts: DataFrame, documents: DataFrame, entities: DataFram
     clusters = entity_ops.elect(named, forms).withColumn("query", F.sha2(F.concat_ws("|", "document_id", "cluster"), 256))
     clusters = written(clusters.withColumn("q", embed(entity_embedding_input(F.col("canonical_name"), F.col("context")))), "clusters")
 
+    same = lambda rows: rows.withColumn("same", confirm(F.col("name"), F.col("context"), F.col("other"), F.col("other_context"))).where("same")
     rows = entities.where("embedding is not null").select(F.col("id").alias("entity_id"), F.col("embedding").alias("v"))
-    near = knn_join(clusters.select("query", "q"), rows, [], "query", "entity_id", NEIGHBOURS).withColumn("similarity", 1 - F.col("distance")).where(F.col("similarity") >= threshold)
+    near = knn_join(clusters.select("query", "q"), rows, [], "query", "entity_id", NEIGHBOURS).where(1 - F.col("distance") >= threshold)
     near = near.join(clusters.select("query", F.col("canonical_name").alias("name"), "context"), "query").join(entities.select(F.col("id").alias("entity_id"), F.col("canonical_name").alias("other"), F.col("context_sample").alias("other_context")), "entity_id")
-    chosen = entity_ops.first_confirmed(near.withColumn("same", confirm(F.col("name"), F.col("context"), F.col("other"), F.col("other_context"))), threshold)
-    placed = clusters.join(chosen.withColumnRenamed("entity_id", "matched"), "query", "left")
-    known = entities.groupBy(F.lower("canonical_name").alias("__k")).agg(F.min("id").alias("old"))
+    stored = written(same(near).select("query", "distance", F.lit(0).alias("kind"), "entity_id"), "stored-options")
+    known = written(entities.groupBy(F.lower("canonical_name").alias("__k")).agg(F.min("id").alias("old")), "names")
+    options = stored.unionByName(sibling_options(clusters, stored, known, same, threshold))
+    chosen = options.groupBy("query").agg(F.min_by("entity_id", F.struct("distance", "kind", "entity_id")).alias("matched"))
+    placed = clusters.join(chosen, "query", "left")
     placed = placed.withColumn("__k", F.lower("canonical_name")).join(known, "__k", "left").withColumn("entity_id", F.coalesce("matched", "old", entity_id_of(F.col("canonical_name"))))
     placed = written(placed.drop("__k"), "placed")
 
@@ -217,13 +249,9 @@ def resolve_documents(facts: DataFrame, documents: DataFrame, entities: DataFram
     linked = ours.drop("entity_id").join(links.withColumnRenamed("fact_id", "id"), "id", "left")
     spare = entities.where(F.lower("canonical_name") == F.lower(F.lit(entity_ops.UNRESOLVED))).agg(F.min("id").alias("__spare"))
     spare = spare.select(F.coalesce("__spare", entity_id_of(F.lit(entity_ops.UNRESOLVED))).alias("__spare"), F.col("__spare").isNull().alias("__new"))
-    unnamed = linked.where("entity_id is null").limit(1).count() > 0
-    if unnamed:
-        row = spare.first()
-        linked = linked.withColumn("entity_id", F.coalesce("entity_id", F.lit(row["__spare"])))
-        if row["__new"]:
-            stand_in = spare.select(F.col("__spare").alias("id"), F.lit(entity_ops.UNRESOLVED).alias("canonical_name"), F.lit("unknown").alias("entity_type"), F.lit("Fallback entity for unlinked facts").alias("context_sample"))
-            fresh = fresh.unionByName(stand_in, allowMissingColumns=True)
+    stand_in = linked.where("entity_id is null").limit(1).crossJoin(spare.where("__new").withColumnRenamed("__spare", "s")).select(F.col("s").alias("id"), F.lit(entity_ops.UNRESOLVED).alias("canonical_name"), F.lit("unknown").alias("entity_type"), F.lit("Fallback entity for unlinked facts").alias("context_sample"))
+    fresh = fresh.unionByName(stand_in, allowMissingColumns=True)
+    linked = linked.crossJoin(F.broadcast(spare.drop("__new"))).withColumn("entity_id", F.coalesce("entity_id", "__spare"))  # one row
     said = placed.select("entity_id", F.explode("surface_forms").alias("surface_form"), "document_id", F.lit(1.0).cast("float").alias("confidence"))
     said = said.withColumn("id", F.sha2(F.concat_ws("|", "entity_id", "surface_form", "document_id"), 256))
     results = documents.select("document_id").join(placed.groupBy("document_id").agg(F.count("*").alias("entities_resolved")), "document_id", "left").join(ours.groupBy("document_id").agg(F.count("*").alias("facts_linked")), "document_id", "left").na.fill(0)
@@ -243,13 +271,15 @@ def document_facts(facts: DataFrame, entities: DataFrame) -> DataFrame:
     return facts.join(entities.select(F.col("id").alias("entity_id"), F.col("canonical_name").alias("entity_name")), "entity_id", "left")
 
 
-def reconcile_documents(facts: DataFrame, documents: DataFrame, entities: DataFrame, relationships: DataFrame, embed_query: Callable[[Column], Column], judge: Callable[[DataFrame], DataFrame] | None = None, k: int = reconcile.MATCH_CANDIDATES, max_distance: float = reconcile.MATCH_DISTANCE) -> dict[str, DataFrame]:
+def reconcile_documents(facts: DataFrame, documents: DataFrame, entities: DataFrame, relationships: DataFrame, embed_query: Callable[[Column], Column], judge: Callable[[DataFrame], DataFrame] | None = None, k: int = reconcile.MATCH_CANDIDATES, max_distance: float = reconcile.MATCH_DISTANCE, files: DataFrame | None = None) -> dict[str, DataFrame]:
     """``relationships`` after the job for the documents (document_id), and ``counters`` (one row). Only facts of these
     documents are on the query side; pairs that have a relationship are left as they are. For a rerun of everything, give
-    all documents."""
+    all documents. ``files`` (document_id, filename) names the documents of both sides for the judge."""
+    if files is not None:
+        facts = facts.join(files.select("document_id", "filename"), "document_id", "left")
     new = document_facts(facts.join(documents.select("document_id"), "document_id", "left_semi"), entities)
     asked = new.where("entity_id is not null and embedding is not null").withColumn("vector", embed_query(match_embedding_input(F.col("entity_name"), F.col("predicate"), F.col("value"))))
-    pairs = reconcile.candidate_pairs(asked, facts.where("embedding is not null").withColumn("vector", F.col("embedding")), k, cosine_distance(F.col("a_vector"), F.col("b_vector")), max_distance)
+    pairs = reconcile.candidate_pairs(asked, facts.where("embedding is not null").withColumn("vector", F.col("embedding")), k, None, max_distance)
     decided = written(reconcile.evaluate(reconcile.without_existing(pairs, relationships), judge), "decided")
     rows = reconcile.relationship_rows(decided).withColumn("id", F.sha2(F.concat_ws("|", "fact_a_id", "fact_b_id"), 256))
     counted = reconcile.counters(new.withColumn("vector", F.col("embedding")), decided)

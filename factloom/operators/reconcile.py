@@ -2,37 +2,86 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyspark.accumulators import Accumulator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import predicates_match
-from ..sources.scratch import scratch_dir
+from ..functions.vectors import cosine_distance
+from .nearest import BLOCK, kept, search_in_keys
 from .rules import parsed, rule_reconcile
 from .similarity import top_k
 
 MATCH_CANDIDATES, MATCH_DISTANCE = 10, 0.35
+#: Pairs of an entity's facts beyond which they are dealt to blocks.
+HEAVY_PAIRS = 4_000_000
 DETAIL = ["id", "document_id", "predicate", "value", "raw_value", "unit", "currency", "time_scope", "qualifiers"]
+#: What a judge sees beside; null where the facts have no such column.
+CONTEXT = {"source_quote": "string", "source_page": "int", "filename": "string"}
 
 
 def as_struct(prefix: str) -> Column:
-    return F.struct(*[F.col(f"{prefix}_{c}").alias(c) for c in [*DETAIL, "parsed"]])
+    return F.struct(*[F.col(f"{prefix}_{c}").alias(c) for c in [*DETAIL, *CONTEXT, "parsed"]])
 
 
 def side(facts: DataFrame, prefix: str, *more: str) -> DataFrame:
     """A side of the pairs. What the rules compare is parsed here, once a fact and not once a pair."""
     own = parsed(*map(F.col, ("value", "raw_value", "unit", "currency", "time_scope")))
-    return facts.select("entity_id", *[F.col(c).alias(f"{prefix}_{c}") for c in [*DETAIL, *more]], own.alias(f"{prefix}_parsed"))
+    context = [(F.col(c) if c in facts.columns else F.lit(None)).cast(t).alias(f"{prefix}_{c}") for c, t in CONTEXT.items()]
+    return facts.select("entity_id", *[F.col(c).alias(f"{prefix}_{c}") for c in [*DETAIL, *more]], *context, own.alias(f"{prefix}_parsed"))
 
 
-def candidate_pairs(new: DataFrame, stored: DataFrame, k: int = MATCH_CANDIDATES, distance: Column | None = None, max_distance: float = MATCH_DISTANCE) -> DataFrame:
+def heavy_entities(new: DataFrame, stored: DataFrame, most: int) -> DataFrame:
+    """(entity_id) of the entities with more than ``most`` pairs, written once."""
+    n = lambda facts, c: facts.groupBy("entity_id").agg(F.count("*").alias(c))
+    return kept(n(new, "a").join(n(stored, "b"), "entity_id").where(F.col("a") * F.col("b") > most).select("entity_id"), "heavy")
+
+
+def near_in_blocks(new: DataFrame, stored: DataFrame, k: int, distance: Column, max_distance: float) -> DataFrame:
+    """(a_id, b_id, distance) by any distance column: facts of an entity are dealt to blocks, each pair of which is a join
+    key of its own."""
+    size = lambda facts, c: facts.groupBy("entity_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(c))
+    blocks = size(new, "na").join(size(stored, "nb"), "entity_id")
+    deal = lambda side, own, other, x, y: [F.pmod(F.xxhash64(f"{side}_id"), F.col(own)).cast("int").alias(x), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(y)]
+    a = side(new, "a", "vector").select("entity_id", "a_id", "a_document_id", "a_vector").join(blocks, "entity_id").select("entity_id", "a_id", "a_document_id", "a_vector", *deal("a", "na", "nb", "x", "y"))
+    b = side(stored, "b", "vector").select("entity_id", "b_id", "b_document_id", "b_vector").join(blocks, "entity_id").select("entity_id", "b_id", "b_document_id", "b_vector", *deal("b", "nb", "na", "y", "x"))
+    met = a.join(b, ["entity_id", "x", "y"]).where("a_document_id <> b_document_id and a_id <> b_id").withColumn("distance", distance)
+    return met.where(F.col("distance") < max_distance).select("a_id", "b_id", "distance")
+
+
+def near_facts(new: DataFrame, stored: DataFrame, k: int, max_distance: float, compared: Accumulator | None = None) -> DataFrame:
+    """(a_id, b_id, distance) by the cosine distance of vectors: within an entity, only cells in reach of the limit meet."""
+    ask = new.where("document_id is not null").select(F.col("entity_id").alias("key"), F.col("id").alias("qid"), F.col("document_id").alias("qx"), F.col("vector").alias("q"))
+    rows = stored.where("document_id is not null").select(F.col("entity_id").alias("key"), F.col("id").alias("rid"), F.col("document_id").alias("rx"), F.col("vector").alias("v"))
+    found = search_in_keys(ask, rows, k, max_distance, compared).where("qid <> rid")
+    return found.select(F.col("qid").alias("a_id"), F.col("rid").alias("b_id"), "distance")
+
+
+def candidate_pairs(new: DataFrame, stored: DataFrame, k: int = MATCH_CANDIDATES, distance: Column | None = None, max_distance: float = MATCH_DISTANCE, heavy_pairs: int = HEAVY_PAIRS) -> DataFrame:
     """(a, b, pair_a, pair_b): for each new fact its k nearest stored facts of the same entity in other documents, of
     which those with a matching predicate; pairs in order of id, each once (the first new fact's). The first k are taken
-    before predicates are compared."""
-    met = side(new, "a", "fact_type_id", "vector").join(side(stored, "b", "fact_type_id", "vector"), "entity_id").where("a_document_id <> b_document_id and a_id <> b_id")
-    met = met.withColumn("distance", distance).where(F.col("distance") < max_distance)
+    before predicates are compared. Without ``distance``, that of the vectors' cosine counts.
+
+    Entities of more than ``heavy_pairs`` pairs are found first. Their facts meet in blocks, narrow, and details follow by
+    id; so an entity that a third of all facts belong to (the one that stands for unresolved names, say) is many tasks."""
+    by = cosine_distance(F.col("a_vector"), F.col("b_vector")) if distance is None else distance
+    more = ["fact_type_id", "vector"]
+    heavy = heavy_entities(new, stored, heavy_pairs)
+    some = heavy.limit(1).count() > 0
+    light = [facts.join(heavy, "entity_id", "left_anti") if some else facts for facts in (new, stored)]
+    met = side(light[0], "a", *more).join(side(light[1], "b", *more), "entity_id").where("a_document_id <> b_document_id and a_id <> b_id")
+    met = met.withColumn("distance", by).where(F.col("distance") < max_distance)
     met = top_k(met, ["a_id"], [F.col("distance").asc(), F.col("b_id").asc()], k)
+    if some:
+        own = [facts.join(heavy, "entity_id", "left_semi") for facts in (new, stored)]
+        near = near_facts(*own, k, max_distance) if distance is None else near_in_blocks(*own, k, by, max_distance)
+        near = top_k(near, ["a_id"], [F.col("distance").asc(), F.col("b_id").asc()], k)
+        full = near.join(side(own[0], "a", *more), "a_id").join(side(own[1], "b", *more).drop("entity_id"), "b_id")
+        met = met.unionByName(full.select(*met.columns))
     met = met.where(predicates_match(F.col("a_predicate"), F.col("b_predicate"), F.col("a_fact_type_id"), F.col("b_fact_type_id")))
     pairs = met.select(as_struct("a").alias("a"), as_struct("b").alias("b"), F.least("a_id", "b_id").alias("pair_a"), F.greatest("a_id", "b_id").alias("pair_b"), "rank")
     w = Window.partitionBy("pair_a", "pair_b").orderBy(F.col("a.id"), "rank")
@@ -44,27 +93,58 @@ def without_existing(pairs: DataFrame, relationships: DataFrame) -> DataFrame:
     return pairs.join(have, ["pair_a", "pair_b"], "left_anti")
 
 
-def undecided() -> dict[str, Column]:
-    """The stand-in judge's columns: it sees no model, so it is uncertain."""
-    return {"relation_type": F.lit("uncertain"), "confidence": F.lit(0.2), "method": F.lit("llm_judge"), "explanation": F.lit("LLM judge call failed: no judge is configured")}
+NO_JUDGE = "no judge is configured"
+
+
+def undecided(error: Column) -> dict[str, Column]:
+    """The columns of a pair that no judge has decided: uncertain, with what went wrong."""
+    return {"relation_type": F.lit("uncertain"), "confidence": F.lit(0.2), "method": F.lit("llm_judge"), "explanation": F.concat(F.lit("LLM judge call failed: "), error)}
 
 
 def evaluate(pairs: DataFrame, judge: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Rules decide what they can; the judge sees the escalated pairs only, and gives them relation_type, confidence and
-    explanation (null ones count as a failed call). Without a judge the stand-in answers in the same pass; with one, the
-    ruled pairs are written once, so that neither rules nor candidates run twice."""
+    explanation. A pair without a type or a confidence is uncertain, with the judge's ``error`` of the pair, if it names one
+    (:func:`judged_by` makes such a judge of a function over one pair). Without a judge the stand-in answers in the same
+    pass; with one, the ruled pairs are written once, so that neither rules nor candidates run twice."""
     ruled = rule_reconcile(pairs)
     if judge is None:
-        return ruled.withColumns({c: F.when(F.col("escalate"), x).otherwise(F.col(c)) for c, x in undecided().items()})
-    path = scratch_dir(pairs.sparkSession, "ruled")
-    ruled.write.parquet(path)
-    ruled = pairs.sparkSession.read.parquet(path)
-    judged = judge(ruled.where("escalate").drop("relation_type", "confidence", "method", "explanation")).withColumn("method", F.lit("llm_judge"))
+        return ruled.withColumns({c: F.when(F.col("escalate"), x).otherwise(F.col(c)) for c, x in undecided(F.lit(NO_JUDGE)).items()})
+    ruled = kept(ruled, "ruled")
+    judged = judge(ruled.where("escalate").drop("relation_type", "confidence", "method", "explanation"))
+    if "error" not in judged.columns:
+        judged = judged.withColumn("error", F.lit(None).cast("string"))
     failed = F.col("relation_type").isNull() | F.col("confidence").isNull()
-    judged = judged.withColumns({c: F.when(failed, x).otherwise(F.col(c)) for c, x in undecided().items() if c != "method"})
+    answer = undecided(F.coalesce("error", F.lit("no answer")))
+    judged = judged.withColumn("method", F.lit("llm_judge")).withColumns({c: F.when(failed, x).otherwise(F.col(c)) for c, x in answer.items() if c != "method"})
     return ruled.where("not escalate").unionByName(judged.select(*ruled.columns))
 
 
+def judged_by(call: Callable[[dict, dict, dict], tuple[str, float, str]]) -> Callable[[DataFrame], DataFrame]:
+    """A judge of pairs from a function of one: it gets both facts (id, predicate, value, raw_value, unit, currency,
+    time_scope, qualifiers, source_quote, source_page) and the file names, and returns type, confidence and explanation. An
+    exception is the error of its pair alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                docs = {"a": a.pop("filename", None) or "Document A", "b": b.pop("filename", None) or "Document B"}
+                try:
+                    kind, confidence, said = call(*({k: v for k, v in x.items() if k not in ("parsed", "document_id")} for x in (a, b)), docs)
+                    rows.append((kind, float(confidence), said, None))
+                except Exception as e:  # noqa: BLE001 - whatever a judge raises is the answer of its pair
+                    rows.append((None, None, None, str(e) or type(e).__name__))
+            kinds = (pa.string(), pa.float64(), pa.string(), pa.string())
+            got = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
+            yield pa.record_batch([*batch.columns, *got], [*batch.schema.names, "relation_type", "confidence", "explanation", "error"])
+
+    def judge(pairs: DataFrame) -> DataFrame:
+        kind = T.StructType([*pairs.schema.fields, *(T.StructField(c, t()) for c, t in (("relation_type", T.StringType), ("confidence", T.DoubleType), ("explanation", T.StringType), ("error", T.StringType)))])
+        return pairs.mapInArrow(run, kind)
+
+    return judge
+
+
 def relationship_rows(decided: DataFrame) -> DataFrame:
     return decided.select(F.col("pair_a").alias("fact_a_id"), F.col("pair_b").alias("fact_b_id"), "relation_type", "explanation", "confidence", "method")
 

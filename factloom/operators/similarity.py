@@ -3,16 +3,13 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import forms_merge, name_forms
 from ..functions.vectors import cosine_distance
-
-#: Bytes of query vectors that are broadcast at once for joins without an equality.
-BROADCAST_BYTES = 200_000_000
+from .nearest import search
 
 
 def top_k(scored: DataFrame, query: list[str], order: list[Column], k: int) -> DataFrame:
@@ -21,38 +18,30 @@ def top_k(scored: DataFrame, query: list[str], order: list[Column], k: int) -> D
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def every_pair(queries: DataFrame, rows: DataFrame) -> DataFrame:
-    """A stated set of queries against all rows. The queries are broadcast if their vectors fit ``BROADCAST_BYTES``; more of
-    them are dealt to blocks of that size, and each block meets the rows as one broadcast after another."""
-    width = queries.agg(F.count("*").alias("n"), F.max(F.size("q")).alias("d")).first()
-    blocks = max(1, -(-(width["n"] * (8 * max(width["d"] or 0, 0) + 64)) // BROADCAST_BYTES))
-    parts = [queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(*[c for c in queries.columns if c != "q"]), F.lit(blocks)) == i) for i in range(blocks)]
-    return reduce(DataFrame.unionByName, [rows.crossJoin(F.broadcast(part)) for part in parts])
-
-
-def knn_join(queries: DataFrame, rows: DataFrame, keys: list[str], query_id: str, row_id: str, k: int, max_distance: float | None = None, residual: Column | None = None) -> DataFrame:
+def knn_join(queries: DataFrame, rows: DataFrame, keys: list[str], query_id: str, row_id: str, k: int, max_distance: float | None = None, differ: tuple[str, str] | None = None) -> DataFrame:
     """For each query (keys, query_id, q) the k nearest rows (keys, row_id, v) that share its keys: query_id, row_id,
-    distance, rank. Without keys, each query meets all rows."""
-    if keys:
-        met = queries.join(rows, keys)
-    else:
-        met = every_pair(queries, rows)
-    if residual is not None:
-        met = met.where(residual)
-    met = met.withColumn("distance", cosine_distance(F.col("q"), F.col("v")))
+    distance, rank. ``differ`` names a column of the queries and one of the rows whose values must not be equal. Without
+    keys, a query meets the rows of the cells that can hold a nearer one (:mod:`nearest`)."""
+    if not keys:
+        null = F.lit(None).cast("string")
+        asked = queries.select(F.col(query_id).alias("qid"), (F.col(differ[0]).cast("string") if differ else null).alias("qx"), "q")
+        found = search(asked, rows.select(F.col(row_id).alias("rid"), (F.col(differ[1]).cast("string") if differ else null).alias("rx"), "v"), k, max_distance)
+        met = found.select(F.col("qid").alias(query_id), F.col("rid").alias(row_id), "distance")
+        return top_k(met, [query_id], [F.col("distance").asc(), F.col(row_id).asc()], k)
+    met = queries.join(rows, keys)
+    if differ is not None:
+        met = met.where(~F.col(differ[0]).eqNullSafe(F.col(differ[1])) | F.col(differ[0]).isNull())
+    met = met.withColumn("distance", cosine_distance(F.col("q"), F.col("v"))).where("distance is not null")
     if max_distance is not None:
         met = met.where(F.col("distance") < max_distance)
     met = met.select(*keys, query_id, row_id, "distance")
     return top_k(met, [query_id], [F.col("distance").asc(), F.col(row_id).asc()], k)
 
 
-def nearest_one(queries: DataFrame, rows: DataFrame, query_id: str, row_id: str, residual: Column | None = None) -> DataFrame:
-    """query_id, row_id, similarity of the nearest row; ties go to the smallest id. A map-side minimum, no sort."""
-    met = every_pair(queries, rows)
-    met = met if residual is None else met.where(residual)
-    best = F.min_by(F.struct(row_id, "distance"), F.struct("distance", row_id))
-    got = met.withColumn("distance", cosine_distance(F.col("q"), F.col("v"))).groupBy(query_id).agg(best.alias("best"))
-    return got.select(query_id, F.col(f"best.{row_id}").alias(row_id), (1 - F.col("best.distance")).alias("similarity"))
+def nearest_one(queries: DataFrame, rows: DataFrame, query_id: str, row_id: str, differ: tuple[str, str] | None = None) -> DataFrame:
+    """query_id, row_id, similarity of the nearest row; ties go to the smallest id."""
+    got = knn_join(queries, rows, [], query_id, row_id, 1, differ=differ)
+    return got.select(query_id, row_id, (1 - F.col("distance")).alias("similarity"))
 
 
 def merging_names(names: DataFrame, scope: str = "document_id", threshold: float = 0.85) -> DataFrame:

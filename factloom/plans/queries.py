@@ -163,7 +163,7 @@ def knn_same_entity(spark, d):
     e = table(spark, d, "embeddings")
     queries = e.where("vec_id % 100 = 0").select("label", F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
     rows = e.select("label", F.col("vec_id").alias("row"), F.col("embedding").alias("v"))
-    got = similarity.knn_join(queries, rows, ["label"], "query", "row", 10, residual=F.col("query") != F.col("row"))
+    got = similarity.knn_join(queries, rows, ["label"], "query", "row", 10, differ=("query", "row"))
     return got.select("query", "row", F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -172,7 +172,7 @@ def knn_same_entity(spark, d):
 def knn_entities(spark, d):
     e = table(spark, d, "embeddings")
     queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
-    got = similarity.knn_join(queries, e.select(F.col("vec_id").alias("row"), F.col("embedding").alias("v")), [], "query", "row", 5, residual=F.col("query") != F.col("row"))
+    got = similarity.knn_join(queries, e.select(F.col("vec_id").alias("row"), F.col("embedding").alias("v")), [], "query", "row", 5, differ=("query", "row"))
     return got.select("query", "row", F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -181,7 +181,7 @@ def knn_entities(spark, d):
 def nearest_type(spark, d):
     e = table(spark, d, "embeddings")
     queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
-    got = similarity.nearest_one(queries, e.select(F.col("vec_id").alias("row"), F.col("embedding").alias("v")), "query", "row", residual=F.col("query") != F.col("row"))
+    got = similarity.nearest_one(queries, e.select(F.col("vec_id").alias("row"), F.col("embedding").alias("v")), "query", "row", differ=("query", "row"))
     return got.select("query", "row", F.round("similarity", 6).alias("similarity"))
 
 
