@@ -111,6 +111,7 @@ def to_scan(rows: DataFrame, names: DataFrame, known: DataFrame, rules: tuple[Ru
     per = names.groupBy("blob", d.alias("d")).agg(F.count("*").alias("n"))
     one = per.groupBy("blob").agg(F.min("d").alias("one"))
     todo = one.join(known, "blob", "left").withColumn("todo", F.array_except(every, F.coalesce("known", F.array().cast("array<string>"))))
+    per, todo = stored(per, "ledger-names"), stored(todo.drop("known"), "ledger-todo")  # plain tables, so that the skew join can split a hot blob
     plan = per.join(todo, "blob").select("blob", "d", "n", "todo", ((F.col("d") == F.col("one")) & (F.size("todo") > 0)).alias("chosen"))
     plan = stored(plan, "ledger-plan")
     chosen, rest = plan.where("chosen"), plan.where("not chosen or n > 1").select(F.col("blob").alias("b"), F.col("d").alias("e"))
@@ -137,7 +138,7 @@ def scan_versions(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RU
     listed = F.array(*[F.lit(r.name) for r in rules])
     hits = ledger_rows(spark, ledger).select("blob", F.explode("found").alias("f")).select("blob", "f.*")
     hits = hits.select("blob", "start", F.array_position(listed, F.col("rule")).alias("rank"), "end", F.split_part("rule", F.lit("@"), F.lit(1)).alias("kind")).where("rank > 0").distinct()
-    of = hits.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", "kind"))).alias("f"))  # of one text
+    of = stored(hits.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", "kind"))).alias("f")), "findings")  # of one text
     spans = F.transform(F.coalesce("f", F.array().cast("array<struct<start: bigint, rank: bigint, end: bigint, kind: string>>")), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     return names.join(of, "blob", "left").select("doc_id", "blob", spans.alias("spans"))
 
