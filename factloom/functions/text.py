@@ -33,8 +33,12 @@ def is_number(json: Column, path: str) -> Column:
     return F.coalesce(kind_of(json, path).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.lit(False))
 
 
+#: The characters of WHITE.
+WHITE_CHARS = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WHITE}+|{WHITE}+$", "")
+    return F.btrim(c, F.lit(WHITE_CHARS))
 
 
 def collapsed(c: Column) -> Column:
@@ -140,10 +144,9 @@ def estimate_tokens(text: Column) -> Column:
     return F.ceil(F.length(text) / 4).cast("int")
 
 
-def compact_text(text: Column, repeated: Column) -> Column:
-    """``text`` without the repeated strings (an array) anywhere, blank lines squeezed. An empty array changes nothing."""
-    s = F.aggregate(repeated, text, lambda acc, r: F.replace(acc, r, F.lit("")))
-    return F.when(F.size(repeated) == 0, text).otherwise(trimmed(F.regexp_replace(s, "\\n{3,}", "\n\n")))
+def squeezed(text: Column) -> Column:
+    """Without blank lines beyond one, and trimmed."""
+    return trimmed(F.regexp_replace(text, "\\n{3,}", "\n\n"))
 
 
 def fact_embedding_input(entity: Column, predicate: Column, value: Column) -> Column:

@@ -16,20 +16,31 @@ A row whose vector is null, empty, of length zero or of other dimensions than th
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.accumulators import Accumulator
+from pyspark.accumulators import Accumulator, AccumulatorParam
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import scratch_dir
 
-BLOCK, MOST_PIVOTS, SAMPLE = 2048, 512, 4096
+BLOCK, MOST_PIVOTS, KEYED_PIVOTS, SAMPLE = 2048, 512, 32, 4096
 #: More than the rounding of a length or a distance: bounds are wider by this much.
 SLACK, TIE = 1e-6, 1e-9
-RINGS = 100  # of the lengths 0 to 2
+FEWEST_RINGS, MOST_RINGS = 4, 100  # of the lengths 0 to 2
+
+
+class Largest(AccumulatorParam):
+    """Keeps the pairs of the largest block, where a plain accumulator adds up those of all."""
+
+    def zero(self, value: int) -> int:
+        return 0
+
+    def addInPlace(self, value1: int, value2: int) -> int:
+        return max(value1, value2)
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
@@ -52,12 +63,13 @@ def lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x @ y.T)))
 
 
-def choose_pivots(rows: DataFrame, n: int) -> np.ndarray:
-    """About sqrt(n) / 4 unit vectors, the centres of a few k-means rounds over a sample that a hash of the id chooses."""
-    sample = rows.orderBy(F.xxhash64("rid")).limit(SAMPLE).select("v").toArrow().column(0).combine_chunks()
-    dims = len(sample[0])
-    x = unit(matrix(sample, dims))
-    at = x[: max(1, min(MOST_PIVOTS, math.ceil(math.sqrt(n) / 4)))]
+def choose_pivots(rows: DataFrame, n: int, m: int | None = None) -> np.ndarray:
+    """``m``, or about sqrt(n) / 4, unit vectors, the centres of a few k-means rounds over a sample that a hash of the id chooses. Rows
+    that one block holds anyway have one."""
+    sample = rows.orderBy(F.xxhash64("rid")).limit(SAMPLE).select("v").toArrow().column(0).to_pylist()
+    dims = Counter(map(len, sample)).most_common(1)[0][0]
+    x = unit(np.array([v for v in sample if len(v) == dims]))
+    at = x[: 1 if n <= BLOCK else m or min(MOST_PIVOTS, math.ceil(math.sqrt(n) / 4))]
     for _ in range(4):
         of = (x @ at.T).argmax(axis=1)
         sums = np.zeros_like(at)
@@ -75,16 +87,17 @@ def fitting(df: DataFrame, vector: str, dims: int | None = None) -> DataFrame:
     return df.withColumn(vector, v).where(F.col(vector).isNotNull() & good)
 
 
-def in_cells(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """``rows`` with pivot, ring and far: the distance from the pivot."""
+def in_cells(rows: DataFrame, pivots: np.ndarray, n: int) -> DataFrame:
+    """The ``n`` ``rows`` with pivot, ring and far: the distance from the pivot. Cells are about sqrt(n) at most."""
     dims, place = pivots.shape[1], rows.columns.index("v")
+    rings = 1 if n <= BLOCK else min(MOST_RINGS, max(FEWEST_RINGS, math.ceil(math.sqrt(n) / len(pivots))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             far = lengths(unit(matrix(batch.column(place), dims)), pivots)
             of = far.argmin(axis=1)
             far = far[np.arange(len(of)), of]
-            ring = np.minimum((far * RINGS / 2).astype(np.int32), RINGS - 1)
+            ring = np.minimum((far * rings / 2).astype(np.int32), rings - 1)
             yield pa.record_batch([*batch.columns, pa.array(of, pa.int32()), pa.array(ring), pa.array(far)], [*batch.schema.names, "pivot", "ring", "far"])
 
     kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
@@ -92,7 +105,7 @@ def in_cells(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
 
 
 class Cells:
-    """The cells of one set of rows, as arrays on the driver: at most ``MOST_PIVOTS`` * ``RINGS``."""
+    """The cells of one set of rows, as arrays on the driver: at most ``MOST_PIVOTS`` * ``MOST_RINGS``."""
 
     def __init__(self, pivots: np.ndarray, stats: list[tuple[int, int, int, float, float]]):
         self.pivots = pivots
@@ -144,7 +157,7 @@ def meet(visiting: DataFrame, rows: DataFrame, units: list[str], k: int | None,
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     both = visiting.groupBy(*units).agg(F.count("*").alias("nq")).join(rows.groupBy(*units).agg(F.count("*").alias("nr")), units)
     both = kept(both.select(*units, blocks("nq").alias("nq"), blocks("nr").alias("nr")), "units")
-    both = F.broadcast(both) if both.count() <= MOST_PIVOTS * RINGS else both
+    both = F.broadcast(both) if both.count() <= MOST_PIVOTS * MOST_RINGS else both
     spread = lambda own, other, key, name, side: [F.pmod(F.xxhash64(key), F.col(own)).cast("int").alias(name), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(side)]
     left = visiting.join(both, units).select(*units, "qid", "qx", "q", *spread("nq", "nr", "qid", "qb", "rb"))
     right = rows.join(both, units).select(*units, "rid", "rx", "v", *spread("nr", "nq", "rid", "rb", "qb"))
@@ -200,13 +213,13 @@ def search(queries: DataFrame, rows: DataFrame, k: int | None, max_distance: flo
         return no_rows(spark, queries, rows)
     pivots = choose_pivots(rows, n)
     dims = pivots.shape[1]
-    rows = kept(in_cells(fitting(rows, "v", dims), pivots), "cells")
+    rows = kept(in_cells(fitting(rows, "v", dims), pivots, n), "cells")
     queries = kept(fitting(queries, "q", dims), "queries")
     stats = rows.groupBy("pivot", "ring").agg(F.count("*"), F.min("far"), F.max("far")).collect()
     cells, reach = Cells(pivots, [tuple(r) for r in stats]), math.inf if max_distance is None else math.sqrt(2 * max_distance) + SLACK
     units = ["pivot", "ring"]
     near = kept(meet(kept(visits(queries, cells, k, reach, True), "visits"), rows, units, k, max_distance, compared), "near")
-    if k is None:
+    if k is None or len(stats) == 1:
         return near
     kth = near.groupBy("qid").agg(F.array_sort(F.collect_list("distance")).alias("d")).select("qid", F.get("d", F.lit(k - 1)).alias("kth"))
     later = queries.join(kth, "qid", "left")
@@ -220,8 +233,8 @@ def search_in_keys(queries: DataFrame, rows: DataFrame, k: int, max_distance: fl
     n = rows.count()
     if not n:
         return no_rows(spark, queries, rows)
-    pivots = choose_pivots(rows, n)[:32]
-    rows = kept(in_cells(fitting(rows, "v", pivots.shape[1]), pivots), "cells")
+    pivots = choose_pivots(rows, n, KEYED_PIVOTS)
+    rows = kept(in_cells(fitting(rows, "v", pivots.shape[1]), pivots, n), "cells")
     queries, place = fitting(queries, "q", pivots.shape[1]), queries.columns.index("q")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,15 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import compact_text, is_blank, page_hash, trimmed
+from ..functions.text import is_blank, page_hash, squeezed, trimmed
+from .nearest import kept
+from .packing import pack_long
 
 #: Thresholds of pages and batches, and what counts as a numeric run.
 CHUNK_TOKENS, LOW_CHARS, LOW_RUNS, NUMERIC_RATIO, NARROW_RATIO = 6000, 1000, 15, 0.4, 0.25
 TARGET_TOKENS, MIN_COST, LONG_PAGE = 42_000, 400, 100_000
+#: Bytes of repeated lines that are shared with all tasks; pages of a document that are folded in one row.
+SHARED_BYTES, LONG_SCOPE = 32_000_000, 2048
 NUMERIC_RUN = "^[0-9.,%$€£₹+-]+$"
 
 
@@ -76,55 +82,114 @@ def group_chunks(chunks: DataFrame) -> DataFrame:
     return got.select("document_id", "page_number", F.array_join(F.col("x.raw_text"), "\n\n").alias("raw_text"), "is_low_text", "is_table_heavy", "needs_vision", "first_chunk_index", F.col("x.id").alias("chunk_ids"))
 
 
-def repeated_lines(pages: DataFrame, scope: str = "document_id", least: int | None = None, min_length: int = 6) -> DataFrame:
+def repeated_lines(pages: DataFrame, scope: str = "document_id", least: int | None = None, min_length: int = 6, ordered: bool = False) -> DataFrame:
     """(scope, line, n_pages) of lines that stand on more than half of a document's pages, or on ``least`` pages.
-    Single pages have none. A line counts once a page."""
-    lines = pages.select(scope, "page_number", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), trimmed))).alias("line")).where(F.length("line") >= min_length)
-    counted = lines.groupBy(scope, "line").agg(F.count("*").alias("n_pages"))
+    Single pages have none. A line counts once a page. ``ordered`` adds where a line stands first: first_page, first_place."""
+    lines = pages.select(scope, "page_number", F.posexplode(F.array_distinct(F.transform(F.split("text", "\n"), trimmed))).alias("place", "line")).where(F.length("line") >= min_length)
+    where = [F.min("page_number").alias("first_page"), F.min_by("place", "page_number").alias("first_place")] if ordered else []
+    counted = lines.groupBy(scope, "line").agg(F.count("*").alias("n_pages"), *where)
     if least is not None:
         return counted.where(F.col("n_pages") >= least)
     totals = pages.groupBy(scope).agg(F.count("*").alias("total"))
     return counted.join(totals, scope).where((F.col("total") > 1) & (F.col("n_pages") >= F.floor(F.col("total") / 2) + 1)).drop("total")
 
 
+class Remover:
+    """Takes strings out of texts, one after another in the order given, as if each were replaced everywhere in turn. An
+    automaton over all of them says which one is next, so a text costs a pass for each string that is there, not for each
+    that there is."""
+
+    def __init__(self, strings: list[str]):
+        self.strings, self.automaton = strings, ahocorasick.Automaton()
+        for i, s in enumerate(strings):
+            self.automaton.add_word(s, i)
+        self.automaton.make_automaton()
+
+    def __call__(self, text: str) -> str:
+        done = -1
+        while True:
+            done = min((i for _, i in self.automaton.iter(text) if i > done), default=None)
+            if done is None:
+                return text
+            text = text.replace(self.strings[done], "")
+
+
+def without_lines(pages: DataFrame, lines: DataFrame, scope: str) -> DataFrame:
+    """``pages`` with ``bare``: the text without the lines of its scope; null where the scope has none. lines (scope, lines:
+    array in order). A document has at most twice as many lines on more than half of its pages as a page has on average.
+    Lines of up to ``SHARED_BYTES`` are shared with all tasks; more of them come with the pages in a join."""
+    size = lines.agg(F.coalesce(F.sum(F.length(F.array_join("lines", "\n"))), F.lit(0)).alias("n")).first()["n"]
+    if not size:
+        return pages.withColumn("bare", F.lit(None).cast("string"))
+    shared = None
+    if size <= SHARED_BYTES:
+        shared = pages.sparkSession.sparkContext.broadcast({r[scope]: r["lines"] for r in lines.collect()})
+        pages = pages.withColumn("__lines", F.lit(None).cast("array<string>"))
+    else:
+        pages = pages.join(lines.withColumnRenamed("lines", "__lines"), scope, "left")
+    at = {c: pages.columns.index(c) for c in (scope, "text", "__lines")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, remove = None, None
+        for batch in batches:
+            out = []
+            for key, text, lines in zip(*(batch.column(at[c]).to_pylist() for c in (scope, "text", "__lines")), strict=True):
+                lines = shared.value.get(key) if shared else lines
+                if lines is None or text is None:
+                    out.append(None)
+                    continue
+                if lines != own:
+                    own, remove = lines, Remover(lines)
+                out.append(remove(text))
+            yield pa.record_batch([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "bare"])
+
+    return pages.mapInArrow(run, T.StructType([*pages.schema.fields, T.StructField("bare", T.StringType())])).drop("__lines")
+
+
 def deduplicate_pages(pages: DataFrame, scope: str = "document_id", enabled: bool = True) -> DataFrame:
     """Pages (scope, page_number, text, ...) with compacted_text and canonical_page: the first page of the same compacted
-    text, itself if there is none before or if it is blank."""
+    text, itself if there is none before or if it is blank. Lines go in the order in which they first stand in the document."""
     if not enabled:
         return pages.withColumn("compacted_text", F.col("text")).withColumn("canonical_page", F.col("page_number"))
-    lines = repeated_lines(pages, scope).groupBy(scope).agg(F.sort_array(F.collect_list("line")).alias("__lines"))
-    got = pages.join(lines, scope, "left").withColumn("compacted_text", compact_text(F.col("text"), F.coalesce("__lines", F.array().cast("array<string>")))).drop("__lines")
-    first = F.min("page_number").over(Window.partitionBy(scope, page_hash(F.col("compacted_text"))))
-    return got.withColumn("canonical_page", F.when(is_blank(F.col("compacted_text")), F.col("page_number")).otherwise(first))
+    order = F.array_sort(F.collect_list(F.struct("first_page", "first_place", "line")))
+    lines = kept(repeated_lines(pages, scope, ordered=True).groupBy(scope).agg(order.alias("x")).select(scope, F.col("x.line").alias("lines")), "repeated-lines")
+    got = without_lines(pages, lines, scope)
+    got = got.withColumn("compacted_text", F.coalesce(squeezed(F.col("bare")), F.col("text"))).drop("bare")
+    got = got.withColumn("__h", F.when(~is_blank(F.col("compacted_text")), page_hash(F.col("compacted_text"))))
+    if lines.limit(1).count():
+        got = kept(got, "compacted-pages")
+    firsts = got.where("__h is not null").groupBy(scope, "__h").agg(F.min("page_number").alias("__first"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
+    return got.join(firsts, [scope, "__h"], "left").withColumn("canonical_page", F.coalesce("__first", "page_number")).select(*pages.columns, "compacted_text", "canonical_page")
 
 
 def page_cost(tokens: Column) -> Column:
     return F.greatest(F.lit(MIN_COST), F.floor(1.5 * tokens + 0.5).cast("int"))
 
 
-def pack_pages(pages: DataFrame, scope: str = "document_id", target: int = TARGET_TOKENS, most: int | None = None) -> DataFrame:
+def pack_pages(pages: DataFrame, scope: str = "document_id", target: int = TARGET_TOKENS, most: int | None = None, long_scope: int = LONG_SCOPE) -> DataFrame:
     """(scope, page_number, batch) in page order: a page of the target's cost or more stands alone, else a batch ends
-    before it would cost over the target or hold over ``most`` pages. Pages stream through in order with a running sum, so
-    a document of any length takes no more memory than a short one."""
-    rows = pages.select(scope, "page_number", page_cost(F.col("token_estimate")).alias("cost")).repartition(scope).sortWithinPartitions(scope, "page_number")
+    before it would cost over the target or hold over ``most`` pages. A document of up to ``long_scope`` pages is folded in
+    a row; longer ones are cut to blocks (:mod:`packing`)."""
+    rows = kept(pages.select(scope, "page_number", page_cost(F.col("token_estimate")).alias("cost")), "page-costs")
+    sizes = rows.groupBy(scope).agg(F.count("*").alias("__n")).where(F.col("__n") > long_scope).select(scope)
     limit = most or 2**31 - 1
+    long = kept(sizes, "long-scopes")
+    some = long.limit(1).count() > 0
+    short = rows.join(long, scope, "left_anti") if some else rows
+    start = F.struct(F.array().cast("array<int>").alias("of"), F.lit(-1).alias("batch"), F.lit(0).cast("bigint").alias("total"), F.lit(0).alias("n"), F.lit(True).alias("closed"))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        owner, batch, total, n, closed = object(), -1, 0, 0, True
-        for part in parts:
-            out = []
-            for own, cost in zip(part[scope], part["cost"], strict=True):
-                if own != owner:
-                    owner, batch, closed = own, -1, True
-                alone = cost >= target
-                if alone or closed or total + cost > target or n >= limit:
-                    batch, total, n = batch + 1, 0, 0
-                total, n, closed = total + cost, n + 1, alone
-                out.append(batch)
-            yield pd.DataFrame({scope: part[scope], "page_number": part["page_number"], "batch": out})
-
-    kinds = dict(pages.dtypes)
-    return rows.mapInPandas(run, f"{scope} {kinds[scope]}, page_number {kinds['page_number']}, batch int")
+    def step(acc: Column, x: Column) -> Column:
+        alone = x["cost"] >= target
+        cut = alone | acc["closed"] | (acc["total"] + x["cost"] > target) | (acc["n"] >= limit)
+        batch = acc["batch"] + cut.cast("int")
+        return F.struct(
+            F.concat(acc["of"], F.array(batch)).alias("of"), batch.alias("batch"), (F.when(cut, 0).otherwise(acc["total"]) + x["cost"]).alias("total"), (F.when(cut, 0).otherwise(acc["n"]) + 1).alias("n"), alone.alias("closed")
+        )
+
+    listed = short.groupBy(scope).agg(F.array_sort(F.collect_list(F.struct("page_number", "cost"))).alias("x"))
+    zipped = listed.select(scope, F.explode(F.arrays_zip(F.col("x.page_number").alias("page_number"), F.aggregate("x", start, step)["of"].alias("batch"))).alias("y"))
+    packed = zipped.select(scope, F.col("y.page_number").alias("page_number"), F.col("y.batch").alias("batch"))
+    return packed if not some else packed.unionByName(pack_long(rows.join(long, scope, "left_semi"), scope, target, limit, MIN_COST))
 
 
 def fixed_groups(rows: DataFrame, scope: str, order: str, size: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import forms_merge, name_forms
 from ..functions.vectors import cosine_distance
-from .nearest import search
+from .nearest import kept, search
 
 
 def top_k(scored: DataFrame, query: list[str], order: list[Column], k: int) -> DataFrame:
@@ -44,15 +44,39 @@ def nearest_one(queries: DataFrame, rows: DataFrame, query_id: str, row_id: str,
     return got.select(query_id, row_id, (1 - F.col("distance")).alias("similarity"))
 
 
+def edit_candidates(strings: DataFrame, scope: list[str], threshold: float) -> DataFrame:
+    """(scope, idx_a, idx_b), idx_a < idx_b, with all pairs of strings (scope, idx, s) whose Levenshtein distance is at most
+    1 - ``threshold`` of the longer length, and some others.
+
+    Strings are padded and cut to q-grams. A string of length n differs from such a partner in at most (1 - t) / t * n
+    edits, each of which breaks q grams; so two of them share one of their rarest q * edits + 1 grams, at about one
+    place. Only those rarest ones are joined on."""
+    ratio = (1 - threshold) / threshold
+    q = min(3, math.floor(1 / ratio)) if ratio > 0 else 3
+    if q < 1:
+        raise ValueError("strings that share less than half of their characters have no common grams")
+    edits = F.floor(F.length("s") * ratio + 1e-6).cast("int")
+    some = strings.withColumn("edits", edits).where("edits > 0").withColumn("n", F.length("s"))
+    padded = F.concat(F.lit("\u0001" * (q - 1)), F.col("s"), F.lit("\u0002" * (q - 1)))
+    grams = F.transform(F.sequence(F.lit(1), F.length("s") + q - 1), lambda i: F.struct(F.substring(padded, i, F.lit(q)).alias("g"), i.alias("at")))
+    every = some.select(*scope, "idx", "n", "edits", F.explode(grams).alias("x")).select(*scope, "idx", "n", "edits", "x.*")
+    often = every.groupBy("g").agg(F.count("*").alias("often"))
+    ranked = every.join(often, "g").groupBy(*scope, "idx", "n", "edits").agg(F.array_sort(F.collect_list(F.struct("often", "g", "at"))).alias("x"))
+    rare = ranked.select(*scope, "idx", "n", "edits", F.explode(F.slice("x", F.lit(1), F.col("edits") * q + 1)).alias("x"))
+    rare = kept(rare.select(*scope, "idx", "n", "edits", F.col("x.g").alias("g"), F.col("x.at").alias("at")), "rare-grams")
+    a, b = (rare.select(*scope, "g", *[F.col(c).alias(f"{c}_{side}") for c in ("idx", "n", "edits", "at")]) for side in "ab")
+    most = F.least("edits_a", "edits_b")
+    met = a.join(b, [*scope, "g"]).where("idx_a < idx_b").where((F.abs(F.col("at_a") - F.col("at_b")) <= most) & (F.abs(F.col("n_a") - F.col("n_b")) <= most))
+    return met.select(*scope, "idx_a", "idx_b").distinct()
+
+
 def merging_names(names: DataFrame, scope: str = "document_id", threshold: float = 0.85) -> DataFrame:
     """Pairs (scope, idx_a, idx_b) of names (scope, idx, name) of one document that name one entity. Forms are made once a
-    name; the length of a form says which lengths can be alike, so that names meet in bands of length only."""
-    own = names.select(scope, "idx", name_forms(F.col("name")).alias("f"))
-    # lengths that are alike differ by less than a band, so they are of the same band or of neighbours
-    band = lambda f: F.floor(F.log(F.greatest(F.length(f), F.lit(1)).cast("double")) / F.lit(-math.log(threshold))).cast("int")
-    keys = F.array_distinct(F.array(F.struct(F.lit("low").alias("k"), band(F.col("f.low")).alias("n")), F.struct(F.lit("form").alias("k"), band(F.col("f.form")).alias("n"))))
-    a = own.select(scope, F.col("idx").alias("idx_a"), F.col("f").alias("fa"), F.explode(keys).alias("key"))
-    near = F.flatten(F.transform(keys, lambda x: F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: F.struct(x["k"].alias("k"), (x["n"] + i).alias("n")))))
-    b = own.select(scope, F.col("idx").alias("idx_b"), F.col("f").alias("fb"), F.explode(near).alias("key"))
-    met = a.join(b, [scope, "key"]).where("idx_a < idx_b").where(forms_merge(F.col("fa"), F.col("fb"), threshold))
-    return met.select(scope, "idx_a", "idx_b").distinct()
+    name; names meet where a form is equal, or where forms share rare grams (:func:`edit_candidates`)."""
+    own = kept(names.select(scope, "idx", name_forms(F.col("name")).alias("f")).where("f.low <> ''"), "name-forms")
+    strings = own.select(scope, "idx", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"f.{k}").alias("s")) for k in ("low", "form")])).alias("x")).select(scope, "idx", "x.*")
+    equal = strings.select(scope, "k", "s", F.col("idx").alias("idx_a")).join(strings.select(scope, "k", "s", F.col("idx").alias("idx_b")), [scope, "k", "s"]).where("idx_a < idx_b")
+    near = edit_candidates(strings, [scope, "k"], threshold)
+    met = equal.select(scope, "idx_a", "idx_b").unionByName(near.select(scope, "idx_a", "idx_b")).distinct()
+    side = lambda x: own.select(scope, F.col("idx").alias(f"idx_{x}"), F.col("f").alias(f"f{x}"))
+    return met.join(side("a"), [scope, "idx_a"]).join(side("b"), [scope, "idx_b"]).where(forms_merge(F.col("fa"), F.col("fb"), threshold)).select(scope, "idx_a", "idx_b")
