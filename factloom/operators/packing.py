@@ -1,7 +1,8 @@
-"""Batches of one very long document, by successors and pointer doubling.
+"""Batches of pages, by successors and pointer doubling.
 
 If a batch starts at a page, prefix sums say where the next one starts: its successor. The batches of a document are the
-orbit of its first page. Pages are dealt to blocks of ``BLOCK``, each with as many pages after it as a batch can hold, so
+orbit of its first page. Short documents stream through tasks, and the orbits of all documents in a batch of rows are
+followed at once. The pages of a very long document are dealt to blocks of ``BLOCK``, each with as many pages after it as a batch can hold, so
 that a block knows the successors of all its pages. For each page of a block that a batch can enter it at, the block says
 where its last batch leaves it and after how many batches: a pointer from (block, entry) to (next block, entry). Pointers
 are doubled to 2, 4, 8... blocks, and the entries that are on the orbit are found from the far jumps to the near ones; so
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,14 +24,64 @@ from .nearest import kept
 BLOCK = 8192
 
 
-def successors(cost: np.ndarray, target: int, most: int) -> np.ndarray:
-    """For each page the first page of the batch after the one that starts at it."""
+def successors(cost: np.ndarray, target: int, most: int, ends: np.ndarray | None = None) -> np.ndarray:
+    """For each page the first page of the batch after the one that starts at it; at the latest the end of its document
+    (``ends``, for each page), if several documents follow each other."""
     n, total = len(cost), np.cumsum(cost)
     big = np.append(np.flatnonzero(cost >= target), n)
     at = np.arange(n)
     full = np.searchsorted(total, total - cost + target, side="right")
     after = np.minimum(np.minimum(full, at + most), big[np.searchsorted(big, at, side="left")])
-    return np.where(cost >= target, at + 1, np.maximum(after, at + 1))
+    after = np.where(cost >= target, at + 1, np.maximum(after, at + 1))
+    return after if ends is None else np.minimum(after, ends)
+
+
+def batches_of_documents(key: np.ndarray, cost: np.ndarray, target: int, most: int) -> np.ndarray:
+    """The batch of each page; documents follow each other, and ``key`` changes between them."""
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    sizes = np.diff(np.append(starts, len(key)))
+    ends = np.repeat(starts + sizes, sizes)
+    after = successors(cost, target, most, ends)
+    first, at = np.zeros(len(key), np.int64), starts
+    while len(at):
+        first[at] = 1
+        last, at = at, after[at]
+        at = at[at < ends[last]]
+    number = np.cumsum(first)
+    return number - np.repeat(number[starts], sizes)
+
+
+def pack_short(rows: DataFrame, scope: str, target: int, most: int) -> DataFrame:
+    """(scope, page_number, batch) of rows (scope, page_number, cost); a task holds one document at a time besides a batch
+    of rows."""
+    kinds = dict(rows.dtypes)
+    dealt = rows.select(scope, "page_number", "cost").repartition(scope).sortWithinPartitions(scope, "page_number")
+
+    def packed(table: pa.Table) -> pa.RecordBatch:
+        key = pc.dictionary_encode(table.column(0), null_encoding="encode").combine_chunks().indices.to_numpy()
+        batch = batches_of_documents(key, table.column(2).to_numpy().astype(np.int64), target, most)
+        return pa.table([table.column(0), table.column(1), pa.array(batch, pa.int32())], [scope, "page_number", "batch"]).combine_chunks().to_batches()[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column(0)
+            last = key[len(key) - 1]
+            same = np.asarray(pc.equal(key, last).fill_null(False).to_numpy(zero_copy_only=False)) if last.is_valid else np.asarray(key.is_null())
+            tail = len(key) - int(same.sum())  # rows are sorted, so the last document's are at the end
+            if tail:
+                yield packed(pa.Table.from_batches([*held, batch.slice(0, tail)]))
+                held = []
+            elif held and held[-1].column(0)[0] != last:
+                yield packed(pa.Table.from_batches(held))
+                held = []
+            held.append(batch.slice(tail))
+        if held:
+            yield packed(pa.Table.from_batches(held))
+
+    return dealt.mapInArrow(run, f"{scope} {kinds[scope]}, page_number {kinds['page_number']}, batch int")
 
 
 def positions(rows: DataFrame, scope: str) -> DataFrame:

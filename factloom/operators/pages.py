@@ -12,13 +12,13 @@ from pyspark.sql import types as T
 
 from ..functions.text import is_blank, page_hash, squeezed, trimmed
 from .nearest import kept
-from .packing import pack_long
+from .packing import pack_long, pack_short
 
 #: Thresholds of pages and batches, and what counts as a numeric run.
 CHUNK_TOKENS, LOW_CHARS, LOW_RUNS, NUMERIC_RATIO, NARROW_RATIO = 6000, 1000, 15, 0.4, 0.25
 TARGET_TOKENS, MIN_COST, LONG_PAGE = 42_000, 400, 100_000
-#: Bytes of repeated lines that are shared with all tasks; pages of a document that are folded in one row.
-SHARED_BYTES, LONG_SCOPE = 32_000_000, 2048
+#: Bytes of repeated lines that are shared with all tasks; pages of a document that are packed in one task.
+SHARED_BYTES, LONG_SCOPE = 32_000_000, 50_000
 NUMERIC_RUN = "^[0-9.,%$€£₹+-]+$"
 
 
@@ -91,7 +91,7 @@ def repeated_lines(pages: DataFrame, scope: str = "document_id", least: int | No
     if least is not None:
         return counted.where(F.col("n_pages") >= least)
     totals = pages.groupBy(scope).agg(F.count("*").alias("total"))
-    return counted.join(totals, scope).where((F.col("total") > 1) & (F.col("n_pages") >= F.floor(F.col("total") / 2) + 1)).drop("total")
+    return counted.where("n_pages > 1").join(totals, scope).where((F.col("total") > 1) & (F.col("n_pages") >= F.floor(F.col("total") / 2) + 1)).drop("total")
 
 
 class Remover:
@@ -114,13 +114,13 @@ class Remover:
             text = text.replace(self.strings[done], "")
 
 
-def without_lines(pages: DataFrame, lines: DataFrame, scope: str) -> DataFrame:
-    """``pages`` with ``bare``: the text without the lines of its scope; null where the scope has none. lines (scope, lines:
-    array in order). A document has at most twice as many lines on more than half of its pages as a page has on average.
+def without_lines(pages: DataFrame, lines: DataFrame, scope: str) -> DataFrame | None:
+    """``pages`` with ``bare``: the text without the lines of its scope; null where the scope has none. None if no scope has
+    any. lines (scope, lines: array in order). A document has at most twice as many lines on more than half of its pages as a page has on average.
     Lines of up to ``SHARED_BYTES`` are shared with all tasks; more of them come with the pages in a join."""
     size = lines.agg(F.coalesce(F.sum(F.length(F.array_join("lines", "\n"))), F.lit(0)).alias("n")).first()["n"]
     if not size:
-        return pages.withColumn("bare", F.lit(None).cast("string"))
+        return None
     shared = None
     if size <= SHARED_BYTES:
         shared = pages.sparkSession.sparkContext.broadcast({r[scope]: r["lines"] for r in lines.collect()})
@@ -153,10 +153,10 @@ def deduplicate_pages(pages: DataFrame, scope: str = "document_id", enabled: boo
         return pages.withColumn("compacted_text", F.col("text")).withColumn("canonical_page", F.col("page_number"))
     order = F.array_sort(F.collect_list(F.struct("first_page", "first_place", "line")))
     lines = kept(repeated_lines(pages, scope, ordered=True).groupBy(scope).agg(order.alias("x")).select(scope, F.col("x.line").alias("lines")), "repeated-lines")
-    got = without_lines(pages, lines, scope)
-    got = got.withColumn("compacted_text", F.coalesce(squeezed(F.col("bare")), F.col("text"))).drop("bare")
+    bare = without_lines(pages, lines, scope)
+    got = pages.withColumn("compacted_text", F.col("text")) if bare is None else bare.withColumn("compacted_text", F.coalesce(squeezed(F.col("bare")), F.col("text"))).drop("bare")
     got = got.withColumn("__h", F.when(~is_blank(F.col("compacted_text")), page_hash(F.col("compacted_text"))))
-    if lines.limit(1).count():
+    if bare is not None:
         got = kept(got, "compacted-pages")
     firsts = got.where("__h is not null").groupBy(scope, "__h").agg(F.min("page_number").alias("__first"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
     return got.join(firsts, [scope, "__h"], "left").withColumn("canonical_page", F.coalesce("__first", "page_number")).select(*pages.columns, "compacted_text", "canonical_page")
@@ -168,28 +168,14 @@ def page_cost(tokens: Column) -> Column:
 
 def pack_pages(pages: DataFrame, scope: str = "document_id", target: int = TARGET_TOKENS, most: int | None = None, long_scope: int = LONG_SCOPE) -> DataFrame:
     """(scope, page_number, batch) in page order: a page of the target's cost or more stands alone, else a batch ends
-    before it would cost over the target or hold over ``most`` pages. A document of up to ``long_scope`` pages is folded in
-    a row; longer ones are cut to blocks (:mod:`packing`)."""
+    before it would cost over the target or hold over ``most`` pages. A document of up to ``long_scope`` pages is
+    packed in one task; longer ones are cut to blocks (:mod:`packing`)."""
     rows = kept(pages.select(scope, "page_number", page_cost(F.col("token_estimate")).alias("cost")), "page-costs")
-    sizes = rows.groupBy(scope).agg(F.count("*").alias("__n")).where(F.col("__n") > long_scope).select(scope)
-    limit = most or 2**31 - 1
+    sizes, limit = rows.groupBy(scope).agg(F.count("*").alias("__n")).where(F.col("__n") > long_scope).select(scope), most or 2**31 - 1
+    if not sizes.limit(1).count():
+        return pack_short(rows, scope, target, limit)
     long = kept(sizes, "long-scopes")
-    some = long.limit(1).count() > 0
-    short = rows.join(long, scope, "left_anti") if some else rows
-    start = F.struct(F.array().cast("array<int>").alias("of"), F.lit(-1).alias("batch"), F.lit(0).cast("bigint").alias("total"), F.lit(0).alias("n"), F.lit(True).alias("closed"))
-
-    def step(acc: Column, x: Column) -> Column:
-        alone = x["cost"] >= target
-        cut = alone | acc["closed"] | (acc["total"] + x["cost"] > target) | (acc["n"] >= limit)
-        batch = acc["batch"] + cut.cast("int")
-        return F.struct(
-            F.concat(acc["of"], F.array(batch)).alias("of"), batch.alias("batch"), (F.when(cut, 0).otherwise(acc["total"]) + x["cost"]).alias("total"), (F.when(cut, 0).otherwise(acc["n"]) + 1).alias("n"), alone.alias("closed")
-        )
-
-    listed = short.groupBy(scope).agg(F.array_sort(F.collect_list(F.struct("page_number", "cost"))).alias("x"))
-    zipped = listed.select(scope, F.explode(F.arrays_zip(F.col("x.page_number").alias("page_number"), F.aggregate("x", start, step)["of"].alias("batch"))).alias("y"))
-    packed = zipped.select(scope, F.col("y.page_number").alias("page_number"), F.col("y.batch").alias("batch"))
-    return packed if not some else packed.unionByName(pack_long(rows.join(long, scope, "left_semi"), scope, target, limit, MIN_COST))
+    return pack_short(rows.join(long, scope, "left_anti"), scope, target, limit).unionByName(pack_long(rows.join(long, scope, "left_semi"), scope, target, limit, MIN_COST))
 
 
 def fixed_groups(rows: DataFrame, scope: str, order: str, size: int) -> DataFrame:

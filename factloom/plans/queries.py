@@ -383,7 +383,7 @@ def repeated_lines(spark, d):
 
 @query("SELECT doc_id, CASE WHEN text = '' THEN doc_id ELSE min(doc_id) OVER (PARTITION BY lang, substr(sha256(text), 1, 16)) END AS canonical_page FROM (SELECT doc_id, lang, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS text FROM documents)")
 def duplicate_pages(spark, d):
-    clean = F.regexp_replace(F.coalesce("text", F.lit("")), "^\\s+|\\s+$", "")
+    clean = F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\f\r"))
     p = table(spark, d, "documents").select("lang", F.col("doc_id").alias("page_number"), clean.alias("text"))
     got = pages.deduplicate_pages(p, "lang")
     return got.select(F.col("page_number").alias("doc_id"), "canonical_page")
@@ -406,9 +406,7 @@ w AS (SELECT document_id, page_number, i, 0 AS batch, cost AS total, 1 AS n, cos
 UNION ALL SELECT p.document_id, p.page_number, p.i, w.batch + CASE WHEN f THEN 1 ELSE 0 END, CASE WHEN f THEN p.cost ELSE w.total + p.cost END, CASE WHEN f THEN 1 ELSE w.n + 1 END, p.cost >= 4000
 FROM w JOIN p ON p.document_id = w.document_id AND p.i = w.i + 1, LATERAL (SELECT p.cost >= 4000 OR w.closed OR w.total + p.cost > 4000 OR w.n >= 3 AS f) x) SELECT document_id, page_number, batch FROM w""")
 def packed_pages(spark, d):
-    w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_quantity")
-    p = table(spark, d, "lineitem").withColumn("n", F.row_number().over(w)).where("n = 1")
-    p = p.select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("page_number"), (F.col("l_quantity") * 60).cast("int").alias("token_estimate"))
+    p = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("page_number")).agg((F.min("l_quantity") * 60).cast("int").alias("token_estimate"))
     return pages.pack_pages(p, "document_id", 4000, 3)
 
 
