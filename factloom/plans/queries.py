@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import display, numbers, periods, text
 from ..functions.vectors import cosine_similarity
 from ..operators import facts as fact_ops
-from ..operators import jobs, pages, quality, reconcile, rules, similarity, views
+from ..operators import in_order, jobs, pages, quality, reconcile, rules, similarity, views
 from ..sources import sinks
 from ..streaming import progress
 from .schemas import TABLES
@@ -367,6 +367,29 @@ def reconciled_candidates(spark, d):
     return reconcile.relationship_rows(reconcile.evaluate(pairs)).select("fact_a_id", "fact_b_id", "relation_type", "method")
 
 
+@query("""WITH f AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey END AS entity_id, o_orderkey % 50 AS document_id, o_totalprice AS v FROM orders),
+met AS (SELECT a.id AS a, b.id AS b, row_number() OVER (PARTITION BY a.id ORDER BY abs(a.v - b.v), b.id) AS n FROM f a JOIN f b ON a.entity_id = b.entity_id AND a.document_id <> b.document_id AND a.id <> b.id AND abs(a.v - b.v) < 200)
+SELECT DISTINCT least(a, b) AS fact_a_id, greatest(a, b) AS fact_b_id FROM met WHERE n <= 10""")
+def hot_entity_candidates(spark, d):
+    """A third of all facts belong to one entity."""
+    null = F.lit(None).cast("string")
+    entity = F.when(F.col("o_orderkey") % 3 == 0, 0).otherwise(F.col("o_custkey"))
+    f = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), entity.alias("entity_id"), (F.col("o_orderkey") % 50).alias("document_id"), F.lit("revenue").alias("predicate"), F.lit("1").alias("value"),
+                                         F.lit("").alias("raw_value"), *[null.alias(c) for c in ("unit", "currency", "time_scope", "qualifiers", "fact_type_id")], F.col("o_totalprice").cast("double").alias("vector"))
+    pairs = reconcile.candidate_pairs(f, f, 10, F.abs(F.col("a_vector") - F.col("b_vector")), 200)
+    return pairs.select(F.col("pair_a").alias("fact_a_id"), F.col("pair_b").alias("fact_b_id"))
+
+
+@query("""WITH RECURSIVE e AS MATERIALIZED (SELECT v, u, s FROM (SELECT a.vec_id AS v, b.vec_id AS u, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON b.vec_id < a.vec_id) WHERE s >= 0.3),
+n AS MATERIALIZED (SELECT x.vec_id AS v, row_number() OVER (ORDER BY x.vec_id) AS i, list(e.u) AS us FROM embeddings x LEFT JOIN e ON e.v = x.vec_id GROUP BY x.vec_id),
+r AS (SELECT 1 AS i, [v] AS leads FROM n WHERE i = 1 UNION ALL SELECT n.i, CASE WHEN list_has_any(n.us, r.leads) THEN r.leads ELSE list_append(r.leads, n.v) END FROM r JOIN n ON n.i = r.i + 1),
+l AS (SELECT unnest(leads) AS u FROM (SELECT leads FROM r ORDER BY i DESC LIMIT 1)),
+b AS (SELECT v, arg_min(u, (-s, u)) AS u FROM e WHERE u IN (SELECT u FROM l) GROUP BY v)
+SELECT n.v, coalesce(b.u, n.v) AS leader FROM n LEFT JOIN b ON b.v = n.v""")
+def leaders_in_order(spark, d):
+    return in_order.followed(table(spark, d, "embeddings").select(F.col("vec_id").alias("v"), F.col("embedding").alias("q")), 0.3)
+
+
 @query("""WITH n AS (SELECT p_partkey AS idx, p_brand AS document_id, lower(p_name) AS name FROM part) SELECT a.document_id, a.idx AS idx_a, b.idx AS idx_b FROM n a JOIN n b ON a.document_id = b.document_id AND a.idx < b.idx
 WHERE a.name = b.name OR 1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)) >= 0.85""")
 def merging_names(spark, d):
