@@ -11,7 +11,7 @@ import json
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.qualifiers import with_entry
@@ -258,6 +258,7 @@ def resolve_documents(facts: DataFrame, documents: DataFrame, entities: DataFram
     return {
         "facts": without_documents(facts, documents).unionByName(linked.select(*facts.columns)),
         "entities": entities.unionByName(fresh, allowMissingColumns=True),
+        "new_entities": fresh,
         "aliases": without_documents(aliases, documents).unionByName(said, allowMissingColumns=True),
         "results": results,
     }
@@ -278,12 +279,24 @@ def reconcile_documents(facts: DataFrame, documents: DataFrame, entities: DataFr
     if files is not None:
         facts = facts.join(files.select("document_id", "filename"), "document_id", "left")
     new = document_facts(facts.join(documents.select("document_id"), "document_id", "left_semi"), entities)
-    asked = new.where("entity_id is not null and embedding is not null").withColumn("vector", embed_query(match_embedding_input(F.col("entity_name"), F.col("predicate"), F.col("value"))))
+    no_entity = F.col("entity_id").isNull()
+    seen = Observation("facts")
+    vector = embed_query(match_embedding_input(F.col("entity_name"), F.col("predicate"), F.col("value")))
+    new = new.observe(seen, F.count_if(no_entity).alias("skipped_no_entity"), F.count_if(~no_entity & F.col("embedding").isNull()).alias("skipped_no_embedding"))
+    asked = written(new.where("entity_id is not null and embedding is not null").withColumn("vector", vector), "asked")
     pairs = reconcile.candidate_pairs(asked, facts.where("embedding is not null").withColumn("vector", F.col("embedding")), k, None, max_distance)
-    decided = written(reconcile.evaluate(reconcile.without_existing(pairs, relationships), judge), "decided")
+    judged = Observation("pairs")
+    decided = reconcile.evaluate(reconcile.without_existing(pairs, relationships), judge)
+    decided = written(decided.observe(judged, F.count("*").alias("pairs_evaluated"), F.count_if(~F.col("escalate")).alias("rule_resolved"), F.count_if(F.col("escalate")).alias("judge_calls")), "decided")
     rows = reconcile.relationship_rows(decided).withColumn("id", F.sha2(F.concat_ws("|", "fact_a_id", "fact_b_id"), 256))
-    counted = reconcile.counters(new.withColumn("vector", F.col("embedding")), decided)
-    return {"relationships": relationships.unionByName(rows, allowMissingColumns=True), "counters": counted.withColumn("relationships_created", F.col("pairs_evaluated"))}
+    counted = seen.get | judged.get
+    counted["relationships_created"] = counted["pairs_evaluated"]
+    one = facts.sparkSession.createDataFrame([tuple(counted[c] for c in COUNTERS)], ", ".join(f"{c} bigint" for c in COUNTERS))
+    return {"relationships": relationships.unionByName(rows, allowMissingColumns=True), "new_relationships": rows, "counters": one}
+
+
+#: The counters of a reconcile job, observed while its tables are written.
+COUNTERS = ("skipped_no_entity", "skipped_no_embedding", "pairs_evaluated", "rule_resolved", "judge_calls", "relationships_created")
 
 
 # -- documents

@@ -147,10 +147,3 @@ def judged_by(call: Callable[[dict, dict, dict], tuple[str, float, str]]) -> Cal
 
 def relationship_rows(decided: DataFrame) -> DataFrame:
     return decided.select(F.col("pair_a").alias("fact_a_id"), F.col("pair_b").alias("fact_b_id"), "relation_type", "explanation", "confidence", "method")
-
-
-def counters(facts: DataFrame, decided: DataFrame) -> DataFrame:
-    """One row: facts skipped without entity or vector, pairs, pairs by rule and by judge."""
-    skipped = facts.agg(F.count_if(F.col("entity_id").isNull()).alias("skipped_no_entity"), F.count_if(F.col("entity_id").isNotNull() & F.col("vector").isNull()).alias("skipped_no_embedding"))
-    pairs = decided.agg(F.count("*").alias("pairs_evaluated"), F.count_if(~F.col("escalate")).alias("rule_resolved"), F.count_if(F.col("escalate")).alias("judge_calls"))
-    return skipped.crossJoin(pairs)  # one row each

@@ -1,12 +1,14 @@
 """The engine as a stream: landed pages go through the four jobs, micro-batch by micro-batch.
 
-Each batch reads one snapshot of the tables and writes the next: batch n reads ``v=n`` and writes ``v=n+1``. A batch that
-runs again after a failure reads the same snapshot and writes the same folder anew, so nothing is counted twice. Only the
-batch's documents are matched against what is stored.
+Each batch reads one snapshot of the tables and writes the next (:mod:`snapshots`): batch n reads version n and writes what
+changes in version n + 1. A batch that runs again after a failure reads the same snapshot and writes the same folders anew,
+so nothing is counted twice. Only the batch's documents are matched against what is stored. While a batch runs, its jobs
+publish the progress of its documents.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -15,11 +17,19 @@ from pyspark.sql import functions as F
 
 from ..operators import jobs
 from ..plans.schemas import TABLES
-from .progress import run_available
+from .progress import progress_event, run_available
+from .snapshots import Change, apply, begin, rows_of_keys, snapshot
 
 PAGES = "document_id string, filename string, page_number int, items array<struct<fontName:string,height:double,str:string,transform:array<double>,width:double>>, width double, error string"
 
 
+__all__ = ["Hooks", "PAGES", "begin", "handler", "run_landed", "snapshot"]
+
+#: Publishes a status of documents (document_id, ...) with a current and a total number: a column or a value each.
+Publish = Callable[[str, DataFrame, "str | int", "str | int"], None]
+STAGE_OF = {"parsing": "parse", "parsed": "parse", "extracting": "extract", "extracted": "extract", "resolving": "resolve", "resolved": "resolve", "reconciling": "reconcile", "done": "reconcile"}
+
+
 @dataclass(frozen=True)
 class Hooks:
     """The models that the jobs call."""
@@ -32,36 +42,75 @@ class Hooks:
     judge: Callable[[DataFrame], DataFrame] | None = None
 
 
-def four_jobs(pages: DataFrame, tables: dict[str, DataFrame], hooks: Hooks) -> dict[str, DataFrame]:
-    """The tables after parse, extract, resolve and reconcile of the documents of ``pages`` (PAGES)."""
+def changes_of(pages: DataFrame, folder: str, version: int, hooks: Hooks, publish: Publish) -> dict[str, Change]:
+    """What parse, extract, resolve and reconcile change of a snapshot for the documents of ``pages`` (PAGES). Tables that
+    belong to documents are read in the buckets of these documents alone, but for the stored facts, which are matched."""
+    spark = pages.sparkSession
     named = pages.groupBy(F.col("document_id").alias("id")).agg(F.max("filename").alias("filename"), F.lit("pending").alias("status"), F.current_timestamp().alias("uploaded_at"))
-    documents = tables["documents"].join(named.select("id"), "id", "left_anti").unionByName(named, allowMissingColumns=True)
-    ours = jobs.written(named.select(F.col("id").alias("document_id")), "batch")
-    parsed = jobs.parse_pages(pages, tables["page_chunks"], documents)
-    chunks = jobs.written(parsed["chunks"], "chunks")
-    mine = chunks.join(ours, "document_id", "left_semi")
-    extracted = jobs.extract_documents(mine, tables["facts"], tables["fact_types"], hooks.extractor, hooks.embed, hooks.vision)
+    named = jobs.written(named, "batch")
+    ours = named.select(F.col("id").alias("document_id"))
+    stored = snapshot(spark, folder, version)
+    own = lambda name, key: rows_of_keys(spark, folder, version, name, ours.withColumnRenamed("document_id", key))
+    came = jobs.written(own("documents", "id").select("id"), "came-again")
+    again = came.limit(1).count() > 0
+    none = lambda name: spark.createDataFrame([], TABLES[name])
+    old = {name: own(name, "document_id") if again else none(name) for name in ("page_chunks", "facts")}
+    shaped = lambda df, name: df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in stored[name].dtypes])
+
+    publish("parsing", ours, 0, 1)
+    parsed = jobs.parse_pages(pages, old["page_chunks"], shaped(named, "documents"))
+    chunks, documents = jobs.written(parsed["chunks"], "chunks"), jobs.written(parsed["documents"], "documents")
+    n_pages = documents.select(F.col("id").alias("document_id"), F.coalesce("page_count", F.lit(0)).alias("n"))
+    publish("parsed", n_pages, "n", "n")
+    publish("extracting", n_pages, 0, "n")
+    extracted = jobs.extract_documents(chunks, none("facts"), stored["fact_types"], hooks.extractor, hooks.embed, hooks.vision)
     facts = jobs.written(extracted["facts"], "facts")
-    resolved = jobs.resolve_documents(facts, ours, tables["entities"], tables["entity_aliases"], hooks.embed, hooks.confirm)
-    facts, entities = jobs.written(resolved["facts"], "facts"), jobs.written(resolved["entities"], "entities")
-    known = facts.select("id")  # facts of a document that came again have new rows; what pointed at lost ones goes
-    kept = tables["relationships"].join(known.withColumnRenamed("id", "fact_a_id"), "fact_a_id", "left_semi").join(known.withColumnRenamed("id", "fact_b_id"), "fact_b_id", "left_semi")
-    related = jobs.reconcile_documents(facts, ours, entities, kept, hooks.embed_query, hooks.judge)
-    done = parsed["documents"].join(ours.withColumnRenamed("document_id", "id").withColumn("__own", F.lit(True)), "id", "left")
-    done = done.withColumn("status", F.when(F.col("__own") & (F.col("status") == "parsed"), "done").otherwise(F.col("status")))
-    others = chunks.join(ours, "document_id", "left_anti")
-    after = {"documents": done, "page_chunks": others.unionByName(extracted["chunks"]), "facts": facts, "fact_types": extracted["types"], "entities": entities, "entity_aliases": resolved["aliases"], "relationships": related["relationships"]}
-    return {name: df.select(*[F.col(c).cast(t) for c, t in tables[name].dtypes]) for name, df in after.items()}
-
-
-def snapshot(spark: SparkSession, folder: str, version: int) -> dict[str, DataFrame]:
-    return {name: spark.read.schema(schema).parquet(f"{folder}/v={version}/{name}") for name, schema in TABLES.items()}
-
-
-def begin(spark: SparkSession, folder: str) -> None:
-    """Empty tables, as the snapshot that the first batch reads."""
-    for name, schema in TABLES.items():
-        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{folder}/v=0/{name}")
+    publish("extracted", n_pages, "n", "n")
+    publish("resolving", ours, 0, 1)
+    resolved = jobs.resolve_documents(facts, ours, stored["entities"], none("entity_aliases"), hooks.embed, hooks.confirm)
+    facts, fresh = jobs.written(shaped(resolved["facts"], "facts"), "facts"), jobs.written(resolved["new_entities"], "new-entities")
+    publish("resolved", resolved["results"].select("document_id", F.col("entities_resolved").alias("n")), "n", "n")
+    publish("reconciling", ours, 0, 1)
+    others = stored["facts"].join(came.withColumnRenamed("id", "document_id"), "document_id", "left_anti") if again else stored["facts"]
+    entities = stored["entities"].unionByName(shaped(fresh, "entities"))
+    files = stored["documents"].select(F.col("id").alias("document_id"), "filename").join(ours, "document_id", "left_anti").unionByName(named.select(F.col("id").alias("document_id"), "filename"))
+    kept, lost = stored["relationships"], None
+    if again:  # facts of a document that came again have new rows; what pointed at lost ones goes
+        gone = old["facts"].select("id").join(facts.select("id"), "id", "left_anti")
+        lost = jobs.written(kept.join(gone.withColumnRenamed("id", "fact_a_id"), "fact_a_id", "left_semi").select("id").unionByName(kept.join(gone.withColumnRenamed("id", "fact_b_id"), "fact_b_id", "left_semi").select("id")).distinct(), "lost")
+        kept = kept.join(lost, "id", "left_anti")
+    related = jobs.reconcile_documents(others.unionByName(facts), ours, entities, kept, hooks.embed_query, hooks.judge, files=files)
+    done = documents.withColumn("status", F.when(F.col("status") == "parsed", "done").otherwise(F.col("status")))
+    publish("done", related["counters"].crossJoin(F.broadcast(ours)).select("document_id", F.col("pairs_evaluated").alias("n")), "n", "n")  # one row of counters
+    types = jobs.written(extracted["types"].join(stored["fact_types"].select("id", F.col("example_predicates").alias("was"), F.lit(True).alias("old")), "id", "left").where("old is null or not (example_predicates <=> was)"), "changed-types")
+    by_document = came.select(F.col("id").alias("document_id")) if again else None
+    return {
+        "documents": Change(done, came if again else None),
+        "page_chunks": Change(extracted["chunks"], by_document),
+        "facts": Change(facts, by_document),
+        "fact_types": Change(types.drop("was", "old"), types.where("old").select("id")),
+        "entities": Change(shaped(fresh, "entities")),
+        "entity_aliases": Change(shaped(resolved["aliases"], "entity_aliases"), by_document),
+        "relationships": Change(shaped(related["new_relationships"], "relationships"), lost),
+    }
+
+
+def publisher(folder: str, version: int) -> Publish:
+    """Progress of a batch as rows (document_id, place, at, event) below ``<folder>/progress/v=<version>``, a folder a step:
+    a batch that runs again overwrites its own."""
+    began: dict[str, float] = {}
+    place = [0]
+
+    def publish(status: str, rows: DataFrame, current: str | int, total: str | int) -> None:
+        stage = STAGE_OF[status]
+        began.setdefault(stage, time.monotonic())
+        number = lambda x: F.col(x) if isinstance(x, str) else F.lit(x)
+        event = progress_event(status, stage, number(current), number(total), F.lit(int(1000 * (time.monotonic() - began[stage]))))
+        out = rows.select("document_id", F.lit(place[0]).alias("place"), F.current_timestamp().alias("at"), event.alias("event"))
+        out.write.mode("overwrite").parquet(f"{folder}/progress/v={version}/s={place[0]:02d}")
+        place[0] += 1
+
+    return publish
 
 
 def handler(folder: str, hooks: Hooks) -> Callable[[DataFrame, int], None]:
@@ -69,8 +118,7 @@ def handler(folder: str, hooks: Hooks) -> Callable[[DataFrame, int], None]:
 
     def run(pages: DataFrame, number: int) -> None:
         landed = jobs.written(pages, "landed")
-        for name, df in four_jobs(landed, snapshot(pages.sparkSession, folder, number), hooks).items():
-            df.write.mode("overwrite").parquet(f"{folder}/v={number + 1}/{name}")
+        apply(pages.sparkSession, folder, number, changes_of(landed, folder, number, hooks, publisher(folder, number + 1)))
 
     return run
 
