@@ -5,7 +5,8 @@ Every row belongs to its nearest pivot and, by its distance from it, to a ring;
 distance D of a pivot can have a row of a ring [low, high] no nearer than max(D - high, low - D), nor, if another pivot is
 nearer to it, than the plane between the two. A query visits only the cells whose bound is within reach. Cells and queries
 meet in blocks of at most about ``BLOCK`` rows by ``BLOCK`` queries, whatever their key, and a block passes on no more
-than k rows a query: a cell with a third of all rows (copies of one vector) is many blocks.
+than k rows a query: a cell with a third of all rows (copies of one vector) is many blocks. Rows that one block holds are
+sent to the queries instead.
 
 Pivots come from a sample of at most ``SAMPLE`` rows. They decide the speed and nothing else: bounds and distances are
 exact. Vectors that lie evenly in many dimensions leave nothing to prune, then every cell is visited.
@@ -64,12 +65,11 @@ def lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def choose_pivots(rows: DataFrame, n: int, m: int | None = None) -> np.ndarray:
-    """``m``, or about sqrt(n) / 4, unit vectors, the centres of a few k-means rounds over a sample that a hash of the id chooses. Rows
-    that one block holds anyway have one."""
+    """``m``, or about sqrt(n) / 4, unit vectors, the centres of a few k-means rounds over a sample that a hash of the id chooses."""
     sample = rows.orderBy(F.xxhash64("rid")).limit(SAMPLE).select("v").toArrow().column(0).to_pylist()
     dims = Counter(map(len, sample)).most_common(1)[0][0]
     x = unit(np.array([v for v in sample if len(v) == dims]))
-    at = x[: 1 if n <= BLOCK else m or min(MOST_PIVOTS, math.ceil(math.sqrt(n) / 4))]
+    at = x[: m or min(MOST_PIVOTS, math.ceil(math.sqrt(n) / 4))]
     for _ in range(4):
         of = (x @ at.T).argmax(axis=1)
         sums = np.zeros_like(at)
@@ -90,7 +90,7 @@ def fitting(df: DataFrame, vector: str, dims: int | None = None) -> DataFrame:
 def in_cells(rows: DataFrame, pivots: np.ndarray, n: int) -> DataFrame:
     """The ``n`` ``rows`` with pivot, ring and far: the distance from the pivot. Cells are about sqrt(n) at most."""
     dims, place = pivots.shape[1], rows.columns.index("v")
-    rings = 1 if n <= BLOCK else min(MOST_RINGS, max(FEWEST_RINGS, math.ceil(math.sqrt(n) / len(pivots))))
+    rings = min(MOST_RINGS, max(FEWEST_RINGS, math.ceil(math.sqrt(n) / len(pivots))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,44 +162,62 @@ def meet(visiting: DataFrame, rows: DataFrame, units: list[str], k: int | None,
     left = visiting.join(both, units).select(*units, "qid", "qx", "q", *spread("nq", "nr", "qid", "qb", "rb"))
     right = rows.join(both, units).select(*units, "rid", "rx", "v", *spread("nr", "nq", "rid", "rb", "qb"))
     kind, row_kind = dict(visiting.dtypes)["qid"], dict(rows.dtypes)["rid"]
-
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        names = ["qid", "rid", "distance"]
-        empty = pa.table([pa.array([], a.schema.field("qid").type), pa.array([], b.schema.field("rid").type), pa.array([], pa.float64())], names)
-        if not a.num_rows or not b.num_rows:
-            return empty
-        if compared is not None:
-            compared.add(a.num_rows * b.num_rows)
-        q, v = (np.array(t.column(c).combine_chunks().flatten(), dtype=np.float64).reshape(t.num_rows, -1) for t, c in ((a, "q"), (b, "v")))
-        rough = 1.0 - unit(q) @ unit(v).T
-        qx, rx = a.column("qx").to_pylist(), b.column("rx").to_pylist()
-        code = {x: i for i, x in enumerate(dict.fromkeys([*qx, *rx]))}
-        rough[np.array([code[x] for x in qx])[:, None] == np.array([code[x] if x is not None else -1 for x in rx])[None, :]] = np.inf
-        limit = np.full(len(q), np.inf if max_distance is None else max_distance + TIE)
-        if k is not None and rough.shape[1] > k:
-            limit = np.minimum(limit, np.partition(rough, k - 1, axis=1)[:, k - 1] + TIE)
-        i, j = np.nonzero((rough <= limit[:, None]) & np.isfinite(rough))
-        if not len(i):
-            return empty
-        # the distances of what is left are taken as the column expression takes them, sums from left to right
-        total = lambda x: np.cumsum(x, axis=1)[:, -1]
-        exact = np.concatenate([1.0 - total(q[i[s]] * v[j[s]]) / (np.sqrt(total(q[i[s]] ** 2)) * np.sqrt(total(v[j[s]] ** 2))) for s in (slice(o, o + 65_536) for o in range(0, len(i), 65_536))])
-        rid = b.column("rid").to_pylist()
-        best: dict[int, list] = {}
-        for x, y, d in sorted(zip(i.tolist(), j.tolist(), exact.tolist(), strict=True), key=lambda t: (t[2], rid[t[1]])):
-            mine = best.setdefault(x, [])
-            if (k is None or len(mine) < k) and (max_distance is None or d < max_distance):
-                mine.append((x, y, d))
-        found = [t for mine in best.values() for t in mine]
-        if not found:
-            return empty
-        x, y, d = zip(*found, strict=True)
-        return pa.table([a.column("qid").take(pa.array(x)), b.column("rid").take(pa.array(y)), pa.array(d, pa.float64())], names)
-
     keys = [*units, "qb", "rb"]
+    run = lambda a, b: nearest_in_block(a, b, k, max_distance, compared)
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, f"qid {kind}, rid {row_kind}, distance double")
 
 
+def nearest_in_block(a: pa.Table, b: pa.Table, k: int | None, max_distance: float | None, compared: Accumulator | None = None) -> pa.Table:
+    """(qid, rid, distance) of the k nearest rows of ``b`` (rid, rx, v) to each query of ``a`` (qid, qx, q), all of the same
+    dimensions."""
+    names = ["qid", "rid", "distance"]
+    empty = pa.table([pa.array([], a.schema.field("qid").type), pa.array([], b.schema.field("rid").type), pa.array([], pa.float64())], names)
+    if not a.num_rows or not b.num_rows:
+        return empty
+    if compared is not None:
+        compared.add(a.num_rows * b.num_rows)
+    q, v = (np.array(t.column(c).combine_chunks().flatten(), dtype=np.float64).reshape(t.num_rows, -1) for t, c in ((a, "q"), (b, "v")))
+    rough = 1.0 - unit(q) @ unit(v).T
+    qx, rx = a.column("qx").to_pylist(), b.column("rx").to_pylist()
+    code = {x: i for i, x in enumerate(dict.fromkeys([*qx, *rx]))}
+    rough[np.array([code[x] for x in qx])[:, None] == np.array([code[x] if x is not None else -1 for x in rx])[None, :]] = np.inf
+    limit = np.full(len(q), np.inf if max_distance is None else max_distance + TIE)
+    if k is not None and rough.shape[1] > k:
+        limit = np.minimum(limit, np.partition(rough, k - 1, axis=1)[:, k - 1] + TIE)
+    i, j = np.nonzero((rough <= limit[:, None]) & np.isfinite(rough))
+    if not len(i):
+        return empty
+    # the distances of what is left are taken as the column expression takes them, sums from left to right
+    total = lambda x: np.cumsum(x, axis=1)[:, -1]
+    exact = np.concatenate([1.0 - total(q[i[s]] * v[j[s]]) / (np.sqrt(total(q[i[s]] ** 2)) * np.sqrt(total(v[j[s]] ** 2))) for s in (slice(o, o + 65_536) for o in range(0, len(i), 65_536))])
+    rid = b.column("rid").to_pylist()
+    best: dict[int, list] = {}
+    for x, y, d in sorted(zip(i.tolist(), j.tolist(), exact.tolist(), strict=True), key=lambda t: (t[2], rid[t[1]])):
+        mine = best.setdefault(x, [])
+        if (k is None or len(mine) < k) and (max_distance is None or d < max_distance):
+            mine.append((x, y, d))
+    found = [t for mine in best.values() for t in mine]
+    if not found:
+        return empty
+    x, y, d = zip(*found, strict=True)
+    return pa.table([a.column("qid").take(pa.array(x)), b.column("rid").take(pa.array(y)), pa.array(d, pa.float64())], names)
+
+
+def in_one_block(queries: DataFrame, rows: pa.Table, row_kind: str, k: int | None, max_distance: float | None, compared: Accumulator | None) -> DataFrame:
+    """As :func:`meet`, for rows that fit one block: every task has them."""
+    sizes = Counter(map(len, rows.column("v").to_pylist()))
+    dims = sizes.most_common(1)[0][0]
+    rows = rows.filter(pa.array([len(v) == dims for v in rows.column("v").to_pylist()]))
+    shared = queries.sparkSession.sparkContext.broadcast(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                yield from nearest_in_block(pa.Table.from_batches([batch.slice(at, BLOCK)]), shared.value, k, max_distance, compared).combine_chunks().to_batches()
+
+    return fitting(queries, "q", dims).select("qid", "qx", "q").mapInArrow(run, f"qid {dict(queries.dtypes)['qid']}, rid {row_kind}, distance double")
+
+
 def no_rows(spark: SparkSession, queries: DataFrame, rows: DataFrame) -> DataFrame:
     return spark.createDataFrame([], f"qid {dict(queries.dtypes)['qid']}, rid {dict(rows.dtypes)['rid']}, distance double")
 
@@ -208,9 +226,12 @@ def search(queries: DataFrame, rows: DataFrame, k: int | None, max_distance: flo
     """(qid, rid, distance), a superset of the k nearest rows (rid, rx, v) of each query (qid, qx, q): at most k of each block
     that was visited. Null qx differ from everything. Without k, all rows within ``max_distance`` and no others."""
     spark, rows = rows.sparkSession, fitting(rows, "v")
-    n = rows.count()
-    if not n:
+    some = rows.select("rid", "rx", "v").limit(BLOCK + 1).toArrow()
+    if not some.num_rows:
         return no_rows(spark, queries, rows)
+    if some.num_rows <= BLOCK:
+        return in_one_block(queries, some, dict(rows.dtypes)["rid"], k, max_distance, compared)
+    n = rows.count()
     pivots = choose_pivots(rows, n)
     dims = pivots.shape[1]
     rows = kept(in_cells(fitting(rows, "v", dims), pivots, n), "cells")
@@ -219,7 +240,7 @@ def search(queries: DataFrame, rows: DataFrame, k: int | None, max_distance: flo
     cells, reach = Cells(pivots, [tuple(r) for r in stats]), math.inf if max_distance is None else math.sqrt(2 * max_distance) + SLACK
     units = ["pivot", "ring"]
     near = kept(meet(kept(visits(queries, cells, k, reach, True), "visits"), rows, units, k, max_distance, compared), "near")
-    if k is None or len(stats) == 1:
+    if k is None:
         return near
     kth = near.groupBy("qid").agg(F.array_sort(F.collect_list("distance")).alias("d")).select("qid", F.get("d", F.lit(k - 1)).alias("kth"))
     later = queries.join(kth, "qid", "left")

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..plans.schemas import TABLES
 
@@ -23,6 +24,7 @@ BUCKETS, PIECES = 64, 16
 KEYS = {"documents": "id", "page_chunks": "document_id", "entities": "id", "entity_aliases": "document_id", "fact_types": "id", "facts": "document_id", "relationships": "id"}
 
 Manifest = dict[str, dict[int, list[int]]]
+MANIFEST = "name string, bucket int, place int, version bigint"
 
 
 @dataclass(frozen=True)
@@ -39,14 +41,14 @@ def bucket_of(key: str) -> Column:
 
 def manifest(spark: SparkSession, folder: str, version: int) -> Manifest:
     found: Manifest = {name: {} for name in TABLES}
-    for r in spark.read.parquet(f"{folder}/manifest/v={version}").orderBy("name", "bucket", "place").collect():
+    for r in sorted(spark.read.schema(MANIFEST).parquet(f"{folder}/manifest/v={version}").collect()):
         found[r["name"]].setdefault(r["bucket"], []).append(r["version"])
     return found
 
 
 def write_manifest(spark: SparkSession, folder: str, version: int, found: Manifest) -> None:
     rows = [(name, b, i, v) for name, of in found.items() for b, vs in of.items() for i, v in enumerate(vs)]
-    spark.createDataFrame(rows, "name string, bucket int, place int, version bigint").coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest/v={version}")
+    spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest/v={version}")
 
 
 def read_pieces(spark: SparkSession, folder: str, name: str, pieces: dict[int, list[int]]) -> DataFrame:
@@ -82,7 +84,7 @@ def apply(spark: SparkSession, folder: str, version: int, changes: dict[str, Cha
         if name not in changes:
             continue
         key, change = KEYS[name], changes[name]
-        columns = [F.col(c).cast(t) for c, t in spark.createDataFrame([], TABLES[name]).dtypes]
+        columns = [F.col(f.name).cast(f.dataType) for f in StructType.fromDDL(TABLES[name])]
         new = change.rows.select(*columns).withColumn("b", bucket_of(key))
         gone = set() if change.removed is None else {r["b"] for r in change.removed.select(bucket_of(key).alias("b")).distinct().collect()} & set(of)
         again = gone | {b for b, vs in of.items() if len(vs) >= PIECES}
@@ -93,7 +95,7 @@ def apply(spark: SparkSession, folder: str, version: int, changes: dict[str, Cha
             new = old.select(*new.columns).unionByName(new)
         path = f"{folder}/{name}/v={version + 1}"
         new.repartition(F.col("b")).write.mode("overwrite").partitionBy("b").parquet(path)
-        there = {r["b"] for r in spark.read.schema(f"{TABLES[name]}, b int").parquet(path).select("b").distinct().collect()}
+        there = {int(n[2:]) for n in names_in(spark, path) if n.startswith("b=")}
         for b in again | there:
             now[name][b] = ([] if b in again else of.get(b, [])) + ([version + 1] if b in there else [])
     write_manifest(spark, folder, version + 1, {name: {b: vs for b, vs in of.items() if vs} for name, of in now.items()})
@@ -101,6 +103,11 @@ def apply(spark: SparkSession, folder: str, version: int, changes: dict[str, Cha
         clean(spark, folder, version)
 
 
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return [f.getPath().getName() for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
+
+
 def clean(spark: SparkSession, folder: str, version: int) -> None:
     """Removes what only the version before ``version`` needed."""
     before = f"{folder}/manifest/v={version - 1}"
