@@ -125,3 +125,35 @@ def test_fingerprints_and_licences(spark, texts):
     long = [r["near_edited"] for r in prints.values() if r["n_chars"] > 400]
     assert sum(long) / len(long) > 0.5
     assert set(rows_of(spark, "op8_license_scan")) == set(texts)
+
+
+def test_sort_means(spark):
+    import duckdb
+
+    from factloom.llm.queries import SQL
+
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{DATA}/embeddings.parquet'")
+    want = con.execute(SQL["op11_sort_means"]).df().sort_values("vec_id")
+    got = QUERIES["op11_sort_means"](spark, DATA).toPandas().sort_values("vec_id")
+    assert got[want.columns.tolist()].values.tolist() == want.values.tolist() and got["cluster"].nunique() > 20
+
+
+def test_secrets(spark, texts):
+    from test_selection import brute_base
+
+    for i, r in rows_of(spark, "op12_secret_ledger").items():
+        base = brute_base(texts[i])
+        kinds = Counter(k for k, _, _ in base)
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == (kinds["assign"], kinds["access"], kinds["hex"])
+        said = [":".join(map(str, s)) for s in base]
+        assert r["base_sha256"] == sha(",".join(said)) and set(said) <= set(r["spans"].split(","))
+
+
+def test_resampling(spark, texts):
+    from test_selection import brute_draw
+
+    target = [r["text"] for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    got = rows_of(spark, "op13_resampling")
+    assert sorted(repr(tuple(r)) for r in got.values()) == brute_draw(list(texts.items()), target, 10_000, 1, 20, 10, 2024)
+    assert sum(r["rank"] is not None for r in got.values()) > 5
