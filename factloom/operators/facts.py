@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +18,8 @@ from .similarity import nearest_one
 
 #: Words that a quote and a page must share in a row to be compared.
 ANCHOR = 4
+#: Characters of short quotes that pages are searched for at once.
+SHORT_CHARS = 4_000_000
 STRONG = 0.7
 BUCKETS = ["0-100", "101-400", "401-1000", "1000+"]
 
@@ -65,8 +72,8 @@ def check_quotes(facts: DataFrame, page_text: str = "page_text") -> DataFrame:
 
 def quotes_in_pages(quotes: DataFrame, pages: DataFrame, quote_id: str, page_id: str) -> DataFrame:
     """(quote_id, page_id) of every page (page_id, page_text) that contains a quote (quote_id, source_quote) word for word.
-    Candidates share the first ``ANCHOR`` words inside the quote (its first and last word may be parts of words); quotes of
-    fewer words meet every page: they are a stated set of queries."""
+    Candidates share the first ``ANCHOR`` words inside the quote (its first and last word may be parts of words); pages are
+    searched for all quotes of fewer words at once (:func:`short_quotes_in_pages`)."""
     words = lambda c: F.filter(F.split(c, "\\s+"), lambda w: w != "")
     inner = quotes.where("source_quote <> ''").withColumn("__w", words(F.col("source_quote")))
     long = F.size("__w") >= ANCHOR + 2
@@ -77,8 +84,43 @@ def quotes_in_pages(quotes: DataFrame, pages: DataFrame, quote_id: str, page_id:
     anchored = listed.select(page_id, "__w").select(page_id, F.explode(F.array_distinct(F.transform(starts, lambda i: run(F.col("__w"), i)))).alias("__k"))
     near = anchored.join(keyed.select(quote_id, "__k"), "__k").select(quote_id, page_id).distinct()
     met = near.join(quotes.select(quote_id, "source_quote"), quote_id).join(pages.select(page_id, "page_text"), page_id)
-    short = pages.crossJoin(F.broadcast(inner.where(~long).select(quote_id, "source_quote")))
-    return met.select(quote_id, page_id, "source_quote", "page_text").unionByName(short.select(quote_id, page_id, "source_quote", "page_text")).where(F.contains("page_text", "source_quote")).select(quote_id, page_id)
+    found = met.where(F.contains("page_text", "source_quote")).select(quote_id, page_id)
+    return found.unionByName(short_quotes_in_pages(inner.where(~long).select(quote_id, "source_quote"), pages, quote_id, page_id))
+
+
+def short_quotes_in_pages(quotes: DataFrame, pages: DataFrame, quote_id: str, page_id: str, block: int = SHORT_CHARS) -> DataFrame:
+    """(quote_id, page_id) as above, by an automaton over the distinct quotes, which goes through each page once. Quotes of
+    over ``block`` characters together are dealt to blocks of about that size, one after another."""
+    spark = pages.sparkSession
+    texts = kept(quotes.select("source_quote").distinct(), "short-quotes")
+    size = texts.agg(F.sum(F.length("source_quote")).alias("n")).first()["n"] or 0
+    n = -(-size // block)
+    kind = dict(pages.dtypes)[page_id]
+    found = spark.createDataFrame([], f"{page_id} {kind}, source_quote string")
+
+    def searched(words: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = ahocorasick.Automaton()
+            for i, w in enumerate(words.value):
+                automaton.add_word(w, i)
+            automaton.make_automaton()
+            for batch in batches:
+                hits = [(i, q) for i, t in enumerate(batch.column(1).to_pylist()) if t for q in {q for _, q in automaton.iter(t)}]
+                if hits:
+                    rows, which = zip(*hits, strict=True)
+                    yield pa.record_batch([batch.column(0).take(pa.array(rows)), pa.array([words.value[q] for q in which])], [page_id, "source_quote"])
+
+        return pages.select(page_id, "page_text").mapInArrow(run, f"{page_id} {kind}, source_quote string")
+
+    for i in range(n):
+        own = texts if n == 1 else texts.where(F.pmod(F.xxhash64("source_quote"), F.lit(n)) == i)
+        listed = own.toArrow().column(0).to_pylist()
+        if not listed:
+            continue
+        words = spark.sparkContext.broadcast(listed)
+        found = found.unionByName(kept(searched(words), "short-hits"))
+        words.destroy()
+    return found.join(quotes, "source_quote").select(quote_id, page_id)
 
 
 def allowed_only(facts: DataFrame, allowed: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -582,10 +582,10 @@ def untracked_documents(spark, d):
     return views.documents_with_status(o, table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("id"))).select("id")
 
 
-@query("""SELECT r.id, r.other_id, r.role, s.s_name AS other_name FROM (SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey AS other_id, 'factB' AS role FROM lineitem WHERE l_partkey = 1 AND l_linenumber < 6
+@query("""SELECT r.id, r.other_id, r.role, s.s_name AS other_name FROM (SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey AS other_id, 'factB' AS role FROM lineitem WHERE l_partkey = 1
 ORDER BY l_shipdate DESC, id LIMIT 100) r LEFT JOIN supplier s ON s.s_suppkey = r.other_id""")
 def related_facts(spark, d):
-    pairs = table(spark, d, "lineitem").where("l_linenumber < 6").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("fact_a_id"), (F.col("l_suppkey") + 10**9).alias("fact_b_id"), F.col("l_shipdate").alias("created_at"))
+    pairs = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("fact_a_id"), (F.col("l_suppkey") + 10**9).alias("fact_b_id"), F.col("l_shipdate").alias("created_at"))
     cards = table(spark, d, "supplier").select((F.col("s_suppkey") + 10**9).alias("id"), F.col("s_name").alias("name"))
     return views.related_facts(pairs, 1, cards).select("id", (F.col("other_id") - 10**9).alias("other_id"), "role", F.col("other.name").alias("other_name"))
 

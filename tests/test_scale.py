@@ -253,3 +253,12 @@ def test_a_judge_fails_a_pair_at_a_time(spark):
         "f2": ("contradicts", 0.7, "llm_judge", "quote 0 p0 of file0.pdf; quote 2 p2 of file2.pdf"),
         "f3": ("contradicts", 0.7, "llm_judge", "quote 0 p0 of file0.pdf; quote 3 p3 of Document B"),
     }
+
+
+@pytest.mark.parametrize("block", [5, 10**6])
+def test_short_quotes_are_searched_at_once(spark, block):
+    texts = {1: "the cat sat on the mat", 2: "a cat", 3: None, 4: "", 5: "concatenate these", 6: "Cat"}
+    quotes = {10: "cat", 11: "the mat", 12: "at", 13: "dog", 14: "cat"}
+    made = facts.short_quotes_in_pages(spark.createDataFrame(list(quotes.items()), "q int, source_quote string"), spark.createDataFrame(list(texts.items()), "p int, page_text string"), "q", "p", block)
+    assert sorted((r["q"], r["p"]) for r in made.collect()) == sorted((q, p) for q, s in quotes.items() for p, t in texts.items() if t and s in t)
+    assert facts.short_quotes_in_pages(spark.createDataFrame([], "q int, source_quote string"), spark.createDataFrame(list(texts.items()), "p int, page_text string"), "q", "p", block).count() == 0
