@@ -1,20 +1,18 @@
-"""Progress events: validation, latest status, stage times, time left; the chain of stages as a stream."""
+"""Progress events: validation, latest status, stage times, time left; the chain of stages as a stream.
+
+State of documents that lives between batches is in :mod:`live`."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.display import STAGES, STATUSES, TERMINAL, is_terminal
 from ..functions.text import is_number, kind_of
 
-#: Statuses that begin a stage.
-BEGINNINGS = ("parsing", "extracting", "resolving", "reconciling")
 EVENT = "status string, stage string, progress struct<current:double,total:double>, elapsedMs double, errorMessage string"
 
 
@@ -53,10 +51,19 @@ def stage_times(events: DataFrame, key: str, stage: str, ts: str) -> DataFrame:
     return events.groupBy(key, stage).agg(F.count("*").alias("n_events"), F.greatest(F.lit(0), F.max(ms(ts)) - F.min(ms(ts))).alias("us")).select(key, stage, "n_events", F.floor(F.col("us") / 1000).alias("elapsed_ms"))
 
 
-def run_available(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Handles what has landed, once, and ends. ``handle`` may see a batch again after a failure: it must be idempotent."""
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(handle).start()
-    query.awaitTermination()
+def run_available(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", settings: dict[str, str] | None = None) -> StreamingQuery:
+    """Handles what has landed, once, and ends. ``handle`` may see a batch again after a failure: it must be idempotent.
+    ``settings`` of the session hold while the stream runs."""
+    conf = stream.sparkSession.conf
+    before = {k: conf.get(k, None) for k in settings or {}}
+    for k, v in (settings or {}).items():
+        conf.set(k, v)
+    try:
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(handle).start()
+        query.awaitTermination()
+    finally:
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
     return query
 
 
@@ -87,37 +94,6 @@ def publish(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
-def stopwatch(events: DataFrame) -> DataFrame:
-    """(document_id, status, elapsed_ms) for every event (document_id, ts, status) of a stream, in order of time: the time
-    since the document's stage began. A stage begins with its first status (parsing, extracting, resolving, reconciling);
-    its state goes when a status is final."""
-    kind = events.schema["document_id"].dataType.simpleString()
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        begun = state.get[0] if state.exists else None
-        got = pd.concat(list(parts)).sort_values("ts", kind="stable")
-        out = []
-        for at, status in zip(got["ts"], got["status"], strict=True):
-            ms = int(pd.Timestamp(at).value // 1_000_000)
-            if begun is None or (status in BEGINNINGS and status != last_of(state)):
-                begun = ms
-            out.append((key[0], status, max(0, ms - begun)))
-            if status in TERMINAL:
-                begun = None
-            if begun is None:
-                if state.exists:
-                    state.remove()
-            else:
-                state.update((begun, status))
-        yield pd.DataFrame(out, columns=["document_id", "status", "elapsed_ms"])
-
-    return events.select("document_id", "ts", "status").groupBy("document_id").applyInPandasWithState(run, f"document_id {kind}, status string, elapsed_ms bigint", "begun bigint, status string", "append", GroupStateTimeout.NoTimeout)
-
-
-def last_of(state: GroupState) -> str | None:
-    return state.get[1] if state.exists else None
-
-
 def until_final(events: DataFrame, order: str = "event_id") -> DataFrame:
     """Events (document_id, order, status) that a subscriber gets: those up to the first final status of a document."""
     first = events.where(is_terminal(F.col("status"))).groupBy("document_id").agg(F.min(order).alias("__last"))

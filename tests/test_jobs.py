@@ -239,20 +239,6 @@ def test_events(spark):
     assert made.select(progress.is_valid_event(F.col("j"))).first()[0] and '"elapsedMs":0' in made.first()["j"]
 
 
-def test_stopwatch_keeps_and_drops_state(spark, tmp_path):
-    rows = [("a", 1000, "parsing"), ("a", 1500, "parsing"), ("a", 3000, "extracting"), ("a", 3700, "done"), ("b", 2000, "parsing"), ("b", 2200, "failed"), ("b", 9000, "parsing"), ("b", 9100, "parsing")]
-    df = spark.createDataFrame(rows, "document_id string, ms long, status string").select("document_id", F.timestamp_millis("ms").alias("ts"), "status")
-    df.where("document_id = 'a' or unix_millis(ts) < 2100").repartition(1).write.parquet(str(tmp_path / "in"))
-    got = []
-    for more in (None, df.where("document_id = 'b' and unix_millis(ts) > 2100")):
-        if more is not None:
-            more.write.mode("append").parquet(str(tmp_path / "in"))
-        stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-        progress.run_available(progress.stopwatch(stream), lambda out, n: got.extend(map(tuple, out.collect())), str(tmp_path / "checkpoint"))
-    assert [g for g in got if g[0] == "a"] == [("a", "parsing", 0), ("a", "parsing", 500), ("a", "extracting", 0), ("a", "done", 700)]
-    assert [g for g in got if g[0] == "b"] == [("b", "parsing", 0), ("b", "failed", 200), ("b", "parsing", 0), ("b", "parsing", 100)]
-
-
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "files" / "deep").mkdir(parents=True)
     (tmp_path / "files" / "deep" / "a.pdf").write_bytes(b"one|two")
