@@ -6,7 +6,6 @@ year it was shipped in. Lines that follow each other in an order are related.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -22,6 +21,8 @@ from .schemas import TABLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+#: Functions of queries over texts, with the columns that they make.
+STEPS: dict[str, tuple[Callable[[DataFrame], DataFrame], list[str]]] = {}
 
 FACTS = """facts AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey AS document_id, l_partkey AS entity_id, l_returnflag AS fact_type_id,
   'quantity' AS predicate, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS value, 'FY' || CAST(year(l_shipdate) AS VARCHAR) AS time_scope,
@@ -43,35 +44,17 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def sql_value(x) -> str:
-    """A value as a SQL literal."""
-    if x is None:
-        return "NULL"
-    if isinstance(x, bool):
-        return str(x).lower()
-    if isinstance(x, float):
-        return f"CAST({x!r} AS DOUBLE)"
-    return str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
-
-
-def forms(t: str, number: str, inputs: str, outputs: list[str], rows: list[tuple]):
-    """A query over a table whose row of a number (a SQL expression) gets the form of that number: ``inputs`` (a schema) go
-    through the decorated function, which names columns; the last ``outputs`` values of a form are what must come out."""
+def over(t: str, number: str, inputs: dict[str, str], outputs: list[str], sql: str):
+    """A query over all rows of a table: columns made of its own (SQL expressions) go through the decorated function, which
+    names ``outputs``; ``number`` is a row's id. The function alone is a step (tests hold steps against stated cases)."""
 
     def add(f):
-        n = len(inputs.split(", "))
-        names = [c.split()[0] for c in inputs.split(", ")]
-        given = [dict(zip(names, r[:n], strict=True)) for r in rows]
-
         def run(spark: SparkSession, d: str) -> DataFrame:
-            every = F.from_json(F.lit(json.dumps(given)), f"array<struct<{', '.join(c.replace(' ', ': ') for c in inputs.split(', '))}>>")
-            df = table(spark, d, t).select(F.expr(number).alias("id"))
-            made = f(df.withColumn("f", F.get(every, F.pmod("id", F.lit(len(rows))).cast("int"))).select("id", "f.*"))
-            return made.select("id", *outputs)
+            made = table(spark, d, t).selectExpr(f"{number} AS id", *[f"{e} AS {c}" for c, e in inputs.items()])
+            return f(made).select("id", *outputs)
 
         run.__name__ = f.__name__
-        values = ", ".join(f"({i}, {', '.join(map(sql_value, r[n:]))})" for i, r in enumerate(rows))
-        sql = f"SELECT t.id, {', '.join('e.' + c for c in outputs)} FROM (SELECT {number} AS id FROM {t}) t JOIN (VALUES {values}) e(i, {', '.join(outputs)}) ON t.id % {len(rows)} = e.i"
+        STEPS[f.__name__] = (f, outputs)
         return query(sql)(run)
 
     return add
@@ -206,126 +189,104 @@ def comparison_forms(spark, d):
     return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), text.comparison_form(text.normalize_name(name)).alias("form"))
 
 
-NUMBERS = [
-    ("50K", None, None, 50e3, None, "k", None), ("$4.2M", None, None, 4.2e6, "USD", "m", None), ("2.5 billion", None, None, 2.5e9, None, "billion", None), ("10 Cr", "crores", None, 1e8, None, "cr", None), ("5 Lakh", "lakhs", None, 5e5, None, "lakh", None), ("₹500", None, None, 500.0, "INR", None, None),
-    ("N/A", None, None, None, None, None, None), ("Not available", "kg", "usd", None, None, None, None), ("", None, None, None, None, None, None), ("€100M", None, "USD", 1e8, "USD", "m", None), ("5", "kg", None, 5e3, None, "k", "kg"), ("12%", None, None, 12.0, None, "percent", "percent"), ("12", "pct", "eur", 12.0, "EUR", "percent", "percent"),
-    ("250 bps", None, None, 2.5, None, "percent", "percent"), ("1,234,567", None, "inr", 1234567.0, "INR", None, None), ("7", "units", "chf", 7.0, "CHF", "units", "units"), ("3 thousand", "million", None, 3e3, None, "thousand", None), ("3", "million", None, 3e6, None, "million", None), ("(500)", None, None, 500.0, None, None, None),
-    ("-3.5 bn", None, None, -3.5e9, None, "bn", None), ("40 dollars", None, None, 40.0, "USD", None, None), ("9 lacs", None, "rupees", 9e5, "INR", "lacs", None), ("'8 million'", None, None, 8e6, None, "million", None), ("2 monthly", None, None, 2.0, None, None, None), ("5 k m", None, None, 5e3, None, "k", None), ("6 mn and 2 trillion", None, "", 6e12, None, "trillion", None),
-]
-
-
-@forms("lineitem", "l_orderkey * 10 + l_linenumber", "v string, u string, c string", ["number", "currency", "unit", "physical_unit"], NUMBERS)
+@over("lineitem", "l_orderkey * 10 + l_linenumber", {
+    "v": "CASE l_linenumber % 5 WHEN 0 THEN concat('$', floor(l_extendedprice), 'K') WHEN 1 THEN concat(floor(l_extendedprice), '%') WHEN 2 THEN concat(cast(l_quantity AS bigint), ' Cr') WHEN 3 THEN cast(floor(l_extendedprice) AS string) ELSE concat(cast(l_quantity AS bigint), ' bps') END",
+    "u": "CASE l_linenumber % 5 WHEN 2 THEN 'crores' WHEN 3 THEN 'units' END",
+    "c": "CASE l_linenumber % 5 WHEN 3 THEN 'chf' END",
+}, ["number", "currency", "unit", "physical_unit"], """SELECT l_orderkey * 10 + l_linenumber AS id, CAST(CASE m WHEN 0 THEN k * 1000 WHEN 1 THEN k WHEN 2 THEN q * 10000000 WHEN 3 THEN k ELSE q / 100.0 END AS DOUBLE) AS number, CASE m WHEN 0 THEN 'USD' WHEN 3 THEN 'CHF' END AS currency,
+  CASE m WHEN 0 THEN 'k' WHEN 2 THEN 'cr' WHEN 3 THEN 'units' ELSE 'percent' END AS unit, CASE WHEN m IN (1, 4) THEN 'percent' WHEN m = 3 THEN 'units' END AS physical_unit FROM (SELECT *, l_linenumber % 5 AS m, floor(l_extendedprice) AS k, CAST(l_quantity AS BIGINT) AS q FROM lineitem)""")
 def parsed_numbers(df):
     n = F.col("n")
     got = df.withColumn("n", numbers.parse_numeric(F.col("v"), F.col("u"), F.col("c")))
     return got.select("id", n["value"].alias("number"), n["currency"].alias("currency"), n["unit"].alias("unit"), n["physical_unit"].alias("physical_unit"))
 
 
-NORMAL = [
-    ('  "1,000,000"  ', "1000000"), ("$4,200.50", "$4200.50"), ("50 bps", "0.5%"), ("150 basis points", "1.5%"), ("15 pct", "15%"), ("12  Percent", "12%"), ("1,2,3", "12,3"), ("", ""), (" A \u00a0 b ", "a b"), ("“Quoted”", "quoted"), ("+25 BPS", "0.25%"), ("about 5 percent of", "about 5% of"), (None, ""), ("percentage", "percentage"), ("'x", "x"), ("1,00,000 Cr", "100000 cr"),
-]
-
-
-@forms("orders", "o_orderkey", "v string", ["normal"], NORMAL)
+@over("orders", "o_orderkey", {
+    "v": "CASE o_orderkey % 4 WHEN 0 THEN concat(' “', replace(o_orderpriority, ' ', '  '), '”  ') WHEN 1 THEN concat('$', cast(floor(o_totalprice / 1000) AS bigint), ',', lpad(cast(floor(o_totalprice) % 1000 AS string), 3, '0')) WHEN 2 THEN concat(o_custkey, ' basis points') ELSE concat(o_custkey, '  pct') END",
+}, ["normal"], """SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN lower(o_orderpriority) WHEN 1 THEN '$' || CAST(floor(o_totalprice / 1000) AS BIGINT) || lpad(CAST(CAST(floor(o_totalprice) AS BIGINT) % 1000 AS VARCHAR), 3, '0')
+  WHEN 2 THEN CAST(o_custkey // 100 AS VARCHAR) || rtrim(rtrim('.' || lpad(CAST(o_custkey % 100 AS VARCHAR), 2, '0'), '0'), '.') || '%' ELSE o_custkey || '%' END AS normal FROM orders""")
 def normal_forms(df):
     return df.withColumn("normal", text.normalize_value(F.col("v")))
 
 
-PERIODS = [
-    ("FY24", "FY2024"), ("FY 2024", "FY2024"), ("Fiscal year 2024", "FY2024"), ("2023-24", "FY2024"), ("FY23/24", "FY2024"), ("2024-03-31", "2024"), ("1998-99", "FY1999"), ("1999-00", "FY1900"), ("Q1 FY24", "FY2024"), ("1Q2024", "Q1-FY2024"), ("q3'24", "Q3-FY2024"), ("CY 2024", "CY2024"), ("in 2021", "2021"), ("Long  Ago", "long ago"), (None, ""), ("FY85", "FY1985"), ("2024-03", "FY2003"), ("fiscal ’19", "FY2019"), ("H1", "h1"),
-]
-
-
-@forms("orders", "o_orderkey", "v string", ["period"], PERIODS)
+@over("orders", "o_orderkey", {
+    "v": "CASE o_orderkey % 4 WHEN 0 THEN concat('Fiscal year ', year(o_orderdate)) WHEN 1 THEN concat('q', quarter(o_orderdate), '\\'', right(year(o_orderdate), 2)) WHEN 2 THEN concat(quarter(o_orderdate), 'Q', year(o_orderdate)) ELSE concat('in ', year(o_orderdate)) END",
+}, ["period"], """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN 'FY' || year(o_orderdate) WHEN o_orderkey % 4 < 3 THEN 'Q' || quarter(o_orderdate) || '-FY' || year(o_orderdate) ELSE CAST(year(o_orderdate) AS VARCHAR) END AS period FROM orders""")
 def period_forms(df):
     return df.withColumn("period", periods.normalize_period(F.col("v")))
 
 
-NAMES = [
-    ("Acme Corp", "Acme Corporation", True, "acme corp"), ("Apple Inc.", "Apple Records", False, "apple inc"), ("Google LLC", "Alphabet Inc.", False, "google llc"), ("The Acme Corporation", "acme corp", True, "acme corp"), ("", "x", False, ""), ("甲", "乙", True, ""), ("X L.L.C.", "X LLC", True, "x llc"), ("“Globex Limited”", "globex ltd", True, "globex ltd"), ("International Business", "International Busines", True, "international business"), ("Widget Company", "Gadget Company", True, "widget co"), ("Widget", "Gadget", False, "widget"), ("Foo P.L.C", "foo plc", True, "foo plc"), ("A-B Incorporated", "A B Inc", True, "a b inc"),
-]
-
-
-@forms("supplier", "s_suppkey", "a string, b string", ["merges", "form"], NAMES)
+@over("supplier", "s_suppkey", {
+    "a": "concat('The ', s_name, ' Corp')",
+    "b": "CASE s_suppkey % 2 WHEN 0 THEN concat(s_name, ' Corporation') ELSE 'Quartz Holdings' END",
+}, ["merges", "form"], """SELECT s_suppkey AS id, s_suppkey % 2 = 0 AS merges, lower(replace(s_name, '#', ' ')) || ' corp' AS form FROM supplier""")
 def name_pairs(df):
     return df.withColumns({"merges": text.names_merge(F.col("a"), F.col("b")), "form": text.comparison_form(text.normalize_name(F.col("a")))})
 
 
-PREDICATES = [
-    ("revenue", "net revenue", None, None, True), ("revenue", "director of operations", None, None, False), ("total_revenue", "total revenue", None, None, True), ("foo", "bar", "t1", "t1", True), ("foo", "bar", "t1", "t2", False), ("foo", "bar", None, None, False), ("employee count", "employees count", None, None, True), ("Gross Margin", "gross-margin", None, None, True), ("net income", "gross income", None, None, False),
-]
-
-
-@forms("part", "p_partkey", "a string, b string, ta string, tb string", ["alike"], PREDICATES)
+@over("part", "p_partkey", {
+    "a": "p_name",
+    "b": "CASE p_partkey % 3 WHEN 0 THEN upper(replace(p_name, ' ', '_')) ELSE 'director of operations' END",
+    "ta": "p_brand",
+    "tb": "CASE p_partkey % 3 WHEN 1 THEN p_brand ELSE 'Brand' END",
+}, ["alike"], """SELECT p_partkey AS id, p_partkey % 3 < 2 AS alike FROM part""")
 def predicate_pairs(df):
     return df.withColumn("alike", text.predicates_match(F.col("a"), F.col("b"), F.col("ta"), F.col("tb")))
 
 
-SAME = "Both documents report identical values of "
-EQUAL = "Values are numerically equivalent after unit normalization: "
-#: a's and b's value, unit, currency, period, qualifiers; relation, confidence, escalate, explanation, reason. Predicate: revenue.
-LADDER = [
-    ("$4,200,000", None, None, "FY2024", None, "$4200000", None, None, "FY 24", None, "corroborates", 0.95, False, SAME + '"$4,200,000" for revenue.', None),
-    ("$4.2M", None, None, "FY2024", None, "4200000", None, None, "FY2024", None, "corroborates", 0.95, False, EQUAL + '"$4.2M" matches "4200000" for revenue.', None),
-    ("$1.5B", None, None, "FY2024", None, "$1500M", None, None, "FY2024", None, "corroborates", 0.95, False, EQUAL + '"$1.5B" matches "$1500M" for revenue.', None),
-    ("100M", None, "USD", "FY2024", None, "100,000,000", None, "EUR", "FY2024", None, "reconciled", 0.9, False, "Values are numerically identical (100000000) but reported in different currencies: USD vs EUR.", None),
-    ("$50", None, None, "FY2024", None, "50%", None, None, "FY2024", None, None, None, True, None, rules.SAME_PERIOD),
-    ("5", None, None, "FY2023", None, "5", None, None, "FY2024", None, "reconciled", 0.9, False, 'Values differ ("5" vs "5") because they cover different time periods: "FY2023" vs "FY2024".', None),
-    ("500", None, None, "FY2024", '{"geography":"NA"}', "650", None, None, "FY2024", '{"geography":"Europe"}', "reconciled", 0.9, False, 'Values differ ("500" vs "650") due to different geography qualifier: "NA" vs "Europe".', None),
-    ("500", None, None, "FY2024", '{"n":5,"_entity":{"name":"a"}}', "650", None, None, "FY2024", '{"_entity":{"name":"b"}}', "reconciled", 0.9, False, 'Values differ ("500" vs "650") due to different n qualifier: "5" vs "undefined".', None),
-    ("500", None, None, None, None, "650", None, None, "FY2024", None, None, None, True, None, rules.NO_PERIOD),
-    ("500", None, None, "FY2024", None, "650", None, None, "FY2024", None, None, None, True, None, rules.SAME_PERIOD),
-    ("good", None, None, None, None, "Good ", None, None, None, None, "corroborates", 0.95, False, SAME + '"good" for revenue.', None),
-    ("5", "kg", None, "FY2024", None, "5.0", "litres", None, "FY2024", None, None, None, True, None, rules.SAME_PERIOD),
-    ("5", "kg", None, "FY2024", None, "5", "litres", None, "FY2024", None, "corroborates", 0.95, False, SAME + '"5" for revenue.', None),
-    ("500", None, None, None, '{"tags":["a"]}', "650", None, None, "FY2024", '{"tags":["b"]}', "reconciled", 0.9, False, 'Values differ ("500" vs "650") due to different tags qualifier: "["a"]" vs "["b"]".', None),
-]
 SIDE = ("value", "unit", "currency", "time_scope", "qualifiers")
 
 
-@forms("lineitem", "l_orderkey * 10 + l_linenumber", ", ".join(f"{s}_{c} string" for s in "ab" for c in SIDE), ["relation_type", "confidence", "escalate", "explanation", "reason"], LADDER)
+@over("lineitem", "l_orderkey * 10 + l_linenumber", {
+    "a_value": "CASE l_linenumber % 4 WHEN 0 THEN concat('$', cast(l_quantity AS bigint), 'K') ELSE concat(cast(l_quantity AS bigint), 'M') END",
+    "a_unit": "cast(null AS string)",
+    "a_currency": "CASE l_linenumber % 4 WHEN 3 THEN 'USD' END",
+    "a_time_scope": "concat('FY', year(l_shipdate))",
+    "a_qualifiers": "cast(null AS string)",
+    "b_value": "CASE l_linenumber % 4 WHEN 0 THEN concat(cast(l_quantity AS bigint), '000') WHEN 3 THEN concat(cast(l_quantity AS bigint), ',000,000') ELSE concat(cast(l_quantity AS bigint), 'M') END",
+    "b_unit": "cast(null AS string)",
+    "b_currency": "CASE l_linenumber % 4 WHEN 3 THEN 'EUR' END",
+    "b_time_scope": "concat('FY', year(l_shipdate) + if(l_linenumber % 4 = 2, 1, 0))",
+    "b_qualifiers": "cast(null AS string)",
+}, ["relation_type", "confidence", "escalate", "explanation", "reason"], """SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN m < 2 THEN 'corroborates' ELSE 'reconciled' END AS relation_type, CAST(CASE WHEN m < 2 THEN 0.95 ELSE 0.9 END AS DOUBLE) AS confidence, false AS escalate, CAST(NULL AS VARCHAR) AS reason,
+  CASE m WHEN 0 THEN 'Values are numerically equivalent after unit normalization: "$' || q || 'K" matches "' || q || '000" for revenue.' WHEN 1 THEN 'Both documents report identical values of "' || q || 'M" for revenue.'
+  WHEN 2 THEN 'Values differ ("' || q || 'M" vs "' || q || 'M") because they cover different time periods: "FY' || y || '" vs "FY' || (y + 1) || '".' ELSE 'Values are numerically identical (' || q * 1000000 || ') but reported in different currencies: USD vs EUR.' END AS explanation
+  FROM (SELECT *, l_linenumber % 4 AS m, CAST(l_quantity AS BIGINT) AS q, year(l_shipdate) AS y FROM lineitem)""")
 def rule_ladder(df):
     side = lambda s: F.struct(F.lit("revenue").alias("predicate"), F.lit(None).cast("string").alias("raw_value"), *[F.col(f"{s}_{c}").alias(c) for c in SIDE])
     return rules.rule_reconcile(df.select("id", side("a").alias("a"), side("b").alias("b")))
 
 
-TIMES = [(7000.0, "≈ 7s left"), (4400.0, "almost done"), (-5000.0, "almost done"), (120000.0, "≈ 2m left"), (125000.0, "≈ 2m 5s left"), (3720000.0, "≈ 1h 2m left"), (None, None), (59499.0, "≈ 59s left"), (59500.0, "≈ 1m left"), (7200000.0, "≈ 2h 0m left")]
-
-
-@forms("orders", "o_orderkey", "ms double", ["eta"], TIMES)
+@over("orders", "o_orderkey", {
+    "ms": "floor(o_totalprice) * (o_orderkey % 23 - 1) * 1.0D",
+}, ["eta"], """SELECT o_orderkey AS id, CASE WHEN s < 5 THEN 'almost done' WHEN s < 60 THEN '≈ ' || s || 's left' WHEN s < 3600 THEN '≈ ' || s // 60 || 'm' || CASE WHEN s % 60 > 0 THEN ' ' || s % 60 || 's' ELSE '' END || ' left' ELSE '≈ ' || s // 3600 || 'h ' || s % 3600 // 60 || 'm left' END AS eta
+  FROM (SELECT o_orderkey, CAST(floor(floor(o_totalprice) * (o_orderkey % 23 - 1) / 1000 + 0.5) AS BIGINT) AS s FROM orders)""")
 def eta_texts(df):
     return df.withColumn("eta", display.format_eta(F.col("ms")))
 
 
-STATES = [
-    ("failed", "extract", "done", "failed", "pending", "extract", "Stage failed"), ("resolving", "resolve", "done", "done", "pending", "resolve", "Complete"), ("pending", None, "active", "pending", "pending", "parse", "Waiting"), ("done", None, "done", "done", "done", "reconcile", "Complete"), ("failed", None, "pending", "pending", "pending", None, "Waiting"), ("parsing", "parse", "active", "pending", "pending", "parse", "Waiting"), ("reconciling", "reconcile", "done", "done", "active", None, "Complete"), ("extracting", "extract", "done", "active", "pending", None, "Reading facts"),
-]
-
-
-@forms("orders", "o_orderkey", "status string, stage string", ["parse", "extract", "reconcile", "line"], [(a, b, c, d, e, g) for a, b, c, d, e, _, g in STATES])
+@over("orders", "o_orderkey", {
+    "status": "CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'extracting' ELSE 'done' END",
+    "stage": "CASE o_orderstatus WHEN 'P' THEN 'reconcile' ELSE 'extract' END",
+}, ["parse", "extract", "reconcile", "line"], """SELECT o_orderkey AS id, 'done' AS parse, CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'active' ELSE 'done' END AS extract, CASE o_orderstatus WHEN 'P' THEN 'done' ELSE 'pending' END AS reconcile, CASE o_orderstatus WHEN 'F' THEN 'Stage failed' WHEN 'O' THEN 'Reading facts' ELSE 'Complete' END AS line FROM orders""")
 def stage_states(df):
     got = df.withColumns({s: display.stage_state(F.col("status"), F.col("stage"), s) for s in ("parse", "extract", "reconcile")})
     return got.withColumn("line", display.stage_line(F.col("extract"), "extract", F.lit(None).cast("string"), "Reading facts", F.lit(None).cast("string")))
 
 
-MENTIONS = [
-    ('{"_entity":{"name":" Acme ","type":" company ","context":" a maker "}}', "q", "Acme", "company", "a maker"), ('{"_entity":{"name":" ","type":"","context":"  "}}', "q", "Unknown Entity", None, "q"), ('{"entity":{"name":"Globex"}}', "", "Globex", None, None), (None, "q", "Unknown Entity", None, "q"), ('{"_entity":{"type":"t"},"entity":{"name":"other"}}', None, "Unknown Entity", "t", None),
-]
-
-
-@forms("orders", "o_orderkey", "qualifiers string, source_quote string", ["name", "type", "context"], MENTIONS)
+@over("part", "p_partkey", {
+    "qualifiers": "CASE p_partkey % 3 WHEN 0 THEN to_json(named_struct('_entity', named_struct('name', concat(' ', p_name, ' '), 'type', p_type))) WHEN 2 THEN to_json(named_struct('entity', named_struct('name', p_name))) END",
+    "source_quote": "p_brand",
+}, ["name", "type", "context"], """SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 1 THEN 'Unknown Entity' ELSE p_name END AS name, CASE p_partkey % 3 WHEN 0 THEN p_type END AS type, p_brand AS context FROM part""")
 def entity_mentions(df):
     found = fact_ops.mentions(df.withColumns({"document_id": F.lit(1), "idx": F.lit(1)}))
     return found.withColumnRenamed("fact_id", "id")
 
 
-LOOSE = [
-    ('{"confidence":0.4,"value":5,"pageNumber":2,"unit":"kg","entity":{"name":"A","type":"t"}}', 0.4, "5", "", 2, "kg", "A", "t", "{}"), ('{"confidence":"0.9","rawValue":"x","pageNumber":"3","unit":7}', 0.0, "", "x", 8, None, "Unknown", "Unknown", "{}"), ('{"entity":{"name":"B"},"qualifiers":{"k":1}}', 0.0, "", "", 8, None, "B", None, '{"k":1}'),
-    ('{"entity":null,"qualifiers":"text","value":"v"}', 0.0, "v", "", 8, None, "Unknown", "Unknown", "{}"), ('{"qualifiers":[{"key":"k","value":"1"},{"key":"k","value":"2"}],"value":true}', 0.0, "true", "", 8, None, "Unknown", "Unknown", '{"k":"2"}'),
-]
-
-
-@forms("orders", "o_orderkey", "fact string", ["confidence", "value", "raw_value", "page_number", "unit", "entity_name", "entity_type", "qualifiers"], LOOSE)
+@over("lineitem", "l_orderkey * 10 + l_linenumber", {
+    "fact": "CASE l_linenumber % 2 WHEN 0 THEN concat('{\"confidence\":0.5,\"value\":', cast(l_quantity AS bigint), ',\"pageNumber\":', l_linenumber, ',\"unit\":\"kg\",\"entity\":{\"name\":\"S', l_suppkey, '\",\"type\":\"t\"}}') ELSE concat('{\"rawValue\":\"', l_shipdate, '\",\"qualifiers\":{\"flag\":\"', l_returnflag, '\"},\"entity\":null}') END",
+}, ["confidence", "value", "raw_value", "page_number", "unit", "entity_name", "entity_type", "qualifiers"], """SELECT l_orderkey * 10 + l_linenumber AS id, CAST(CASE WHEN e THEN 0.5 ELSE 0 END AS DOUBLE) AS confidence, CASE WHEN e THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) ELSE '' END AS value, CASE WHEN e THEN '' ELSE CAST(l_shipdate AS VARCHAR) END AS raw_value, CAST(CASE WHEN e THEN l_linenumber ELSE 8 END AS INTEGER) AS page_number,
+  CASE WHEN e THEN 'kg' END AS unit, CASE WHEN e THEN 'S' || l_suppkey ELSE 'Unknown' END AS entity_name, CASE WHEN e THEN 't' ELSE 'Unknown' END AS entity_type, CASE WHEN e THEN '{}' ELSE '{"flag":"' || l_returnflag || '"}' END AS qualifiers FROM (SELECT *, l_linenumber % 2 = 0 AS e FROM lineitem)""")
 def loose_facts(df):
     replies = df.select("id", F.concat(F.lit('```json\n{"facts":['), "fact", F.lit("]}\n```")).alias("reply"))
     return fact_ops.read_facts(replies, default_page=F.lit(8))
@@ -526,16 +487,9 @@ def stage_times(spark, d):
     return progress.stage_times(table(spark, d, "events"), "user_id", "event_type", "ts").select(F.col("user_id").alias("document_id"), F.col("event_type").alias("stage"), "n_events", "elapsed_ms")
 
 
-EVENTS = [
-    ('{"status":"parsing","stage":"parse","progress":{"current":1,"total":2}}', True, False), ('{"status":"nope","progress":{"current":1,"total":2}}', False, False), ('{"status":"parsing","elapsedMs":-1,"progress":{"current":1,"total":2}}', False, False),
-    ('{"status":"done"}', False, True), ('{"status":"failed","progress":{"current":0,"total":1},"errorMessage":"no file"}', True, True), ('{"status":"failed","progress":{"current":0,"total":1},"errorMessage":7}', False, True),
-    ('{"status":"resolved","progress":{"current":1.5,"total":2e3},"errorMessage":null,"elapsedMs":0}', True, False), ('{"status":"resolved","progress":{"current":"1","total":2}}', False, False), ('{"status":"pending","progress":null}', False, False),
-    ('{"status":"pending","stage":"upload","progress":{"current":1,"total":2}}', False, False), ('{"status":"pending","stage":null,"progress":{"current":1,"total":2}}', False, False), ('[1]', False, False), ("no JSON", False, False), (None, False, False),
-    ('{"status":"reconciling","stage":"reconcile","elapsedMs":"5","progress":{"current":1,"total":2}}', False, False), ('{"status":"done","stage":"reconcile","elapsedMs":12.5,"progress":{"current":9,"total":9}}', True, True), ('{"status":5,"progress":{"current":1,"total":2}}', False, False),
-]
-
-
-@forms("events", "event_id", "j string", ["valid", "terminal"], EVENTS)
+@over("events", "event_id", {
+    "j": "concat('{\"status\":\"', CASE event_type WHEN 'click' THEN 'parsing' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' WHEN 'view' THEN 'seen' ELSE 'pending' END, '\",\"elapsedMs\":', cast(floor(value) AS bigint) - 50, ',\"progress\":{\"current\":', user_id, ',\"total\":100}}')",
+}, ["valid", "terminal"], """SELECT event_id AS id, event_type <> 'view' AND floor(value) >= 50 AS valid, event_type IN ('purchase', 'error') AS terminal FROM events""")
 def checked_events(df):
     return df.withColumns({"valid": progress.is_valid_event(F.col("j")), "terminal": progress.is_terminal_payload(F.col("j"))})
 
@@ -547,16 +501,10 @@ def display_figures(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), display.confidence_percent(c).alias("percent"), F.round(display.eta_ms(F.col("o_totalprice"), k, F.lit(7)), 4).alias("eta_ms"), display.progress_percent(k, F.lit(7)).alias("progress"))
 
 
-LOST = "LLM judge returned unstructured or unparseable response: "
-REPLIES = [
-    ('```json\n{"relationType":"contradicts","confidence":0.9,"explanation":"x","same":true}\n```', "contradicts", 0.9, "x", True), ('{"relationType":"uncertain","confidence":0.95,"explanation":"y"} NO', "uncertain", 0.6, "y", False),
-    ("Answer: NO, they differ", "uncertain", 0.3, LOST + "Answer: NO, they differ", False), ("Yes, the same. No doubt.", "uncertain", 0.3, LOST + "Yes, the same. No doubt.", True), ('{"relationType":"reconciled","confidence":7,"explanation":" "}', "reconciled", 1.0, "Relationship classified by judge.", False),
-    ('{"relationType":"corroborates","confidence":-1,"explanation":" a "}', "corroborates", 0.0, "a", False), ('{"relationType":"corroborates","confidence":"0.9","explanation":"b","same":"true"}', "corroborates", 0.5, "b", False), ('{"relationType":"other","confidence":0.9}', "uncertain", 0.3, LOST + '{"relationType":"other","confidence":0.9}', False),
-    ('It is {"relationType":"contradicts","explanation":"c","same":false} YES', "contradicts", 0.5, "c", False), ('{"relationType":"contradicts" yes', "uncertain", 0.3, LOST + '{"relationType":"contradicts" yes', True), ("  ", "uncertain", 0.3, LOST, False), ("yesterday nothing", "uncertain", 0.3, LOST + "yesterday nothing", False),
-]
-
-
-@forms("orders", "o_orderkey", "said string", ["relation_type", "confidence", "explanation", "same"], REPLIES)
+@over("orders", "o_orderkey", {
+    "said": "CASE o_orderkey % 2 WHEN 0 THEN concat('```json\\n{\"relationType\":\"contradicts\",\"confidence\":0.', o_custkey % 10, ',\"explanation\":\"', o_orderpriority, '\",\"same\":', o_custkey % 2 = 0, '}\\n```') ELSE concat('Answer: ', if(o_custkey % 2 = 0, 'Yes', 'NO'), ', it is ', o_orderpriority) END",
+}, ["relation_type", "confidence", "explanation", "same"], """SELECT o_orderkey AS id, CASE WHEN j THEN 'contradicts' ELSE 'uncertain' END AS relation_type, CASE WHEN j THEN o_custkey % 10 / 10.0 ELSE 0.3 END::DOUBLE AS confidence, o_custkey % 2 = 0 AS same,
+  CASE WHEN j THEN o_orderpriority ELSE 'LLM judge returned unstructured or unparseable response: Answer: ' || CASE WHEN o_custkey % 2 = 0 THEN 'Yes' ELSE 'NO' END || ', it is ' || o_orderpriority END AS explanation FROM (SELECT *, o_orderkey % 2 = 0 AS j FROM orders)""")
 def model_replies(df):
     j = text.judge_reply(F.col("said"))
     return df.withColumn("j", j).select("id", "j.*", F.coalesce(text.confirm_reply(F.col("said")), F.lit(False)).alias("same"))
@@ -614,39 +562,36 @@ def status_counts(spark, d):
     return views.status_counts(chunks)
 
 
-RUNS = [
-    ("Total|Revenue was|5 million", "REVENUE  was", "Total|Revenue was"), ("Total|Revenue was|5 million", "total", "Total"), ("Total|Revenue was|5 million", "nothing", ""), ("Total|Revenue was|5 million", "", ""), ("a|b|c|d|e", "b c", "a|b|c"), ("Net|profit,|after tax", "net profit after tax", ""), ("Net|profit-after|tax rose", "net profit-after tax", "Net|profit-after|tax rose"), ("one|two", "TWO", "one|two"), ("It rose by 5 per cent|last year.|Then it fell", "rose by 5 per cent last year", "It rose by 5 per cent|last year."),
-]
-
-
-@forms("orders", "o_orderkey", "words string, quote string", ["found"], RUNS)
+@over("orders", "o_orderkey", {
+    "words": "concat('Order|', o_orderpriority, '|was ', o_orderstatus)",
+    "quote": "CASE o_orderkey % 3 WHEN 0 THEN upper(replace(o_orderpriority, ' ', '  ')) WHEN 1 THEN concat('WAS ', o_orderstatus) ELSE 'nothing' END",
+}, ["found"], """SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'Order|' || o_orderpriority WHEN 1 THEN o_orderpriority || '|was ' || o_orderstatus ELSE '' END AS found FROM orders""")
 def highlighted_runs(df):
     runs = F.transform(F.split("words", "[|]"), lambda w: F.struct(w.alias("text")))
     return df.withColumn("runs", runs).withColumn("found", F.array_join(F.transform(display.matching_runs(F.col("runs"), F.col("quote")), lambda r: r["text"]), "|"))
 
 
-UPLOADS = [("application/pdf", 5, 201), ("text/plain", 5, 400), (None, 5, 400), ("application/pdf", 104857600, 201), ("application/pdf", 104857601, 413)]
-
-
-@forms("orders", "o_orderkey", "mime string, size bigint", ["status"], UPLOADS)
+@over("documents", "doc_id", {
+    "mime": "CASE WHEN doc_id % 3 > 0 THEN 'application/pdf' END",
+    "size": "cast(n_chars AS bigint) * 20000",
+}, ["status"], """SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 400 WHEN CAST(n_chars AS BIGINT) * 20000 > 104857600 THEN 413 ELSE 201 END AS status FROM documents""")
 def upload_answers(df):
     return df.withColumn("status", display.upload_status(F.col("mime"), F.col("size")))
 
 
-FILES = [("../../a?b.pdf", "a_b.pdf"), ("...", "document.pdf"), ("c:\\d\\e.pdf", "e.pdf"), ("", "document.pdf"), (".hidden.pdf", "hidden.pdf"), ("a:b|c.pdf", "a_b_c.pdf"), ("plain.pdf", "plain.pdf")]
-
-
-@forms("orders", "o_orderkey", "name string", ["file"], FILES)
+@over("pages", "page_id", {
+    "name": "url",
+}, ["file"], r"""SELECT page_id AS id, CASE WHEN trim(f) = '' THEN 'document.pdf' ELSE f END AS file FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '^.*[/\\]', ''), '^\.+', ''), '[/\\?%*:|"<>]', '_', 'g') AS f FROM pages)""")
 def file_names(df):
     return df.withColumn("file", text.safe_filename(F.col("name")))
 
 
-VERDICTS = [
-    (True, " Revenue was 5 ", "... revenue was 5 ...", " 5 ", "correct", "... revenue was 5 ..."), (False, "a", "a", "a", "quoteWrong", "a"), (True, "b", "text", "c", "quoteWrong", "text"), (True, "some quote", "", "9", "valueWrong", ""), (None, "q", None, "", "correct", None), (True, "x" * 5, "y" * 60 + "x" * 5 + "z" * 60, "XX", "correct", "y" * 50 + "x" * 5 + "z" * 50),
-]
-
-
-@forms("orders", "o_orderkey", "valid boolean, quote string, chunk string, raw string", ["verdict", "snippet"], VERDICTS)
+@over("orders", "o_orderkey", {
+    "valid": "o_orderkey % 4 <> 0",
+    "quote": "o_orderpriority",
+    "chunk": "CASE o_orderkey % 4 WHEN 1 THEN 'nothing of it' ELSE concat('... ', lower(o_orderpriority), ' ...') END",
+    "raw": "CASE o_orderkey % 4 WHEN 2 THEN '99' ELSE left(o_orderpriority, 1) END",
+}, ["verdict", "snippet"], """SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 2 THEN 'valueWrong' WHEN 3 THEN 'correct' ELSE 'quoteWrong' END AS verdict, CASE o_orderkey % 4 WHEN 1 THEN 'nothing of it' ELSE '... ' || lower(o_orderpriority) || ' ...' END AS snippet FROM orders""")
 def quote_verdicts(df):
     return df.withColumns({"verdict": quality.verdict(*map(F.col, ("valid", "quote", "chunk", "raw"))), "snippet": quality.snippet(F.col("quote"), F.col("chunk"))})
 
