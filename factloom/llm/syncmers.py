@@ -1,17 +1,18 @@
 """Document fingerprints from closed syncmers, by DataFrame functions alone.
 
-Tokens are the runs between spaces (runs of over 24 characters are cut in eights first, so that texts without spaces
-have tokens as well). A window of ``K`` tokens is a closed syncmer if the smallest hash of its inner ``S``-token
-substrings (here single tokens) lies at one of its two ends. That depends on the window alone, so the same passage has
-the same anchors in any document, and their positions match up. Likeness is the Jaccard coefficient of two texts' distinct
-anchors, all of them; ``aligned_edited`` is the share of the anchors of either text that the other has at the same
-position. The printed fingerprint is the bottom sketch of the anchors: their ``M`` smallest 32-bit hashes, ascending.
+Tokens are the runs between spaces, cut after every ``PIECE`` characters. A window of ``K`` tokens is a closed syncmer if
+the smallest hash of its inner ``S``-token substrings lies at its first or last one. That depends on the window alone, so
+the same passage has the same anchors in any document, and their positions match up; of six inner substrings two count, so
+about a third of all windows are anchors. Likeness is the Jaccard coefficient of two texts' distinct anchors, all of them;
+``aligned_edited`` is the share of the anchors of either text that the other has at the same position. The printed
+fingerprint is the SHA-256 of all distinct anchors in ascending order: it stands for the very set that likeness is taken
+of, and differs as soon as one anchor does.
 
 The next document is found by a window over buckets of the order (doc_id, hash of the text). Bounds of the buckets come
 from a sample of at most ``BUCKETS`` x ``SAMPLES`` rows, so that far-off ids or rows without one do not fill a bucket; a
 bucket also gets a copy of the first row of the one after it, so no row meets all others in one task.
 
-Edge cases: a null or empty text has the fingerprint '' and is alike (1.0) to an empty text only; a text of fewer
+Edge cases: a null or empty text has no anchors and is alike (1.0) to an empty text only; a text of fewer
 tokens than ``K`` has one anchor, all of it; null doc_ids come first; rows of the same doc_id are in order of a hash of
 their text; a table of one row is its own next; an empty table gives an empty one; ids may be any bigint.
 """
@@ -25,9 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import id_and_text, read_documents
 
-K, M = 3, 64
+K, S, PIECE = 8, 3, 4
 BUCKETS, ROWS_A_BUCKET, SAMPLES, FAN = 16_384, 500, 8, 128
-LONG_RUN = "[^ ]{25}"
 
 
 def let(value: Column, body) -> Column:
@@ -36,32 +36,39 @@ def let(value: Column, body) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    cut = F.when(text.rlike(LONG_RUN), F.regexp_replace(text, "([^ ]{8})(?=[^ ]{17})", "$1 ")).otherwise(text)
-    return F.split(cut, " ")
-
-
-def syncmer(h: Column, x: Column, i: Column) -> Column:
-    """The anchor that begins at token i of hash x, or null."""
-    middle, last = F.get(h, i + 1), F.get(h, i + 2)
-    # past the last window ``last`` is null, and so is the condition
-    return F.when((x <= F.least(middle, last)) & last.isNotNull() | (last <= F.least(x, middle)), F.xxhash64(x, middle, last).bitwiseAND(F.lit(0xFFFFFFFF)))
+    return F.split(F.regexp_replace(text, f"([^ ]{{{PIECE}}})(?=[^ ])", "$1 "), " ")
 
 
 def token_hashes(text: Column) -> Column:
     return F.transform(tokens(text), lambda t: F.xxhash64(t))
 
 
+def inner_hashes(h: Column) -> Column:
+    """The hash of the S tokens from each token on; those at the end, which are fewer, have none."""
+    return F.transform(h, lambda x, i: F.when(i + S <= F.size(h), F.xxhash64(x, *(F.get(h, i + j) for j in range(1, S)))))
+
+
+def syncmer(s: Column, x: Column, i: Column) -> Column:
+    """The anchor of the window whose first inner hash is ``x``, at i of ``s``, or null. Inner substrings S apart, with the
+    first and last among them, cover the window."""
+    last = F.get(s, i + K - S)
+    between = F.least(*(F.get(s, i + j) for j in range(1, K - S)))
+    cover = [F.get(s, i + j) for j in range(S, K - S, S)]
+    # past the last window ``last`` is null
+    return F.when(last.isNotNull() & (F.least(x, last) <= between), F.xxhash64(x, *cover, last).bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
 def anchors(text: Column) -> Column:
     """array<struct<position int, anchor bigint>>: closed syncmers of a text in order, for positional matching."""
-    found = lambda h: F.filter(F.transform(h, lambda x, i: F.struct(i.alias("position"), syncmer(h, x, i).alias("anchor"))), lambda a: a["anchor"].isNotNull())
-    return let(token_hashes(text), found)
+    found = lambda s: F.filter(F.transform(s, lambda x, i: F.struct(i.alias("position"), syncmer(s, x, i).alias("anchor"))), lambda a: a["anchor"].isNotNull())
+    return let(inner_hashes(token_hashes(text)), found)
 
 
 def placed_anchors(text: Column) -> Column:
     """array<bigint>: the anchors of a text in order, each as position << 32 | hash; empty for the empty text."""
     few = lambda h: F.array(F.xxhash64(h).bitwiseAND(F.lit(0xFFFFFFFF)))
-    many = lambda h: F.array_compact(F.transform(h, lambda x, i: F.shiftleft(i.cast("bigint"), 32).bitwiseOR(syncmer(h, x, i))))
-    made = let(token_hashes(text), lambda h: F.when(F.size(h) < K, few(h)).otherwise(many(h)))
+    many = lambda s: F.array_compact(F.transform(s, lambda x, i: F.shiftleft(i.cast("bigint"), 32).bitwiseOR(syncmer(s, x, i))))
+    made = let(token_hashes(text), lambda h: F.when(F.size(h) < K, few(h)).otherwise(let(inner_hashes(h), many)))
     return F.when(text == "", F.array().cast("array<bigint>")).otherwise(made)
 
 
@@ -77,8 +84,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def as_string(s: Column) -> Column:
-    """The bottom sketch of distinct hashes, as hex digits."""
-    return F.array_join(F.transform(F.slice(F.array_sort(s), 1, M), lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
+    """The fingerprint of distinct hashes: SHA-256 of all of them, ascending, as decimal numbers joined by commas."""
+    return F.sha2(F.array_join(F.array_sort(s).cast("array<string>"), ","), 256)
 
 
 def order_of() -> Column:
