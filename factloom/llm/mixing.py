@@ -9,7 +9,9 @@ Rates start from ``prior`` x the token budget's share, and end as near to it as
 tokens (a token counts the same in a long and a short document) and by the inverse Gram matrix of the rows that are not
 held at zero, which makes a step of 1 the gradient step of that metric.
 
-The fit reads at most ``max_rows`` labelled rows, those with the smallest hash of their id. Labels: toxic rows are
+Every word of any length has log odds of each domain, those of its bucket among ``BUCKETS`` (CRC-32 of its bytes), so that
+the model has one size whatever the texts. The fit reads at most ``max_rows`` labelled rows, those with the smallest hash
+of their id. Labels: toxic rows are
 domain ``toxic``, others ``good`` or ``plain`` by quality 1 or 0.
 
 Edge cases: a null or empty text has no tokens and the posterior of no evidence; a null doc_id is predicted like any
@@ -19,7 +21,9 @@ that is null counts as 0.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +35,13 @@ from .common import id_and_text, map_batches, read_documents, stored, text_key
 DOMAINS = ("good", "plain", "toxic")
 #: Share of the token budget for each domain, and the budget as a share of all tokens.
 TARGETS, BUDGET = {"good": 0.80, "plain": 0.18, "toxic": 0.02}, 0.6
-MAX_ROWS, MAX_WORDS, ROUNDS, TOLERANCE = 20_000, 60_000, 40, 1e-5
-#: Characters of a word that may have odds of its own.
-LONG_WORD = 100
+MAX_ROWS, ROUNDS, TOLERANCE = 20_000, 40, 1e-5
+#: Buckets of words (a power of two), and the labelled rows that must hold a word of a bucket before it has odds.
+BUCKETS, LEAST_ROWS = 1 << 18, 3
+
+
+def buckets_of(words: Iterable[str]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, map(str.encode, words)), np.int64) & (BUCKETS - 1)
 
 
 def text_features(text: str, words: Counter) -> list[float]:
@@ -50,27 +58,29 @@ class DomainClassifier:
 
     def __init__(self, domains=DOMAINS):
         self.domains = domains
-        self.odds: dict[str, np.ndarray] = {}
+        self.odds, self.known_words = np.zeros((BUCKETS, len(domains)), np.float32), np.zeros(BUCKETS, bool)
         self.weights = None
 
     def features(self, text: str) -> np.ndarray:
         words = Counter(text.lower().split())
-        found = [(o, c) for w, c in words.items() if (o := self.odds.get(w)) is not None]
+        at, times = buckets_of(words), np.fromiter(words.values(), float)
+        found = self.known_words[at]
         k = len(self.domains)
-        if not found:
+        if not found.any():
             own = [0.0] * (3 * k)
         else:
-            odds, times = np.array([f[0] for f in found]), np.array([f[1] for f in found], dtype=float)
+            odds, times = self.odds[at[found]].astype(float), times[found]
             top = -np.sort(-odds, axis=0)[:3]
             own = [*(times @ odds / times.sum()), *top.max(axis=0), *(top.sum(axis=0) / 3)]
         return np.array([1.0, *text_features(text, words), *own])
 
-    def weigh(self, counts: np.ndarray, words: list[str], rows: np.ndarray) -> DomainClassifier:
-        """Log odds of each word. counts: rows of each domain that hold a word, by word; rows: rows of each domain."""
+    def weigh(self, counts: np.ndarray, buckets: np.ndarray, rows: np.ndarray) -> DomainClassifier:
+        """Log odds of the words of each bucket. counts: rows of each domain that hold one, by bucket; rows: rows of each
+        domain."""
         rows = np.maximum(rows.astype(float), 1)
         rate = (counts + 0.5) / (rows + 1)
         rest = (counts.sum(axis=1, keepdims=True) - counts + 0.5) / (rows.sum() - rows + 1)
-        self.odds = dict(zip(words, np.log(rate / rest), strict=True))
+        self.odds[buckets], self.known_words[buckets] = np.log(rate / rest), True
         return self
 
     def fit(self, x: np.ndarray, labels: np.ndarray) -> DomainClassifier:
@@ -99,33 +109,24 @@ class DomainClassifier:
 
 
 def word_rows(rows: DataFrame) -> DataFrame:
-    """(w, n array: rows of each domain that hold the word) over rows (text, domain)."""
+    """(bucket, n0, n1, ...: rows of each domain that hold a word of the bucket) over rows (text, domain)."""
     k = len(DOMAINS)
 
     def run(batches):
-        counts: list[Counter] = [Counter() for _ in range(k)]
-
-        def flush():
-            words = list(set().union(*counts))
-            out = pa.record_batch([pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in counts)], ["w", *(f"n{i}" for i in range(k))])
-            for c in counts:
-                c.clear()
-            return out
-
+        counts = np.zeros((BUCKETS, k), np.int64)
         for batch in batches:
             for text, domain in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts[domain].update({w for w in text.lower().split() if len(w) <= LONG_WORD})
-                if sum(map(len, counts)) > 200_000:
-                    yield flush()
-        yield flush()
+                counts[np.unique(buckets_of(set(text.lower().split()))), domain] += 1
+        at = np.flatnonzero(counts.any(axis=1))
+        yield pa.record_batch([pa.array(at), *(pa.array(counts[at, i]) for i in range(k))], ["bucket", *(f"n{i}" for i in range(k))])
 
-    found = rows.select("text", "domain").mapInArrow(run, ", ".join(["w string", *(f"n{i} bigint" for i in range(k))]))
-    return found.groupBy("w").agg(F.array(*(F.sum(f"n{i}") for i in range(k))).alias("n"))
+    found = rows.select("text", "domain").mapInArrow(run, ", ".join(["bucket bigint", *(f"n{i} bigint" for i in range(k))]))
+    return found.groupBy("bucket").agg(*(F.sum(f"n{i}").alias(f"n{i}") for i in range(k)))
 
 
 def fit_domains(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DomainClassifier:
     """The classifier of at most ``max_rows`` labelled ids, one text each. Word odds come from one half of them, weights
-    from the other; the driver gets at most ``MAX_WORDS`` counts and a row of features for each id, and no text."""
+    from the other; the driver gets the counts of at most ``BUCKETS`` buckets and a row of features for each id, and no text."""
     rows = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("quality").alias("quality"))
     domain = F.when(F.col("toxic") == 1, 2).otherwise(F.when(F.col("quality") == 1, 0).otherwise(1))
     # at most max_rows ids: a broadcast of bounded size
@@ -136,9 +137,9 @@ def fit_domains(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) ->
     sizes = np.zeros(k)
     for r in sample.where("half = 0").groupBy("domain").count().collect():
         sizes[r["domain"]] = r["count"]
-    total = F.aggregate("n", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    top = word_rows(sample.where("half = 0")).where(total >= 3).orderBy(total.desc(), "w").limit(MAX_WORDS).collect()
-    model.weigh(np.array([r["n"] for r in top], dtype=float).reshape(-1, k), [r["w"] for r in top], sizes)
+    # at most BUCKETS rows of four numbers
+    counted = word_rows(sample.where("half = 0")).where(" + ".join(f"n{i}" for i in range(k)) + f" >= {LEAST_ROWS}").toArrow()
+    model.weigh(np.stack([counted[f"n{i}"].to_numpy().astype(float) for i in range(k)], axis=1), counted["bucket"].to_numpy(), sizes)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -170,9 +171,9 @@ def rates_of(p: np.ndarray, start: float, moves: np.ndarray) -> np.ndarray:
     return rate
 
 
-def fit_rates(table: DataFrame, targets: np.ndarray, start: float, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
+def fit_rates(table: DataFrame, targets: np.ndarray, start: float, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray]:
     """The moves of projected-gradient rounds over (n_tokens, p) that bring the expected totals to ``targets``, up to the
-    round of the least residual."""
+    round of the least squared residual, and the residual after them."""
     k = len(targets)
 
     def sums(moves: np.ndarray) -> np.ndarray:
@@ -195,20 +196,22 @@ def fit_rates(table: DataFrame, targets: np.ndarray, start: float, rounds: int =
             out[r["i"]] = r["v"]
         return out
 
-    moves, best = np.zeros((0, k)), (np.inf, 0)
+    moves, best, least = np.zeros((0, k)), (np.inf, 0), -targets
     for _ in range(rounds + 1):
         found = sums(moves)
         residual, gram = found[:k] - targets, found[k:].reshape(k, k)
-        best = min(best, (float(np.abs(residual).sum()), len(moves)))
-        if best[0] <= tolerance * max(np.abs(targets).sum(), 1e-9) or len(moves) == rounds:
+        if (size := float(residual @ residual)) < best[0]:
+            best, least = (size, len(moves)), residual
+        if np.sqrt(best[0]) <= tolerance * max(np.abs(targets).sum(), 1e-9) or len(moves) == rounds:
             break
         metric = np.linalg.inv(gram + np.eye(k) * max(np.trace(gram) * 1e-6, 1e-9))
         moves = np.vstack([moves, metric @ residual])
-    return moves[: best[1]]
+    return moves[: best[1]], least
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float = BUDGET, relative: bool = False) -> DataFrame:
-    """doc_id, n_tokens, p_good, p_plain, p_toxic, rate, x (key of the text) of every row.
+    """doc_id, n_tokens, p_good, p_plain, p_toxic, rate, rounds, residual, x (key of the text) of every row; rounds and residual
+    (the length of what the expected totals miss, in tokens) are those of the whole fit.
 
     ``targets`` share ``budget`` x all tokens among the domains; with ``relative`` they are factors of the tokens that
     each domain has, whatever the budget."""
@@ -217,13 +220,14 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     total = float(have["n"] or 0)
     goal = np.array([targets.get(d, 0.0) * ((have[d] or 0.0) if relative else budget * total) for d in DOMAINS])
     start = float(goal.sum() / total) if total else 0.0
-    moves = fit_rates(table, goal, start) if total else np.zeros((0, len(DOMAINS)))
+    moves, missed = fit_rates(table, goal, start) if total else (np.zeros((0, len(DOMAINS))), goal)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         p = batch.column(2).flatten().to_numpy().reshape(-1, len(DOMAINS))
         return pa.record_batch([batch.column(0), batch.column(1), *(pa.array(p[:, i]) for i in range(len(DOMAINS))), pa.array(rates_of(p, start, moves)), batch.column(3)], ["doc_id", "n_tokens", *(f"p_{d}" for d in DOMAINS), "rate", "x"])
 
-    return map_batches(table, "doc_id bigint, n_tokens bigint, p_good double, p_plain double, p_toxic double, rate double, x binary", run)
+    made = map_batches(table, "doc_id bigint, n_tokens bigint, p_good double, p_plain double, p_toxic double, rate double, x binary", run)
+    return made.select("*", F.lit(len(moves)).alias("rounds"), F.lit(float(np.linalg.norm(missed))).alias("residual"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Language ID, context tree, mixing, licences, fingerprints."""
 
 import hashlib
+import itertools
 import math
 import zlib
 from collections import Counter
@@ -145,12 +146,42 @@ def test_mixing(spark, make, odd):
     assert mix(make(odd), labels.limit(0)).count() == len(odd)
 
 
-def test_rates_meet_targets(spark):
-    p = np.random.default_rng(1).dirichlet((0.3, 0.3, 0.3), 200)
-    table = spark.createDataFrame([(10, x.tolist()) for x in p], "n_tokens bigint, p array<double>")
-    targets = np.array([300.0, 100.0, 50.0])
-    rate = rates_of(p, 0.25, fit_rates(table, targets, 0.25))
-    assert (rate >= 0).all() and np.allclose(10 * rate @ p, targets, rtol=1e-2)
+def least_miss(a, targets):
+    """The least distance of a @ rates, rates >= 0, from the targets: of every few columns, those with nonnegative rates."""
+    best = float(np.linalg.norm(targets))
+    for size in range(1, len(targets) + 1):
+        for columns in itertools.combinations(range(a.shape[1]), size):
+            rates = np.linalg.lstsq(a[:, columns], targets, rcond=None)[0]
+            if (rates >= 0).all():
+                best = min(best, float(np.linalg.norm(a[:, columns] @ rates - targets)))
+    return best
+
+
+@pytest.mark.parametrize("targets", [(300.0, 100.0, 50.0), (0.0, 400.0, 0.0), (0.0, 0.0, 0.0), (5.0, 200.0, 100.0), (500.0, 0.0, 10.0)])
+def test_rates_against_brute_force(spark, targets):
+    # targets outside the cone of the posteriors cannot be met; the least miss is then the answer
+    random = np.random.default_rng(1)
+    p, n = random.dirichlet((0.6, 0.6, 0.6), 30), random.integers(1, 40, 30)
+    table = spark.createDataFrame([(int(m), x.tolist()) for m, x in zip(n, p, strict=True)], "n_tokens bigint, p array<double>")
+    targets = np.array(targets)
+    moves, missed = fit_rates(table, targets, 0.5)
+    rate = rates_of(p, 0.5, moves)
+    assert (rate >= 0).all() and np.allclose((n * rate) @ p - targets, missed, atol=1e-6)
+    assert np.linalg.norm(missed) <= least_miss((p * n[:, None]).T, targets) + 1e-2 * targets.sum() + 1e-3
+
+
+def test_long_words_have_odds(spark, make):
+    # nothing but words of over 100 characters tells these texts apart
+    words = ["".join(random_letter(i * 7 + j) for j in range(150)) for i in range(2)]
+    rows = [(i, " ".join(["the river of stone", words[i % 2]])) for i in range(200)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(200)], "doc_id bigint, quality int, toxic int")
+    got = mix(make(rows), labels).collect()
+    assert all((r["p_toxic"] > 0.5) == (r["doc_id"] % 2 == 1) for r in got)
+    assert len({(r["rounds"], r["residual"]) for r in got}) == 1
+
+
+def random_letter(i):
+    return "abcdefghijklmnopqrstuvwxyz"[i * i % 26]
 
 
 def test_licences(make, odd):
