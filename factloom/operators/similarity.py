@@ -70,13 +70,30 @@ def edit_candidates(strings: DataFrame, scope: list[str], threshold: float) -> D
     return met.select(*scope, "idx_a", "idx_b").distinct()
 
 
+#: Members of a class of equal names that stand in one row.
+MEMBERS = 2048
+
+
 def merging_names(names: DataFrame, scope: str = "document_id", threshold: float = 0.85) -> DataFrame:
-    """Pairs (scope, idx_a, idx_b) of names (scope, idx, name) of one document that name one entity. Forms are made once a
-    name; names meet where a form is equal, or where forms share rare grams (:func:`edit_candidates`)."""
-    own = kept(names.select(scope, "idx", name_forms(F.col("name")).alias("f")).where("f.low <> ''"), "name-forms")
-    strings = own.select(scope, "idx", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"f.{k}").alias("s")) for k in ("low", "form")])).alias("x")).select(scope, "idx", "x.*")
+    """Pairs (scope, idx_a, idx_b) of names (scope, idx, name) of one document that name one entity. Names of equal forms
+    are one class; classes meet where a form is equal, or where forms share rare grams (:func:`edit_candidates`). Only then
+    their members are paired, from rows of at most ``MEMBERS``, and pairs pass through no shuffle: copies of a name cost
+    what they put out."""
+    own = names.select(scope, "idx", name_forms(F.col("name")).alias("f")).where("f.low <> ''")
+    own = kept(own.select(scope, "idx", F.concat_ws("\0", "f.low", "f.form").alias("c"), "f"), "name-forms")
+    classes = kept(own.groupBy(scope, "c").agg(F.first("f").alias("f"), F.ceil(F.count("*") / MEMBERS).cast("int").alias("rows")), "name-classes")
+    strings = classes.select(scope, F.col("c").alias("idx"), F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"f.{k}").alias("s")) for k in ("low", "form")])).alias("x")).select(scope, "idx", "x.*")
     equal = strings.select(scope, "k", "s", F.col("idx").alias("idx_a")).join(strings.select(scope, "k", "s", F.col("idx").alias("idx_b")), [scope, "k", "s"]).where("idx_a < idx_b")
     near = edit_candidates(strings, [scope, "k"], threshold)
     met = equal.select(scope, "idx_a", "idx_b").unionByName(near.select(scope, "idx_a", "idx_b")).distinct()
-    side = lambda x: own.select(scope, F.col("idx").alias(f"idx_{x}"), F.col("f").alias(f"f{x}"))
-    return met.join(side("a"), [scope, "idx_a"]).join(side("b"), [scope, "idx_b"]).where(forms_merge(F.col("fa"), F.col("fb"), threshold)).select(scope, "idx_a", "idx_b")
+    side = lambda x: classes.select(scope, F.col("c").alias(f"idx_{x}"), F.col("f").alias(f"f{x}"))
+    alike = met.join(side("a"), [scope, "idx_a"]).join(side("b"), [scope, "idx_b"]).where(forms_merge(F.col("fa"), F.col("fb"), threshold)).select(scope, F.col("idx_a").alias("ca"), F.col("idx_b").alias("cb"))
+    alike = alike.unionByName(classes.select(scope, F.col("c").alias("ca"), F.col("c").alias("cb")))
+    dealt = own.join(classes.select(scope, "c", "rows"), [scope, "c"]).withColumn("row", F.pmod(F.xxhash64("idx"), F.col("rows")).cast("int"))
+    dealt = kept(dealt.groupBy(scope, "c", "row").agg(F.collect_list("idx").alias("m")), "name-members")
+    rows = lambda x: dealt.select(scope, F.col("c").alias(f"c{x}"), F.col("row").alias(f"r{x}"), F.col("m").alias(f"m{x}"))
+    both = alike.join(rows("a"), [scope, "ca"]).join(rows("b"), [scope, "cb"]).where("ca < cb or ra <= rb")
+    both = both.repartition(4 * names.sparkSession.sparkContext.defaultParallelism, scope, "ca", "cb", "ra", "rb")
+    pairs = both.select(scope, (F.struct("ca", "ra") == F.struct("cb", "rb")).alias("own"), F.explode("ma").alias("x"), "mb").select(scope, "own", "x", F.explode("mb").alias("y"))
+    pairs = pairs.where("x < y or (x > y and not own)")
+    return pairs.select(scope, F.least("x", "y").alias("idx_a"), F.greatest("x", "y").alias("idx_b"))

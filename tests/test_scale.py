@@ -262,3 +262,15 @@ def test_short_quotes_are_searched_at_once(spark, block):
     made = facts.short_quotes_in_pages(spark.createDataFrame(list(quotes.items()), "q int, source_quote string"), spark.createDataFrame(list(texts.items()), "p int, page_text string"), "q", "p", block)
     assert sorted((r["q"], r["p"]) for r in made.collect()) == sorted((q, p) for q, s in quotes.items() for p, t in texts.items() if t and s in t)
     assert facts.short_quotes_in_pages(spark.createDataFrame([], "q int, source_quote string"), spark.createDataFrame(list(texts.items()), "p int, page_text string"), "q", "p", block).count() == 0
+
+
+def test_copies_of_a_name_meet_as_one_class(spark, monkeypatch):
+    names = [(i % 2, i, ("Hot Bolt", "hot bolts", "The Hot Bolt", "Cold Ring")[i % 4]) for i in range(240)]
+    table, met = spark.createDataFrame(names, "document_id int, idx bigint, name string"), []
+    plain = similarity.edit_candidates
+    monkeypatch.setattr(similarity, "edit_candidates", lambda strings, *more: met.append(strings.count()) or plain(strings, *more))
+    monkeypatch.setattr(similarity, "MEMBERS", 16, raising=False)
+    got = sorted(tuple(r) for r in similarity.merging_names(table).select("document_id", "idx_a", "idx_b").collect())
+    one = lambda n: n if n == "Cold Ring" else "bolt"
+    assert got == sorted((d, i, j) for d, i, a in names for e, j, b in names if d == e and i < j and one(a) == one(b))
+    assert met == [2 * 4]  # two forms of four classes
