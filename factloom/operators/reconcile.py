@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.accumulators import Accumulator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import predicates_match
 from ..functions.vectors import cosine_distance
-from .nearest import BLOCK, kept, search_in_keys
+from .nearest import BLOCK, SLACK, kept, search_in_keys
 from .rules import parsed, rule_reconcile
 from .similarity import top_k
 
@@ -53,6 +55,79 @@ def near_in_blocks(new: DataFrame, stored: DataFrame, k: int, distance: Column,
     return met.where(F.col("distance") < max_distance).select("a_id", "b_id", "distance")
 
 
+def first_of_others(docs: np.ndarray, start: np.ndarray, step: int, own: np.ndarray, k: int) -> np.ndarray:
+    """Walks over rows in steps of one from ``start``, all walks at once: the places (walks, k) of the first k rows whose
+    document is not the walk's ``own``, -1 where there are fewer. Runs of one document are left in one step."""
+    n = len(docs)
+    change = np.flatnonzero(docs[1:] != docs[:-1])  # a run ends here
+    run = np.searchsorted(change, np.arange(n))
+    after = (np.r_[change + 1, n] if step > 0 else np.r_[-1, change])[run]
+    found, count, at = np.full((len(start), k), -1), np.zeros(len(start), int), start.copy()
+    left = np.flatnonzero((at >= 0) & (at < n))
+    while len(left):
+        here = at[left]
+        other = docs[here] != own[left]
+        found[left[other], count[left[other]]] = here[other]
+        count[left[other]] += 1
+        at[left] = np.where(other, here + step, after[here])
+        left = left[(at[left] >= 0) & (at[left] < n) & (count[left] < k)]
+    return found
+
+
+def nearest_on_a_line(a: pa.Table, b: pa.Table, k: int, max_distance: float) -> pa.Table:
+    """(entity_id, v, doc, b_id, distance) of the k nearest rows of ``b`` (v, doc, b_id) to each query of ``a`` (entity_id, v,
+    doc), ties to the smaller id: those of its own number and above to the right, those below to the left."""
+    ids = b.column("b_id").combine_chunks()
+    by_id = np.empty(len(ids), int)
+    by_id[pc.array_sort_indices(ids).to_numpy()] = np.arange(len(ids))
+    code = {x: i for i, x in enumerate(dict.fromkeys([*a.column("doc").to_pylist(), *b.column("doc").to_pylist()]))}
+    own, docs = (np.array([code[x] for x in t.column("doc").to_pylist()], int) for t in (a, b))
+    q, v = a.column("v").to_numpy(), b.column("v").to_numpy()
+    found = []
+    for step, order in ((1, np.lexsort((by_id, v))), (-1, np.lexsort((-by_id, v)))):
+        start = np.searchsorted(v[order], q) - (step < 0)
+        at = first_of_others(docs[order], start, step, own, k + 1)
+        i, place = np.nonzero(at >= 0)
+        j = order[at[i, place]]
+        d = np.abs(q[i] - v[j])
+        kth = np.full(len(q), -1.0)
+        kth[i[place == k - 1]] = d[place == k - 1]
+        # numbers of one rounded distance are in order of id: where the next row is such a one, all rows are compared
+        found.append((i, j, d, (place == k) & (d == kth[i]) & (d < max_distance)))
+    i, j, d, odd = (np.concatenate(x) for x in zip(*found, strict=True))
+    for x in np.unique(i[odd & (q[i] != v[j])]):
+        y, keep = np.flatnonzero(docs != own[x]), i != x
+        i, j, d = np.r_[i[keep], np.full(len(y), x)], np.r_[j[keep], y], np.r_[d[keep], np.abs(q[x] - v[y])]
+    near = np.flatnonzero(d < max_distance)
+    near = near[np.lexsort((by_id[j[near]], d[near], i[near]))]
+    i, j, d = i[near], j[near], d[near]
+    first = np.arange(len(i)) - np.searchsorted(i, i) < k
+    i, j, d = i[first], j[first], d[first]
+    return pa.table([*[a.column(c).take(pa.array(i, pa.int64())) for c in ("entity_id", "v", "doc")], ids.take(pa.array(j, pa.int64())), pa.array(d, pa.float64())], ["entity_id", "v", "doc", "b_id", "distance"])
+
+
+def near_on_a_line(new: DataFrame, stored: DataFrame, k: int, max_distance: float) -> DataFrame:
+    """(a_id, b_id, distance) by the distance of two numbers (vector: a double): on a line the nearest rows are neighbours, so
+    the work does not grow with the square of an entity. Ids are unique.
+
+    Rows of one entity, number and document are one query. Of the rows of one number the k first of each of the k + 1
+    documents that come first hold any document's first k; no others are passed on. Numbers meet in stretches of the
+    limit's width, with both neighbours."""
+    width = max_distance * (1 + SLACK)
+    part = lambda facts, i: facts.where("document_id is not null and vector is not null").select("entity_id", F.col("vector").cast("double").alias("v"), F.col("document_id").alias("doc"), F.col("id").alias(i)).where("not isnan(v)").withColumn("cell", F.floor(F.col("v") / width))
+    ask, rows = part(new, "a_id"), part(stored, "b_id")
+    own = ["entity_id", "v", "doc"]
+    rows = rows.withColumns({"n": F.row_number().over(Window.partitionBy(*own).orderBy("b_id")), "first": F.min("b_id").over(Window.partitionBy(*own))}).where(F.col("n") <= k)
+    rows = rows.withColumn("place", F.dense_rank().over(Window.partitionBy("entity_id", "v").orderBy("first", "doc"))).where(F.col("place") <= k + 1)
+    rows = rows.select(*own, "b_id", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
+    a, b = dict(new.dtypes), dict(stored.dtypes)
+    schema = f"entity_id {a['entity_id']}, v double, doc {a['document_id']}, b_id {b['id']}, distance double"
+    run = lambda x, y: nearest_on_a_line(x, y, k, max_distance)
+    asked = kept(ask.select(*own, "cell").distinct(), "line-queries")
+    met = asked.groupBy("entity_id", "cell").cogroup(kept(rows, "line-rows").groupBy("entity_id", "cell")).applyInArrow(run, schema)
+    return ask.select(*own, "a_id").join(met, own).select("a_id", "b_id", "distance")
+
+
 def near_facts(new: DataFrame, stored: DataFrame, k: int, max_distance: float, compared: Accumulator | None = None) -> DataFrame:
     """(a_id, b_id, distance) by the cosine distance of vectors: within an entity, only cells in reach of the limit meet."""
     ask = new.where("document_id is not null").select(F.col("entity_id").alias("key"), F.col("id").alias("qid"), F.col("document_id").alias("qx"), F.col("vector").alias("q"))
@@ -61,14 +136,15 @@ def near_facts(new: DataFrame, stored: DataFrame, k: int, max_distance: float, c
     return found.select(F.col("qid").alias("a_id"), F.col("rid").alias("b_id"), "distance")
 
 
-def candidate_pairs(new: DataFrame, stored: DataFrame, k: int = MATCH_CANDIDATES, distance: Column | None = None, max_distance: float = MATCH_DISTANCE, heavy_pairs: int = HEAVY_PAIRS) -> DataFrame:
+def candidate_pairs(new: DataFrame, stored: DataFrame, k: int = MATCH_CANDIDATES, distance: Column | None = None, max_distance: float = MATCH_DISTANCE, heavy_pairs: int = HEAVY_PAIRS, line: bool = False) -> DataFrame:
     """(a, b, pair_a, pair_b): for each new fact its k nearest stored facts of the same entity in other documents, of
     which those with a matching predicate; pairs in order of id, each once (the first new fact's). The first k are taken
-    before predicates are compared. Without ``distance``, that of the vectors' cosine counts.
+    before predicates are compared. Without ``distance``, that of the vectors' cosine counts; with ``line``, vectors are
+    numbers and their distance is the difference (:func:`near_on_a_line`).
 
     Entities of more than ``heavy_pairs`` pairs are found first. Their facts meet in blocks, narrow, and details follow by
     id; so an entity that a third of all facts belong to (the one that stands for unresolved names, say) is many tasks."""
-    by = cosine_distance(F.col("a_vector"), F.col("b_vector")) if distance is None else distance
+    by = F.abs(F.col("a_vector") - F.col("b_vector")) if line else cosine_distance(F.col("a_vector"), F.col("b_vector")) if distance is None else distance
     more = ["fact_type_id", "vector"]
     heavy = heavy_entities(new, stored, heavy_pairs)
     some = heavy.limit(1).count() > 0
@@ -78,7 +154,7 @@ def candidate_pairs(new: DataFrame, stored: DataFrame, k: int = MATCH_CANDIDATES
     met = top_k(met, ["a_id"], [F.col("distance").asc(), F.col("b_id").asc()], k)
     if some:
         own = [facts.join(heavy, "entity_id", "left_semi") for facts in (new, stored)]
-        near = near_facts(*own, k, max_distance) if distance is None else near_in_blocks(*own, k, by, max_distance)
+        near = near_on_a_line(*own, k, max_distance) if line else near_facts(*own, k, max_distance) if distance is None else near_in_blocks(*own, k, by, max_distance)
         near = top_k(near, ["a_id"], [F.col("distance").asc(), F.col("b_id").asc()], k)
         full = near.join(side(own[0], "a", *more), "a_id").join(side(own[1], "b", *more).drop("entity_id"), "b_id")
         met = met.unionByName(full.select(*met.columns))

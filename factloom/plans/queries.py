@@ -324,7 +324,7 @@ def reconciled_candidates(spark, d):
     null = F.lit(None).cast("string")
     f = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("entity_id"), (F.col("o_orderkey") % 50).alias("document_id"), F.lit("revenue").alias("predicate"), F.round(F.col("o_totalprice") / 50000).cast("bigint").cast("string").alias("value"),
                                          F.lit("").alias("raw_value"), null.alias("unit"), null.alias("currency"), F.concat(F.lit("FY"), F.year("o_orderdate").cast("string")).alias("time_scope"), null.alias("qualifiers"), null.alias("fact_type_id"), F.col("o_totalprice").alias("vector"))
-    pairs = reconcile.candidate_pairs(f, f, 10, F.abs(F.col("a_vector") - F.col("b_vector")), 100000)
+    pairs = reconcile.candidate_pairs(f, f, 10, None, 100000, line=True)
     return reconcile.relationship_rows(reconcile.evaluate(pairs)).select("fact_a_id", "fact_b_id", "relation_type", "method")
 
 
@@ -337,7 +337,7 @@ def hot_entity_candidates(spark, d):
     entity = F.when(F.col("o_orderkey") % 3 == 0, 0).otherwise(F.col("o_custkey"))
     f = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), entity.alias("entity_id"), (F.col("o_orderkey") % 50).alias("document_id"), F.lit("revenue").alias("predicate"), F.lit("1").alias("value"),
                                          F.lit("").alias("raw_value"), *[null.alias(c) for c in ("unit", "currency", "time_scope", "qualifiers", "fact_type_id")], F.col("o_totalprice").cast("double").alias("vector"))
-    pairs = reconcile.candidate_pairs(f, f, 10, F.abs(F.col("a_vector") - F.col("b_vector")), 200)
+    pairs = reconcile.candidate_pairs(f, f, 10, None, 200, line=True)
     return pairs.select(F.col("pair_a").alias("fact_a_id"), F.col("pair_b").alias("fact_b_id"))
 
 

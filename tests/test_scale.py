@@ -274,3 +274,16 @@ def test_copies_of_a_name_meet_as_one_class(spark, monkeypatch):
     one = lambda n: n if n == "Cold Ring" else "bolt"
     assert got == sorted((d, i, j) for d, i, a in names for e, j, b in names if d == e and i < j and one(a) == one(b))
     assert met == [2 * 4]  # two forms of four classes
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_a_heavy_entity_meets_on_a_line(spark, monkeypatch, seed):
+    """Numbers with many ties, one document with long runs: as all pairs have it, and without them."""
+    rng = random.Random(seed)
+    rows = [(i, rng.choice("ab"), 7 if 300 < i < 500 else rng.randrange(5), rng.choice([rng.randrange(40) / 4, rng.random() * 40, 0.1 + rng.random() * 1e-16])) for i in range(600)]
+    f = spark.createDataFrame(rows, "id bigint, entity_id string, document_id int, vector double")
+    f = f.select("*", *[F.lit("x").alias(c) for c in ("predicate", "value")], *[F.lit(None).cast("string").alias(c) for c in ("raw_value", "unit", "currency", "time_scope", "qualifiers", "fact_type_id")])
+    pairs = lambda most: sorted(tuple(r) for r in reconcile.candidate_pairs(f, f, 4, None, 1.5, most, line=True).select("pair_a", "pair_b").collect())
+    want = pairs(10**9)
+    monkeypatch.setattr(reconcile, "near_in_blocks", None)
+    assert want and pairs(0) == want
