@@ -322,7 +322,7 @@ firsts AS (SELECT *, row_number() OVER (PARTITION BY least(a, b), greatest(a, b)
 SELECT least(a, b) AS fact_a_id, greatest(a, b) AS fact_b_id, CASE WHEN ta = tb AND va = vb THEN 'corroborates' WHEN ta <> tb THEN 'reconciled' ELSE 'uncertain' END AS relation_type, CASE WHEN ta = tb AND va = vb THEN 'rule' WHEN ta <> tb THEN 'rule' ELSE 'llm_judge' END AS method FROM firsts WHERE first = 1""")
 def reconciled_candidates(spark, d):
     null = F.lit(None).cast("string")
-    f = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("entity_id"), (F.col("o_orderkey") % 50).alias("document_id"), F.lit("revenue").alias("predicate"), F.round(F.col("o_totalprice") / 50000).cast("bigint").cast("string").alias("value"),
+    f = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("entity_id"), (F.col("o_orderkey") % 50).alias("document_id"), F.lit("revenue").alias("predicate"), F.rint(F.col("o_totalprice") / 50000).cast("bigint").cast("string").alias("value"),
                                          F.lit("").alias("raw_value"), null.alias("unit"), null.alias("currency"), F.concat(F.lit("FY"), F.year("o_orderdate").cast("string")).alias("time_scope"), null.alias("qualifiers"), null.alias("fact_type_id"), F.col("o_totalprice").alias("vector"))
     pairs = reconcile.candidate_pairs(f, f, 10, None, 100000, line=True)
     return reconcile.relationship_rows(reconcile.evaluate(pairs)).select("fact_a_id", "fact_b_id", "relation_type", "method")

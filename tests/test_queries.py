@@ -26,6 +26,15 @@ def rows_of(frame, columns):
     return sorted(map(repr, values.where(frame[columns].notna(), None).values.tolist()))
 
 
+def test_halves_are_rounded_as_by_the_sql(spark, tmp_path):
+    """Prices on half a unit of the value: a cast of the second engine takes them to the even number."""
+    con = duckdb.connect()
+    con.execute("create table orders as select i::bigint as o_orderkey, 1::bigint as o_custkey, [20000, 25000, 60000, 75000, 110000, 125000, 130000][1 + i % 7]::double as o_totalprice, timestamp '1995-01-01' as o_orderdate from range(14) t(i)")
+    con.execute(f"copy orders to '{tmp_path}/orders.parquet'")
+    mine, theirs = QUERIES["reconciled_candidates"](spark, str(tmp_path)).toPandas(), con.execute(SQL["reconciled_candidates"]).df()
+    assert rows_of(mine, sorted(theirs.columns)) == rows_of(theirs, sorted(theirs.columns))
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_its_sql(spark, other, name):
     mine, theirs = QUERIES[name](spark, DATA).toPandas(), other.execute(SQL[name]).df()
