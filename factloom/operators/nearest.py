@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.accumulators import Accumulator, AccumulatorParam
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -190,17 +191,16 @@ def nearest_in_block(a: pa.Table, b: pa.Table, k: int | None, max_distance: floa
     # the distances of what is left are taken as the column expression takes them, sums from left to right
     total = lambda x: np.cumsum(x, axis=1)[:, -1]
     exact = np.concatenate([1.0 - total(q[i[s]] * v[j[s]]) / (np.sqrt(total(q[i[s]] ** 2)) * np.sqrt(total(v[j[s]] ** 2))) for s in (slice(o, o + 65_536) for o in range(0, len(i), 65_536))])
-    rid = b.column("rid").to_pylist()
-    best: dict[int, list] = {}
-    for x, y, d in sorted(zip(i.tolist(), j.tolist(), exact.tolist(), strict=True), key=lambda t: (t[2], rid[t[1]])):
-        mine = best.setdefault(x, [])
-        if (k is None or len(mine) < k) and (max_distance is None or d < max_distance):
-            mine.append((x, y, d))
-    found = [t for mine in best.values() for t in mine]
-    if not found:
-        return empty
-    x, y, d = zip(*found, strict=True)
-    return pa.table([a.column("qid").take(pa.array(x)), b.column("rid").take(pa.array(y)), pa.array(d, pa.float64())], names)
+    near = np.flatnonzero(np.isfinite(exact) & (exact < (np.inf if max_distance is None else max_distance)))
+    i, j, exact = i[near], j[near], exact[near]
+    if k is not None:
+        place = np.empty(b.num_rows, np.int64)
+        place[pc.array_sort_indices(b.column("rid").combine_chunks()).to_numpy()] = np.arange(b.num_rows)
+        order = np.lexsort((place[j], exact, i))
+        i, j, exact = i[order], j[order], exact[order]
+        first = np.arange(len(i)) - np.searchsorted(i, i) < k
+        i, j, exact = i[first], j[first], exact[first]
+    return pa.table([a.column("qid").take(pa.array(i)), b.column("rid").take(pa.array(j)), pa.array(exact, pa.float64())], names)
 
 
 def in_one_block(queries: DataFrame, rows: pa.Table, row_kind: str, k: int | None, max_distance: float | None, compared: Accumulator | None) -> DataFrame:
@@ -239,9 +239,10 @@ def search(queries: DataFrame, rows: DataFrame, k: int | None, max_distance: flo
     stats = rows.groupBy("pivot", "ring").agg(F.count("*"), F.min("far"), F.max("far")).collect()
     cells, reach = Cells(pivots, [tuple(r) for r in stats]), math.inf if max_distance is None else math.sqrt(2 * max_distance) + SLACK
     units = ["pivot", "ring"]
-    near = kept(meet(kept(visits(queries, cells, k, reach, True), "visits"), rows, units, k, max_distance, compared), "near")
-    if k is None:
+    near = meet(kept(visits(queries, cells, k, reach, True), "visits"), rows, units, k, max_distance, compared)
+    if k is None:  # all pairs: they are not written here, so that what narrows them comes first
         return near
+    near = kept(near, "near")
     kth = near.groupBy("qid").agg(F.array_sort(F.collect_list("distance")).alias("d")).select("qid", F.get("d", F.lit(k - 1)).alias("kth"))
     later = queries.join(kth, "qid", "left")
     return near.unionByName(meet(kept(visits(later, cells, k, reach, False), "visits"), rows, units, k, max_distance, compared))

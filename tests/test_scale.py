@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -287,3 +288,15 @@ def test_a_heavy_entity_meets_on_a_line(spark, monkeypatch, seed):
     want = pairs(10**9)
     monkeypatch.setattr(reconcile, "near_in_blocks", None)
     assert want and pairs(0) == want
+
+
+def test_pairs_within_a_limit_are_not_written(spark, monkeypatch, clustered):
+    names, null = [], F.lit(None).cast("string")
+    plain = nearest.kept
+    monkeypatch.setattr(nearest, "kept", lambda df, name: names.append(name) or plain(df, name))
+    rows = vectors(spark, clustered, "row")
+    got = nearest.search(rows.select(F.col("row").alias("qid"), null.alias("qx"), F.col("v").alias("q")), rows.select(F.col("row").alias("rid"), null.alias("rx"), "v"), None, 0.05)
+    assert got.where(F.lit(False)).count() == 0 and "visits" in names and "near" not in names
+    few = pa.table({"qid": [1, 2], "qx": pa.array([None, None], pa.string()), "q": [[1.0, 0.0], [0.0, 1.0]]})
+    many = pa.table({"rid": [9, 8, 7], "rx": pa.array([None] * 3, pa.string()), "v": [[1.0, 0.0], [1.0, 0.0], [0.0, 2.0]]})
+    assert nearest.nearest_in_block(few, many, 1, None).to_pylist() == [{"qid": 1, "rid": 8, "distance": 0.0}, {"qid": 2, "rid": 7, "distance": 0.0}]
