@@ -210,8 +210,9 @@ def normal_forms(df):
 
 
 @over("orders", "o_orderkey", {
-    "v": "CASE o_orderkey % 4 WHEN 0 THEN concat('Fiscal year ', year(o_orderdate)) WHEN 1 THEN concat('q', quarter(o_orderdate), '\\'', right(year(o_orderdate), 2)) WHEN 2 THEN concat(quarter(o_orderdate), 'Q', year(o_orderdate)) ELSE concat('in ', year(o_orderdate)) END",
-}, ["period"], """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN 'FY' || year(o_orderdate) WHEN o_orderkey % 4 < 3 THEN 'Q' || quarter(o_orderdate) || '-FY' || year(o_orderdate) ELSE CAST(year(o_orderdate) AS VARCHAR) END AS period FROM orders""")
+    "v": "CASE o_orderkey % 11 WHEN 0 THEN concat('Fiscal year ', year(o_orderdate)) WHEN 1 THEN concat('q', quarter(o_orderdate), '\\'', right(year(o_orderdate), 2)) WHEN 2 THEN concat(quarter(o_orderdate), 'Q', year(o_orderdate)) WHEN 3 THEN concat('in ', year(o_orderdate)) WHEN 4 THEN concat('FY', right(year(o_orderdate), 2)) WHEN 5 THEN concat(year(o_orderdate), '-', right(year(o_orderdate) + 1, 2)) WHEN 6 THEN concat('FY', right(year(o_orderdate), 2), '/', right(year(o_orderdate) + 1, 2)) WHEN 7 THEN concat('cy ', year(o_orderdate)) WHEN 8 THEN concat(year(o_orderdate), '-03-31') WHEN 9 THEN concat('Long  ', o_orderpriority) END",
+}, ["period"], """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 11 IN (0, 4) THEN 'FY' || year(o_orderdate) WHEN o_orderkey % 11 IN (1, 2) THEN 'Q' || quarter(o_orderdate) || '-FY' || year(o_orderdate) WHEN o_orderkey % 11 IN (3, 8) THEN CAST(year(o_orderdate) AS VARCHAR)
+  WHEN o_orderkey % 11 IN (5, 6) THEN 'FY' || left(CAST(year(o_orderdate) AS VARCHAR), 2) || right(CAST(year(o_orderdate) + 1 AS VARCHAR), 2) WHEN o_orderkey % 11 = 7 THEN 'CY' || year(o_orderdate) WHEN o_orderkey % 11 = 9 THEN 'long ' || lower(o_orderpriority) ELSE '' END AS period FROM orders""")
 def period_forms(df):
     return df.withColumn("period", periods.normalize_period(F.col("v")))
 

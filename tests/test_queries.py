@@ -35,6 +35,19 @@ def test_halves_are_rounded_as_by_the_sql(spark, tmp_path):
     assert rows_of(mine, sorted(theirs.columns)) == rows_of(theirs, sorted(theirs.columns))
 
 
+#: What the rows of a query say of its cases, as SQL of the second engine over the result ``t``.
+CASES = {
+    "period_forms": "count(*) filter (period = '') > 0 and count(*) filter (starts_with(period, 'CY')) > 0 and count(*) filter (starts_with(period, 'long ')) > 0",
+}
+
+
+@pytest.mark.parametrize("name", sorted(CASES))
+def test_query_has_its_cases(spark, other, name):
+    t = QUERIES[name](spark, DATA).toPandas()  # noqa: F841 - read by its name
+    other.register("t", t)
+    assert other.execute(f"select {CASES[name]} from t").fetchone()[0]
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_its_sql(spark, other, name):
     mine, theirs = QUERIES[name](spark, DATA).toPandas(), other.execute(SQL[name]).df()
