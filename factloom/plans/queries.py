@@ -218,9 +218,9 @@ def period_forms(df):
 
 
 @over("supplier", "s_suppkey", {
-    "a": "concat('The ', s_name, ' Corp')",
-    "b": "CASE s_suppkey % 2 WHEN 0 THEN concat(s_name, ' Corporation') ELSE 'Quartz Holdings' END",
-}, ["merges", "form"], """SELECT s_suppkey AS id, s_suppkey % 2 = 0 AS merges, lower(replace(s_name, '#', ' ')) || ' corp' AS form FROM supplier""")
+    "a": "CASE s_suppkey % 6 WHEN 3 THEN '' WHEN 4 THEN concat('“', s_name, ' Limited”') WHEN 5 THEN repeat('甲', 1 + cast(s_suppkey % 4 AS int)) ELSE concat('The ', s_name, ' Corp') END",
+    "b": "CASE s_suppkey % 6 WHEN 0 THEN concat(s_name, ' Corporation') WHEN 1 THEN 'Quartz Holdings' WHEN 2 THEN '' WHEN 3 THEN s_name WHEN 4 THEN concat(lower(s_name), ' ltd') ELSE '乙' END",
+}, ["merges", "form"], """SELECT s_suppkey AS id, s_suppkey % 6 IN (0, 4, 5) AS merges, CASE WHEN s_suppkey % 6 IN (3, 5) THEN '' ELSE lower(replace(s_name, '#', ' ')) || CASE s_suppkey % 6 WHEN 4 THEN ' ltd' ELSE ' corp' END END AS form FROM supplier""")
 def name_pairs(df):
     return df.withColumns({"merges": text.names_merge(F.col("a"), F.col("b")), "form": text.comparison_form(text.normalize_name(F.col("a")))})
 
