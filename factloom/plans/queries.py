@@ -239,20 +239,22 @@ SIDE = ("value", "unit", "currency", "time_scope", "qualifiers")
 
 
 @over("lineitem", "l_orderkey * 10 + l_linenumber", {
-    "a_value": "CASE l_linenumber % 4 WHEN 0 THEN concat('$', cast(l_quantity AS bigint), 'K') ELSE concat(cast(l_quantity AS bigint), 'M') END",
+    "a_value": "CASE WHEN l_linenumber % 7 > 3 THEN cast(cast(l_quantity AS bigint) AS string) WHEN l_linenumber % 7 = 0 THEN concat('$', cast(l_quantity AS bigint), 'K') ELSE concat(cast(l_quantity AS bigint), 'M') END",
     "a_unit": "cast(null AS string)",
-    "a_currency": "CASE l_linenumber % 4 WHEN 3 THEN 'USD' END",
-    "a_time_scope": "concat('FY', year(l_shipdate))",
-    "a_qualifiers": "cast(null AS string)",
-    "b_value": "CASE l_linenumber % 4 WHEN 0 THEN concat(cast(l_quantity AS bigint), '000') WHEN 3 THEN concat(cast(l_quantity AS bigint), ',000,000') ELSE concat(cast(l_quantity AS bigint), 'M') END",
+    "a_currency": "CASE l_linenumber % 7 WHEN 3 THEN 'USD' END",
+    "a_time_scope": "CASE WHEN l_linenumber % 7 <> 5 THEN concat('FY', year(l_shipdate)) END",
+    "a_qualifiers": "CASE l_linenumber % 7 WHEN 4 THEN concat('{\"flag\":\"', l_returnflag, '\"}') END",
+    "b_value": "CASE WHEN l_linenumber % 7 > 3 THEN cast(cast(l_quantity AS bigint) + 1 AS string) WHEN l_linenumber % 7 = 0 THEN concat(cast(l_quantity AS bigint), '000') WHEN l_linenumber % 7 = 3 THEN concat(cast(l_quantity AS bigint), ',000,000') ELSE concat(cast(l_quantity AS bigint), 'M') END",
     "b_unit": "cast(null AS string)",
-    "b_currency": "CASE l_linenumber % 4 WHEN 3 THEN 'EUR' END",
-    "b_time_scope": "concat('FY', year(l_shipdate) + if(l_linenumber % 4 = 2, 1, 0))",
-    "b_qualifiers": "cast(null AS string)",
-}, ["relation_type", "confidence", "escalate", "explanation", "reason"], """SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN m < 2 THEN 'corroborates' ELSE 'reconciled' END AS relation_type, CAST(CASE WHEN m < 2 THEN 0.95 ELSE 0.9 END AS DOUBLE) AS confidence, false AS escalate, CAST(NULL AS VARCHAR) AS reason,
+    "b_currency": "CASE l_linenumber % 7 WHEN 3 THEN 'EUR' END",
+    "b_time_scope": "concat('FY', year(l_shipdate) + if(l_linenumber % 7 = 2, 1, 0))",
+    "b_qualifiers": "CASE l_linenumber % 7 WHEN 4 THEN concat('{\"flag\":\"', l_linestatus, '!\"}') END",
+}, ["relation_type", "confidence", "escalate", "explanation", "reason"], """SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN m < 2 THEN 'corroborates' WHEN m < 5 THEN 'reconciled' END AS relation_type, CAST(CASE WHEN m < 2 THEN 0.95 WHEN m < 5 THEN 0.9 END AS DOUBLE) AS confidence, m > 4 AS escalate,
+  CASE m WHEN 5 THEN 'Missing time scope on one of the facts prevents deterministic reconciliation' WHEN 6 THEN 'Values differ under matching time scope and qualifiers; requires LLM judge' END AS reason,
   CASE m WHEN 0 THEN 'Values are numerically equivalent after unit normalization: "$' || q || 'K" matches "' || q || '000" for revenue.' WHEN 1 THEN 'Both documents report identical values of "' || q || 'M" for revenue.'
-  WHEN 2 THEN 'Values differ ("' || q || 'M" vs "' || q || 'M") because they cover different time periods: "FY' || y || '" vs "FY' || (y + 1) || '".' ELSE 'Values are numerically identical (' || q * 1000000 || ') but reported in different currencies: USD vs EUR.' END AS explanation
-  FROM (SELECT *, l_linenumber % 4 AS m, CAST(l_quantity AS BIGINT) AS q, year(l_shipdate) AS y FROM lineitem)""")
+  WHEN 2 THEN 'Values differ ("' || q || 'M" vs "' || q || 'M") because they cover different time periods: "FY' || y || '" vs "FY' || (y + 1) || '".' WHEN 3 THEN 'Values are numerically identical (' || q * 1000000 || ') but reported in different currencies: USD vs EUR.'
+  WHEN 4 THEN 'Values differ ("' || q || '" vs "' || (q + 1) || '") due to different flag qualifier: "' || l_returnflag || '" vs "' || l_linestatus || '!".' END AS explanation
+  FROM (SELECT *, l_linenumber % 7 AS m, CAST(l_quantity AS BIGINT) AS q, year(l_shipdate) AS y FROM lineitem)""")
 def rule_ladder(df):
     side = lambda s: F.struct(F.lit("revenue").alias("predicate"), F.lit(None).cast("string").alias("raw_value"), *[F.col(f"{s}_{c}").alias(c) for c in SIDE])
     return rules.rule_reconcile(df.select("id", side("a").alias("a"), side("b").alias("b")))

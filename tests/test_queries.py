@@ -37,6 +37,7 @@ def test_halves_are_rounded_as_by_the_sql(spark, tmp_path):
 
 #: What the rows of a query say of its cases, as SQL of the second engine over the result ``t``.
 CASES = {
+    "rule_ladder": "count(distinct reason) = 2 and count(*) filter (contains(explanation, 'qualifier')) > 0",
     "name_pairs": "count(*) filter (form = '' and merges) > 0 and count(*) filter (form = '' and not merges) > 0 and count(*) filter (form like '% ltd') > 0",
     "period_forms": "count(*) filter (period = '') > 0 and count(*) filter (starts_with(period, 'CY')) > 0 and count(*) filter (starts_with(period, 'long ')) > 0",
 }
