@@ -269,9 +269,10 @@ def eta_texts(df):
 
 
 @over("orders", "o_orderkey", {
-    "status": "CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'extracting' ELSE 'done' END",
-    "stage": "CASE o_orderstatus WHEN 'P' THEN 'reconcile' ELSE 'extract' END",
-}, ["parse", "extract", "reconcile", "line"], """SELECT o_orderkey AS id, 'done' AS parse, CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'active' ELSE 'done' END AS extract, CASE o_orderstatus WHEN 'P' THEN 'done' ELSE 'pending' END AS reconcile, CASE o_orderstatus WHEN 'F' THEN 'Stage failed' WHEN 'O' THEN 'Reading facts' ELSE 'Complete' END AS line FROM orders""")
+    "status": "CASE WHEN o_orderkey % 6 = 3 THEN 'resolving' WHEN o_orderkey % 6 = 4 THEN 'pending' WHEN o_orderkey % 6 = 5 OR o_orderstatus = 'F' THEN 'failed' WHEN o_orderstatus = 'O' THEN 'extracting' ELSE 'done' END",
+    "stage": "CASE WHEN o_orderkey % 6 = 3 THEN 'resolve' WHEN o_orderkey % 6 > 3 THEN NULL WHEN o_orderstatus = 'P' THEN 'reconcile' ELSE 'extract' END",
+}, ["parse", "extract", "reconcile", "line"], """SELECT o_orderkey AS id, CASE k WHEN 4 THEN 'active' WHEN 5 THEN 'pending' ELSE 'done' END AS parse, CASE WHEN k = 3 THEN 'done' WHEN k > 3 THEN 'pending' WHEN o_orderstatus = 'F' THEN 'failed' WHEN o_orderstatus = 'O' THEN 'active' ELSE 'done' END AS extract,
+  CASE WHEN k < 3 AND o_orderstatus = 'P' THEN 'done' ELSE 'pending' END AS reconcile, CASE WHEN k = 3 THEN 'Complete' WHEN k > 3 THEN 'Waiting' WHEN o_orderstatus = 'F' THEN 'Stage failed' WHEN o_orderstatus = 'O' THEN 'Reading facts' ELSE 'Complete' END AS line FROM (SELECT *, o_orderkey % 6 AS k FROM orders)""")
 def stage_states(df):
     got = df.withColumns({s: display.stage_state(F.col("status"), F.col("stage"), s) for s in ("parse", "extract", "reconcile")})
     return got.withColumn("line", display.stage_line(F.col("extract"), "extract", F.lit(None).cast("string"), "Reading facts", F.lit(None).cast("string")))
