@@ -278,10 +278,10 @@ def stage_states(df):
     return got.withColumn("line", display.stage_line(F.col("extract"), "extract", F.lit(None).cast("string"), "Reading facts", F.lit(None).cast("string")))
 
 
-@over("part", "p_partkey", {
-    "qualifiers": "CASE p_partkey % 3 WHEN 0 THEN to_json(named_struct('_entity', named_struct('name', concat(' ', p_name, ' '), 'type', p_type))) WHEN 2 THEN to_json(named_struct('entity', named_struct('name', p_name))) END",
-    "source_quote": "p_brand",
-}, ["name", "type", "context"], """SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 1 THEN 'Unknown Entity' ELSE p_name END AS name, CASE p_partkey % 3 WHEN 0 THEN p_type END AS type, p_brand AS context FROM part""")
+@over("orders", "o_orderkey", {
+    "qualifiers": "CASE o_orderkey % 5 WHEN 0 THEN to_json(named_struct('_entity', named_struct('name', concat(' ', o_orderpriority, ' '), 'type', concat(' ', o_orderstatus, ' '), 'context', concat(' by ', o_custkey, ' ')))) WHEN 2 THEN to_json(named_struct('entity', named_struct('name', o_orderpriority))) WHEN 3 THEN to_json(named_struct('_entity', named_struct('name', ' ', 'type', '', 'context', '  '))) WHEN 4 THEN to_json(named_struct('_entity', named_struct('type', o_orderstatus), 'entity', named_struct('name', 'other'))) END",
+    "source_quote": "CASE o_orderkey % 5 WHEN 2 THEN '' WHEN 4 THEN NULL ELSE concat('q', o_custkey) END",
+}, ["name", "type", "context"], """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 IN (0, 2) THEN o_orderpriority ELSE 'Unknown Entity' END AS name, CASE WHEN o_orderkey % 5 IN (0, 4) THEN o_orderstatus END AS type, CASE WHEN o_orderkey % 5 = 0 THEN 'by ' || o_custkey WHEN o_orderkey % 5 IN (1, 3) THEN 'q' || o_custkey END AS context FROM orders""")
 def entity_mentions(df):
     found = fact_ops.mentions(df.withColumns({"document_id": F.lit(1), "idx": F.lit(1)}))
     return found.withColumnRenamed("fact_id", "id")

@@ -37,6 +37,7 @@ def test_halves_are_rounded_as_by_the_sql(spark, tmp_path):
 
 #: What the rows of a query say of its cases, as SQL of the second engine over the result ``t``.
 CASES = {
+    "entity_mentions": "count(*) > 1000 and count(*) filter (context is null) > 0 and count(*) filter (type is not null and name = 'Unknown Entity') > 0",
     "stage_states": "count(distinct parse) = 3 and count(distinct line) = 4",
     "rule_ladder": "count(distinct reason) = 2 and count(*) filter (contains(explanation, 'qualifier')) > 0",
     "name_pairs": "count(*) filter (form = '' and merges) > 0 and count(*) filter (form = '' and not merges) > 0 and count(*) filter (form like '% ltd') > 0",
