@@ -506,9 +506,9 @@ def display_figures(spark, d):
 
 
 @over("orders", "o_orderkey", {
-    "said": "CASE o_orderkey % 2 WHEN 0 THEN concat('```json\\n{\"relationType\":\"contradicts\",\"confidence\":0.', o_custkey % 10, ',\"explanation\":\"', o_orderpriority, '\",\"same\":', o_custkey % 2 = 0, '}\\n```') ELSE concat('Answer: ', if(o_custkey % 2 = 0, 'Yes', 'NO'), ', it is ', o_orderpriority) END",
-}, ["relation_type", "confidence", "explanation", "same"], """SELECT o_orderkey AS id, CASE WHEN j THEN 'contradicts' ELSE 'uncertain' END AS relation_type, CASE WHEN j THEN o_custkey % 10 / 10.0 ELSE 0.3 END::DOUBLE AS confidence, o_custkey % 2 = 0 AS same,
-  CASE WHEN j THEN o_orderpriority ELSE 'LLM judge returned unstructured or unparseable response: Answer: ' || CASE WHEN o_custkey % 2 = 0 THEN 'Yes' ELSE 'NO' END || ', it is ' || o_orderpriority END AS explanation FROM (SELECT *, o_orderkey % 2 = 0 AS j FROM orders)""")
+    "said": "CASE o_orderkey % 6 WHEN 2 THEN concat('{\"relationType\":\"uncertain\",\"confidence\":0.9', o_custkey % 10, ',\"explanation\":\"', o_orderpriority, '\"} NO') WHEN 3 THEN concat('{\"relationType\":\"reconciled\",\"confidence\":', 2 + o_custkey, ',\"explanation\":\" \"}') WHEN 4 THEN concat('{\"relationType\":\"corroborates\",\"confidence\":-', 1 + o_custkey, ',\"explanation\":\" ', o_orderpriority, ' \"}') WHEN 5 THEN concat('{\"relationType\":\"other\",\"confidence\":0.', o_custkey % 10, '}') WHEN 0 THEN concat('```json\\n{\"relationType\":\"contradicts\",\"confidence\":0.', o_custkey % 10, ',\"explanation\":\"', o_orderpriority, '\",\"same\":', o_custkey % 2 = 0, '}\\n```') ELSE concat('Answer: ', if(o_custkey % 2 = 0, 'Yes', 'NO'), ', it is ', o_orderpriority) END",
+}, ["relation_type", "confidence", "explanation", "same"], """SELECT o_orderkey AS id, CASE m WHEN 0 THEN 'contradicts' WHEN 3 THEN 'reconciled' WHEN 4 THEN 'corroborates' ELSE 'uncertain' END AS relation_type, CASE m WHEN 0 THEN o_custkey % 10 / 10.0 WHEN 2 THEN 0.6 WHEN 3 THEN 1.0 WHEN 4 THEN 0.0 ELSE 0.3 END::DOUBLE AS confidence, m < 2 AND o_custkey % 2 = 0 AS same,
+  CASE WHEN m IN (0, 2, 4) THEN o_orderpriority WHEN m = 3 THEN 'Relationship classified by judge.' WHEN m = 5 THEN 'LLM judge returned unstructured or unparseable response: {"relationType":"other","confidence":0.' || o_custkey % 10 || '}' ELSE 'LLM judge returned unstructured or unparseable response: Answer: ' || CASE WHEN o_custkey % 2 = 0 THEN 'Yes' ELSE 'NO' END || ', it is ' || o_orderpriority END AS explanation FROM (SELECT *, o_orderkey % 6 AS m FROM orders)""")
 def model_replies(df):
     j = text.judge_reply(F.col("said"))
     return df.withColumn("j", j).select("id", "j.*", F.coalesce(text.confirm_reply(F.col("said")), F.lit(False)).alias("same"))
