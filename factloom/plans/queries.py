@@ -591,11 +591,11 @@ def file_names(df):
 
 
 @over("orders", "o_orderkey", {
-    "valid": "o_orderkey % 4 <> 0",
+    "valid": "o_orderkey % 6 <> 0",
     "quote": "o_orderpriority",
-    "chunk": "CASE o_orderkey % 4 WHEN 1 THEN 'nothing of it' ELSE concat('... ', lower(o_orderpriority), ' ...') END",
-    "raw": "CASE o_orderkey % 4 WHEN 2 THEN '99' ELSE left(o_orderpriority, 1) END",
-}, ["verdict", "snippet"], """SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 2 THEN 'valueWrong' WHEN 3 THEN 'correct' ELSE 'quoteWrong' END AS verdict, CASE o_orderkey % 4 WHEN 1 THEN 'nothing of it' ELSE '... ' || lower(o_orderpriority) || ' ...' END AS snippet FROM orders""")
+    "chunk": "CASE o_orderkey % 6 WHEN 1 THEN 'nothing of it' WHEN 4 THEN NULL WHEN 5 THEN concat(repeat('y', 51 + cast(o_custkey % 9 AS int)), lower(o_orderpriority), repeat('z', 60)) ELSE concat('... ', lower(o_orderpriority), ' ...') END",
+    "raw": "CASE o_orderkey % 6 WHEN 2 THEN '99' WHEN 4 THEN NULL ELSE left(o_orderpriority, 1) END",
+}, ["verdict", "snippet"], """SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 2 THEN 'valueWrong' WHEN 0 THEN 'quoteWrong' WHEN 1 THEN 'quoteWrong' ELSE 'correct' END AS verdict, CASE o_orderkey % 6 WHEN 1 THEN 'nothing of it' WHEN 4 THEN NULL WHEN 5 THEN repeat('y', 50) || lower(o_orderpriority) || repeat('z', 50) ELSE '... ' || lower(o_orderpriority) || ' ...' END AS snippet FROM orders""")
 def quote_verdicts(df):
     return df.withColumns({"verdict": quality.verdict(*map(F.col, ("valid", "quote", "chunk", "raw"))), "snippet": quality.snippet(F.col("quote"), F.col("chunk"))})
 

@@ -37,6 +37,7 @@ def test_halves_are_rounded_as_by_the_sql(spark, tmp_path):
 
 #: What the rows of a query say of its cases, as SQL of the second engine over the result ``t``.
 CASES = {
+    "quote_verdicts": "count(*) filter (snippet is null) > 0 and max(length(snippet)) > 100",
     "model_replies": "count(distinct relation_type) = 4 and max(confidence) = 1 and min(confidence) = 0",
     "entity_mentions": "count(*) > 1000 and count(*) filter (context is null) > 0 and count(*) filter (type is not null and name = 'Unknown Entity') > 0",
     "stage_states": "count(distinct parse) = 3 and count(distinct line) = 4",
