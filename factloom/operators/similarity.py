@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import forms_merge, name_forms
-from ..functions.vectors import cosine_distance
-from .nearest import kept, search
+from .nearest import fitting, kept, meet, search
 
 
 def top_k(scored: DataFrame, query: list[str], order: list[Column], k: int) -> DataFrame:
@@ -21,20 +20,19 @@ def top_k(scored: DataFrame, query: list[str], order: list[Column], k: int) -> D
 def knn_join(queries: DataFrame, rows: DataFrame, keys: list[str], query_id: str, row_id: str, k: int, max_distance: float | None = None, differ: tuple[str, str] | None = None) -> DataFrame:
     """For each query (keys, query_id, q) the k nearest rows (keys, row_id, v) that share its keys: query_id, row_id,
     distance, rank. ``differ`` names a column of the queries and one of the rows whose values must not be equal. Without
-    keys, a query meets the rows of the cells that can hold a nearer one (:mod:`nearest`)."""
+    keys, a query meets the rows of the cells that can hold a nearer one (:mod:`nearest`); with keys, all of its keys, in
+    blocks that pass on k rows a query."""
     if not keys:
         null = F.lit(None).cast("string")
         asked = queries.select(F.col(query_id).alias("qid"), (F.col(differ[0]).cast("string") if differ else null).alias("qx"), "q")
         found = search(asked, rows.select(F.col(row_id).alias("rid"), (F.col(differ[1]).cast("string") if differ else null).alias("rx"), "v"), k, max_distance)
         met = found.select(F.col("qid").alias(query_id), F.col("rid").alias(row_id), "distance")
         return top_k(met, [query_id], [F.col("distance").asc(), F.col(row_id).asc()], k)
-    met = queries.join(rows, keys)
-    if differ is not None:
-        met = met.where(~F.col(differ[0]).eqNullSafe(F.col(differ[1])) | F.col(differ[0]).isNull())
-    met = met.withColumn("distance", cosine_distance(F.col("q"), F.col("v"))).where("distance is not null")
-    if max_distance is not None:
-        met = met.where(F.col("distance") < max_distance)
-    met = met.select(*keys, query_id, row_id, "distance")
+    kind, null = dict(queries.dtypes), F.lit(None).cast("string")
+    asked = fitting(queries.withColumn("qx", F.col(differ[0]).cast("string") if differ else null), "q").select(*keys, F.size("q").alias("dims"), F.struct(*keys, query_id).alias("qid"), "qx", "q")
+    near = fitting(rows.withColumn("rx", F.col(differ[1]).cast("string") if differ else null), "v").select(*keys, F.size("v").alias("dims"), F.col(row_id).alias("rid"), "rx", "v")
+    met = meet(kept(asked, "queries"), kept(near, "rows"), [*keys, "dims"], k, max_distance)
+    met = met.select(*[F.col(f"qid.{c}").cast(kind[c]).alias(c) for c in [*keys, query_id]], F.col("rid").alias(row_id), "distance")
     return top_k(met, [query_id], [F.col("distance").asc(), F.col(row_id).asc()], k)
 
 

@@ -300,3 +300,21 @@ def test_pairs_within_a_limit_are_not_written(spark, monkeypatch, clustered):
     few = pa.table({"qid": [1, 2], "qx": pa.array([None, None], pa.string()), "q": [[1.0, 0.0], [0.0, 1.0]]})
     many = pa.table({"rid": [9, 8, 7], "rx": pa.array([None] * 3, pa.string()), "v": [[1.0, 0.0], [1.0, 0.0], [0.0, 2.0]]})
     assert nearest.nearest_in_block(few, many, 1, None).to_pylist() == [{"qid": 1, "rid": 8, "distance": 0.0}, {"qid": 2, "rid": 7, "distance": 0.0}]
+
+
+def test_neighbours_of_a_key_meet_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x, met = rng.normal(size=(600, 8)), []
+    x[::7] = x[0]
+    plain = nearest.meet
+    monkeypatch.setattr(nearest, "BLOCK", 64)
+    monkeypatch.setattr(similarity, "meet", lambda *a: met.append(1) or plain(*a), raising=False)
+    key = F.pmod(F.col("row"), F.lit(3)).alias("key")
+    rows = vectors(spark, x, "row").select("row", "v", key).unionByName(spark.createDataFrame([(900, [1.0], 0), (901, [0.0] * 8, 0), (902, None, 0)], "row bigint, v array<double>, key bigint"))
+    asked = rows.where("row % 20 = 0 or row > 600").select("key", F.col("row").alias("query"), F.col("v").alias("q"))
+    got = sorted((r["key"], r["query"], r["row"], r["rank"]) for r in similarity.knn_join(asked, rows, ["key"], "query", "row", 5, differ=("query", "row")).collect())
+    want = []
+    for j in range(0, 600, 20):
+        own = np.arange(j % 3, 600, 3)
+        want += [(j % 3, i, int(own[r]), n) for i, r, n in brute(x[[j]], x[own], [int(np.flatnonzero(own == j)[0])], 5, same=False) for i in [j]]
+    assert met and got == sorted(want)
