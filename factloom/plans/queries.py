@@ -313,9 +313,12 @@ ladder AS (SELECT *, CASE WHEN ta = tb AND va = vb THEN 1 WHEN ta <> tb THEN 4 W
 CASE r WHEN 1 THEN 'Both documents report identical values of "' || va || '" for quantity.' WHEN 4 THEN 'Values differ ("' || va || '" vs "' || vb || '") because they cover different time periods: "' || ta || '" vs "' || tb || '".'
 WHEN 5 THEN 'Values differ ("' || va || '" vs "' || vb || '") due to different flag qualifier: "' || qa || '" vs "' || qb || '".' END AS explanation FROM ladder""")
 def rule_decisions(spark, d):
-    f = derived_facts(spark, d)
-    null = F.lit(None).cast("string")
-    side = F.struct("id", "predicate", "value", F.col("value").alias("raw_value"), null.alias("unit"), null.alias("currency"), "time_scope", F.concat(F.lit('{"flag":"'), F.col("fact_type_id"), F.lit('"}')).alias("qualifiers"))
+    f, null = derived_facts(spark, d), F.lit(None).cast("string")
+    # many facts say the same: what the rules compare is parsed once a text, and the lines take it from there
+    texts = f.select(F.col("value").alias("v"), F.col("time_scope").alias("t")).distinct()
+    texts = texts.withColumn("parsed", rules.parsed(F.col("v"), F.col("v"), null, null, F.col("t")))
+    f = f.join(texts, F.col("value").eqNullSafe(F.col("v")) & F.col("time_scope").eqNullSafe(F.col("t")))
+    side = F.struct("parsed", "id", "predicate", "value", F.col("value").alias("raw_value"), null.alias("unit"), null.alias("currency"), "time_scope", F.concat(F.lit('{"flag":"'), F.col("fact_type_id"), F.lit('"}')).alias("qualifiers"))
     pairs = f.select("id", side.alias("a")).join(f.select((F.col("id") - 1).alias("id"), side.alias("b")), "id").select("a", "b")
     return rules.rule_reconcile(pairs).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), "relation_type", "confidence", "escalate", "explanation")
 

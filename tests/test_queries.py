@@ -35,6 +35,11 @@ def test_halves_are_rounded_as_by_the_sql(spark, tmp_path):
     assert rows_of(mine, sorted(theirs.columns)) == rows_of(theirs, sorted(theirs.columns))
 
 
+def test_rules_parse_a_text_once(spark):
+    plan = QUERIES["rule_decisions"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan and QUERIES["rule_decisions"](spark, DATA).count() > 0
+
+
 #: What the rows of a query say of its cases, as SQL of the second engine over the result ``t``.
 CASES = {
     "quote_verdicts": "count(*) filter (snippet is null) > 0 and max(length(snippet)) > 100",
