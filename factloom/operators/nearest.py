@@ -65,6 +65,13 @@ def lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x @ y.T)))
 
 
+def distances(q: np.ndarray, v: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Cosine distances of rows ``i`` of q and ``j`` of v as the column expression takes them, sums from left to right."""
+    total = lambda x: np.cumsum(x, axis=1)[:, -1]
+    parts = [slice(o, o + 65_536) for o in range(0, max(1, len(i)), 65_536)]
+    return np.concatenate([1.0 - total(q[i[s]] * v[j[s]]) / (np.sqrt(total(q[i[s]] ** 2)) * np.sqrt(total(v[j[s]] ** 2))) for s in parts])
+
+
 def choose_pivots(rows: DataFrame, n: int, m: int | None = None) -> np.ndarray:
     """``m``, or about sqrt(n) / 4, unit vectors, the centres of a few k-means rounds over a sample that a hash of the id chooses."""
     sample = rows.orderBy(F.xxhash64("rid")).limit(SAMPLE).select("v").toArrow().column(0).to_pylist()
@@ -188,9 +195,7 @@ def nearest_in_block(a: pa.Table, b: pa.Table, k: int | None, max_distance: floa
     i, j = np.nonzero((rough <= limit[:, None]) & np.isfinite(rough))
     if not len(i):
         return empty
-    # the distances of what is left are taken as the column expression takes them, sums from left to right
-    total = lambda x: np.cumsum(x, axis=1)[:, -1]
-    exact = np.concatenate([1.0 - total(q[i[s]] * v[j[s]]) / (np.sqrt(total(q[i[s]] ** 2)) * np.sqrt(total(v[j[s]] ** 2))) for s in (slice(o, o + 65_536) for o in range(0, len(i), 65_536))])
+    exact = distances(q, v, i, j)
     near = np.flatnonzero(np.isfinite(exact) & (exact < (np.inf if max_distance is None else max_distance)))
     i, j, exact = i[near], j[near], exact[near]
     if k is not None:

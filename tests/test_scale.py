@@ -114,6 +114,35 @@ def test_leaders_equal_a_loop(spark, seed):
     assert sorted(r["v"] for r in got.collect()) == loop(names, edges)
 
 
+def test_followers_in_order_equal_a_loop_and_make_no_near_pairs(spark, monkeypatch):
+    """Several rounds and blocks, exact ties, copies, vectors without direction, a node of two rows. What is written stays
+    below the near pairs, of which there are over 100,000."""
+    monkeypatch.setattr(in_order, "BLOCK", 32)
+    monkeypatch.setattr(in_order, "HEAD", 64 * 5)
+    written, plain = [], in_order.kept
+    monkeypatch.setattr(in_order, "kept", lambda df, name: written.append(plain(df, name)) or written[-1])
+    rng = np.random.default_rng(3)
+    x = rng.integers(-2, 3, size=(1500, 5)).astype(float)
+    x[::50] = 0
+    ids = rng.permutation(1500) * 3
+    rows = [(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)]
+    rows += [(int(ids[7]), [1.0, 0.0, 0.0, 0.0, -1.0]), (1, None), (2, [1.0, None, 0.0, 0.0, 1.0]), (4, [1.0, 2.0])]
+    got = sorted(tuple(r) for r in in_order.followed(spark.createDataFrame(rows, "v bigint, q array<double>"), 0.5).collect())
+
+    of = {}
+    for i, v in rows:
+        of.setdefault(i, []).append(np.array(v) if v and len(v) == 5 and None not in v and any(v) else None)
+    total = lambda a: np.cumsum(a)[-1]
+    apart = lambda a, b: 1.0 - total(a * b) / (np.sqrt(total(a * a)) * np.sqrt(total(b * b)))
+    lead, near = [], {}
+    for i in sorted(of):
+        d = {(apart(a, b), u) for a in of[i] for u in lead for b in of[u] if a is not None and b is not None}
+        near[i] = min(((c, u) for c, u in d if 1 - c >= 0.5), default=(0, i))[1]
+        lead += [i] if near[i] == i else []
+    assert got == sorted((i, near[i]) for i, _ in rows) and 10 < len(lead) < 200
+    assert sum(df.count() for df in written) < 6000
+
+
 def test_clusters_of_one_batch_are_decided_in_order(spark):
     """A sequential loop over the clusters, with the five nearest of what is stored and led so far."""
     rng = random.Random(4)
