@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,22 @@ from ..functions.display import Paging, is_live
 from ..functions.text import escaped_like
 
 
+#: Rows that a task should sort or hash at once.
+TASK_ROWS = 1_000_000
+
+
+def shares(rows: DataFrame) -> int:
+    """How many tasks should share the rows: 1 (Spark's own way) up to TASK_ROWS, beyond so many that none has over about
+    TASK_ROWS. Spark's number of shuffle partitions is the same for any input, so a task's part grows with the input."""
+    n = math.ceil(rows.count() / TASK_ROWS)
+    return n if n <= 1 else max(n, rows.sparkSession.sparkContext.defaultParallelism)
+
+
+def dealt(rows: DataFrame, key: str, parts: int) -> DataFrame:
+    """The rows by a hash of their key in so many parts; as they are if it is one."""
+    return rows.repartition(parts, key) if parts > 1 else rows
+
+
 def filtered(rows: DataFrame, **equal) -> DataFrame:
     """Rows that meet all given equalities; None and '' mean no condition."""
     given = {k: v for k, v in equal.items() if v not in (None, "")}
@@ -115,9 +132,10 @@ def facts_of_documents(facts: DataFrame, documents: DataFrame) -> DataFrame:
     return facts.join(documents.select(F.col("id").alias("document_id"), "filename"), "document_id")
 
 
-def facts_in(relationships: DataFrame) -> DataFrame:
-    """(id): every fact that stands on some side of a relationship, once."""
-    return relationships.select(F.col("fact_a_id").alias("id")).union(relationships.select("fact_b_id")).distinct()
+def facts_in(relationships: DataFrame, parts: int = 1) -> DataFrame:
+    """(id): every fact that stands on some side of a relationship, once. ``parts`` tasks share the ids (see :func:`shares`),
+    which are dealt before they are hashed."""
+    return dealt(relationships.select(F.explode(F.array("fact_a_id", "fact_b_id")).alias("id")), "id", parts).distinct()
 
 
 def status_counts(chunks: DataFrame) -> DataFrame:

@@ -69,8 +69,9 @@ def derived_facts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def derived_relationships(facts: DataFrame) -> DataFrame:
-    b = facts.select(F.col("id").alias("fact_b_id"), (F.col("id") - 1).alias("fact_a_id"))
-    return b.join(facts.select(F.col("id").alias("fact_a_id")), "fact_a_id").select("fact_a_id", "fact_b_id")
+    parts = views.shares(facts)
+    a, b = facts.select(F.col("id").alias("fact_a_id")), facts.select(F.col("id").alias("fact_b_id"), (F.col("id") - 1).alias("fact_a_id"))
+    return views.dealt(b, "fact_a_id", parts).join(views.dealt(a, "fact_a_id", parts), "fact_a_id").select("fact_a_id", "fact_b_id")
 
 
 @query(f"""WITH {FACTS}, {RELATED}, n AS (SELECT id, count(*) AS c FROM (SELECT fact_a_id AS id FROM rels UNION ALL SELECT fact_b_id FROM rels) GROUP BY id)
@@ -559,7 +560,8 @@ def facts_of_documents(spark, d):
 
 @query(f"WITH {FACTS}, {RELATED} SELECT fact_a_id AS id FROM rels UNION SELECT fact_b_id FROM rels")
 def facts_in_relationships(spark, d):
-    return views.facts_in(derived_relationships(derived_facts(spark, d)))
+    facts = derived_facts(spark, d)
+    return views.facts_in(derived_relationships(facts), views.shares(facts))
 
 
 @query("""SELECT user_id AS document_id, count(*) AS total, count(*) FILTER (event_id % 4 > 0) AS done, count(*) FILTER (event_id % 4 = 2) AS failed FROM events GROUP BY user_id""")

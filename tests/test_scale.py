@@ -8,7 +8,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import facts, in_order, jobs, nearest, packing, pages, reconcile, similarity
+from factloom.operators import facts, in_order, jobs, nearest, packing, pages, reconcile, similarity, views
+from factloom.plans import queries
 from factloom.plans.schemas import TABLES
 
 
@@ -347,3 +348,14 @@ def test_neighbours_of_a_key_meet_in_blocks(spark, monkeypatch):
         own = np.arange(j % 3, 600, 3)
         want += [(j % 3, i, int(own[r]), n) for i, r, n in brute(x[[j]], x[own], [int(np.flatnonzero(own == j)[0])], 5, same=False) for i in [j]]
     assert met and got == sorted(want)
+
+
+def test_facts_in_relationships_has_no_large_task(spark, tmp_path, monkeypatch):
+    """With the few shuffle partitions of the session, a task's rows do not grow with the table."""
+    spark.range(40_000).selectExpr("id div 4 AS l_orderkey", "cast(id % 4 + 1 AS int) AS l_linenumber", "id AS l_suppkey", "id AS l_partkey", "'R' AS l_returnflag", "1.0D AS l_quantity", "date'1995-01-01' AS l_shipdate", "0.1D AS l_discount").write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(views, "TASK_ROWS", 1000)
+    got = queries.QUERIES["facts_in_relationships"](spark, str(tmp_path))
+    rows = got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()
+    assert sum(r["n"] for r in rows) == 40_000 and max(r["n"] for r in rows) < 1500
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (None, 3)], "fact_a_id bigint, fact_b_id bigint")
+    assert {r["id"] for r in views.facts_in(pairs, 3).collect()} == {r["id"] for r in views.facts_in(pairs).collect()} == {1, 2, 3, None}
