@@ -38,8 +38,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, the one with the smallest doc_id stays. Near are texts whose five-word shingle sets
-    have a Jaccard coefficient of 0.8 or more; groups are the components of such pairs. SimHash blocks alone would lose most
-    pairs at 0.8 (README), so candidates come from MinHash bands beside the words and hashes of the SimHash operator."""
+    have a Jaccard coefficient of 0.8 or more; groups are the components of such pairs. The SimHash operator's blocks give the first
+    candidates; MinHash bands find what lies beyond its radius, as most pairs at 0.8 do (README)."""
     groups = near_groups(docs)
     return keep_rows(docs, groups.select("doc_id", "x", (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept")))
 

@@ -1,9 +1,13 @@
-"""Near duplicates by the Jaccard coefficient of five-word shingle sets: candidates from MinHash bands, exact verification.
+"""Near duplicates by the Jaccard coefficient of five-word shingle sets: candidates from SimHash blocks, then from MinHash
+bands, exact verification.
 
-Texts of equal sets are one class. A pair of coefficient j shares one of ``BANDS`` bands of ``ROWS`` minima with the
+Texts of equal sets are one class. First the SimHash operator works on the five-word fingerprints of the classes: its
+pigeonhole blocks give all pairs at most ``RADIUS`` bits apart, as links that span their components, and the exact
+coefficient verifies these. A coefficient of 0.8 means about 10 of 64 bits, so pairs lie beyond; bands find those that are
+not in one component by then. A pair of coefficient j shares one of ``BANDS`` bands of ``ROWS`` minima with the
 probability 1 - (1 - j^ROWS)^BANDS, whatever the size of the table: at 0.8 a pair is missed with 1.3e-7, above it with
-less. In a bucket all members are verified against the smallest one first; then, in buckets that still hold several
-components, all members meet in a task, which counts the shingles that each two share by matrix products and passes on
+less. In a bucket the members of other components are verified against the smallest one first; then, in buckets that still
+hold several components, all members meet in a task, which counts the shingles that each two share by matrix products and passes on
 links that span the components, not the pairs. A bucket over ``TILE`` members is cut into chunks, each pair of which is a
 cell of its own, so no group grows without bound and no link is lost. Buckets of the same members are one.
 
@@ -19,8 +23,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import components, id_and_text, map_batches, stored, text_key
-from .simhash import by_cell, shingle_hashes, words_of
+from .simhash import by_cell, majority, shingle_hashes, words_of
 
 SHINGLE, BANDS, ROWS = 5, 40, 5
 #: Members of a bucket that meet in one task, and shingles that a matrix product takes at once.
@@ -29,10 +34,15 @@ MULTIPLIERS = np.random.default_rng(42).integers(0, 2**63, BANDS * ROWS, dtype=n
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def hashes_of(text: str) -> np.ndarray:
+    """The hashes of all shingles, repeats included; none if there is no word."""
+    words = words_of(text)
+    return shingle_hashes(words, SHINGLE) if words else np.zeros(0, dtype=np.uint64)
+
+
 def shingle_set(text: str) -> np.ndarray:
     """Distinct shingle hashes in ascending order."""
-    words = words_of(text)
-    return np.unique(shingle_hashes(words, SHINGLE)) if words else np.zeros(0, dtype=np.uint64)
+    return np.unique(hashes_of(text))
 
 
 def class_of(found: np.ndarray) -> int:
@@ -54,15 +64,21 @@ def band_keys(found: np.ndarray) -> np.ndarray:
 
 
 def prints_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, x: key of the text, c: class, bands)."""
+    """(doc_id, x: key of the text, c: class, fp: its five-word SimHash, bands)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
-        keys = np.concatenate([band_keys(s) for s in sets])
-        bands = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * BANDS, pa.array(keys))
-        return pa.record_batch([batch.column(0), batch.column(2), pa.array([class_of(s) for s in sets], pa.int64()), bands], ["doc_id", "x", "c", "bands"])
+        c, fp, keys = [], [], []
+        for text in batch.column(1).to_pylist():
+            h = hashes_of(text)
+            found = np.unique(h)
+            c.append(class_of(found))
+            fp.append(majority(h))
+            keys.append(band_keys(found))
+        bands = pa.ListArray.from_arrays(np.arange(len(c) + 1, dtype=np.int32) * BANDS, pa.array(np.concatenate(keys)))
+        prints = pa.array(np.array(fp, dtype=np.uint64).view(np.int64))
+        return pa.record_batch([batch.column(0), batch.column(2), pa.array(c, pa.int64()), prints, bands], ["doc_id", "x", "c", "fp", "bands"])
 
-    return map_batches(id_and_text(docs).select("doc_id", "text", text_key().alias("x")), "doc_id bigint, x binary, c bigint, bands array<bigint>", run)
+    return map_batches(id_and_text(docs).select("doc_id", "text", text_key().alias("x")), "doc_id bigint, x binary, c bigint, fp bigint, bands array<bigint>", run)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -127,17 +143,30 @@ def cell_links(cells: DataFrame) -> DataFrame:
     return by_cell(cells, "a bigint, b bigint", work)
 
 
+def hashed_pairs(classes: DataFrame) -> DataFrame:
+    """(a, b) pairs of classes (c, fp) that the SimHash operator links: of one fingerprint, or near by its blocks."""
+    prints = stored(classes.groupBy("fp").agg(F.min("c").alias("rep")), "fingerprints")
+    equal = classes.join(prints, "fp").where("c <> rep").select(F.col("rep").alias("a"), F.col("c").alias("b"))
+    return equal.union(simhash.near_links(prints).distinct())
+
+
 def near_links(docs: DataFrame, classes: DataFrame, tile: int = TILE) -> DataFrame:
-    """(a, b) links between classes (c, doc_id, x, bands) that span the components of the pairs at 0.8 or more."""
+    """(a, b) links between classes (c, doc_id, x, fp, bands) that span the components of the pairs at 0.8 or more."""
+    hashed = stored(hashed_pairs(classes), "hashed")
     keyed = classes.select("c", F.explode("bands").alias("k"))
     buckets = keyed.groupBy("k").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.bit_xor(F.xxhash64("c")).alias("all")).where("n > 1")
     buckets = stored(buckets.groupBy("n", "lo", "hi", "all").agg(F.min("k").alias("k")), "buckets")
     members = stored(keyed.join(buckets.where("n > 2").select("k", "n", "lo"), "k").select("k", "n", "lo", "c"), "members")
     pairs = buckets.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
     pairs = stored(pairs.union(members.where("c <> lo").select(F.col("lo").alias("a"), F.col("c").alias("b"))).distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    wanted = pairs.union(hashed).select(F.explode(F.array("a", "b")).alias("c")).distinct()
     sets = stored(sets_of(docs, classes.join(wanted, "c").select("doc_id", "x").distinct()), "sets")
-    links = stored(verified(pairs, sets), "links")
+    links = stored(verified(hashed, sets), "links")
+    part = components(links)
+    for side in ("a", "b"):
+        pairs = pairs.join(part.select(F.col("id").alias(side), F.col("component").alias(f"of_{side}")), side, "left")
+    pairs = pairs.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+    links = links.union(stored(verified(pairs, sets), "links"))
     found = components(links)
     part = stored(members.join(found.withColumnRenamed("id", "c"), "c", "left").select("k", "n", "c", F.coalesce("component", "c").alias("part")), "parts")
     open_ = stored(part.groupBy("k").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("k"), "open")
@@ -150,7 +179,7 @@ def near_links(docs: DataFrame, classes: DataFrame, tile: int = TILE) -> DataFra
 def near_groups(docs: DataFrame, tile: int = TILE) -> DataFrame:
     """(doc_id, x, component_id: the smallest doc_id of the group) of every row."""
     prints = stored(prints_of(docs), "prints")
-    classes = stored(prints.where("doc_id is not null").groupBy("c").agg(F.min_by(F.struct("doc_id", "x"), F.struct("doc_id", "x")).alias("d"), F.first("bands").alias("bands")).select("c", "d.doc_id", "d.x", "bands"), "classes")
+    classes = stored(prints.where("doc_id is not null").groupBy("c").agg(F.min_by(F.struct("doc_id", "x"), F.struct("doc_id", "x")).alias("d"), F.min("fp").alias("fp"), F.first("bands").alias("bands")).select("c", "d.doc_id", "d.x", "fp", "bands"), "classes")
     found = components(near_links(docs, classes, tile))
     named = classes.select("c", "doc_id").join(found.withColumnRenamed("id", "c"), "c")
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))

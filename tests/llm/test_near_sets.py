@@ -4,9 +4,12 @@ import random
 from itertools import combinations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
+from factloom.llm import near_sets
 from factloom.llm.near_sets import near_groups, shingle_set, spanning_pairs
+from factloom.llm.simhash import fingerprint
 
 
 def shingles(text):
@@ -82,3 +85,30 @@ def test_a_large_bucket_is_cut_into_chunks(make):
             a, b = own[i], own[j]
             own = {k: min(a, b) if x in (a, b) else x for k, x in own.items()}
     assert whole == cut == own and 1 < len(set(own.values())) < 60
+
+
+def test_simhash_blocks_link_near_texts_without_bands(make):
+    """With bands that no two classes share, the pairs within the SimHash radius are still found and verified."""
+    luck = random.Random(11)
+    texts = []
+    for _ in range(30):
+        words = [f"w{luck.randrange(5000)}" for _ in range(400)]
+        texts += [" ".join(words), " ".join([*words[:-1], "other"]), " ".join(words[:200]), " ".join([*words[:399], "end"])]
+    docs = make(list(enumerate(texts)))
+    prints = {r["c"]: r for r in near_sets.prints_of(docs).collect()}
+    classes = near_sets.prints_of(docs).withColumn("bands", F.array("c"))
+    got = {frozenset((r["a"], r["b"])) for r in near_sets.near_links(docs, classes).collect()}
+    known = {c: shingles(texts[r["doc_id"]]) for c, r in prints.items()}
+    close = {frozenset(p) for p in combinations(known, 2) if ((prints[p[0]]["fp"] ^ prints[p[1]]["fp"]) & (2**64 - 1)).bit_count() <= 3}
+    good = {p for p in close for x, y in [[known[c] for c in p]] if 5 * len(x & y) >= 4 * len(x | y)}
+    assert all(prints[c]["fp"] & (2**64 - 1) == fingerprint(texts[r["doc_id"]], 5) for c, r in prints.items())
+    assert len(good) > 20 and got <= good
+
+    def parts(links):
+        own = {c: c for c in known}
+        for a, b in (tuple(p) for p in links):
+            a, b = own[a], own[b]
+            own = {c: min(a, b) if x in (a, b) else x for c, x in own.items()}
+        return own
+
+    assert parts(got) == parts(good)
