@@ -91,7 +91,9 @@ def string_similarity(a: Column, b: Column) -> Column:
 
 def name_forms(c: Column) -> Column:
     """What names are compared by: struct<low, form>, the lower-case name and its comparison form."""
-    return let(normalize_name(c), lambda n: F.struct(F.lower(n).alias("low"), comparison_form(n).alias("form")))
+    plain = lambda low: low.rlike("^[a-z0-9]+$") & ~low.isin(*SUFFIXES)  # noqa: E731 - one word that no step of the form changes
+    form = lambda low, n: F.when(plain(low), low).otherwise(comparison_form(n))
+    return let(normalize_name(c), lambda n: let(F.lower(n), lambda low: F.struct(low.alias("low"), form(low, n).alias("form"))))
 
 
 def forms_merge(x: Column, y: Column, threshold: float = NAME_THRESHOLD) -> Column:
@@ -102,7 +104,8 @@ def forms_merge(x: Column, y: Column, threshold: float = NAME_THRESHOLD) -> Colu
         longest, shortest = F.greatest(F.length(a), F.length(b)), F.least(F.length(a), F.length(b))
         return (a == b) | ((shortest >= threshold * longest) & (1.0 - F.levenshtein(a, b) / longest >= threshold))
 
-    return (x["low"] != "") & (y["low"] != "") & (alike(x["low"], y["low"]) | alike(x["form"], y["form"]))
+    other = (x["form"] != x["low"]) | (y["form"] != y["low"])
+    return (x["low"] != "") & (y["low"] != "") & (alike(x["low"], y["low"]) | (other & alike(x["form"], y["form"])))
 
 
 def names_merge(a: Column, b: Column, threshold: float = NAME_THRESHOLD) -> Column:

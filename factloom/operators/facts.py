@@ -140,12 +140,17 @@ def copy_to_duplicates(facts: DataFrame, duplicates: DataFrame) -> DataFrame:
     return facts.unionByName(copies.withColumn("source_page", F.col("__copy")).select(*facts.columns))
 
 
-def mentions(facts: DataFrame) -> DataFrame:
-    """(document_id, fact_id, idx, name, type, context) of facts: the entity that their qualifiers carry, trimmed. A
-    missing name is Unknown Entity, a missing type null, and a missing context the quote."""
+def mentioned() -> dict[str, Column]:
+    """name, type and context of a fact: the entity that its qualifiers carry, trimmed. A missing name is Unknown Entity, a
+    missing type null, and a missing context the quote."""
     entity = F.coalesce(F.get_json_object("qualifiers", "$._entity"), F.get_json_object("qualifiers", "$.entity"))
     part = lambda key: F.nullif(trimmed(F.get_json_object(entity, f"$.{key}")), F.lit(""))
-    return facts.select("document_id", F.col("id").alias("fact_id"), "idx", F.coalesce(part("name"), F.lit("Unknown Entity")).alias("name"), part("type").alias("type"), F.coalesce(part("context"), F.nullif("source_quote", F.lit(""))).alias("context"))
+    return {"name": F.coalesce(part("name"), F.lit("Unknown Entity")), "type": part("type"), "context": F.coalesce(part("context"), F.nullif("source_quote", F.lit("")))}
+
+
+def mentions(facts: DataFrame) -> DataFrame:
+    """(document_id, fact_id, idx, name, type, context) of facts, as :func:`mentioned` has them."""
+    return facts.select("document_id", F.col("id").alias("fact_id"), "idx", *[c.alias(k) for k, c in mentioned().items()])
 
 
 def quote_lengths(facts: DataFrame) -> DataFrame:

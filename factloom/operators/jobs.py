@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from ..functions.qualifiers import with_entry
 from ..functions.text import batch_prompt, entity_embedding_input, fact_embedding_input, match_embedding_input, trimmed
 from ..functions.vectors import cosine_distance
-from ..sources.scratch import scratch_dir
-from ..sources.sinks import detached, rows_to_insert, upserted, without_documents
+from ..sources.scratch import written
+from ..sources.sinks import detached, upserted, without_documents
 from . import entities as entity_ops
 from . import facts as fact_ops
 from . import pages as page_ops
@@ -34,13 +34,6 @@ Extractor = Callable[[list[tuple[int, str]]], tuple[list[dict], tuple[int, int]]
 REPLY = "batch bigint, pages array<int>, reply string, status string, calls bigint, input_tokens bigint, output_tokens bigint"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder: models are not called again by what reads it."""
-    path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 # -- parse
 
 
@@ -192,30 +185,43 @@ def entity_id_of(name: Column) -> Column:
     return F.sha2(F.lower(name), 256)
 
 
-def sibling_options(clusters: DataFrame, stored: DataFrame, known: DataFrame, same: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
-    """(query, distance, kind, entity_id): the entities that earlier clusters of the same batch lead, which a cluster is near
-    and confirmed to be; earlier by document_id, then cluster. Clusters of one name and context are one node, as they lead
-    or follow together. A cluster leads if no stored entity is near and confirmed, none has its name, and neither an
-    earlier leader; all siblings within the threshold count, not only the nearest ``NEIGHBOURS``."""
-    twin = F.sha2(F.concat_ws("|", "canonical_name", F.coalesce("context", F.lit("\0"))), 256)
-    own = clusters.select("query", F.struct("document_id", "cluster").alias("v"), twin.alias("twin"), F.lower("canonical_name").alias("name"), "canonical_name", "context", "q")
-    nodes = own.groupBy("twin").agg(*[F.min_by(c, "v").alias(c) for c in ("query", "name", "canonical_name", "context", "q")], F.min("v").alias("v"))
-    nodes = written(nodes, "nodes")
-    side = lambda a, b: nodes.select(F.col("twin").alias(a), F.col("name").alias(b), F.col("q").alias("q" if a == "qid" else "v"))
-    pairs = search(side("qid", "qx"), side("rid", "rx"), None, 1 - threshold + TIE).where(1 - F.col("distance") >= threshold)
-    pairs = pairs.join(nodes.select(F.col("twin").alias("qid"), F.col("canonical_name").alias("name"), "context", "v"), "qid")
-    pairs = pairs.join(nodes.select(F.col("twin").alias("rid"), F.col("canonical_name").alias("other"), F.col("context").alias("other_context"), F.col("v").alias("u")), "rid")
-    pairs = written(same(pairs).select("qid", "rid", "distance", "v", "u"), "sibling-pairs")
-    free = nodes.join(stored.select("query").distinct(), "query", "left_anti").join(known.select(F.col("__k").alias("name")), "name", "left_anti")
+def stored_options(nodes: DataFrame, entities: DataFrame, same: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
+    """(node, distance, entity_id): the nearest stored entities that a node is near and confirmed to be."""
+    rows = entities.where("embedding is not null").select(F.col("id").alias("entity_id"), F.col("embedding").alias("v"))
+    near = knn_join(nodes.select("node", "q"), rows, [], "node", "entity_id", NEIGHBOURS).where(1 - F.col("distance") >= threshold)
+    near = near.join(nodes.select("node", F.col("canonical_name").alias("name"), "context"), "node").join(entities.select(F.col("id").alias("entity_id"), F.col("canonical_name").alias("other"), F.col("context_sample").alias("other_context")), "entity_id")
+    return written(same(near).select("node", "distance", "entity_id"), "stored-options")
+
+
+def sibling_pairs(nodes: DataFrame, same: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
+    """(qid, rid, distance, v, u) of the nodes of one batch, of different names, that are near and confirmed to be the same."""
+    side = lambda a, b: nodes.select(F.col("node").alias(a), F.lit(None).cast("bigint").alias(b), F.col("q").alias("q" if a == "qid" else "v"))
+    pairs = search(side("qid", "qx"), side("rid", "rx"), None, 1 - threshold + TIE).where(1 - F.col("distance") >= threshold).where("qid <> rid")
+    pairs = pairs.join(nodes.select(F.col("node").alias("qid"), F.col("canonical_name").alias("name"), "context", "v"), "qid")
+    pairs = pairs.join(nodes.select(F.col("node").alias("rid"), F.col("canonical_name").alias("other"), F.col("context").alias("other_context"), F.col("v").alias("u")), "rid")
+    return written(same(pairs.where(F.lower("name") != F.lower("other"))).select("qid", "rid", "distance", "v", "u"), "sibling-pairs")
+
+
+def chosen_entities(clusters: DataFrame, nodes: DataFrame, stored: DataFrame, pairs: DataFrame, known: DataFrame, same: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
+    """(document_id, cluster, matched): the nearest entity that a cluster is confirmed to be, of the stored ones and those that
+    earlier clusters of the batch lead; earlier by document_id, then cluster. A cluster leads if no stored entity is near and
+    confirmed, none has its name, and neither an earlier leader; all siblings within the threshold count, not only the
+    nearest ``NEIGHBOURS``."""
+    named_nodes = nodes.withColumn("name", F.lower("canonical_name"))
+    free = named_nodes.join(stored.select("node").distinct(), "node", "left_anti").join(known.select(F.col("__k").alias("name")), "name", "left_anti")
     free = written(free.select("v", "name"), "free")
     edges = pairs.select("v", "u").join(free.select("v"), "v", "left_semi").join(free.select(F.col("v").alias("u")), "u", "left_semi")
-    lead = written(nodes.join(leaders(free, edges), "v", "left_semi").select(F.col("v").alias("u"), F.col("twin").alias("rid"), "name", F.col("canonical_name").alias("other"), F.col("context").alias("other_context"), F.col("q").alias("w")), "leaders")
-    mine = own.select("query", F.col("v").alias("at"), F.col("twin").alias("qid"), "name", "canonical_name", "context", "q")
-    others = mine.join(pairs.select("qid", "rid", "distance"), "qid").join(lead.select("rid", "u", "other"), "rid").where("u < at")
+    lead = written(named_nodes.join(leaders(free, edges), "v", "left_semi").select(F.col("v").alias("u"), F.col("node").alias("rid"), "name", F.col("canonical_name").alias("other"), F.col("context").alias("other_context"), F.col("q").alias("w")), "leaders")
+    of = nodes.select("node", F.col("canonical_name").alias("c"), F.col("context").alias("x"), "q")
+    mine = clusters.select(F.struct("document_id", "cluster").alias("at"), "canonical_name", "context").join(of, F.col("canonical_name").eqNullSafe(F.col("c")) & F.col("context").eqNullSafe(F.col("x")))
+    mine = mine.select("at", "node", F.lower("canonical_name").alias("name"), "canonical_name", "context", "q")
+    others = mine.join(pairs.select(F.col("qid").alias("node"), "rid", "distance"), "node").join(lead.select("rid", "u", "other"), "rid").where("u < at")
     named = mine.join(lead, "name").where("u < at").withColumn("distance", cosine_distance(F.col("q"), F.col("w"))).where(1 - F.col("distance") >= threshold)
     named = same(named.drop("name").withColumnRenamed("canonical_name", "name"))
-    option = lambda df: df.select("query", "distance", F.lit(1).alias("kind"), entity_id_of(F.col("other")).alias("entity_id"))
-    return option(others).unionByName(option(named))
+    option = lambda df, kind, entity: df.select("at", "distance", F.lit(kind).alias("kind"), entity.alias("entity_id"))
+    options = option(mine.join(stored, "node"), 0, F.col("entity_id")).unionByName(option(others, 1, entity_id_of(F.col("other")))).unionByName(option(named, 1, entity_id_of(F.col("other"))))
+    chosen = options.groupBy("at").agg(F.min_by("entity_id", F.struct("distance", "kind", "entity_id")).alias("matched"))
+    return written(chosen.select("at.*", "matched"), "chosen")
 
 
 def resolve_documents(facts: DataFrame, documents: DataFrame, entities: DataFrame, aliases: DataFrame, embed: Callable[[Column], Column], confirm: Callable[[Column, Column, Column, Column], Column], threshold: float = ENTITY_MATCH) -> dict[str, DataFrame]:
@@ -223,44 +229,48 @@ def resolve_documents(facts: DataFrame, documents: DataFrame, entities: DataFram
     document). Names of a document are clustered; clusters are matched as if one after another, by document and place: to
     the nearest stored entities and those that earlier clusters have led to. A cluster is the nearest one that ``confirm``
     (name, context, other name, other context) says is the same, else the entity of its name, old or new. Facts that nothing
-    names belong to the entity that stands for all such."""
+    names belong to the entity that stands for all such.
+
+    Facts are shuffled once, by document: what their names come to is found in windows over them and not written. Written are
+    the merged forms of documents, the clusters of one name and context as one node, which lead or follow together, with the
+    nodes' vectors and near pairs, and the clusters that are confirmed to be another entity."""
     ours = facts.join(documents.select("document_id"), "document_id", "left_semi")
-    named = fact_ops.mentions(ours.withColumn("idx", F.row_number().over(Window.partitionBy("document_id").orderBy("id"))))
-    named = written(named, "mentions")
-    forms = written(entity_ops.cluster_forms(named), "forms")
-    clusters = entity_ops.elect(named, forms).withColumn("query", F.sha2(F.concat_ws("|", "document_id", "cluster"), 256))
-    clusters = written(clusters.withColumn("q", embed(entity_embedding_input(F.col("canonical_name"), F.col("context")))), "clusters")
+    formed = entity_ops.with_forms(ours.withColumn("idx", F.row_number().over(Window.partitionBy("document_id").orderBy("id"))).withColumns(fact_ops.mentioned()))
+    placed = entity_ops.with_clusters(formed, entity_ops.form_labels(formed))
+    clusters = entity_ops.elect(formed, placed)
+    own = clusters.select("canonical_name", "context", "entity_type", F.struct("document_id", "cluster").alias("v"))
+    nodes = own.groupBy("canonical_name", "context").agg(F.min("v").alias("v"), F.min_by("entity_type", "v").alias("entity_type"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()).withColumn("q", embed(entity_embedding_input(F.col("canonical_name"), F.col("context")))), "nodes")
 
     same = lambda rows: rows.withColumn("same", confirm(F.col("name"), F.col("context"), F.col("other"), F.col("other_context"))).where("same")
-    rows = entities.where("embedding is not null").select(F.col("id").alias("entity_id"), F.col("embedding").alias("v"))
-    near = knn_join(clusters.select("query", "q"), rows, [], "query", "entity_id", NEIGHBOURS).where(1 - F.col("distance") >= threshold)
-    near = near.join(clusters.select("query", F.col("canonical_name").alias("name"), "context"), "query").join(entities.select(F.col("id").alias("entity_id"), F.col("canonical_name").alias("other"), F.col("context_sample").alias("other_context")), "entity_id")
-    stored = written(same(near).select("query", "distance", F.lit(0).alias("kind"), "entity_id"), "stored-options")
     known = written(entities.groupBy(F.lower("canonical_name").alias("__k")).agg(F.min("id").alias("old")), "names")
-    options = stored.unionByName(sibling_options(clusters, stored, known, same, threshold))
-    chosen = options.groupBy("query").agg(F.min_by("entity_id", F.struct("distance", "kind", "entity_id")).alias("matched"))
-    placed = clusters.join(chosen, "query", "left")
-    placed = placed.withColumn("__k", F.lower("canonical_name")).join(known, "__k", "left").withColumn("entity_id", F.coalesce("matched", "old", entity_id_of(F.col("canonical_name"))))
-    placed = written(placed.drop("__k"), "placed")
-
-    fresh = placed.where("matched is null and old is null").select(F.col("entity_id").alias("id"), "canonical_name", "entity_type", F.col("context").alias("context_sample"), F.col("q").alias("embedding"), "document_id", "cluster")
-    fresh = rows_to_insert(entities, fresh, ["id"], ["document_id", "cluster"]).drop("document_id", "cluster")
-    links = named.withColumn("key", F.lower(entity_ops.normalize_name(F.col("name")))).join(forms.select("document_id", "cluster", "key"), ["document_id", "key"]).join(placed.select("document_id", "cluster", "entity_id"), ["document_id", "cluster"]).select("fact_id", "entity_id")
-    linked = ours.drop("entity_id").join(links.withColumnRenamed("fact_id", "id"), "id", "left")
-    spare = entities.where(F.lower("canonical_name") == F.lower(F.lit(entity_ops.UNRESOLVED))).agg(F.min("id").alias("__spare"))
-    spare = spare.select(F.coalesce("__spare", entity_id_of(F.lit(entity_ops.UNRESOLVED))).alias("__spare"), F.col("__spare").isNull().alias("__new"))
-    stand_in = linked.where("entity_id is null").limit(1).crossJoin(spare.where("__new").withColumnRenamed("__spare", "s")).select(F.col("s").alias("id"), F.lit(entity_ops.UNRESOLVED).alias("canonical_name"), F.lit("unknown").alias("entity_type"), F.lit("Fallback entity for unlinked facts").alias("context_sample"))
-    fresh = fresh.unionByName(stand_in, allowMissingColumns=True)
-    linked = linked.crossJoin(F.broadcast(spare.drop("__new"))).withColumn("entity_id", F.coalesce("entity_id", "__spare"))  # one row
-    said = placed.select("entity_id", F.explode("surface_forms").alias("surface_form"), "document_id", F.lit(1.0).cast("float").alias("confidence"))
+    stored, pairs = stored_options(nodes, entities, same, threshold), sibling_pairs(nodes, same, threshold)
+    fresh = nodes.withColumn("__k", F.lower("canonical_name")).join(known, "__k", "left_anti")
+    placed = placed.withColumn("__k", F.lower("canonical_name")).join(entity_ops.shared(known), "__k", "left")
+    if stored.limit(1).count() or pairs.limit(1).count():  # else each has the entity of its name, whoever leads
+        chosen = chosen_entities(clusters, nodes, stored, pairs, known, same, threshold)
+        fresh = fresh.join(chosen.select(F.struct("document_id", "cluster").alias("v")), "v", "left_anti")
+        placed = placed.join(entity_ops.shared(chosen), ["document_id", "cluster"], "left")
+    else:
+        placed = placed.withColumn("matched", F.lit(None).cast("string"))
+    placed = placed.withColumn("entity_id", F.coalesce("matched", "old", entity_id_of(F.col("canonical_name"))))
+
+    # a node whose first cluster is another entity is so in all of its clusters
+    fresh = fresh.groupBy("__k").agg(F.min_by(F.struct("canonical_name", "entity_type", F.col("context").alias("context_sample"), F.col("q").alias("embedding")), "v").alias("x"))
+    fresh = fresh.select(entity_id_of(F.col("__k")).alias("id"), "x.*").join(entities.select("id"), "id", "left_anti")
+    spare = entities.where(F.lower("canonical_name") == F.lower(F.lit(entity_ops.UNRESOLVED))).agg(F.min("id").alias("spare")).first().spare
+    stand_in = ours.where("id is null").limit(1).select(entity_id_of(F.lit(entity_ops.UNRESOLVED)).alias("id"), F.lit(entity_ops.UNRESOLVED).alias("canonical_name"), F.lit("unknown").alias("entity_type"), F.lit("Fallback entity for unlinked facts").alias("context_sample"))
+    fresh = fresh.unionByName(stand_in.where(F.lit(spare is None)), allowMissingColumns=True)
+    linked = placed.withColumn("entity_id", F.coalesce(F.when(F.col("id").isNotNull(), F.col("entity_id")), entity_id_of(F.lit(entity_ops.UNRESOLVED)) if spare is None else F.lit(spare)))
+    said = placed.groupBy("document_id", "cluster").agg(F.first("entity_id").alias("entity_id"), F.collect_set("form_name").alias("forms")).select("entity_id", F.explode("forms").alias("surface_form"), "document_id", F.lit(1.0).cast("float").alias("confidence"))
     said = said.withColumn("id", F.sha2(F.concat_ws("|", "entity_id", "surface_form", "document_id"), 256))
-    results = documents.select("document_id").join(placed.groupBy("document_id").agg(F.count("*").alias("entities_resolved")), "document_id", "left").join(ours.groupBy("document_id").agg(F.count("*").alias("facts_linked")), "document_id", "left").na.fill(0)
+    counts = placed.groupBy("document_id").agg(F.count_distinct("cluster").alias("entities_resolved"), F.count("*").alias("facts_linked"))
     return {
         "facts": without_documents(facts, documents).unionByName(linked.select(*facts.columns)),
         "entities": entities.unionByName(fresh, allowMissingColumns=True),
         "new_entities": fresh,
         "aliases": without_documents(aliases, documents).unionByName(said, allowMissingColumns=True),
-        "results": results,
+        "results": documents.select("document_id").join(counts, "document_id", "left").na.fill(0),
     }
 
 

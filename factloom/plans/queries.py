@@ -16,6 +16,7 @@ from ..functions.vectors import cosine_similarity
 from ..operators import facts as fact_ops
 from ..operators import in_order, jobs, pages, quality, reconcile, rules, similarity, views
 from ..sources import sinks
+from ..sources.scratch import written
 from ..streaming import progress
 from .schemas import TABLES
 
@@ -605,20 +606,29 @@ def quote_verdicts(df):
     return df.withColumns({"verdict": quality.verdict(*map(F.col, ("valid", "quote", "chunk", "raw"))), "snippet": quality.snippet(F.col("quote"), F.col("chunk"))})
 
 
+#: Lines of a task of the resolve job, about.
+LINES = 150_000
+
+
 @query("""SELECT DISTINCT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, CASE WHEN l_orderkey % 2 = 0 THEN CASE WHEN l_linenumber = 4 THEN 'unknown entity' ELSE md5(CAST(l_partkey AS VARCHAR)) END END AS entity FROM lineitem""")
 def resolved_facts(spark, d):
-    """The resolve job over the documents of even keys: names in two spellings, and none on fourth lines."""
+    """The resolve job over the documents of even keys: names in two spellings, and none on fourth lines. Lines are dealt by
+    document before anything is made of them, which the job's own steps then keep to."""
+    key = F.col("l_orderkey").cast("string")
+    lines = table(spark, d, "lineitem")
+    lines = lines.select(F.coalesce(key, F.lit("")).alias("document_id"), "l_linenumber", "l_partkey", "l_suppkey").repartition(1 + lines.count() // LINES, "document_id")
     name = F.md5(F.col("l_partkey").cast("string"))
     spelt = F.when(F.col("l_linenumber") % 2 == 0, F.upper(name)).otherwise(name)
     entity = F.when(F.col("l_linenumber") != 4, F.to_json(F.struct(F.struct(spelt.alias("name"), F.lit("part").alias("type")).alias("_entity"))))
-    f = table(spark, d, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), F.col("l_orderkey").cast("string").alias("document_id"), entity.alias("qualifiers"), F.lit("q").alias("source_quote"), F.lit(None).cast("string").alias("entity_id")).distinct()
+    f = lines.select(F.concat_ws("-", F.nullif("document_id", F.lit("")), "l_linenumber", "l_partkey", "l_suppkey").alias("id"), "document_id", entity.alias("qualifiers"), F.lit("q").alias("source_quote"), F.lit(None).cast("string").alias("entity_id")).distinct()
     empty = lambda name: spark.createDataFrame([], TABLES[name])
-    documents = f.where("document_id % 2 = 0").select("document_id").distinct()
+    documents = written(table(spark, d, "lineitem").where("l_orderkey % 2 = 0").select(key.alias("document_id")).distinct(), "documents")
     none = lambda a, ca, b, cb: F.lit(False)
     vector = lambda c: F.when(c.isNotNull(), F.array(F.lit(1.0)).cast("array<float>"))
     got = jobs.resolve_documents(f, documents, empty("entities"), empty("entity_aliases"), vector, none)
     named = got["entities"].select(F.col("id").alias("entity_id"), F.lower("canonical_name").alias("entity"))
-    return got["facts"].join(named, "entity_id", "left").select("id", "entity")
+    without, resolved = (got["facts"].where(F.col("entity_id").isNull() if x else F.col("entity_id").isNotNull()) for x in (True, False))  # nulls would meet in one task
+    return without.select("id", F.lit(None).cast("string").alias("entity")).unionByName(resolved.join(named, "entity_id", "left").select("id", "entity"))
 
 
 @query("""SELECT doc_id, 'head' AS predicate, substr(text, 1, 1) AS value, true AS source_quote_valid, 0.9::DOUBLE AS confidence FROM documents WHERE n_chars >= 200 AND trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') <> '' AND substr(text, 1, 1) NOT IN (chr(9), chr(10), chr(11), chr(12), chr(13), ' ')""")

@@ -1,12 +1,14 @@
-"""A fresh folder that driver and executors share."""
+"""A fresh folder that driver and executors share, and tables in it."""
 
 from __future__ import annotations
 
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
@@ -15,3 +17,24 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{(base or tempfile.mkdtemp(prefix='factloom-')).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """What is run within leaves no shuffle files: Spark removes them at the end of each command, not when the driver happens
+    to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder: models are not called again by what reads it."""
+    path = scratch_dir(df.sparkSession, name)
+    with shuffles_freed(df.sparkSession):
+        df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,5 +1,6 @@
 """Algorithms for large inputs, each against the plain way to the same result."""
 
+import os
 import random
 
 import numpy as np
@@ -8,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import facts, in_order, jobs, nearest, packing, pages, reconcile, similarity, views
+from factloom.operators import entities, facts, in_order, jobs, nearest, packing, pages, reconcile, similarity, views
 from factloom.plans import queries
 from factloom.plans.schemas import TABLES
 
@@ -359,3 +360,33 @@ def test_facts_in_relationships_has_no_large_task(spark, tmp_path, monkeypatch):
     assert sum(r["n"] for r in rows) == 40_000 and max(r["n"] for r in rows) < 1500
     pairs = spark.createDataFrame([(1, 2), (2, 3), (None, 3)], "fact_a_id bigint, fact_b_id bigint")
     assert {r["id"] for r in views.facts_in(pairs, 3).collect()} == {r["id"] for r in views.facts_in(pairs).collect()} == {1, 2, 3, None}
+
+
+def test_names_of_small_documents_are_not_cut_to_grams(spark, monkeypatch):
+    """Documents of few names, of one more than few and of many: clusters as brute force has them, and tables written only
+    for what is merged, for nodes and for the large documents."""
+    monkeypatch.setattr(entities, "FEW", 4, raising=False)
+    rng, rows = random.Random(6), []
+    for d, n in (("a", 2), ("b", 4), ("c", 5), ("e", 12), ("f", 1)):
+        names = ["".join(rng.choice("abcdefgh") for _ in range(10)) for _ in range(-(-n // 2))]
+        rows += [(d, f"{d}{i:02d}", names[i // 2] + "xy"[i % 2]) for i in range(n)]
+    rows += [(f"g{i}", f"g{i}", "".join(rng.choice("abcdefgh") for _ in range(10))) for i in range(40)]
+    table = empty(spark, "facts").unionByName(spark.createDataFrame([(d, i, '{"_entity":{"name":"%s"}}' % n) for d, i, n in rows], "document_id string, id string, qualifiers string"), allowMissingColumns=True)
+    folder = spark.conf.get("spark.checkpoint.dir")
+    embed = lambda c: F.when(c.isNotNull(), F.array(F.lit(1.0)).cast("array<float>"))
+    run = lambda facts: jobs.resolve_documents(facts, facts.select("document_id").distinct(), empty(spark, "entities"), empty(spark, "entity_aliases"), embed, lambda *_: F.lit(False))
+    before = set(os.listdir(folder))
+    got = run(table)
+    grams = [x for x in set(os.listdir(folder)) - before if x.startswith("rare-grams")]
+    assert sum(spark.read.parquet(f"{folder}/{x}").select("document_id", "idx").distinct().count() for x in grams) == 5 + 12
+    made = {r["id"]: r["canonical_name"] for r in got["entities"].collect()}
+    of = {}
+    for r in got["facts"].collect():
+        of.setdefault((r["document_id"], r["entity_id"]), []).append(r["id"])
+    want = {}
+    for d, i, n in rows:
+        want.setdefault((d, n[:10]), []).append(i)
+    assert sorted(map(sorted, of.values())) == sorted(want.values()) and len(made) == len(want)
+    before = set(os.listdir(folder))
+    got = run(table.where("document_id not in ('c', 'e')"))
+    assert got["facts"].count() == 47 and not [x for x in set(os.listdir(folder)) - before if x.startswith(("rare-grams", "mentions", "forms", "clusters", "placed"))]
