@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from ..sources.scratch import scratch_dir
 
 BLOCK, MOST_PIVOTS, KEYED_PIVOTS, SAMPLE = 2048, 512, 32, 4096
+#: Rows by queries of a block of a key: they are compared in parts of ``BLOCK``, so only that grows which a task holds once.
+WIDE = 16_384
 #: More than the rounding of a length or a distance: bounds are wider by this much.
 SLACK, TIE = 1e-6, 1e-9
 FEWEST_RINGS, MOST_RINGS = 4, 100  # of the lengths 0 to 2
@@ -159,10 +161,11 @@ def visits(queries: DataFrame, cells: Cells, k: int | None, reach: float, first:
     return queries.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in queries.dtypes) + ", pivot int, ring int")
 
 
-def meet(visiting: DataFrame, rows: DataFrame, units: list[str], k: int | None, max_distance: float | None, compared: Accumulator | None = None) -> DataFrame:
+def meet(visiting: DataFrame, rows: DataFrame, units: list[str], k: int | None, max_distance: float | None, compared: Accumulator | None = None, block: int | None = None) -> DataFrame:
     """(qid, rid, distance) of the k nearest rows (units, rid, rx, v) of each query (units, qid, qx, q) within each block of
-    the units; rows whose rx is the query's qx do not count. ``compared`` counts the pairs."""
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    the units; rows whose rx is the query's qx do not count. Blocks are of about ``block`` rows and queries (``BLOCK``, if not given); ``compared``
+    counts the pairs."""
+    blocks = lambda n: F.ceil(F.col(n) / (block or BLOCK)).cast("int")
     both = visiting.groupBy(*units).agg(F.count("*").alias("nq")).join(rows.groupBy(*units).agg(F.count("*").alias("nr")), units)
     both = kept(both.select(*units, blocks("nq").alias("nq"), blocks("nr").alias("nr")), "units")
     both = F.broadcast(both) if both.count() <= MOST_PIVOTS * MOST_RINGS else both
@@ -185,27 +188,34 @@ def nearest_in_block(a: pa.Table, b: pa.Table, k: int | None, max_distance: floa
     if compared is not None:
         compared.add(a.num_rows * b.num_rows)
     q, v = (np.array(t.column(c).combine_chunks().flatten(), dtype=np.float64).reshape(t.num_rows, -1) for t, c in ((a, "q"), (b, "v")))
-    rough = 1.0 - unit(q) @ unit(v).T
     qx, rx = a.column("qx").to_pylist(), b.column("rx").to_pylist()
     code = {x: i for i, x in enumerate(dict.fromkeys([*qx, *rx]))}
-    rough[np.array([code[x] for x in qx])[:, None] == np.array([code[x] if x is not None else -1 for x in rx])[None, :]] = np.inf
-    limit = np.full(len(q), np.inf if max_distance is None else max_distance + TIE)
-    if k is not None and rough.shape[1] > k:
-        limit = np.minimum(limit, np.partition(rough, k - 1, axis=1)[:, k - 1] + TIE)
-    i, j = np.nonzero((rough <= limit[:, None]) & np.isfinite(rough))
-    if not len(i):
-        return empty
-    exact = distances(q, v, i, j)
-    near = np.flatnonzero(np.isfinite(exact) & (exact < (np.inf if max_distance is None else max_distance)))
-    i, j, exact = i[near], j[near], exact[near]
-    if k is not None:
-        place = np.empty(b.num_rows, np.int64)
-        place[pc.array_sort_indices(b.column("rid").combine_chunks()).to_numpy()] = np.arange(b.num_rows)
-        order = np.lexsort((place[j], exact, i))
-        i, j, exact = i[order], j[order], exact[order]
-        first = np.arange(len(i)) - np.searchsorted(i, i) < k
-        i, j, exact = i[first], j[first], exact[first]
-    return pa.table([a.column("qid").take(pa.array(i)), b.column("rid").take(pa.array(j)), pa.array(exact, pa.float64())], names)
+    qx, rx = np.array([code[x] for x in qx]), np.array([code[x] if x is not None else -1 for x in rx])
+    place = np.empty(b.num_rows, np.int64)
+    place[pc.array_sort_indices(b.column("rid").combine_chunks()).to_numpy()] = np.arange(b.num_rows)
+    most, of_rows, found = np.inf if max_distance is None else max_distance, unit(v), []
+    for s in range(0, len(q), BLOCK):
+        of_queries, limit, best = unit(q[s : s + BLOCK]), np.full(len(q[s : s + BLOCK]), most + TIE), []
+        for t in range(0, len(v), BLOCK):
+            rough = 1.0 - of_queries @ of_rows[t : t + BLOCK].T
+            rough[qx[s : s + BLOCK, None] == rx[None, t : t + BLOCK]] = np.inf
+            if k is not None and not t and rough.shape[1] > k:  # what comes later is compared with what was found
+                limit = np.fmin(limit, np.partition(rough, k - 1, axis=1)[:, k - 1] + TIE)
+            i, j = np.nonzero((rough <= limit[:, None]) & np.isfinite(rough))
+            exact = distances(q, v, s + i, t + j) if len(i) else np.zeros(0)
+            near = np.flatnonzero(np.isfinite(exact) & (exact < most))
+            best.append((i[near], t + j[near], exact[near]))
+            if k is None:
+                continue
+            i, j, exact = (np.concatenate(x) for x in zip(*best, strict=True))
+            order = np.lexsort((place[j], exact, i))
+            i, j, exact = i[order], j[order], exact[order]
+            at = np.arange(len(i)) - np.searchsorted(i, i)
+            limit[i[at == k - 1]] = np.minimum(limit[i[at == k - 1]], exact[at == k - 1] + TIE)
+            best = [(i[at < k], j[at < k], exact[at < k])]
+        found += [(s + i, j, exact) for i, j, exact in best]
+    i, j, exact = (np.concatenate(x) for x in zip(*found, strict=True))
+    return pa.table([a.column("qid").take(pa.array(i)), b.column("rid").take(pa.array(j)), pa.array(exact, pa.float64())], names) if len(i) else empty
 
 
 def in_one_block(queries: DataFrame, rows: pa.Table, row_kind: str, k: int | None, max_distance: float | None, compared: Accumulator | None) -> DataFrame:

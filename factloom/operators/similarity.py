@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import forms_merge, name_forms
+from . import nearest
 from .nearest import fitting, kept, meet, search
 
 
@@ -17,11 +18,30 @@ def top_k(scored: DataFrame, query: list[str], order: list[Column], k: int) -> D
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def knn_join(queries: DataFrame, rows: DataFrame, keys: list[str], query_id: str, row_id: str, k: int, max_distance: float | None = None, differ: tuple[str, str] | None = None) -> DataFrame:
+def without_distance(queries: DataFrame, rows: DataFrame, keys: list[str], query_id: str, row_id: str, k: int, differ: tuple[str, str]) -> DataFrame:
+    """(keys, query_id, row_id, distance) of pairs that share their keys and have no distance, as many as k nearest rows need:
+    NaN where a vector has no direction, null where there is none. Of each kind of rows the first k + 1 of a key are enough,
+    as one at most is the query's own; rows with a direction are taken for queries without one only. Ids are unique."""
+
+    def kind(vector: str) -> Column:
+        v = F.col(vector).cast("array<double>")
+        square = F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)
+        lost = v.isNull() | (F.size(v) == 0) | square.isNull()
+        return F.when(lost, 2).when((square > 0) & (square < math.inf), 0).otherwise(1)
+
+    first = top_k(rows.withColumn("kind", kind("v")).select(*keys, "kind", row_id, *({differ[1]} - {row_id})), [*keys, "kind"], [F.col(row_id).asc()], k + 1).drop("rank")
+    asked = queries.withColumn("asks", kind("q")).drop("q")
+    met = asked.join(first, keys).where("asks > 0 or kind > 0").where(F.col(differ[0]) != F.col(differ[1]))
+    distance = F.when(F.greatest("asks", "kind") == 1, F.lit(math.nan)).cast("double")
+    return met.select(*keys, query_id, row_id, distance.alias("distance"))
+
+
+def knn_join(queries: DataFrame, rows: DataFrame, keys: list[str], query_id: str, row_id: str, k: int, max_distance: float | None = None, differ: tuple[str, str] | None = None, last: bool = False) -> DataFrame:
     """For each query (keys, query_id, q) the k nearest rows (keys, row_id, v) that share its keys: query_id, row_id,
     distance, rank. ``differ`` names a column of the queries and one of the rows whose values must not be equal. Without
     keys, a query meets the rows of the cells that can hold a nearer one (:mod:`nearest`); with keys, all of its keys, in
-    blocks that pass on k rows a query."""
+    blocks that pass on k rows a query. With ``last`` (keys and ``differ`` are needed) rows without a distance come after all
+    others, NaN before null; else they are left out."""
     if not keys:
         null = F.lit(None).cast("string")
         asked = queries.select(F.col(query_id).alias("qid"), (F.col(differ[0]).cast("string") if differ else null).alias("qx"), "q")
@@ -31,9 +51,11 @@ def knn_join(queries: DataFrame, rows: DataFrame, keys: list[str], query_id: str
     kind, null = dict(queries.dtypes), F.lit(None).cast("string")
     asked = fitting(queries.withColumn("qx", F.col(differ[0]).cast("string") if differ else null), "q").select(*keys, F.size("q").alias("dims"), F.struct(*keys, query_id).alias("qid"), "qx", "q")
     near = fitting(rows.withColumn("rx", F.col(differ[1]).cast("string") if differ else null), "v").select(*keys, F.size("v").alias("dims"), F.col(row_id).alias("rid"), "rx", "v")
-    met = meet(kept(asked, "queries"), kept(near, "rows"), [*keys, "dims"], k, max_distance)
+    met = meet(kept(asked, "queries"), kept(near, "rows"), [*keys, "dims"], k, max_distance, None, nearest.WIDE)
     met = met.select(*[F.col(f"qid.{c}").cast(kind[c]).alias(c) for c in [*keys, query_id]], F.col("rid").alias(row_id), "distance")
-    return top_k(met, [query_id], [F.col("distance").asc(), F.col(row_id).asc()], k)
+    if last:
+        met = met.unionByName(without_distance(queries, rows, keys, query_id, row_id, k, differ))
+    return top_k(met, [query_id], [F.col("distance").asc_nulls_last(), F.col(row_id).asc()], k)
 
 
 def nearest_one(queries: DataFrame, rows: DataFrame, query_id: str, row_id: str, differ: tuple[str, str] | None = None) -> DataFrame:

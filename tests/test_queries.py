@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 from factloom.plans.queries import QUERIES, SQL
@@ -64,3 +65,18 @@ def test_query_equals_its_sql(spark, other, name):
     columns = sorted(theirs.columns)
     assert sorted(mine.columns) == columns
     assert rows_of(mine, columns) == rows_of(theirs, columns)
+
+
+def test_every_vector_asks_for_its_neighbours(spark, tmp_path):
+    """All vectors are queries; rows without a distance come last in both engines, also where there are few others."""
+    rng = np.random.default_rng(11)
+    rows = [(i, i % 3, rng.normal(size=4).round(3).tolist()) for i in range(60)] + [(i, 3, rng.normal(size=4).round(3).tolist()) for i in range(60, 66)]
+    odd = [None, [0.0] * 4, None, [0.0] * 4, [float("nan"), 1.0, 0.0, 0.0], [0.0] * 4]
+    rows += [(70 + i, 3 if i else 2, v) for i, v in enumerate(odd)] + [(80, None, [1.0] * 4), (None, 3, [1.0] * 4)]
+    spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<float>").repartition(2).write.parquet(f"{tmp_path}/embeddings.parquet")
+    mine = QUERIES["knn_same_entity"](spark, str(tmp_path)).toPandas()
+    c = duckdb.connect()
+    c.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    theirs = c.execute(SQL["knn_same_entity"]).df()
+    assert rows_of(mine, list(theirs.columns)) == rows_of(theirs, list(theirs.columns))
+    assert set(mine["query"]) == {*range(66), *range(70, 76)} and len(mine) == 72 * 10
